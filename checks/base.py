@@ -80,7 +80,7 @@ def reorder_params(history):
     return history.groupBy("item_id").agg(F.max_by("quantity_on_hand", "date").alias("_last")).select(
         "item_id",
         (F.col("item_id") % 5 + 2).cast("int").alias("lead_time_days"),
-        (F.col("_last") - F.col("item_id") % 40).cast("int").alias("reorder_threshold"),
+        (F.col("_last") - F.col("item_id") * 7 % 150).cast("int").alias("reorder_threshold"),
         (F.col("item_id") % 30 + 10).cast("int").alias("reorder_quantity"),
     )
 
