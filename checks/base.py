@@ -49,10 +49,11 @@ PART_WEEKS = """SELECT l_partkey, date_trunc('week', l_shipdate)::date AS week_s
 
 
 def type_weeks(spark, sf_dir):
-    """Weekly quantity per part type."""
+    """Weekly quantity per part type. Weeks are summed per part before the join, so a part with very many sales is one
+    row per week by then."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    joined = sales(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return weekly_series(joined, "sales_date", "bottles", ["p_type"], "qty")
+    joined = part_weeks(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return weekly_series(joined, "week_start", "qty", ["p_type"], "qty")
 
 
 TYPE_WEEKS = """SELECT p_type, date_trunc('week', l_shipdate)::date AS week_start, sum(l_quantity)::bigint AS qty

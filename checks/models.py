@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from checks.base import PART_WEEKS, TYPE_WEEKS, part_weeks, query, table, type_weeks
 from stockloom.operators import series, split, stats
 from stockloom.plans import forecast, regression
+from stockloom.session import fresh_folder
+from stockloom.sources import tables
 
 LAST = "PARTITION BY l_partkey ORDER BY week_start"
 
@@ -187,6 +189,16 @@ def forecast_points(spark, d):
     return series.annotated_points(ahead, ["p_type", "lag"], "date", "forecast", keep=2)
 
 
+@query()
+def stored_forecast_models(spark, d):
+    path = fresh_folder(spark, "fitted")
+    weeks = series.regular_weekly(type_weeks(spark, d), "week_start", "qty", ["p_type"], fill=0)
+    fitted = forecast.fit_models(weeks, ["p_type"], lag=52)
+    tables.save_models(fitted, path)
+    stored = tables.load_models(spark, path)
+    return stored.select("p_type", "start_year", "end_year", F.explode("params").alias("name", "coefficient"))
+
+
 @query()
 def holdout_error(spark, d):
     weeks = regular_types(spark, d)

@@ -11,23 +11,24 @@ from stockloom.plans.labelling import label_items
 
 
 def items_sold(spark, d):
-    """One row per sale with the item's description and category."""
+    """Items with description and category, one row per vendor that sold them."""
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    return table(spark, d, "lineitem").select("l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey")
+    sold = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").distinct()
+    return sold.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "l_suppkey")
 
 
-SOLD = "SELECT p_partkey, p_name, p_type FROM lineitem JOIN part ON l_partkey = p_partkey"
+SOLD = "SELECT p_partkey, p_name, p_type, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
 def item_dim(spark, d):
-    """Dimension that lacks a third of the items and has no label for another third."""
-    part = table(spark, d, "part")
-    rest = F.col("p_partkey") % 3
-    known = part.withColumn("segment", F.when(rest == 1, F.lower("p_type"))).filter(rest > 0)
-    return known.select("p_partkey", "p_name", "p_type", "segment")
+    """Dimension that lacks some types of items and has no label for others."""
+    part = table(spark, d, "part").filter(~F.col("p_type").isin("PROMO", "LARGE"))
+    unlabelled = F.col("p_type").isin("SMALL", "MEDIUM")
+    return part.select("p_partkey", "p_name", "p_type", F.when(~unlabelled, F.lower("p_type")).alias("segment"))
 
 
-DIM = """SELECT p_partkey, p_name, p_type, CASE p_partkey % 3 WHEN 1 THEN lower(p_type) END AS segment FROM part WHERE p_partkey % 3 > 0"""
+DIM = """SELECT p_partkey, p_name, p_type, CASE WHEN p_type NOT IN ('SMALL', 'MEDIUM') THEN lower(p_type) END AS segment
+  FROM part WHERE p_type NOT IN ('PROMO', 'LARGE')"""
 
 
 @query(
@@ -49,12 +50,12 @@ def collapsed_items(spark, d):
 
 @query(
     f"""WITH u AS (SELECT p_partkey, min(p_name) AS p_name, min(p_type) AS p_type, max(split_part(p_name, ' ', 1)) AS segment
-  FROM ({SOLD}) WHERE p_partkey % 3 <> 1 GROUP BY 1)
+  FROM ({SOLD}) WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT * FROM ({DIM}) WHERE p_partkey NOT IN (SELECT p_partkey FROM u) UNION ALL SELECT * FROM u"""
 )
 def dimension_upsert(spark, d):
-    fresh = items_sold(spark, d).filter(F.col("p_partkey") % 3 != 1)
-    updates = fresh.withColumn("segment", F.split("p_name", " ")[0])
+    returned = items_sold(spark, d).filter(F.col("l_returnflag") == "R").drop("l_returnflag")
+    updates = returned.withColumn("segment", F.split("p_name", " ")[0])
     return dimension.upsert_dimension(item_dim(spark, d), updates, "p_partkey", ["p_name", "p_type"], "segment")
 
 

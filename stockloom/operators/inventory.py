@@ -5,18 +5,28 @@ from pyspark.sql import functions as F
 
 
 def daily_usage(history, keys, date="date", quantity="quantity_on_hand"):
-    """Mean weekly fall of the level divided by 7, with the last date and level of each key."""
-    window = Window.partitionBy(*keys).orderBy(date)
-    fall = F.lag(quantity).over(window) - F.col(quantity)
-    return (
-        history.withColumn("_fall", fall)
-        .groupBy(*keys)
-        .agg(
-            (F.avg("_fall") / 7).alias("daily_usage"),
-            F.max(date).alias("last_date"),
-            F.max_by(quantity, date).alias("last_level"),
-        )
+    """Mean fall of the level from one snapshot to the next, divided by 7, with the last date and level of each key.
+
+    Without gaps the falls add up to first less last level, so one aggregate is enough and the history is never sorted. Only
+    keys with NULL levels, where the falls beside a gap do not count, are walked snapshot by snapshot.
+    """
+    keys = list(keys)
+    if not keys:
+        return daily_usage(history.withColumn("_all", F.lit(True)), ["_all"], date, quantity).drop("_all")
+    level = F.col(quantity)
+    steps = F.count(level) - 1
+    summed = history.groupBy(*keys).agg(
+        F.when(steps > 0, (F.min_by(level, date) - F.max_by(level, date)) / steps / 7).alias("_plain"),
+        F.max(date).alias("last_date"),
+        F.max_by(level, date).alias("last_level"),
+        (F.count(level) < F.count(F.lit(1))).alias("_gaps"),
     )
+    gapped = summed.filter("_gaps").select(*keys)
+    fall = F.lag(level).over(Window.partitionBy(*keys).orderBy(date)) - level
+    walked = history.join(gapped, keys, "left_semi").withColumn("_fall", fall)
+    walked = walked.groupBy(*keys).agg((F.avg("_fall") / 7).alias("_walked"))
+    usage = F.when(F.col("_gaps"), F.col("_walked")).otherwise(F.col("_plain"))
+    return summed.join(walked, keys, "left").select(*keys, usage.alias("daily_usage"), "last_date", "last_level")
 
 
 def project_inventory(history, keys, horizon=30, date="date", quantity="quantity_on_hand"):
@@ -36,8 +46,11 @@ def project_inventory(history, keys, horizon=30, date="date", quantity="quantity
 
 
 def _with_passes(levels, params, keys, n):
-    """Levels joined to their parameters, with order and arrival day of each reorder pass."""
-    frame = levels.join(params.select(*keys, "lead_time_days", "reorder_threshold", "reorder_quantity"), list(keys), "left")
+    """Levels joined to their parameters, with order and arrival day of each reorder pass. Without keys there is one item."""
+    joint = [*keys, "_all"]
+    one = F.lit(True).alias("_all")
+    given = params.select(*keys, "lead_time_days", "reorder_threshold", "reorder_quantity", one)
+    frame = levels.select("*", one).join(given, joint, "left")
     whole = Window.partitionBy(*keys)
     frame = frame.withColumn("_level", F.col("inventory_level"))
     for i in range(1, n + 1):

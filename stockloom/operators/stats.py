@@ -24,71 +24,67 @@ def mape(df, actual, predicted, keys=()):
     return df.groupBy(*keys).agg(F.when(whole, F.avg(term)).alias("mape"))
 
 
-def exact_quantile(df, value, q, keys=(), accuracy=10_000, rounds=1, out="quantile"):
+def exact_quantile(df, value, q, keys=(), accuracy=10_000, out="quantile"):
     """Exact quantile with linear interpolation per key, without collecting or sorting a whole key.
 
-    A mergeable sketch brackets the wanted ranks. Values below the bracket are only counted; those inside, about n * 4 /
-    accuracy, are counted per distinct value and ordered. The bracket is checked by counting: where it misses, the range
-    on the side that holds the rank is used instead, so the result is exact whatever the sketch returns.
+    A mergeable sketch brackets the wanted ranks. Rows below the bracket are only counted; those inside, about n * 4 /
+    accuracy, are counted per distinct value and ordered. Whether the bracket holds the ranks is checked by the counts: if it
+    does not, the range beyond it is taken in, so the result is exact whatever the sketch returns.
     """
     keys = list(keys)
-    base = df.select(*keys, null_nan(F.col(value)).alias("_x")).filter(F.col("_x").isNotNull())
-    sized = base.groupBy(*keys).agg(F.count("_x").alias("_n"))
+    x, rank_lo, rank_hi = F.col("_x"), F.col("_lo"), F.col("_hi")
+    rows = df.select(*keys, null_nan(F.col(value)).alias("_x")).filter(x.isNotNull())
+
+    margin = 2.0 / accuracy
+    ends = [max(0.0, q - margin), min(1.0, q + margin)]
     place = (F.col("_n") - 1) * F.lit(float(q))
-    state = sized.select(
-        *keys, place.alias("_place"), F.floor(place).alias("_lo"), F.ceil(place).alias("_hi"), F.lit(0).cast("long").alias("_skip")
+    sketch = rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", ends, accuracy).alias("_e"))
+    state = sketch.filter(F.col("_n") > 0).select(
+        *keys,
+        place.alias("_place"),
+        F.floor(place).alias("_lo"),
+        F.ceil(place).alias("_hi"),
+        F.col("_e")[0].alias("_b0"),
+        F.col("_e")[1].alias("_b1"),
+    )
+    below, above = x < F.col("_b0"), x > F.col("_b1")
+    counted = _attach(rows, state, keys).groupBy(*keys).agg(
+        F.count_if(below).alias("_below"),
+        F.count_if(~below & ~above).alias("_in"),
+        *[F.first(c).alias(c) for c in ("_place", "_lo", "_hi", "_b0", "_b1")],
+    )
+    fits_low = rank_lo >= F.col("_below")
+    fits_high = rank_hi < F.col("_below") + F.col("_in")
+    bracket = counted.select(
+        *keys,
+        "_place",
+        "_lo",
+        "_hi",
+        F.when(fits_low, F.col("_below")).otherwise(0).alias("_skip"),
+        F.when(fits_low, F.col("_b0")).otherwise(float("-inf")).alias("_from"),
+        F.when(fits_high, F.col("_b1")).otherwise(float("inf")).alias("_to"),
     )
-    rest = base
-    for _ in range(rounds):
-        rest, state = _narrow(rest, state, keys, q, accuracy)
-    counted = rest.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    inside = _attach(rows, bracket, keys).filter((x >= F.col("_from")) & (x <= F.col("_to")))
+    carried = ("_place", "_lo", "_hi", "_skip")
+    values = inside.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in carried])
     upto = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _attach(counted, state, keys).withColumn("_end", F.sum("_c").over(upto) + F.col("_skip"))
+    ranked = values.withColumn("_end", F.sum("_c").over(upto) + F.col("_skip"))
     first = F.col("_end") - F.col("_c")
 
     def at(rank):
-        return F.max(F.when((first <= F.col(rank)) & (F.col(rank) < F.col("_end")), F.col("_x")))
+        return F.max(F.when((first <= rank) & (rank < F.col("_end")), x))
 
-    share = F.max(F.col("_place") - F.col("_lo"))
-    low, high = at("_lo"), at("_hi")
+    share = F.max(F.col("_place") - rank_lo)
+    low, high = at(rank_lo), at(rank_hi)
     return ranked.groupBy(*keys).agg((low + (high - low) * share).alias(out))
 
 
 def _attach(frame, state, keys):
-    """Join per-key state. Without keys the state is a single row and comes in as scalar subqueries."""
+    """Join per-key state. Without keys the state is a single row, which comes in as one scalar subquery."""
     if keys:
         return frame.join(state, keys)
-    names = state.columns
-    return frame.withColumns({c: state.select(c).scalar() for c in names})
-
-
-def _narrow(rows, state, keys, q, accuracy):
-    """Rows that can hold the wanted ranks, and the state with the count of smaller rows added to `_skip`."""
-    margin = 2.0 / accuracy
-    ends = [max(0.0, q - margin), min(1.0, q + margin)]
-    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_x", ends, accuracy).alias("_e"))
-    bracket = sketch.select(*keys, F.col("_e")[0].alias("_b0"), F.col("_e")[1].alias("_b1"))
-    placed = _attach(rows, bracket, keys)
-    below, above = F.col("_x") < F.col("_b0"), F.col("_x") > F.col("_b1")
-    counts = placed.groupBy(*keys).agg(
-        F.count_if(below).alias("_below"), F.count_if(~below & ~above).alias("_in"), F.max("_b0").alias("_b0"), F.max("_b1").alias("_b1")
-    )
-    known = _attach(state, counts, keys) if keys else counts.withColumns({c: state.select(c).scalar() for c in state.columns})
-    # Ranks below the bracket mean the lower side is needed too, ranks above it the upper side.
-    fits_low = F.col("_lo") >= F.col("_skip") + F.col("_below")
-    fits_high = F.col("_hi") < F.col("_skip") + F.col("_below") + F.col("_in")
-    updated = known.select(
-        *keys,
-        "_place",
-        "_lo",
-        "_hi",
-        (F.col("_skip") + F.when(fits_low, F.col("_below")).otherwise(0)).alias("_skip"),
-        F.when(fits_low, F.col("_b0")).otherwise(F.lit(float("-inf"))).alias("_from"),
-        F.when(fits_high, F.col("_b1")).otherwise(F.lit(float("inf"))).alias("_to"),
-    )
-    inside = _attach(rows, updated.select(*keys, "_from", "_to"), keys)
-    inside = inside.filter((F.col("_x") >= F.col("_from")) & (F.col("_x") <= F.col("_to"))).select(*keys, "_x")
-    return inside, updated.drop("_from", "_to")
+    packed = state.select(F.struct(*state.columns).alias("_state"))
+    return frame.withColumn("_state", packed.scalar()).select(*frame.columns, "_state.*")
 
 
 def abs_error_quantile(df, actual, predicted, alpha=0.1, keys=()):

@@ -3,6 +3,7 @@
 A group is one regular weekly series, so it holds at most one row per calendar week. Spark spreads the groups.
 """
 
+import json
 from functools import reduce
 
 import numpy as np
@@ -11,8 +12,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stockloom.functions.records import to_number_or_zero
 from stockloom.operators.series import rank_metrics
 from stockloom.operators.stats import detect_periodicity, mape
+from stockloom.schemas import MODEL_SCHEMA
 
 # Seasonal lags in weeks offered by default.
 SEASONAL_LAGS = (1, 2, 3, 4, 13, 26, 52)
@@ -201,6 +204,48 @@ def seasonal_forecast(
     return wide.groupBy(*keys, "_lag").applyInPandas(fit_one, schema)
 
 
+def fit_models(df, keys, date="week_start", value="sales", lag=12, order=(1, 1, 1), seasonal=(1, 1, 1), trend="n"):
+    """One fitted model per key, ready for the model registry: start and end year of the data, the coefficients and the
+    complete model state as a blob that `forecast_model` continues from. Missing weeks and text that is no number count as 0.
+    """
+    if trend not in TRENDS:
+        raise ValueError(f"trend must be one of {list(TRENDS)}")
+    keys = list(keys)
+    schema = T.StructType(
+        [
+            *[df.schema[k] for k in keys],
+            *[f for f in MODEL_SCHEMA.fields if f.name != "created_at"],
+        ]
+    )
+
+    def fit_one(group_keys, pdf):
+        pdf = pdf.sort_values(date)
+        years = pd.to_datetime(pdf[date]).dt.year
+        model = _SeasonalFit(pdf[value].to_numpy(dtype=float), order, seasonal, lag, trend)
+        out = dict(zip(keys, group_keys))
+        out.update(start_year=int(years.min()), end_year=int(years.max()), params=None, model_blob=None)
+        if model.usable():
+            model.fit()
+            ar, sar, ma, sma = model._split(model.x)
+            named = {"ar": ar, "seasonal_ar": sar, "ma": ma, "seasonal_ma": sma, "trend": model.beta}
+            out["params"] = {f"{k}{i}": float(c) for k, v in named.items() for i, c in enumerate(v, 1)}
+            state = {"y": model.y.tolist(), "x": model.x.tolist(), "order": order, "seasonal": seasonal, "lag": lag}
+            out["model_blob"] = json.dumps({**state, "trend": trend}).encode()
+        return pd.DataFrame([out], columns=schema.names)
+
+    clean = df.select(*keys, date, to_number_or_zero(F.col(value)).alias(value))
+    return clean.groupBy(*keys).applyInPandas(fit_one, schema)
+
+
+def forecast_model(blob, horizon=12):
+    """Continue the series of a stored model; one number per week."""
+    state = json.loads(blob)
+    model = _SeasonalFit(np.array(state["y"]), state["order"], state["seasonal"], state["lag"], state["trend"])
+    model.x = np.array(state["x"])
+    model.e, model.beta = model._residuals(model.x)
+    return model.forecast(horizon)
+
+
 def _smooth(y, period, alpha, beta, gamma, horizon):
     """Additive Holt-Winters for a vector of parameter sets: squared error and forecasts of each."""
     m = period or 1

@@ -140,7 +140,8 @@ def _inflate(blobs: pd.Series) -> pd.Series:
 
 
 def save_models(models, path):
-    """Store models (start_year, end_year, params, model_blob), one per start year; a later one replaces it.
+    """Store models (start_year, end_year, params, model_blob), and keys if there are any. Saving a start year again replaces
+    what was stored for it.
 
     Fitted parameters stay readable beside the blob, which is compressed.
     """

@@ -3,7 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from stockloom.session import local_session
 
@@ -14,3 +15,9 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture()
+def frame(spark):
+    """Build a DataFrame from rows and a DDL schema."""
+    return lambda rows, schema: spark.createDataFrame(rows, schema)

@@ -1,0 +1,71 @@
+import pytest
+from pyspark.sql import functions as F
+
+from stockloom.schemas import DETECTION_SCHEMA
+from stockloom.session import fresh_folder
+from stockloom.sources.tables import append_routed, read_routed
+from stockloom.streaming import detections
+
+
+def messages(spark, path, rows):
+    df = spark.createDataFrame(rows, "timestamp string, class string, confidence double, source string, table string")
+    df.coalesce(1).write.mode("append").json(path)
+
+
+@pytest.fixture()
+def folder(spark):
+    return fresh_folder(spark, "stream")
+
+
+def run(query):
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+def test_ingest_goes_on_after_a_restart(spark, folder):
+    source = {"format": "json", "path": f"{folder}/in", "maxFilesPerTrigger": 1}
+
+    def ingest():
+        stream = detections.read_detections(spark, source)
+        run(detections.ingest_detections(stream, f"{folder}/out", f"{folder}/ckpt", available_now=True))
+
+    messages(spark, f"{folder}/in", [("2024-01-01T00:00:00", "can", 0.9, "cam1", "shelf"), (None, "jar", 0.5, None, None)])
+    ingest()
+    messages(spark, f"{folder}/in", [("2024-01-01T00:00:09", "can", 0.8, "cam2", "shelf")])
+    ingest()
+    ingest()
+    rows = read_routed(spark, f"{folder}/out").collect()
+    assert sorted((r.table, r["class"], r.source) for r in rows) == [("default", "jar", "unknown"), ("shelf", "can", "cam1"), ("shelf", "can", "cam2")]
+    assert all(r.timestamp for r in rows)
+
+
+def test_replayed_batch_adds_nothing(spark, folder, frame):
+    batch = frame([("shelf", 1), ("shelf", 2)], "table string, n int")
+    append_routed(batch, folder, batch_id=7)
+    append_routed(batch, folder, batch_id=7)
+    assert read_routed(spark, folder).count() == 2
+
+
+def test_state_is_by_arrival_not_by_time(spark, folder):
+    schema = "arrival long, timestamp string, class string, source string"
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{folder}/in")
+        stream = detections.read_detections(spark, {"format": "json", "path": f"{folder}/in"}, schema)
+        run(detections.store_state(detections.track_classes(stream), f"{folder}/state", f"{folder}/ckpt", available_now=True))
+        return {r["class"]: (r["count"], r.last_seen, r.source) for r in detections.read_state(spark, f"{folder}/state").collect()}
+
+    assert feed([(1, "2024-05-01", "can", "a"), (2, "2024-01-01", "can", None), (3, "2024-01-01", "jar", "b")]) == {
+        "can": (2, "2024-01-01", "unknown"),
+        "jar": (1, "2024-01-01", "b"),
+    }
+    assert feed([(4, "2023-01-01", "can", "z")])["can"] == (3, "2023-01-01", "z")
+
+
+def test_detection_json_round_trip(frame):
+    df = frame([("t", "can", 0.25, "cam", None), ("t", "jar", 0.2, "cam", None)], DETECTION_SCHEMA)
+    sent = detections.detections_to_json(df)
+    assert [r.value for r in sent.collect()] == ['{"timestamp":"t","class":"can","confidence":0.25,"source":"cam"}']
+    assert [r["class"] for r in detections.detections_from_json(sent).collect()] == ["can"]
+    bad = frame([("no json",)], "value string")
+    assert detections.detections_from_json(bad).filter(F.col("class").isNull()).count() == 1
