@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 def daily_usage(history, keys, date="date", quantity="quantity_on_hand"):
     """Mean fall of the level from one snapshot to the next, divided by 7, with the last date and level of each key.
 
-    Without gaps the falls add up to first less last level, so one aggregate is enough and the history is never sorted. Only
-    keys with NULL levels, where the falls beside a gap do not count, are walked snapshot by snapshot.
+    Without gaps the falls add up to first less last level, so one aggregate is enough and the history is neither shuffled
+    nor sorted. Only keys with NULL levels, where the falls beside a gap do not count, are walked snapshot by snapshot; if no
+    level is NULL, the scalar subquery stops every row before that step.
     """
     keys = list(keys)
     if not keys:
@@ -23,7 +24,8 @@ def daily_usage(history, keys, date="date", quantity="quantity_on_hand"):
     )
     gapped = summed.filter("_gaps").select(*keys)
     fall = F.lag(level).over(Window.partitionBy(*keys).orderBy(date)) - level
-    walked = history.join(gapped, keys, "left_semi").withColumn("_fall", fall)
+    any_gap = history.agg(F.coalesce(F.bool_or(level.isNull()), F.lit(False)).alias("gap"))
+    walked = history.filter(any_gap.scalar()).join(gapped, keys, "left_semi").withColumn("_fall", fall)
     walked = walked.groupBy(*keys).agg((F.avg("_fall") / 7).alias("_walked"))
     usage = F.when(F.col("_gaps"), F.col("_walked")).otherwise(F.col("_plain"))
     return summed.join(walked, keys, "left").select(*keys, usage.alias("daily_usage"), "last_date", "last_level")

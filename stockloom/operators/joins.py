@@ -34,46 +34,50 @@ def near_locations(points, known, eps=1e-4, lat="latitude", lon="longitude", id_
 
     Both sides are put on a grid a hair wider than eps, so a match lies in the 3 x 3 cells around the point. The known
     side is collapsed to one row per cell with the `keep` lowest ids of each of those nine cells, and the join adds one
-    row per point, never all pairs of a crowded cell. Only where a cell holds more locations and one of those cut off
-    could still win are the points joined again, to every known location around them.
+    row per point, never all pairs of a crowded cell. Only points whose match could be a location cut off from a list are
+    joined again, to every location around them; without crowded cells no point is read into that second join.
     """
     side = eps * 1.000001
-    spot = F.struct(F.col(id_col).alias("id"), F.col("name"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    plat, plon = F.col(lat), F.col(lon)
+    cell = ["_cy", "_cx"]
+    spot = F.struct(F.col(id_col).alias("id"), F.col("name"), plat.alias("lat"), plon.alias("lon"))
     # Of known locations on the very same spot only the least id can win.
     places = known.groupBy(lat, lon).agg(F.min(F.struct(F.col(id_col), F.col("name"))).alias("_p"))
-    places = places.select(lat, lon, F.col(f"_p.{id_col}").alias(id_col), "_p.name", *_cells(F.col(lat), F.col(lon), side))
+    places = places.select(lat, lon, F.col(f"_p.{id_col}").alias(id_col), "_p.name", *_cells(plat, plon, side))
 
     def around(frame):
         shift = F.array(*[F.lit(d) for d in (-1, 0, 1)])
         wide = frame.withColumn("_dy", F.explode(shift)).withColumn("_dx", F.explode(shift))
         return wide.withColumns({"_cy": F.col("_cy") + F.col("_dy"), "_cx": F.col("_cx") + F.col("_dx")}).drop("_dy", "_dx")
 
-    in_cell = Window.partitionBy("_cy", "_cx").orderBy(id_col)
+    def is_close(place):
+        return (F.abs(place["lat"] - plat) < eps) & (F.abs(place["lon"] - plon) < eps)
+
+    in_cell = Window.partitionBy(*cell).orderBy(id_col)
     lowest = places.withColumn("_rn", F.row_number().over(in_cell)).filter(F.col("_rn") <= keep + 1)
-    cell = lowest.groupBy("_cy", "_cx").agg(
+    short = lowest.groupBy(*cell).agg(
         F.array_agg(F.when(F.col("_rn") <= keep, spot)).alias("_near"),
         F.min(F.when(F.col("_rn") > keep, F.col(id_col))).alias("_cut"),
     )
-    hood = around(cell).groupBy("_cy", "_cx").agg(
-        F.flatten(F.array_agg("_near")).alias("_near"), F.min("_cut").alias("_cut")
-    )
+    hood = around(short).groupBy(*cell).agg(F.flatten(F.array_agg("_near")).alias("_near"), F.min("_cut").alias("_cut"))
+    open_end = F.col("_cut").isNotNull() & (F.col("_best").isNull() | (F.col("_cut") < F.col("_best.id")))
+
+    def looked_up(frame):
+        found = frame.join(hood, cell, "left").withColumn("_best", F.array_min(F.filter("_near", is_close)))
+        return found.withColumn("_open", open_end).drop("_near", "_cut")
 
-    plat, plon = F.col(lat), F.col(lon)
-    close = F.filter("_near", lambda s: (F.abs(s["lat"] - plat) < eps) & (F.abs(s["lon"] - plon) < eps))
     placed = points.select("*", *_cells(plat, plon, side))
-    first = placed.join(hood, ["_cy", "_cx"], "left").withColumn("_best", F.array_min(close))
-    open_cell = F.col("_cut").isNotNull() & (F.col("_best").isNull() | (F.col("_cut") < F.col("_best.id")))
-    first = first.withColumn("_open", open_cell).drop("_near", "_cut")
-
-    rest = first.filter("_open").select("_cy", "_cx", lat, lon).distinct()
-    every = around(places).select("_cy", "_cx", spot.alias("_s"))
-    inside = (F.abs(F.col("_s.lat") - plat) < eps) & (F.abs(F.col("_s.lon") - plon) < eps)
-    second = rest.join(every, ["_cy", "_cx"]).filter(inside).groupBy(lat, lon).agg(F.min("_s").alias("_second"))
-    both = first.join(second, [lat, lon], "left")
-    best = F.when(F.col("_open"), F.col("_second")).otherwise(F.col("_best"))
-    return both.withColumn("_b", best).select(
-        *[F.col(c) for c in points.columns], F.col("_b.id").alias("match_id"), F.col("_b.name").alias("match_name")
-    )
+    done = looked_up(placed).filter(~F.col("_open"))
+
+    crowded = short.agg(F.coalesce(F.bool_or(F.col("_cut").isNotNull()), F.lit(False)).alias("crowded"))
+    again = looked_up(placed.filter(crowded.scalar())).filter("_open").drop("_best")
+    every = around(places).select(*cell, spot.alias("_s"))
+    pairs = again.select(*cell, lat, lon).distinct().join(every, cell).filter(is_close(F.col("_s")))
+    second = pairs.groupBy(lat, lon).agg(F.min("_s").alias("_best"))
+    rest = again.join(second, [lat, lon], "left")
+
+    columns = [*[F.col(c) for c in points.columns], F.col("_best.id").alias("match_id"), F.col("_best.name").alias("match_name")]
+    return done.select(*columns).unionByName(rest.select(*columns))
 
 
 def add_new_locations(known, points, eps=1e-4, lat="latitude", lon="longitude", id_col="id"):

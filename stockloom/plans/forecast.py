@@ -37,11 +37,12 @@ def _inverse_filter(u, coefs, step):
         return u
     n = u.shape[-1]
     response = np.zeros(n)
-    response[0] = 1.0
-    for t in range(step, n, step):
-        for i, c in enumerate(coefs, 1):
-            if t - i * step >= 0:
-                response[t] -= c * response[t - i * step]
+    if len(coefs) == 1:
+        response[::step] = (-coefs[0]) ** np.arange(len(response[::step]))
+    else:
+        response[0] = 1.0
+        for t in range(step, n, step):
+            response[t] = -sum(c * response[t - i * step] for i, c in enumerate(coefs, 1) if t >= i * step)
     return np.array([np.convolve(row, response)[:n] for row in np.atleast_2d(u)])
 
 
