@@ -79,5 +79,12 @@ def time_split(df, order, frac=0.2, keys=(), mode="by_key"):
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     ends = running_total(counts, keys, "_c", "_end").withColumn("_n", n.scalar())
-    placed = df.join(ends, keys).withColumn("_pos", F.col("_end") - F.col("_c") + F.row_number().over(ranked))
-    return placed.withColumn("split", label).drop("_pos", "_n", "_c", "_end")
+    ends = ends.withColumn("_cut", F.col("_n") - F.ceil(F.col("_n") * F.lit(frac))).withColumn("_start", F.col("_end") - F.col("_c"))
+    whole = F.when(F.col("_end") <= F.col("_cut"), "train").when(F.col("_start") >= F.col("_cut"), "test")
+    marked = df.join(ends.select(*keys, "_start", "_cut", whole.alias("split")), keys)
+    settled = marked.filter(F.col("split").isNotNull())
+    position = F.col("_start") + F.row_number().over(ranked)
+    border = marked.filter(F.col("split").isNull()).withColumn("_pos", position)
+    border = border.withColumn("split", F.when(F.col("_pos") <= F.col("_cut"), "train").otherwise("test"))
+    columns = [*df.columns, "split"]
+    return settled.select(*columns).unionByName(border.select(*columns))

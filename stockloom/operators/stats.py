@@ -9,6 +9,7 @@ from stockloom.functions.records import null_nan
 
 # Fixed value: smallest denominator of the relative error, the double machine epsilon.
 MAPE_FLOOR = 2.220446049250313e-16
+STRIPS = 1024
 
 
 def rmse(df, actual, predicted, keys=()):
@@ -28,7 +29,7 @@ def exact_quantile(df, value, q, keys=(), accuracy=10_000, out="quantile"):
     """Exact quantile with linear interpolation per key, without collecting or sorting a whole key.
 
     A mergeable sketch brackets the wanted ranks. Rows below the bracket are only counted; those inside, about n * 4 /
-    accuracy, are counted per distinct value and ordered. Whether the bracket holds the ranks is checked by the counts: if it
+    accuracy, are counted per distinct value, and of those only a strip around each rank is ordered. Whether the bracket holds the ranks is checked by the counts: if it
     does not, the range beyond it is taken in, so the result is exact whatever the sketch returns.
     """
     keys = list(keys)
@@ -60,15 +61,28 @@ def exact_quantile(df, value, q, keys=(), accuracy=10_000, out="quantile"):
         "_place",
         "_lo",
         "_hi",
+        "_b0",
+        "_b1",
         F.when(fits_low, F.col("_below")).otherwise(0).alias("_skip"),
         F.when(fits_low, F.col("_b0")).otherwise(float("-inf")).alias("_from"),
         F.when(fits_high, F.col("_b1")).otherwise(float("inf")).alias("_to"),
     )
     inside = _attach(rows, bracket, keys).filter((x >= F.col("_from")) & (x <= F.col("_to")))
-    carried = ("_place", "_lo", "_hi", "_skip")
+    carried = ("_place", "_lo", "_hi", "_skip", "_b0", "_b1")
     values = inside.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in carried])
-    upto = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("_end", F.sum("_c").over(upto) + F.col("_skip"))
+
+    # Cut the bracket into strips of equal width. Their counts say which strips hold the ranks; only those are ordered.
+    share_of_width = F.try_divide(x - F.col("_b0"), F.col("_b1") - F.col("_b0"))
+    strip = F.when(below, -1).when(above, STRIPS).otherwise(F.coalesce(F.floor(share_of_width * (STRIPS - 1)), F.lit(0)))
+    values = values.withColumn("_strip", strip.cast("int"))
+    before = Window.partitionBy(*keys).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    strips = values.groupBy(*keys, "_strip").agg(F.sum("_c").alias("_rows"), *[F.first(c).alias(c) for c in carried[:4]])
+    strips = strips.withColumn("_start", F.col("_skip") + F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    wanted = strips.filter((F.col("_start") <= rank_hi) & (rank_lo < F.col("_start") + F.col("_rows")))
+    kept = values.select(*keys, "_x", "_c", "_strip").join(wanted.drop("_skip", "_rows"), [*keys, "_strip"])
+
+    upto = Window.partitionBy(*keys, "_strip").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = kept.withColumn("_end", F.sum("_c").over(upto) + F.col("_start"))
     first = F.col("_end") - F.col("_c")
 
     def at(rank):

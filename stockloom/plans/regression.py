@@ -9,6 +9,7 @@ from stockloom.operators.series import lag_features
 from stockloom.operators.split import split_frames
 from stockloom.operators.stats import conformal_intervals
 from stockloom.session import shared_folder
+from stockloom.sources.files import write_csv
 
 TIME_FEATURES = ["weekofyear", "month", "dayofweek", "year"]
 
@@ -64,3 +65,12 @@ def regress_with_intervals(df, features, target, row_keys, alpha=0.1, test=0.2,
     calibration, tested = scored("cal"), scored("test")
     residuals = calibration.withColumn("residual", F.abs(F.col("actual") - F.col("predicted")))
     return model, conformal_intervals(calibration, tested, alpha=alpha), residuals
+
+
+def write_results(path, tested, residuals, importances):
+    """CSV folders below `path`: predictions with intervals, raw predictions, calibration residuals, feature importances."""
+    bare = [c for c in tested.columns if c not in ("actual", "lower", "upper")]
+    write_csv(tested, f"{path}/predictions_with_intervals")
+    write_csv(tested.select(*bare), f"{path}/raw_predictions")
+    write_csv(residuals.drop("actual", "predicted"), f"{path}/calibration_residuals")
+    write_csv(importances, f"{path}/feature_importances")

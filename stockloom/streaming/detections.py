@@ -7,18 +7,21 @@ from stockloom.operators.aggregate import detection_summary
 from stockloom.schemas import DETECTION_SCHEMA
 from stockloom.sources.tables import append_routed
 
+KAFKA_DEFAULTS = {"startingOffsets": "latest", "minOffsetsPerTrigger": "100", "maxTriggerDelay": "10s"}
+
 
 def read_detections(spark, source, schema=DETECTION_SCHEMA):
     """Detection stream. `source` is a dict of reader options with `format`.
 
-    Kafka delivers JSON values, which are parsed; `arrival` is then the offset. File formats deliver the columns of the
-    schema; `path` names the folder.
+    Kafka delivers JSON values, which are parsed; `arrival` is then the offset. Unless told otherwise it starts at the latest
+    offset, and a micro-batch waits for 100 messages or 10 seconds, whichever comes first. File formats deliver the columns
+    of the schema; `path` names the folder.
     """
     options = dict(source)
     fmt = options.pop("format")
     reader = spark.readStream.format(fmt)
     if fmt == "kafka":
-        raw = reader.options(**{"startingOffsets": "latest", **options}).load()
+        raw = reader.options(**{**KAFKA_DEFAULTS, **options}).load()
         parsed = F.from_json(F.col("value").cast("string"), schema).alias("_d")
         return raw.select(parsed, F.col("offset").alias("arrival")).select("_d.*", "arrival")
     return reader.schema(schema).options(**options).load()
@@ -34,6 +37,15 @@ def detections_from_json(df, schema=DETECTION_SCHEMA):
     return df.select(F.from_json(F.col("value").cast("string"), schema).alias("_d")).select("_d.*")
 
 
+def send_detections(df, sink, checkpoint, conf=0.25, available_now=False):
+    """Start a query that sends detections as JSON values. `sink` is a dict of writer options with `format`, such as kafka with
+    topic and servers."""
+    options = dict(sink)
+    writer = detections_to_json(df, conf).writeStream.format(options.pop("format")).options(**options)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def ingest_detections(stream, target, checkpoint, interval="10 seconds", available_now=False):
     """Start a query that appends every micro-batch to the tables named by its `table` column.
 

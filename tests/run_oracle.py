@@ -28,9 +28,10 @@ def main():
                 print(f"{name}: {took:.1f}s {mine.num_rows} rows, no SQL", flush=True)
                 continue
             start = time.time()
-            theirs = con.execute(oracles[name]).to_arrow_table()
+            theirs = con.sql(oracles[name]).to_arrow_table()
+            sql_took = time.time() - start
             problem = compare(mine, theirs)
-            print(f"{name}: {took:.1f}s/{time.time() - start:.1f}s {mine.num_rows} rows {problem or 'equal'}", flush=True)
+            print(f"{name}: {took:.1f}s/{sql_took:.2f}s {mine.num_rows} rows {problem or 'equal'}", flush=True)
             bad += problem is not None
         except Exception as error:
             bad += 1

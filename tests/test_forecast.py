@@ -1,3 +1,4 @@
+import os
 from datetime import date, timedelta
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockloom.operators import stats
 from stockloom.plans import forecast, labelling, regression
+from stockloom.session import fresh_folder
 
 MONDAY = date(2020, 1, 6)
 
@@ -98,11 +100,16 @@ def test_boosted_trees_beat_the_mean(spark):
     error = stats.rmse(tested, "actual", "predicted").first().rmse
     spread = tested.agg(F.stddev_pop("actual")).first()[0]
     assert error < spread / 3
-    assert tested.filter("a is null").count() == 0 if "a" in tested.columns else True
     n = 1200 - 24
     assert tested.count() == -(-n // 5) and residuals.filter("residual < 0").count() == 0
     names = [r.feature for r in regression.feature_importances(spark, model, ["a", "b"]).collect()]
     assert names == ["a", "b"]
+    folder = fresh_folder(spark, "results")
+    regression.write_results(folder, tested, residuals, regression.feature_importances(spark, model, ["a", "b"]))
+    back = {name: spark.read.option("header", True).csv(f"{folder}/{name}") for name in os.listdir(folder)}
+    assert set(back["predictions_with_intervals"].columns) == {"id", "actual", "predicted", "lower", "upper"}
+    assert set(back["raw_predictions"].columns) == {"id", "predicted"} and back["raw_predictions"].count() == tested.count()
+    assert set(back["calibration_residuals"].columns) == {"id", "residual"} and back["feature_importances"].count() == 2
 
 
 def test_labelling(frame):

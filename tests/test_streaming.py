@@ -69,3 +69,12 @@ def test_detection_json_round_trip(frame):
     assert [r["class"] for r in detections.detections_from_json(sent).collect()] == ["can"]
     bad = frame([("no json",)], "value string")
     assert detections.detections_from_json(bad).filter(F.col("class").isNull()).count() == 1
+
+
+def test_detections_are_sent_and_read_back(spark, folder):
+    rows = [("t1", "can", 0.9, "cam", None), ("t2", "jar", 0.1, "cam", None)]
+    messages(spark, f"{folder}/in", rows)
+    stream = detections.read_detections(spark, {"format": "json", "path": f"{folder}/in"})
+    run(detections.send_detections(stream, {"format": "text", "path": f"{folder}/topic"}, f"{folder}/ckpt", available_now=True))
+    sent = spark.read.text(f"{folder}/topic")
+    assert [(r["class"], r.confidence) for r in detections.detections_from_json(sent).collect()] == [("can", 0.9)]
