@@ -67,7 +67,7 @@ def stock_history(spark, sf_dir):
     return weeks.select(
         F.col("l_partkey").alias("item_id"),
         F.col("week_start").alias("date"),
-        (F.lit(10000) - F.sum("qty").over(window)).alias("quantity_on_hand"),
+        (F.lit(10000) - F.coalesce(F.sum("qty").over(window), F.lit(0))).alias("quantity_on_hand"),
     )
 
 

@@ -149,8 +149,8 @@ DICTIONARY = ["total_sales", "revenue", "product", "region", "customer_id", "ord
 
 
 def words(spark, d):
-    found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
-    return table(spark, d, "documents").select(F.explode(found).alias("token"))
+    found = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
+    return table(spark, d, "documents").select(F.explode(found).alias("token")).filter(F.col("token") != "")
 
 
 @query(

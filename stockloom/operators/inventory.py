@@ -9,7 +9,7 @@ def daily_usage(history, keys, date="date", quantity="quantity_on_hand"):
 
     Without gaps the falls add up to first less last level, so one aggregate is enough and the history is neither shuffled
     nor sorted. Only keys with NULL levels, where the falls beside a gap do not count, are walked snapshot by snapshot; if no
-    level is NULL, the scalar subquery stops every row before that step.
+    level is NULL, the scalar subquery stops every row before that step, and if the schema rules NULL out it is not planned.
     """
     keys = list(keys)
     if not keys:
@@ -22,6 +22,8 @@ def daily_usage(history, keys, date="date", quantity="quantity_on_hand"):
         F.max_by(level, date).alias("last_level"),
         (F.count(level) < F.count(F.lit(1))).alias("_gaps"),
     )
+    if not history.schema[quantity].nullable:
+        return summed.select(*keys, F.col("_plain").alias("daily_usage"), "last_date", "last_level")
     gapped = summed.filter("_gaps").select(*keys)
     fall = F.lag(level).over(Window.partitionBy(*keys).orderBy(date)) - level
     any_gap = history.agg(F.coalesce(F.bool_or(level.isNull()), F.lit(False)).alias("gap"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stockloom.functions.dates import monday
 
 MAX_DICTIONARY = 10_000
+UNROLLED = 64
 
 
 def items_to_label(sales, dim, key, label, columns, limit=None):
@@ -99,15 +100,18 @@ def fuzzy_match(tokens, dictionary, cutoff=0.6, token="token", method="ratio"):
         raise ValueError(f"dictionary has {len(words)} words, more than {MAX_DICTIONARY}")
     distinct = tokens.select(token).filter(F.col(token).isNotNull()).distinct()
     if method == "levenshtein":
-        listed = F.array(*[F.lit(w) for w in words])
         t = F.col(token)
 
         def scored(word):
             longer = F.greatest(F.length(t), F.length(word))
             return F.struct((1 - F.levenshtein(t, word) / longer).alias("score"), word.alias("word"))
 
-        best = F.array_max(F.filter(F.transform(listed, scored), lambda s: s["score"] >= cutoff))
-        return distinct.withColumn("match", best["word"])
+        if 1 < len(words) <= UNROLLED:
+            best = F.greatest(*[scored(F.lit(w)) for w in words])
+        else:
+            best = F.array_max(F.transform(F.array(*[F.lit(w) for w in words]), scored))
+        found = distinct.withColumn("_best", best)
+        return found.select(token, F.when(F.col("_best.score") >= cutoff, F.col("_best.word")).alias("match"))
     if method != "ratio":
         raise ValueError("method must be ratio or levenshtein")
 

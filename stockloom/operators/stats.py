@@ -1,7 +1,5 @@
 """Errors, exact quantiles and autocorrelation per key."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -114,26 +112,40 @@ def conformal_intervals(cal, test, actual="actual", predicted="predicted", alpha
     return with_q.withColumns({"lower": F.col(predicted) - F.col("q"), "upper": F.col(predicted) + F.col("q")}).drop("q")
 
 
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _let(value, body):
+    """Evaluate a value once and use it in an expression as often as needed."""
+    return F.transform(F.array(value), body)[0]
+
+
 def acf_arrays(df, keys, order, value, max_lag=52):
     """Per key the number of values and the array of autocorrelations for lag 0..max_lag, at most n - 1.
 
-    Lag columns over one window and one aggregate; the divisor is the sum of squares of the whole series. The input has
-    one row per period, so a window holds at most the periods of the calendar.
+    The series of a key becomes one sorted array: the input has one row per period, so that is at most the number of periods
+    in the calendar. The divisor is the sum of squares of the whole series.
     """
-    keys = list(keys)
-    whole = Window.partitionBy(*keys)
-    window = whole.orderBy(order)
-    clean = df.select(*keys, order, null_nan(F.col(value)).alias("_v")).filter(F.col("_v").isNotNull())
-    centred = clean.withColumn("_x", F.col("_v") - F.avg("_v").over(whole))
-    lagged = centred.withColumns({f"_l{k}": F.lag("_x", k).over(window) for k in range(1, max_lag + 1)})
-    sums = [F.sum(F.col("_x") * F.col(f"_l{k}")) for k in range(1, max_lag + 1)]
-    square = F.sum(F.col("_x") * F.col("_x"))
-    agg = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), square.alias("_ss"), F.array(square, *sums).alias("_s"))
-    ratio = F.transform(
-        F.slice("_s", F.lit(1), F.least(F.col("n"), F.lit(max_lag + 1)).cast("int")),
-        lambda s: F.when(F.col("_ss") > 0, s / F.col("_ss")),
-    )
-    return agg.select(*keys, "n", ratio.alias("r"))
+    pair = F.struct(F.col(order).alias("at"), null_nan(F.col(value)).alias("v"))
+    clean = df.select(*keys, pair.alias("_p")).filter(F.col("_p.v").isNotNull())
+
+    def centred(pairs):
+        mean = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + p["v"]) / F.size(pairs)
+        return _let(mean, lambda m: F.transform(pairs, lambda p: p["v"] - m))
+
+    def correlations(x):
+        lags = F.sequence(F.lit(0), F.least(F.lit(max_lag), F.size(x) - 1))
+
+        def at(k, square):
+            shifted = _dot(F.slice(x, F.lit(1), F.size(x) - k), F.slice(x, k + 1, F.size(x) - k))
+            return F.when(square > 0, shifted / square)
+
+        return _let(_dot(x, x), lambda square: F.transform(lags, lambda k: at(k, square)))
+
+    series = clean.groupBy(*keys).agg(F.array_sort(F.collect_list("_p")).alias("_p")).filter(F.size("_p") > 0)
+    r = _let(F.col("_p"), lambda pairs: _let(centred(pairs), correlations))
+    return series.select(*keys, F.size("_p").alias("n"), r.alias("r"))
 
 
 def acf(df, keys, order, value, max_lag=52):
@@ -142,30 +154,33 @@ def acf(df, keys, order, value, max_lag=52):
     return arrays.select(*keys, F.posexplode("r").alias("lag", "acf"))
 
 
-def _durbin_levinson(r):
-    """Partial autocorrelations from autocorrelations, lag 0 being 1."""
-    r = np.asarray(r, dtype=float)
-    out, phi, error = [1.0], np.zeros(0), 1.0
-    for k in range(1, len(r)):
-        if error <= 0:
-            out.append(np.nan)
-            continue
-        reflection = (r[k] - phi @ r[k - 1 : 0 : -1]) / error if k > 1 else r[1]
-        phi = np.append(phi - reflection * phi[::-1], reflection)
-        error *= 1 - reflection**2
-        out.append(reflection)
-    return out
+def _partials(r, max_lag):
+    """Partial autocorrelations from autocorrelations: each lag adds one coefficient and reflects those before it."""
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("phi"), F.lit(1.0).alias("error"), F.slice(r, 1, 1).alias("out"))
 
+    def step(acc, k):
+        gap = F.element_at(r, k + 1) - _dot(acc["phi"], F.reverse(F.slice(r, F.lit(2), k - 1)))
 
-def pacf(df, keys, order, value, max_lag=52):
-    """Partial autocorrelation (Yule-Walker on the unadjusted autocorrelations) per lag."""
+        def grown(a):
+            mirrored = F.zip_with(acc["phi"], F.reverse(acc["phi"]), lambda p, q: p - a * q)
+            return F.struct(
+                F.array_append(mirrored, a).alias("phi"),
+                (acc["error"] * (1 - a * a)).alias("error"),
+                F.array_append(acc["out"], a).alias("out"),
+            )
 
-    @F.pandas_udf("array<double>")
-    def partial(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None or v != v for v in r) else _durbin_levinson(r) for r in rows])
+        return _let(F.when(acc["error"] > 0, gap / acc["error"]), grown)
 
-    arrays = acf_arrays(df, keys, order, value, max_lag).withColumn("_p", partial("r"))
-    return arrays.select(*keys, F.posexplode("_p").alias("lag", "pacf")).withColumn("pacf", null_nan(F.col("pacf")))
+    lags = F.slice(F.sequence(F.lit(1), F.lit(max_lag)), F.lit(1), F.size(r) - 1)
+    return F.aggregate(lags, start, step, lambda acc: acc["out"])
+
+
+def pacf(df, keys, order, value, max_lag=52):
+    """Partial autocorrelation (Yule-Walker on the unadjusted autocorrelations) per lag."""
+    arrays = acf_arrays(df, keys, order, value, max_lag)
+    partial = _let(F.col("r"), lambda r: _partials(r, max_lag))
+    return arrays.select(*keys, F.posexplode(partial).alias("lag", "pacf"))
 
 
 def detect_periodicity(df, keys, order, value, max_lag=52):
@@ -175,7 +190,5 @@ def detect_periodicity(df, keys, order, value, max_lag=52):
         F.transform("r", lambda x, i: F.struct(F.abs(x).alias("size"), (-i).alias("neg"), x.alias("strength"))),
         lambda s: (s["neg"] < 0) & s["size"].isNotNull(),
     )
-    best = F.array_max(lags)
-    return arrays.withColumn("_b", best).select(
-        *keys, "n", (-F.col("_b.neg")).alias("period_weeks"), F.col("_b.strength").alias("periodicity_strength")
-    )
+    found = _let(F.array_max(lags), lambda b: F.struct((-b["neg"]).alias("period_weeks"), b["strength"].alias("periodicity_strength")))
+    return arrays.select(*keys, "n", F.inline(F.array(found)))

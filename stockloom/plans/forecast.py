@@ -150,8 +150,26 @@ def _fill_gaps(y):
     return y, int(missing.sum())
 
 
+def _spread(df, columns, parallelism):
+    """One hash partitioning by the group columns with a fixed number of partitions.
+
+    Model fits cost much time on few bytes, so the partitions must not be merged by size.
+    """
+    n = parallelism or 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *columns) if columns else df.repartition(1)
+
+
 def seasonal_forecast(
-    df, keys, date="week_start", value="sales", lags=SEASONAL_LAGS, horizon=12, order=(1, 1, 1), seasonal=(1, 1, 1), trend="n"
+    df,
+    keys,
+    date="week_start",
+    value="sales",
+    lags=SEASONAL_LAGS,
+    horizon=12,
+    order=(1, 1, 1),
+    seasonal=(1, 1, 1),
+    trend="n",
+    parallelism=None,
 ):
     """Forecast of the next `horizon` weeks per key and seasonal lag.
 
@@ -202,10 +220,10 @@ def seasonal_forecast(
 
     each = F.explode(F.array(*[F.lit(k) for k in lags])).alias("_lag")
     wide = df.select(*keys, date, F.col(value).cast("double").alias(value), each)
-    return wide.groupBy(*keys, "_lag").applyInPandas(fit_one, schema)
+    return _spread(wide, [*keys, "_lag"], parallelism).groupBy(*keys, "_lag").applyInPandas(fit_one, schema)
 
 
-def fit_models(df, keys, date="week_start", value="sales", lag=12, order=(1, 1, 1), seasonal=(1, 1, 1), trend="n"):
+def fit_models(df, keys, date="week_start", value="sales", lag=12, order=(1, 1, 1), seasonal=(1, 1, 1), trend="n", parallelism=None):
     """One fitted model per key, ready for the model registry: start and end year of the data, the coefficients and the
     complete model state as a blob that `forecast_model` continues from. Missing weeks and text that is no number count as 0.
     """
@@ -235,7 +253,7 @@ def fit_models(df, keys, date="week_start", value="sales", lag=12, order=(1, 1,
         return pd.DataFrame([out], columns=schema.names)
 
     clean = df.select(*keys, date, to_number_or_zero(F.col(value)).alias(value))
-    return clean.groupBy(*keys).applyInPandas(fit_one, schema)
+    return _spread(clean, keys, parallelism).groupBy(*keys).applyInPandas(fit_one, schema)
 
 
 def forecast_model(blob, horizon=12):
@@ -292,7 +310,7 @@ def _holdout_forecast(train, period, horizon):
     return best[1]
 
 
-def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8):
+def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8, parallelism=None):
     """The last rows of each series (after int(n * train_frac)) with their smoothed forecast, NULL when the fit fails.
 
     `periods` has the keys and `period_weeks`. The seasonal part is used when 1 < period < length of the training part;
@@ -327,7 +345,7 @@ def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8):
         out["predicted"] = np.nan if short else _holdout_forecast(train, period, len(test))
         return out
 
-    return clean.groupBy(*keys).applyInPandas(predict, schema)
+    return _spread(clean, keys, parallelism).groupBy(*keys).applyInPandas(predict, schema)
 
 
 def assess_predictability(df, keys, order, value, periods=None, train_frac=0.8):
