@@ -183,6 +183,32 @@ def seasonal_forecasts_with_drift(spark, d):
     return forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[52], trend="ct")
 
 
+# Without coefficients the model only differences: a week moves like the same week one season before, or not at all for lag 1.
+@query(
+    f"""WITH RECURSIVE y AS (SELECT p_type, lag, max(week_start) AS last, list(qty::double ORDER BY week_start) AS ys
+  FROM ({TYPE_WEEKS}), unnest([1, 2, 3, 4, 13, 26, 52]) t(lag) GROUP BY 1, 2),
+f AS (SELECT p_type, lag, last, 0 AS h, ys FROM y
+  UNION ALL SELECT p_type, lag, last, h + 1,
+    list_append(ys, ys[-1] + CASE WHEN lag > 1 THEN ys[-lag] - ys[-(lag + 1)] ELSE 0 END) FROM f WHERE h < 12)
+SELECT p_type, lag::int AS lag, (last + (7 * h)::int)::date AS date, round(ys[-1], 4) AS forecast, 0::int AS interpolated, 'ok' AS status
+FROM f WHERE h > 0"""
+)
+def seasonal_walk_forecasts(spark, d):
+    ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], order=(0, 1, 0), seasonal=(0, 1, 0))
+    return ahead.withColumn("forecast", F.round("forecast", 4))
+
+
+@query(
+    f"""WITH y AS (SELECT p_type, max(week_start) AS last, arg_max(qty, week_start)::double AS top, arg_min(qty, week_start)::double AS low,
+  count(*) AS n FROM ({TYPE_WEEKS}) GROUP BY 1)
+SELECT p_type, 1::int AS lag, (last + (7 * h)::int)::date AS date, round(top + h * (top - low) / (n - 1), 4) AS forecast, 0::int AS interpolated, 'ok' AS status
+FROM y, range(1, 13) t(h)"""
+)
+def drift_forecasts(spark, d):
+    ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[1], order=(0, 1, 0), trend="c")
+    return ahead.withColumn("forecast", F.round("forecast", 4))
+
+
 @query()
 def forecast_points(spark, d):
     ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[1, 13, 52])

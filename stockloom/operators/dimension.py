@@ -40,7 +40,7 @@ def upsert_by_key(target, updates, key, order):
 
 def delete_by_key(target, keys_df, key):
     """Rows that remain, and a one-row frame with the number deleted."""
-    doomed = keys_df.select(key)
+    doomed = keys_df.select(key).distinct()
     affected = target.join(doomed, key, "left_semi").agg(F.count(F.lit(1)).alias("affected"))
     return target.join(doomed, key, "left_anti"), affected
 

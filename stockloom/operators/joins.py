@@ -14,7 +14,7 @@ UNROLLED = 64
 
 def items_to_label(sales, dim, key, label, columns, limit=None):
     """Distinct items of the sales that the dimension lacks or has without a label."""
-    labelled = dim.filter(F.col(label).isNotNull()).select(key)
+    labelled = dim.filter(F.col(label).isNotNull()).select(key).distinct()
     items = sales.select(key, *columns).distinct().join(labelled, key, "left_anti")
     return items if limit is None or limit < 0 else items.orderBy(key, *columns).limit(limit)
 

@@ -1,0 +1,21 @@
+"""Joins whose strategy follows a measured size."""
+
+from pyspark.sql import functions as F
+
+from stockloom.session import shared_folder
+
+# Per-key state has a handful of numbers per row, so this many rows stay far below executor memory.
+BROADCAST_ROWS = 100_000
+
+
+def join_measured(frame, state, keys, how="inner"):
+    """Join per-key state to many rows.
+
+    The state is written to the checkpoint folder, which also ends its lineage, and counted. Up to BROADCAST_ROWS it is sent
+    to every task and the many rows are not shuffled, so one key with very many rows does no harm; beyond that Spark joins
+    by shuffle, where adaptive execution splits skewed keys.
+    """
+    shared_folder(frame.sparkSession)
+    stored = state.checkpoint()
+    small = stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return frame.join(F.broadcast(stored) if small else stored, list(keys), how)

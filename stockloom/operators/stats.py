@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.records import null_nan
+from stockloom.operators.sized import join_measured
 
 # Fixed value: smallest denominator of the relative error, the double machine epsilon.
 MAPE_FLOOR = 2.220446049250313e-16
@@ -94,7 +95,7 @@ def exact_quantile(df, value, q, keys=(), accuracy=10_000, out="quantile"):
 def _attach(frame, state, keys):
     """Join per-key state. Without keys the state is a single row, which comes in as one scalar subquery."""
     if keys:
-        return frame.join(state, keys)
+        return join_measured(frame, state, keys)
     packed = state.select(F.struct(*state.columns).alias("_state"))
     return frame.withColumn("_state", packed.scalar()).select(*frame.columns, "_state.*")
 
@@ -108,7 +109,7 @@ def abs_error_quantile(df, actual, predicted, alpha=0.1, keys=()):
 def conformal_intervals(cal, test, actual="actual", predicted="predicted", alpha=0.1, keys=()):
     """Test rows with lower and upper: prediction minus and plus the error quantile of the calibration rows."""
     q = abs_error_quantile(cal, actual, predicted, alpha, keys)
-    with_q = test.join(q, list(keys), "left") if keys else test.withColumn("q", q.scalar())
+    with_q = join_measured(test, q, keys, "left") if keys else test.withColumn("q", q.scalar())
     return with_q.withColumns({"lower": F.col(predicted) - F.col("q"), "upper": F.col(predicted) + F.col("q")}).drop("q")
 
 
