@@ -12,14 +12,12 @@ def read_sales_csv(spark, path, schema=None, date_col="date", date_format="yyyy-
     """
     reader = spark.read.option("header", True)
     if schema is None:
-        # Inference must not guess at the date column, whose format is given.
-        df = reader.option("inferSchema", True).option("preferDate", False).csv(path)
-    else:
-        # The date is read as text first, to be parsed with its own format.
-        text_date = T.StructType([T.StructField(f.name, T.StringType()) if f.name == date_col else f for f in schema.fields])
-        df = reader.schema(text_date).csv(path)
+        schema = reader.option("inferSchema", True).csv(path).schema
+    # The date is read as text first, to be parsed with its own format and no guess of the reader.
+    as_text = [T.StructField(f.name, T.StringType()) if f.name == date_col else f for f in schema.fields]
+    df = spark.read.option("header", True).schema(T.StructType(as_text)).csv(path)
     if date_col in df.columns:
-        df = df.withColumn(date_col, F.try_to_date(F.col(date_col).cast("string"), date_format))
+        df = df.withColumn(date_col, F.try_to_date(F.col(date_col), date_format))
     return df
 
 

@@ -27,6 +27,12 @@ def test_csv_dates_and_types(spark, tmp_path):
     assert typed.schema == df.schema and typed.collect() == df.collect()
 
 
+@pytest.mark.parametrize("text, form", [("2019-05-31", "yyyy-MM-dd"), ("20190531", "yyyyMMdd"), ("5/31/2019", "M/d/yyyy")])
+def test_csv_date_formats(spark, tmp_path, text, form):
+    (tmp_path / "a.csv").write_text(f"n,date\n1,{text}\n")
+    assert files.read_sales_csv(spark, str(tmp_path / "a.csv"), date_format=form).first().date == date(2019, 5, 31)
+
+
 def test_sales_schema():
     assert len(SALES_SCHEMA) == 29
     assert SALES_SCHEMA["sale_dollars"].dataType.simpleString() == "decimal(10,2)"
