@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import PART_WEEKS, TYPE_WEEKS, part_weeks, query, table, type_weeks
 from stockloom.operators import series, split, stats
 from stockloom.plans import forecast, regression
+from stockloom.plans.mart import weekly_sales
 from stockloom.session import fresh_folder
 from stockloom.sources import tables
 
@@ -234,9 +235,8 @@ def holdout_error(spark, d):
 
 @query()
 def metric_analysis(spark, d):
-    weeks = regular_types(spark, d).withColumn("bottles", F.coalesce("sales", F.lit(0)))
-    wide = series.diff(weeks, ["p_type"], "week_start", "bottles", "last_week_diff")
-    return forecast.analyze_metrics(wide.drop("sales"), ["bottles", "last_week_diff"], "week_start", ["p_type"])
+    mart = weekly_sales(type_weeks(spark, d), "week_start", "qty", ["p_type"])
+    return forecast.analyze_metrics(series.dated_mart(mart), keys=["p_type"])
 
 
 @query()

@@ -151,6 +151,19 @@ def regular_weeks_zero_filled(spark, d):
     return series.regular_weekly(sales(spark, d), "sales_date", "bottles", ["l_partkey"], fill=0)
 
 
+@query(
+    """WITH w AS (SELECT l_suppkey, date_trunc('week', l_shipdate)::date AS week_start, sum(l_quantity)::bigint AS q
+  FROM lineitem GROUP BY 1, 2),
+u AS (SELECT * FROM w WHERE q > 0 AND week_start < (SELECT max(week_start) FROM w m WHERE m.l_suppkey = w.l_suppkey AND m.q > 0)),
+g AS (SELECT l_suppkey, unnest(generate_series(min(week_start), max(week_start), INTERVAL 7 DAY))::date AS week_start FROM u GROUP BY 1)
+SELECT l_suppkey, week_start, q AS sales FROM g LEFT JOIN u USING (l_suppkey, week_start)"""
+)
+def forecast_input(spark, d):
+    mart = weekly_sales(sales(spark, d), "sales_date", "bottles", ["l_suppkey"])
+    usable = series.drop_latest_week(mart, ["l_suppkey"])
+    return series.regular_weekly(series.dated_mart(usable), "date", "current_sales_quantity", ["l_suppkey"])
+
+
 @query(
     f"""SELECT l_partkey, unnest(generate_series(max(week_start) + 7, max(week_start) + 84, INTERVAL 7 DAY))::date AS week_start
 FROM ({PART_WEEKS}) GROUP BY 1"""

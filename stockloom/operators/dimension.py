@@ -5,10 +5,23 @@ from pyspark.sql import functions as F
 from stockloom.operators.aggregate import collapse_items
 
 
+def _merged(target, new, key, given):
+    """Rows of `new` (one per key) replace the `given` columns of the target row of the same key, or are added to it.
+
+    One full join, so that both sides are read once.
+    """
+    packed = new.select(F.col(key).alias("_key"), F.struct(*given).alias("_new"))
+    joined = target.join(packed, F.col(key) == F.col("_key"), "full_outer")
+    matched = F.col("_key").isNotNull()
+    columns = {c: F.when(matched, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in given}
+    columns[key] = F.coalesce(F.col(key), F.col("_key"))
+    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in target.columns])
+
+
 def upsert_dimension(dim, updates, key, mins, label):
     """Updates collapsed to one row per item replace the dimension rows of the same key."""
     fresh = collapse_items(updates, key, mins, label)
-    return dim.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*dim.columns))
+    return _merged(dim, fresh, key, [c for c in dim.columns if c != key])
 
 
 def latest_by_key(df, key, order):
@@ -24,18 +37,7 @@ def upsert_by_key(target, updates, key, order):
     Of several updates for a key the last by `order` counts.
     """
     given = [c for c in updates.columns if c in target.columns and c != key]
-    last = latest_by_key(updates.filter(F.col(key).isNotNull()), key, order)
-    new = last.select(F.col(key).alias("_key"), F.struct(*given).alias("_new"))
-    joined = target.withColumn("_old", F.lit(True)).join(new, F.col(key) == F.col("_key"), "full_outer")
-    columns = []
-    for c in target.columns:
-        if c == key:
-            columns.append(F.coalesce(F.col(key), F.col("_key")).alias(key))
-        elif c in given:
-            columns.append(F.when(F.col("_key").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(c))
-    return joined.select(*columns)
+    return _merged(target, latest_by_key(updates.filter(F.col(key).isNotNull()), key, order), key, given)
 
 
 def delete_by_key(target, keys_df, key):

@@ -37,10 +37,10 @@ def regular_weekly(df, date_col, value_col, keys=(), fill=None, out="sales"):
     return spread.select(*keys, "week_start", value.alias(out))
 
 
-def weekly_from_mart(mart, quantity="current_sales_quantity", keys=()):
-    """Mart rows dated by their ISO Monday; rows without year or week are dropped."""
-    dated = mart.dropna(subset=["sales_year", "sales_week"])
-    return dated.select(*keys, week_start(F.col("sales_year"), F.col("sales_week")).alias("date"), F.col(quantity))
+def dated_mart(mart, year="sales_year", week="sales_week", out="date"):
+    """Mart rows with the Monday of their ISO week; rows without year or week are dropped."""
+    dated = mart.dropna(subset=[year, week])
+    return dated.withColumn(out, week_start(F.col(year), F.col(week)))
 
 
 def future_weeks(series, keys=(), date="week_start", horizon=12):

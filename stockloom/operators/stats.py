@@ -122,13 +122,14 @@ def _let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def acf_arrays(df, keys, order, value, max_lag=52):
-    """Per key the number of values and the array of autocorrelations for lag 0..max_lag, at most n - 1.
+def acf_arrays(df, keys, order, value, max_lag=52, points=False):
+    """Per key the number of values and the array of autocorrelations for lag 0..max_lag, at most n - 1; with `points` the
+    series itself too.
 
     The series of a key becomes one sorted array: the input has one row per period, so that is at most the number of periods
     in the calendar. The divisor is the sum of squares of the whole series.
     """
-    pair = F.struct(F.col(order).alias("at"), null_nan(F.col(value)).alias("v"))
+    pair = F.struct(F.col(order).alias(order), null_nan(F.col(value)).alias("v"))
     clean = df.select(*keys, pair.alias("_p")).filter(F.col("_p.v").isNotNull())
 
     def centred(pairs):
@@ -146,7 +147,7 @@ def acf_arrays(df, keys, order, value, max_lag=52):
 
     series = clean.groupBy(*keys).agg(F.array_sort(F.collect_list("_p")).alias("_p")).filter(F.size("_p") > 0)
     r = _let(F.col("_p"), lambda pairs: _let(centred(pairs), correlations))
-    return series.select(*keys, F.size("_p").alias("n"), r.alias("r"))
+    return series.select(*keys, F.size("_p").alias("n"), r.alias("r"), *(["_p"] if points else []))
 
 
 def acf(df, keys, order, value, max_lag=52):
@@ -184,12 +185,26 @@ def pacf(df, keys, order, value, max_lag=52):
     return arrays.select(*keys, F.posexplode(partial).alias("lag", "pacf"))
 
 
+def _strongest(r):
+    """Struct of the lag with the largest absolute autocorrelation, the first on ties, and its signed strength."""
+    sized = F.transform(r, lambda x, i: F.struct(F.abs(x).alias("size"), (-i).alias("neg"), x.alias("strength")))
+    lags = F.filter(sized, lambda s: (s["neg"] < 0) & s["size"].isNotNull())
+
+    def named(best):
+        return F.struct((-best["neg"]).alias("period_weeks"), best["strength"].alias("periodicity_strength"))
+
+    return _let(F.array_max(lags), named)
+
+
 def detect_periodicity(df, keys, order, value, max_lag=52):
-    """Lag of the strongest autocorrelation by absolute value, the first on ties, and its signed strength."""
+    """Dominant period per key and its signed strength; NULL when the series does not vary."""
     arrays = acf_arrays(df, keys, order, value, max_lag)
-    lags = F.filter(
-        F.transform("r", lambda x, i: F.struct(F.abs(x).alias("size"), (-i).alias("neg"), x.alias("strength"))),
-        lambda s: (s["neg"] < 0) & s["size"].isNotNull(),
-    )
-    found = _let(F.array_max(lags), lambda b: F.struct((-b["neg"]).alias("period_weeks"), b["strength"].alias("periodicity_strength")))
-    return arrays.select(*keys, "n", F.inline(F.array(found)))
+    return arrays.select(*keys, "n", F.inline(F.array(_strongest(F.col("r")))))
+
+
+def with_periodicity(df, keys, order, value, max_lag=52):
+    """The points of each series, NULLs dropped, with length, dominant period and strength of the series on every row."""
+    arrays = acf_arrays(df, keys, order, value, max_lag, points=True)
+    found = arrays.select(*keys, "n", "_p", F.inline(F.array(_strongest(F.col("r")))))
+    rows = found.select(*keys, "n", "period_weeks", "periodicity_strength", F.inline("_p"))
+    return rows.withColumnRenamed("v", value)

@@ -8,17 +8,26 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockloom.functions.records import to_number_or_zero
 from stockloom.operators.series import rank_metrics
-from stockloom.operators.stats import detect_periodicity, mape
+from stockloom.operators.stats import mape, with_periodicity
 from stockloom.schemas import MODEL_SCHEMA
 
 # Seasonal lags in weeks offered by default.
 SEASONAL_LAGS = (1, 2, 3, 4, 13, 26, 52)
+# Mart columns that are ranked by periodicity and predictability.
+MART_METRICS = (
+    "current_sales_quantity",
+    "last_week_quantity",
+    "last_week_diff",
+    "last_13_week_quantity",
+    "last_13_week_diff",
+    "last_year_quantity",
+    "last_year_diff",
+)
 AR_BOUND, MA_BOUND = 1.0, 0.98
 TRENDS = {"n": (), "c": (0,), "t": (1,), "ct": (0, 1)}
 
@@ -313,16 +322,18 @@ def _holdout_forecast(train, period, horizon):
 def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8, parallelism=None):
     """The last rows of each series (after int(n * train_frac)) with their smoothed forecast, NULL when the fit fails.
 
-    `periods` has the keys and `period_weeks`. The seasonal part is used when 1 < period < length of the training part;
-    with fewer than two full periods to train on there is no forecast.
+    The period is the column `period_weeks`, of the frame itself or of `periods` by key; without either there is no season. The
+    seasonal part is used when 1 < period < length of the training part; with fewer than two full periods to train on there is
+    no forecast.
     """
     keys = list(keys)
-    clean = df.select(*keys, order, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
     if periods is not None:
         state = periods.select(*keys, "period_weeks")
-        clean = clean.join(state, keys, "left") if keys else clean.withColumn("period_weeks", state.select("period_weeks").scalar())
-    else:
-        clean = clean.withColumn("period_weeks", F.lit(None).cast("int"))
+        df = df.join(state, keys, "left") if keys else df.withColumn("period_weeks", state.scalar())
+    period = F.col("period_weeks") if "period_weeks" in df.columns else F.lit(None)
+    clean = df.select(
+        *keys, order, F.col(value).cast("double").alias(value), period.cast("int").alias("_period")
+    ).filter(F.col(value).isNotNull())
     schema = T.StructType(
         [
             *[df.schema[k] for k in keys],
@@ -337,7 +348,7 @@ def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8, pa
         y = pdf[value].to_numpy(dtype=float)
         cut = int(len(y) * train_frac)
         train, test = y[:cut], y[cut:]
-        period = pdf["period_weeks"].iloc[0]
+        period = pdf["_period"].iloc[0]
         period = int(period) if pd.notna(period) and 1 < period < len(train) else 0
         out = pdf.iloc[cut:][[*keys, order]].copy()
         out["actual"] = test
@@ -353,15 +364,14 @@ def assess_predictability(df, keys, order, value, periods=None, train_frac=0.8):
     return mape(holdout_predictions(df, keys, order, value, periods, train_frac), "actual", "predicted", keys)
 
 
-def analyze_metrics(df, metrics, order, keys=(), max_lag=52, min_length=10):
+def analyze_metrics(df, metrics=MART_METRICS, order="date", keys=(), max_lag=52, min_length=10):
     """Period, strength, hold-out MAPE and ranks of each metric, within each key. Series shorter than ten are left out."""
     keys = list(keys)
     pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
     long = df.select(*keys, order, F.inline(F.array(*pairs)))
     series = [*keys, "metric"]
-    size = F.count("value").over(Window.partitionBy(*series))
-    long = long.filter(F.col("value").isNotNull()).withColumn("_n", size).filter(F.col("_n") >= min_length).drop("_n")
-    periods = detect_periodicity(long, series, order, "value", max_lag)
-    errors = assess_predictability(long, series, order, "value", periods)
-    joined = periods.drop("n").join(errors, series, "left")
-    return rank_metrics(joined, keys)
+    points = with_periodicity(long, series, order, "value", max_lag).filter(F.col("n") >= min_length)
+    # Period and strength are the same on all rows of a series, so they can be carried as keys.
+    described = [*series, "period_weeks", "periodicity_strength"]
+    held_out = holdout_predictions(points, described, order, "value")
+    return rank_metrics(mape(held_out, "actual", "predicted", described), keys)

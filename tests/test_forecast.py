@@ -87,9 +87,13 @@ def test_holdout(frame):
 
 
 def test_metric_analysis_skips_short_series(frame):
-    rows = [(MONDAY + timedelta(weeks=i), float(10 + (i % 4) * 5), float(i) if i < 6 else None) for i in range(40)]
-    out = forecast.analyze_metrics(frame(rows, "d date, a double, b double"), ["a", "b"], "d", max_lag=12).collect()
-    assert [(r.metric, r.period_weeks, r.periodicity_rank, r.overall_rank) for r in out] == [("a", 4, 1, 2)]
+    rows = [(MONDAY + timedelta(weeks=i), float(10 + (i % 4) * 5), float(i) if i < 6 else None, 7.0) for i in range(40)]
+    df = frame(rows, "d date, a double, b double, flat double")
+    out = {r.metric: r for r in forecast.analyze_metrics(df, ["a", "b", "flat"], "d", max_lag=12).collect()}
+    assert out.keys() == {"a", "flat"}
+    assert (out["a"].period_weeks, out["a"].periodicity_rank) == (4, 1)
+    assert (out["flat"].period_weeks, out["flat"].periodicity_rank, out["flat"].overall_rank) == (None, None, None)
+    assert out["flat"].mape == pytest.approx(0, abs=1e-9) and out["flat"].predictability_rank is not None
 
 
 def test_boosted_trees_beat_the_mean(spark):
