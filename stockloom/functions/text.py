@@ -69,8 +69,9 @@ def paren_clauses(text):
     The clause is the text since the bracket before, of either kind; start is the last opening bracket, end lies after
     the closing one.
     """
-    # Cut after every bracket; the rest behind the last one closes nothing. A cut takes one pass over the text.
-    parts = F.split(text, r"(?<=[()])")
+    # Cut after every bracket; the rest behind the last one closes nothing. A cut takes one pass over the text, and texts that
+    # close no bracket are not cut.
+    parts = F.when(F.contains(text, F.lit(")")), F.split(text, r"(?<=[()])")).when(text.isNotNull(), F.array())
     none = F.array().cast("array<struct<clause:string,start:int,end:int>>")
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("open"), none.alias("found"))
 

@@ -1,6 +1,8 @@
 """Joins by missing label, map, near point, similar word and holiday week."""
 
 import difflib
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Window
@@ -103,7 +105,7 @@ def fuzzy_match(tokens, dictionary, cutoff=0.6, token="token", method="ratio"):
         t = F.col(token)
 
         def scored(word):
-            longer = F.greatest(F.length(t), F.length(word))
+            longer = F.greatest(F.length(t), F.length(word), F.lit(1))
             return F.struct((1 - F.levenshtein(t, word) / longer).alias("score"), word.alias("word"))
 
         if 1 < len(words) <= UNROLLED:
@@ -115,12 +117,16 @@ def fuzzy_match(tokens, dictionary, cutoff=0.6, token="token", method="ratio"):
     if method != "ratio":
         raise ValueError("method must be ratio or levenshtein")
 
+    # The ratio is at most 2 * shorter / (both lengths); tokens no word can reach need no look in Python.
+    size = F.length(token)
+    reachable = [2 * F.least(size, F.lit(n)) / F.greatest(size + n, F.lit(1)) >= cutoff for n in sorted({len(w) for w in words})]
+
     @F.pandas_udf("string")
     def closest(batch: pd.Series) -> pd.Series:
-        found = [difflib.get_close_matches(t, words, 1, cutoff) for t in batch]
+        found = [difflib.get_close_matches(t, words, 1, cutoff) if t else None for t in batch]
         return pd.Series([f[0] if f else None for f in found], dtype="object")
 
-    return distinct.withColumn("match", closest(token))
+    return distinct.withColumn("match", closest(F.when(reduce(or_, reachable, F.lit(False)), F.col(token))))
 
 
 def flag_holiday_weeks(weekly, holidays, date_col="week_start"):

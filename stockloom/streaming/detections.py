@@ -13,9 +13,9 @@ KAFKA_DEFAULTS = {"startingOffsets": "latest", "minOffsetsPerTrigger": "100", "m
 def read_detections(spark, source, schema=DETECTION_SCHEMA):
     """Detection stream. `source` is a dict of reader options with `format`.
 
-    Kafka delivers JSON values, which are parsed; `arrival` is then the offset. Unless told otherwise it starts at the latest
-    offset, and a micro-batch waits for 100 messages or 10 seconds, whichever comes first. File formats deliver the columns
-    of the schema; `path` names the folder.
+    Kafka delivers JSON values, which are parsed. `arrival` is then (broker time, partition, offset): offsets alone order only
+    the messages of one partition. Unless told otherwise reading starts at the latest offset, and a micro-batch waits for 100
+    messages or 10 seconds, whichever comes first. File formats deliver the columns of the schema; `path` names the folder.
     """
     options = dict(source)
     fmt = options.pop("format")
@@ -23,7 +23,8 @@ def read_detections(spark, source, schema=DETECTION_SCHEMA):
     if fmt == "kafka":
         raw = reader.options(**{**KAFKA_DEFAULTS, **options}).load()
         parsed = F.from_json(F.col("value").cast("string"), schema).alias("_d")
-        return raw.select(parsed, F.col("offset").alias("arrival")).select("_d.*", "arrival")
+        arrival = F.struct("timestamp", "partition", "offset").alias("arrival")
+        return raw.select(parsed, arrival).select("_d.*", "arrival")
     return reader.schema(schema).options(**options).load()
 
 

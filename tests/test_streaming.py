@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,38 @@ def test_detections_are_sent_and_read_back(spark, folder):
     run(detections.send_detections(stream, {"format": "text", "path": f"{folder}/topic"}, f"{folder}/ckpt", available_now=True))
     sent = spark.read.text(f"{folder}/topic")
     assert [(r["class"], r.confidence) for r in detections.detections_from_json(sent).collect()] == [("can", 0.9)]
+
+
+class Topic:
+    """Stands for a Kafka reader: keeps the options and delivers given messages; no broker takes part."""
+
+    def __init__(self, messages):
+        self.messages, self.seen, self.readStream = messages, {}, self
+
+    def format(self, name):
+        self.seen["format"] = name
+        return self
+
+    def options(self, **options):
+        self.seen.update(options)
+        return self
+
+    def load(self):
+        return self.messages
+
+
+def test_topic_messages_are_parsed(frame):
+    t = datetime(2024, 1, 1)
+    values = [
+        (b'{"class":"can","confidence":0.5,"source":"cam"}', t, 1, 4),
+        (b'{"class":"can","source":"late cam"}', t + timedelta(seconds=1), 0, 2),
+        (b"broken", t, 0, 1),
+    ]
+    topic = Topic(frame(values, "value binary, timestamp timestamp, partition int, offset long"))
+    df = detections.read_detections(topic, {"format": "kafka", "subscribe": "shelf", "startingOffsets": "earliest"})
+    assert [(r["class"], r.source, r.arrival.offset) for r in df.collect()] == [("can", "cam", 4), ("can", "late cam", 2), (None, None, 1)]
+    state = {r["class"]: (r["count"], r.source) for r in detections.track_classes(df).collect()}
+    assert state["can"] == (2, "late cam")
+    assert topic.seen == {
+        "format": "kafka", "subscribe": "shelf", "startingOffsets": "earliest", "minOffsetsPerTrigger": "100", "maxTriggerDelay": "10s",
+    }
