@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import PART_WEEKS, TYPE_WEEKS, part_weeks, query, table, type_weeks
-from stockloom.operators import series, split, stats
+from checks.base import PART_WEEKS, TYPE_WEEKS, part_weeks, query, sales, table, type_weeks
+from stockloom.operators import aggregate, series, split, stats
 from stockloom.plans import forecast, regression
 from stockloom.plans.mart import weekly_sales
 from stockloom.session import fresh_folder
@@ -216,6 +216,16 @@ def forecast_points(spark, d):
     return series.annotated_points(ahead, ["p_type", "lag"], "date", "forecast", keep=2)
 
 
+def vendor_weeks(spark, d):
+    """Regular weekly series per vendor; the number of series grows with the tables."""
+    return series.regular_weekly(sales(spark, d), "sales_date", "bottles", ["l_suppkey"])
+
+
+@query()
+def vendor_forecasts(spark, d):
+    return forecast.seasonal_forecast(vendor_weeks(spark, d), ["l_suppkey"], lags=[52])
+
+
 @query()
 def stored_forecast_models(spark, d):
     path = fresh_folder(spark, "fitted")
@@ -228,9 +238,8 @@ def stored_forecast_models(spark, d):
 
 @query()
 def holdout_error(spark, d):
-    weeks = regular_types(spark, d)
-    periods = stats.detect_periodicity(weeks, ["p_type"], "week_start", "sales")
-    return forecast.assess_predictability(weeks, ["p_type"], "week_start", "sales", periods)
+    points = stats.with_periodicity(vendor_weeks(spark, d), ["l_suppkey"], "week_start", "sales")
+    return forecast.assess_predictability(points, ["l_suppkey"], "week_start", "sales")
 
 
 @query()
@@ -239,15 +248,20 @@ def metric_analysis(spark, d):
     return forecast.analyze_metrics(series.dated_mart(mart), keys=["p_type"])
 
 
+def vendor_features(spark, d):
+    weeks = aggregate.weekly_series(sales(spark, d), "sales_date", "bottles", ["l_suppkey"], "qty")
+    return regression.weekly_features(weeks, ["l_suppkey"], "week_start", "qty")
+
+
 @query()
 def boosted_tree_intervals(spark, d):
-    wide, features = regression.weekly_features(type_weeks(spark, d), ["p_type"], "week_start", "qty")
-    _, tested, _ = regression.regress_with_intervals(wide, features, "qty", ["p_type", "week_start"], trees=20)
+    wide, features = vendor_features(spark, d)
+    _, tested, _ = regression.regress_with_intervals(wide, features, "qty", ["l_suppkey", "week_start"], trees=10)
     return tested
 
 
 @query()
 def boosted_tree_importances(spark, d):
-    wide, features = regression.weekly_features(type_weeks(spark, d), ["p_type"], "week_start", "qty")
-    model = regression.fit_gbt(wide, features, "qty", max_depth=5, trees=20)
+    wide, features = vendor_features(spark, d)
+    model = regression.fit_gbt(wide, features, "qty", max_depth=5, trees=10)
     return regression.feature_importances(spark, model, features)

@@ -53,9 +53,11 @@ def feature_importances(spark, model, features):
 def regress_with_intervals(df, features, target, row_keys, alpha=0.1, test=0.2, cal=0.2, seed=42, **gbt):
     """Train on the training part, take the error quantile of the calibration part, predict the test part.
 
-    Returns the model, the test rows with actual, predicted, lower and upper, and the calibration residuals.
+    Returns the model, the test rows with actual, predicted, lower and upper, and the calibration residuals. The split rows are
+    read by every tree and by all three parts, so they are written once to the checkpoint folder.
     """
-    split = split_frames(df.dropna(subset=[*features, target]), row_keys, test, cal, seed)
+    shared_folder(df.sparkSession)
+    split = split_frames(df.dropna(subset=[*features, target]), row_keys, test, cal, seed).checkpoint()
     model = fit_gbt(split.filter(F.col("split") == "train"), features, target, seed=seed, **gbt)
 
     def scored(part):
