@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import PART_WEEKS, TYPE_WEEKS, part_weeks, query, sales, table, type_weeks
+from checks.sales import points_sql
 from stockloom.operators import aggregate, series, split, stats
 from stockloom.plans import forecast, regression
 from stockloom.plans.mart import weekly_sales
@@ -185,15 +186,16 @@ def seasonal_forecasts_with_drift(spark, d):
 
 
 # Without coefficients the model only differences: a week moves like the same week one season before, or not at all for lag 1.
-@query(
-    f"""WITH RECURSIVE y AS (SELECT p_type, lag, max(week_start) AS last, list(qty::double ORDER BY week_start) AS ys
+WALK = f"""WITH RECURSIVE y AS (SELECT p_type, lag, max(week_start) AS last, list(qty::double ORDER BY week_start) AS ys
   FROM ({TYPE_WEEKS}), unnest([1, 2, 3, 4, 13, 26, 52]) t(lag) GROUP BY 1, 2),
 f AS (SELECT p_type, lag, last, 0 AS h, ys FROM y
   UNION ALL SELECT p_type, lag, last, h + 1,
     list_append(ys, ys[-1] + CASE WHEN lag > 1 THEN ys[-lag] - ys[-(lag + 1)] ELSE 0 END) FROM f WHERE h < 12)
 SELECT p_type, lag::int AS lag, (last + (7 * h)::int)::date AS date, round(ys[-1], 4) AS forecast, 0::int AS interpolated, 'ok' AS status
 FROM f WHERE h > 0"""
-)
+
+
+@query(WALK)
 def seasonal_walk_forecasts(spark, d):
     ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], order=(0, 1, 0), seasonal=(0, 1, 0))
     return ahead.withColumn("forecast", F.round("forecast", 4))
@@ -210,6 +212,24 @@ def drift_forecasts(spark, d):
     return ahead.withColumn("forecast", F.round("forecast", 4))
 
 
+@query(points_sql(f"SELECT p_type, date AS week_start, forecast AS qty FROM ({WALK}) WHERE lag = 52", "p_type", False, 2))
+def walk_forecast_points(spark, d):
+    ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[52], order=(0, 1, 0), seasonal=(0, 1, 0))
+    return series.annotated_points(ahead, ["p_type"], "date", "forecast", keep=2)
+
+
+@query(
+    f"""SELECT p_type, year(min(week_start))::int AS start_year, year(max(week_start))::int AS end_year, 'trend1' AS name,
+  round((arg_max(qty, week_start) - arg_min(qty, week_start)) / (count(*) - 1), 6) AS coefficient FROM ({TYPE_WEEKS}) GROUP BY 1"""
+)
+def stored_drift_models(spark, d):
+    path = fresh_folder(spark, "drift")
+    fitted = forecast.fit_models(regular_types(spark, d), ["p_type"], order=(0, 1, 0), seasonal=(0, 0, 0), trend="c")
+    tables.save_models(fitted, path)
+    stored = tables.load_models(spark, path).select("p_type", "start_year", "end_year", F.explode("params").alias("name", "coefficient"))
+    return stored.withColumn("coefficient", F.round("coefficient", 6))
+
+
 @query()
 def forecast_points(spark, d):
     ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[1, 13, 52])

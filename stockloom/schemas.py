@@ -51,6 +51,9 @@ SALES_SCHEMA = _fields(
     ]
 )
 
+# What a sales file holds: the fact table without the id and audit columns the table adds.
+SALES_CSV_SCHEMA = T.StructType([f for f in SALES_SCHEMA if f.name not in ("id", *AUDIT_COLUMNS)])
+
 # One detection message; `table` routes it to a lake table.
 DETECTION_SCHEMA = T.StructType(
     [

@@ -10,20 +10,23 @@ from pyspark.sql import types as T
 from stockloom.sources.files import path_exists, read_json_rows, read_sales_csv, write_json
 
 
-def with_audit_columns(df, id_col="id"):
-    """Add a unique id (not dense) and creation and update time and user."""
+def with_audit_columns(df, id_col="id", start=0):
+    """Add a unique id from `start` on (not dense) and creation and update time and user."""
     now, user = F.current_timestamp(), F.current_user()
     stamped = df.withColumns(
         {"created_timestamp": now, "updated_timestamp": now, "created_by": user, "updated_by": user}
     )
-    return stamped.select(F.monotonically_increasing_id().alias(id_col), *[c for c in stamped.columns if c != id_col])
+    row_id = (F.monotonically_increasing_id() + F.lit(start)).alias(id_col)
+    return stamped.select(row_id, *[c for c in stamped.columns if c != id_col])
 
 
-def load_mapped(spark, mapping, load_dir, truncate=False, schema=None, date_format="yyyy-MM-dd", table_path=None):
+def load_mapped(
+    spark, mapping, load_dir, truncate=False, schema=None, date_format="yyyy-MM-dd", table_path=None, audit=True
+):
     """Load each file of `mapping` (file name to table) that exists; returns the tables touched.
 
-    With `truncate` the first file of a table replaces its rows; later files, and all without it, are appended.
-    `table_path(table)` may name the folder of a table.
+    With `truncate` the first file of a table replaces its rows; later files, and all without it, are appended. Rows get the id
+    and audit columns, ids going on from those in the table. `table_path(table)` may name the folder of a table.
     """
     touched = []
     for name, table in mapping.items():
@@ -32,6 +35,10 @@ def load_mapped(spark, mapping, load_dir, truncate=False, schema=None, date_form
             continue
         df = read_sales_csv(spark, path, schema=schema, date_format=date_format)
         mode = "overwrite" if truncate and table not in touched else "append"
+        if audit:
+            taken = mode == "append" and spark.catalog.tableExists(table)
+            last = spark.table(table).agg(F.max("id")).first()[0] if taken else None
+            df = with_audit_columns(df, start=0 if last is None else last + 1)
         writer = df.write.mode(mode)
         if table_path is not None:
             writer = writer.option("path", table_path(table))
@@ -89,8 +96,8 @@ def run_script(spark, text):
     return results
 
 
-def write_lake(df, table, mode="replace", fmt="parquet", path=None):
-    """Create, replace or append a lake table.
+def write_lake(df, table, mode="replace", fmt="parquet", path=None, partition_by=()):
+    """Create, replace or append a lake table, partitioned by columns if wanted.
 
     Catalogs of a lake format go through the V2 writer; the built-in catalog has Parquet tables, written by saveAsTable.
     """
@@ -98,10 +105,14 @@ def write_lake(df, table, mode="replace", fmt="parquet", path=None):
         writer = df.write.format(fmt).mode("overwrite" if mode == "replace" else "append")
         if path is not None:
             writer = writer.option("path", path)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
         writer.saveAsTable(table)
         return
     writer = df.writeTo(table).using(fmt)
     if mode == "replace":
+        if partition_by:
+            writer = writer.partitionedBy(*[F.col(c) for c in partition_by])
         writer.createOrReplace()
     else:
         writer.option("merge-schema", "true").append()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.plans import forecast
-from stockloom.schemas import SALES_SCHEMA
+from stockloom.schemas import SALES_CSV_SCHEMA, SALES_SCHEMA
 from stockloom.session import fresh_folder, shared_folder
 from stockloom.sources import files, jdbc, tables
 
@@ -33,6 +33,26 @@ def test_csv_date_formats(spark, tmp_path, text, form):
     assert files.read_sales_csv(spark, str(tmp_path / "a.csv"), date_format=form).first().date == date(2019, 5, 31)
 
 
+def test_sales_file_with_schema(spark, tmp_path):
+    assert len(SALES_CSV_SCHEMA) == 24
+    values = {"date": "12/31/2020", "sale_dollars": "10.50", "bottles_sold": "3", "volume_sold_liters": "1.125"}
+    names = SALES_CSV_SCHEMA.names
+    (tmp_path / "s.csv").write_text(",".join(names) + "\n" + ",".join(values.get(n, "7") for n in names) + "\n")
+    row = files.read_sales_csv(spark, str(tmp_path / "s.csv"), SALES_CSV_SCHEMA, date_format="MM/dd/yyyy").first()
+    assert (row.date, str(row.sale_dollars), row.bottles_sold, str(row.volume_sold_liters)) == (date(2020, 12, 31), "10.50", 3, "1.125")
+    (tmp_path / "other.csv").write_text(",".join(reversed(names)) + "\n" + ",".join("7" for _ in names) + "\n")
+    with pytest.raises(Exception):
+        files.read_sales_csv(spark, str(tmp_path / "other.csv"), SALES_CSV_SCHEMA).collect()
+
+
+def test_partitioned_lake_table(spark, database):
+    name = f"{database}.by_day"
+    df = spark.sql("SELECT id, date_add(date'2024-01-01', cast(id % 3 AS int)) AS day FROM range(9)")
+    tables.write_lake(df, name, partition_by=["day"])
+    one = spark.table(name).filter("day = date'2024-01-02'")
+    assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 3
+
+
 def test_sales_schema():
     assert len(SALES_SCHEMA) == 29
     assert SALES_SCHEMA["sale_dollars"].dataType.simpleString() == "decimal(10,2)"
@@ -47,7 +67,9 @@ def test_load_mapped(spark, database, tmp_path):
     assert tables.load_mapped(spark, mapping, str(tmp_path)) == [f"{database}.t"]
     assert spark.table(f"{database}.t").count() == 2
     tables.load_mapped(spark, mapping, str(tmp_path))
-    assert spark.table(f"{database}.t").count() == 4
+    loaded = spark.table(f"{database}.t")
+    assert loaded.count() == 4 and loaded.select("id").distinct().count() == 4
+    assert loaded.filter("created_by is null or date is null").count() == 0
     tables.load_mapped(spark, mapping, str(tmp_path), truncate=True)
     assert spark.table(f"{database}.t").count() == 2
     with pytest.raises(ValueError):
