@@ -185,13 +185,24 @@ def seasonal_forecasts_with_drift(spark, d):
     return forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[52], trend="ct")
 
 
+# Every week of a type, missing ones on the line between their neighbours.
+FILLED = f"""SELECT p_type, week_start, i, qty IS NULL AS gap,
+  coalesce(qty::double, before + (after - before) * (i - before_i) / (after_i - before_i)) AS y
+FROM (SELECT *, last_value(qty IGNORE NULLS) OVER p AS before, last_value(CASE WHEN qty IS NOT NULL THEN i END IGNORE NULLS) OVER p AS before_i,
+    first_value(qty IGNORE NULLS) OVER n AS after, first_value(CASE WHEN qty IS NOT NULL THEN i END IGNORE NULLS) OVER n AS after_i
+  FROM (SELECT p_type, week_start, qty, row_number() OVER (PARTITION BY p_type ORDER BY week_start) AS i
+    FROM (SELECT p_type, unnest(generate_series(min(week_start), max(week_start), INTERVAL 7 DAY))::date AS week_start
+      FROM ({TYPE_WEEKS}) GROUP BY 1) LEFT JOIN ({TYPE_WEEKS}) USING (p_type, week_start))
+  WINDOW p AS (PARTITION BY p_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    n AS (PARTITION BY p_type ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
 # Without coefficients the model only differences: a week moves like the same week one season before, or not at all for lag 1.
-WALK = f"""WITH RECURSIVE y AS (SELECT p_type, lag, max(week_start) AS last, list(qty::double ORDER BY week_start) AS ys
-  FROM ({TYPE_WEEKS}), unnest([1, 2, 3, 4, 13, 26, 52]) t(lag) GROUP BY 1, 2),
-f AS (SELECT p_type, lag, last, 0 AS h, ys FROM y
-  UNION ALL SELECT p_type, lag, last, h + 1,
+WALK = f"""WITH RECURSIVE y AS (SELECT p_type, lag, max(week_start) AS last, count_if(gap)::int AS gaps, list(y ORDER BY i) AS ys
+  FROM ({FILLED}), unnest([1, 2, 3, 4, 13, 26, 52]) t(lag) GROUP BY 1, 2),
+f AS (SELECT p_type, lag, last, gaps, 0 AS h, ys FROM y
+  UNION ALL SELECT p_type, lag, last, gaps, h + 1,
     list_append(ys, ys[-1] + CASE WHEN lag > 1 THEN ys[-lag] - ys[-(lag + 1)] ELSE 0 END) FROM f WHERE h < 12)
-SELECT p_type, lag::int AS lag, (last + (7 * h)::int)::date AS date, round(ys[-1], 4) AS forecast, 0::int AS interpolated, 'ok' AS status
+SELECT p_type, lag::int AS lag, (last + (7 * h)::int)::date AS date, round(ys[-1], 4) + 0 AS forecast, gaps AS interpolated, 'ok' AS status
 FROM f WHERE h > 0"""
 
 
@@ -202,10 +213,10 @@ def seasonal_walk_forecasts(spark, d):
 
 
 @query(
-    f"""WITH y AS (SELECT p_type, max(week_start) AS last, arg_max(qty, week_start)::double AS top, arg_min(qty, week_start)::double AS low,
-  count(*) AS n FROM ({TYPE_WEEKS}) GROUP BY 1)
-SELECT p_type, 1::int AS lag, (last + (7 * h)::int)::date AS date, round(top + h * (top - low) / (n - 1), 4) AS forecast, 0::int AS interpolated, 'ok' AS status
-FROM y, range(1, 13) t(h)"""
+    f"""WITH y AS (SELECT p_type, max(week_start) AS last, arg_max(y, i) AS top, arg_min(y, i) AS low, count(*) AS n,
+  count_if(gap)::int AS gaps FROM ({FILLED}) GROUP BY 1)
+SELECT p_type, 1::int AS lag, (last + (7 * h)::int)::date AS date, round(top + h * (top - low) / (n - 1), 4) + 0 AS forecast,
+  gaps AS interpolated, 'ok' AS status FROM y, range(1, 13) t(h)"""
 )
 def drift_forecasts(spark, d):
     ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[1], order=(0, 1, 0), trend="c")
@@ -215,12 +226,13 @@ def drift_forecasts(spark, d):
 @query(points_sql(f"SELECT p_type, date AS week_start, forecast AS qty FROM ({WALK}) WHERE lag = 52", "p_type", False, 2))
 def walk_forecast_points(spark, d):
     ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[52], order=(0, 1, 0), seasonal=(0, 1, 0))
+    ahead = ahead.withColumn("forecast", F.round("forecast", 4))
     return series.annotated_points(ahead, ["p_type"], "date", "forecast", keep=2)
 
 
 @query(
     f"""SELECT p_type, year(min(week_start))::int AS start_year, year(max(week_start))::int AS end_year, 'trend1' AS name,
-  round((arg_max(qty, week_start) - arg_min(qty, week_start)) / (count(*) - 1), 6) AS coefficient FROM ({TYPE_WEEKS}) GROUP BY 1"""
+  round((arg_max(y, i) - arg_min(y, i)) / (count(*) - 1), 6) + 0 AS coefficient FROM ({FILLED}) GROUP BY 1"""
 )
 def stored_drift_models(spark, d):
     path = fresh_folder(spark, "drift")
