@@ -37,14 +37,15 @@ def project_inventory(history, keys, horizon=30, date="date", quantity="quantity
     """Daily level for `horizon` days after the last snapshot: yesterday's level less the usage, never below zero.
 
     The day-by-day rule has a closed form. Falling stock stops at zero; rising stock (negative usage) is cut at zero only
-    on the first day. Fewer than two snapshots give no usage and NULL levels.
+    on the first day. Fewer than two snapshots give no usage and NULL levels, and so
+    does a last snapshot without a level.
     """
     state = daily_usage(history, keys, date, quantity)
     day, usage, last = F.col("_day"), F.col("daily_usage"), F.col("last_level")
     zero = F.lit(0.0)
-    level = F.when(usage >= 0, F.greatest(last - usage * day, zero)).when(
-        usage < 0, F.greatest(last - usage, zero) - usage * (day - 1)
-    )
+    falling = F.greatest(last - usage * day, zero)
+    rising = F.greatest(last - usage, zero) - usage * (day - 1)
+    level = F.when(last.isNull() | usage.isNull(), None).when(usage >= 0, falling).otherwise(rising)
     days = state.withColumn("_day", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     return days.select(*keys, F.expr("date_add(last_date, _day)").alias("date"), level.alias("inventory_level"))
 

@@ -14,7 +14,7 @@ from stockloom.session import local_session
 
 def main():
     sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark = local_session("8")
+    spark = local_session("8", **dict(pair.split("=") for pair in os.environ.get("SPARK_CONF", "").split(",") if pair))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()

@@ -14,7 +14,7 @@ def history(frame, series):
 
 def project_by_walking(levels, horizon):
     falls = [a - b for a, b in zip(levels, levels[1:]) if a is not None and b is not None]
-    if not falls:
+    if not falls or levels[-1] is None:
         return [None] * horizon
     usage, level, out = sum(falls) / len(falls) / 7, levels[-1], []
     for _ in range(horizon):
@@ -31,6 +31,7 @@ SERIES = {
     "gap": [100.0, 90.0, None, 60.0, 55.0],
     "flat": [7.0, 7.0],
     "single": [5.0],
+    "last unknown": [9.0, 6.0, None],
 }
 
 
