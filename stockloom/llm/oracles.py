@@ -22,3 +22,50 @@ def decontamination(documents="documents", benchmark="benchmark"):
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(hit.n, 0)::bigint AS n_hit, coalesce(found.n, 0)::bigint AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)"""
+
+
+def line_templates(documents="documents", least=6, depth=3, support=3, fixed=70, min_docs=5):
+    ws = "[ \\t\\x0B\\f\\r]"
+    return f"""WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM {documents}),
+  ln AS (SELECT rid, doc_id, text, k AS line_no, list_transform(string_split_regex(regexp_replace(ls[k], '^{ws}+|{ws}+$', '', 'g'), '{ws}+'),
+      lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS tk
+    FROM doc, unnest(range(1, len(ls) + 1)) u(k)),
+  l AS (SELECT rid, doc_id, text, line_no, len(tk) || ' ' || array_to_string(tk[1:{depth}], ' ') AS leaf, tk, array_to_string(tk, ' ') AS sig
+    FROM ln WHERE len(tk) >= {least}),
+  d AS (SELECT DISTINCT leaf, sig, tk FROM l),
+  o AS (SELECT d.* FROM d JOIN (SELECT leaf FROM d GROUP BY leaf HAVING count(*) >= {support}) USING (leaf)),
+  p AS (SELECT leaf, sig, k AS place, tk[k] AS token FROM o, unnest(range(1, len(tk) + 1)) u(k)),
+  kn AS (SELECT leaf, place, token FROM p GROUP BY ALL HAVING count(*) >= {support}),
+  w AS (SELECT leaf, sig, list(CASE WHEN kn.token IS NULL THEN '<*>' ELSE p.token END ORDER BY p.place) AS tk
+    FROM p LEFT JOIN kn USING (leaf, place, token) GROUP BY leaf, sig),
+  t AS (SELECT sig, array_to_string(tk, ' ') AS template FROM w WHERE 100 * len(list_filter(tk, lambda x: x <> '<*>')) >= {fixed} * len(tk)),
+  h AS (SELECT rid, doc_id, text, line_no, coalesce(template, sig) AS template FROM l LEFT JOIN t USING (sig)),
+  r AS (SELECT template, min(doc_id) AS doc_id FROM (SELECT DISTINCT template, doc_id, text FROM h) GROUP BY template HAVING count(*) >= {min_docs}),
+  f AS (SELECT template, r.doc_id, min(h.line_no) AS line_no FROM r JOIN h USING (template, doc_id) GROUP BY ALL),
+  g AS (SELECT rid, list(h.line_no) AS gone FROM h JOIN f USING (template) WHERE NOT (h.doc_id = f.doc_id AND h.line_no = f.line_no) GROUP BY rid)
+SELECT doc_id, coalesce(len(ls), 0)::bigint AS lines, coalesce(len(gone), 0)::bigint AS dropped,
+  sha256(coalesce(CASE WHEN gone IS NULL THEN text
+    ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda k: NOT list_contains(gone, k)), lambda k: ls[k]), chr(10)) END, '')) AS text_sha256
+FROM doc LEFT JOIN g USING (rid)"""
+
+
+def mixing(documents="documents", parts=100, block_chars=32768):
+    return f"""WITH RECURSIVE size AS (SELECT source, sum(coalesce(length(text), 0)) AS chars FROM {documents} GROUP BY 1),
+  share AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS k,
+    greatest(1, floor({parts} * sqrt(chars / (SELECT greatest(1, sum(chars)) FROM size)::double) + 0.5))::bigint AS w FROM size),
+  ws AS (SELECT list(w ORDER BY k) AS w, sum(w)::bigint AS t FROM share),
+  edf AS (SELECT 0::bigint AS slot, list_transform(w, lambda x: 0::bigint) AS done, 0::bigint AS pick FROM ws
+    UNION ALL
+    SELECT slot + 1, list_transform(done, lambda x, i: x + (i = p)::bigint), p FROM (
+      SELECT slot, done, list_min(list_transform(
+        list_filter(range(1, len(w) + 1), lambda k: done[k] < w[k] AND (done[k] * t) // w[k] <= slot),
+        lambda k: (((done[k] + 1) * t + w[k] - 1) // w[k]) * 100000 + k)) % 100000 AS p
+      FROM edf, ws WHERE slot < t)),
+  turn AS (SELECT share.source, share.w, slot - 1 AS slot, done[pick] - 1 AS turn FROM edf JOIN share ON pick = share.k WHERE slot > 0),
+  doc AS (SELECT doc_id, source, coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY source
+      ORDER BY md5(coalesce(doc_id::varchar, '')), md5(coalesce(text, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before
+    FROM {documents}),
+  b AS (SELECT doc.*, before // {block_chars} AS block FROM doc)
+SELECT doc_id, b.source, block, (block // w) * t + turn.slot AS slot, (block // w) * t + (turn * t) // w AS release,
+  (block // w) * t + ((turn + 1) * t + w - 1) // w AS due, before % {block_chars} AS place
+FROM b CROSS JOIN (SELECT t FROM ws) LEFT JOIN turn ON turn.source IS NOT DISTINCT FROM b.source AND turn.turn = block % turn.w"""

@@ -1,6 +1,6 @@
 """The registered queries of this package, on the given tables."""
 
-from stockloom.llm import decontaminate, near_copies, oracles
+from stockloom.llm import decontaminate, line_quality, line_templates, mixing, near_copies, oracles
 
 QUERIES = {}
 ORACLES = {}
@@ -20,6 +20,22 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_line_field_quality(spark, sf_dir):
+    return line_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(oracles.line_templates())
+def op2_log_template_lines(spark, sf_dir):
+    return line_templates.report(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.mixing())
+def op6_pfair_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.report(docs, mixing.tempered_shares(docs))
+
+
 @query()
 def op7_simhash_near_dedup(spark, sf_dir):
     return near_copies.report(table(spark, sf_dir, "documents"))
