@@ -69,3 +69,24 @@ def mixing(documents="documents", parts=100, block_chars=32768):
 SELECT doc_id, b.source, block, (block // w) * t + turn.slot AS slot, (block // w) * t + (turn * t) // w AS release,
   (block // w) * t + ((turn + 1) * t + w - 1) // w AS due, before % {block_chars} AS place
 FROM b CROSS JOIN (SELECT t FROM ws) LEFT JOIN turn ON turn.source IS NOT DISTINCT FROM b.source AND turn.turn = block % turn.w"""
+
+
+def backoff(documents="documents", alpha=0.4):
+    words = f"coalesce(regexp_extract_all({small('text')}, '[^ \\t\\n\\x0B\\f\\r]+'), [])"
+    return f"""WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM {documents}),
+  pos AS (SELECT rid, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM doc, unnest(range(1, len(w) + 1)) u(i)),
+  own1 AS (SELECT rid, b, count(*) AS n FROM pos GROUP BY ALL),
+  own2 AS (SELECT rid, a, b, count(*) AS n FROM pos WHERE a IS NOT NULL GROUP BY ALL),
+  all1 AS (SELECT b, sum(n) AS n FROM own1 GROUP BY 1),
+  all2 AS (SELECT a, b, sum(n) AS n FROM own2 GROUP BY 1, 2),
+  size AS (SELECT sum(len(w)) AS n FROM doc),
+  rest AS (SELECT rid, i, a, all1.n - own1.n AS one, coalesce(all2.n - own2.n, 0) AS two, coalesce(al.n - ol.n, 0) AS before
+    FROM pos JOIN own1 USING (rid, b) JOIN all1 USING (b) LEFT JOIN own2 USING (rid, a, b) LEFT JOIN all2 USING (a, b)
+    LEFT JOIN own1 ol ON ol.rid = pos.rid AND ol.b = pos.a LEFT JOIN all1 al ON al.b = pos.a),
+  part AS (SELECT rid, two > 0 AS found, a IS NOT NULL AS follows,
+    CASE WHEN two > 0 THEN log10(two) - log10(before)
+      ELSE CASE WHEN a IS NULL THEN 0 ELSE log10({alpha}) END + CASE WHEN one > 0 THEN log10(one) ELSE log10({alpha}) END END AS l FROM rest),
+  s AS (SELECT rid, sum(l) AS l, count(*) FILTER (NOT found) AS alone, count(*) FILTER (NOT found AND follows) AS back FROM part GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(back, 0)::bigint AS backed_off,
+  CASE WHEN len(w) > 0 AND size.n > len(w) THEN round((l - alone * log10(size.n - len(w))) / len(w), 6) END AS score
+FROM doc CROSS JOIN size LEFT JOIN s USING (rid)"""

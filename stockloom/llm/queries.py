@@ -1,6 +1,6 @@
 """The registered queries of this package, on the given tables."""
 
-from stockloom.llm import decontaminate, line_quality, line_templates, mixing, near_copies, oracles
+from stockloom.llm import backoff, decontaminate, line_quality, line_templates, mixing, near_copies, oracles, separators, unit_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -30,6 +30,16 @@ def op2_log_template_lines(spark, sf_dir):
     return line_templates.report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_separator_scan_token_counts(spark, sf_dir):
+    return separators.report(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.backoff())
+def op5_stupid_backoff_scores(spark, sf_dir):
+    return backoff.scores(table(spark, sf_dir, "documents"))
+
+
 @query(oracles.mixing())
 def op6_pfair_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -41,6 +51,11 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return near_copies.report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_repeated_units(spark, sf_dir):
+    return unit_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query(oracles.decontamination())
 def op10_wu_manber_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
