@@ -1,6 +1,11 @@
 """The registered queries of this package, on the given tables."""
 
-from stockloom.llm import backoff, decontaminate, line_quality, line_templates, mixing, near_copies, oracles, separators, unit_dedup
+from stockloom.llm import backoff, decontaminate, line_quality, line_templates, mixing, near_copies, oracles, separators, unit_dedup, url_filter
+
+#: Fixed values of the query's contract: verdict, and host with the start of the path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+#: Host words that label addresses as unwanted; the others are labelled wanted.
+UNWANTED = ["ads", "adult", "bets", "casino", "pills", "spam"]
 
 QUERIES = {}
 ORACLES = {}
@@ -56,6 +61,13 @@ def op8_repeated_units(spark, sf_dir):
     return unit_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_host_words_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    counts = url_filter.word_counts(pages, "html", markup=True)
+    return url_filter.judged(pages, URL_RULES, lambda host, path: url_filter.names_any(host, UNWANTED), counts)
+
+
 @query(oracles.decontamination())
 def op10_wu_manber_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
