@@ -1,6 +1,6 @@
 """The registered queries of this package, on the given tables."""
 
-from stockloom.llm import backoff, decontaminate, line_quality, line_templates, mixing, near_copies, oracles, separators, unit_dedup, url_filter
+from stockloom.llm import backoff, decontaminate, line_quality, line_templates, mixing, near_copies, oracles, secret_scan, separators, unit_dedup, url_filter
 
 #: Fixed values of the query's contract: verdict, and host with the start of the path.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -35,6 +35,11 @@ def op2_log_template_lines(spark, sf_dir):
     return line_templates.report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_forest_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.known_findings)
+
+
 @query()
 def op4_separator_scan_token_counts(spark, sf_dir):
     return separators.report(table(spark, sf_dir, "documents"))

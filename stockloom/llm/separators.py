@@ -127,7 +127,7 @@ def document_spans(spark, folder, end=END, width=2, block_bytes=BLOCK_BYTES, glo
         (F.col("before") + F.col("k")).alias("ordinal"),
         start.alias("start"),
         (F.col("stop") - start).alias("n_tokens"),
-        ~(F.col("final") & (F.col("stop") == F.col("read"))).alias("closed"),
+        (~(F.col("final") & (F.col("stop") == F.col("read")))).alias("closed"),
     )
 
 

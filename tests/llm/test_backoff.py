@@ -1,0 +1,63 @@
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from stockloom.llm import backoff
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def brute(rows, order, alpha=0.4):
+    texts = [words(t) for _, t in rows]
+    own = [Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in texts]
+    total = sum(own, Counter())
+    size = sum(map(len, texts))
+    out = []
+    for (doc_id, _), w, mine in zip(rows, texts, own):
+        rest, logs, back = size - len(w), 0.0, 0
+        for i in range(len(w)):
+            longest = min(i, order - 1)
+            for n in range(longest, 0, -1):
+                gram = tuple(w[i - n : i + 1])
+                if total[gram] > mine[gram]:
+                    logs += math.log10((total[gram] - mine[gram]) / (total[gram[:-1]] - mine[gram[:-1]]) * alpha ** (longest - n))
+                    break
+            else:
+                single = total[(w[i],)] - mine[(w[i],)]
+                if rest:
+                    logs += math.log10((single or alpha) / rest * alpha**longest)
+                back += i > 0
+        out.append((doc_id, len(w), back, logs / len(w) if w and rest else None))
+    return out
+
+
+def rows(n):
+    rng = random.Random(8)
+    return [(k, " ".join(f"{'W' if rng.random() < 0.1 else 'w'}{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.choice([0, 1, 2, 30, 90])))) for k in range(n)]
+
+
+ROWS = rows(80) + [(100, None), (101, ""), (102, "  \n\t "), (103, "unheard"), (None, "w1 w2 w3"), (7, "w1 w1 w1 w1"), (7, "w1 w1 w1 w1"), (104, "w0 w1 " * 4000)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("chunk_chars", [backoff.CHUNK_CHARS, 5000])
+def test_scores_against_plain_counts(frame, order, chunk_chars):
+    docs = frame([(*r, 1, "c") for r in ROWS], "doc_id long, text string, n_words int, chunk string")
+    got = sorted((tuple(r) for r in backoff.scores(docs, order=order, chunk_chars=chunk_chars).collect()), key=lambda r: repr(r[:3]))
+    want = sorted(brute(ROWS, order), key=lambda r: repr(r[:3]))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    for g, w in zip(sorted(got, key=repr), sorted(want, key=repr)):
+        assert (g[3] is None) == (w[3] is None)
+    key = lambda r: (repr(r[0]), r[1], r[2], r[3] if r[3] is not None else 0)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[3] == (None if w[3] is None else pytest.approx(w[3], abs=1e-6))
+
+
+def test_alone_and_empty(frame):
+    assert [tuple(r) for r in backoff.scores(frame([(1, "a b")], "doc_id long, text string")).collect()] == [(1, 2, 1, None)]
+    assert backoff.scores(frame([], "doc_id long, text string")).count() == 0
