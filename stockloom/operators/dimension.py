@@ -8,12 +8,13 @@ from stockloom.operators.aggregate import collapse_items
 def _merged(target, new, key, given):
     """Rows of `new` (one per key) replace the `given` columns of the target row of the same key, or are added to it.
 
-    One full join, so that both sides are read once.
+    Rows of `new` without a key are left out; rows of the target without one stay as they are. One full join, so that both
+    sides are read once.
     """
-    packed = new.select(F.col(key).alias("_key"), F.struct(*given).alias("_new"))
+    new = new.filter(F.col(key).isNotNull())
+    packed = new.select(F.col(key).alias("_key"), F.struct(*given).alias("_new"), F.lit(True).alias("_matched"))
     joined = target.join(packed, F.col(key) == F.col("_key"), "full_outer")
-    matched = F.col("_key").isNotNull()
-    columns = {c: F.when(matched, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in given}
+    columns = {c: F.when(F.col("_matched"), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in given}
     columns[key] = F.coalesce(F.col(key), F.col("_key"))
     return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in target.columns])
 
@@ -37,7 +38,7 @@ def upsert_by_key(target, updates, key, order):
     Of several updates for a key the last by `order` counts.
     """
     given = [c for c in updates.columns if c in target.columns and c != key]
-    return _merged(target, latest_by_key(updates.filter(F.col(key).isNotNull()), key, order), key, given)
+    return _merged(target, latest_by_key(updates, key, order), key, given)
 
 
 def delete_by_key(target, keys_df, key):

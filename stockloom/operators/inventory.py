@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stockloom.operators.keys import join_by_keys
+
 
 def daily_usage(history, keys, date="date", quantity="quantity_on_hand"):
     """Mean fall of the level from one snapshot to the next, divided by 7, with the last date and level of each key.
@@ -27,10 +29,10 @@ def daily_usage(history, keys, date="date", quantity="quantity_on_hand"):
     gapped = summed.filter("_gaps").select(*keys)
     fall = F.lag(level).over(Window.partitionBy(*keys).orderBy(date)) - level
     any_gap = history.agg(F.coalesce(F.bool_or(level.isNull()), F.lit(False)).alias("gap"))
-    walked = history.filter(any_gap.scalar()).join(gapped, keys, "left_semi").withColumn("_fall", fall)
+    walked = history.filter(any_gap.scalar()).transform(join_by_keys, gapped, keys, "left_semi").withColumn("_fall", fall)
     walked = walked.groupBy(*keys).agg((F.avg("_fall") / 7).alias("_walked"))
     usage = F.when(F.col("_gaps"), F.col("_walked")).otherwise(F.col("_plain"))
-    return summed.join(walked, keys, "left").select(*keys, usage.alias("daily_usage"), "last_date", "last_level")
+    return join_by_keys(summed, walked, keys, "left").select(*keys, usage.alias("daily_usage"), "last_date", "last_level")
 
 
 def project_inventory(history, keys, horizon=30, date="date", quantity="quantity_on_hand"):

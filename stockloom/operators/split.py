@@ -3,45 +3,41 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stockloom.operators.keys import join_by_keys
 from stockloom.session import shared_folder
 
 
 def split_frames(df, key_cols, test=0.2, cal=0.2, seed=42):
     """Add `split`: test (ceil(n * test) rows), cal (ceil(rest * cal)) or train, at random but the same on every run.
 
-    `key_cols` identify a row. Rows are ordered by a hash of key and seed. Its top 16 bits put them in 65,536 buckets of
-    about equal size; one count per bucket tells which buckets fall wholly into a part, and only the two buckets that hold
-    a border are ranked row by row. All other rows are labelled where they are read.
+    `key_cols` identify a row. Rows are ordered by a hash of key and seed. Counts per its top 16 bits tell which of 65,536 buckets
+    hold the first row of cal and of train, and only those are ranked row by row. All other rows are labelled in one reading, by
+    comparison with these two; rows that share the key of one of the two are labelled by rank.
     """
-    hashed = df.withColumn("_h", F.xxhash64(*key_cols, F.lit(seed)))
-    hashed = hashed.withColumn("_bucket", F.shiftrightunsigned("_h", 48).cast("int"))
+    placed = F.struct(F.xxhash64(*key_cols, F.lit(seed)).alias("h"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(key_cols)])
+    rows = df.select(F.struct(*df.columns).alias("_row"), placed.alias("_at"))
+    bucket = F.shiftright("_at.h", 48).cast("int")
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    counts = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    total = Window.partitionBy()
     n_test = F.ceil(F.col("_n") * F.lit(test))
-    n_cal = F.ceil((F.col("_n") - F.col("_t")) * F.lit(cal))
-    borders = (
-        counts.withColumns({"_end": F.sum("_c").over(upto), "_n": F.sum("_c").over(total)})
-        .withColumn("_t", n_test)
-        .withColumn("_k", F.col("_t") + n_cal)
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-    )
-    whole = (
-        F.when(F.col("_end") <= F.col("_t"), "test")
-        .when((F.col("_start") >= F.col("_t")) & (F.col("_end") <= F.col("_k")), "cal")
-        .when(F.col("_start") >= F.col("_k"), "train")
-    )
-    # At most 65,536 rows, so sending them to every task is safe.
-    marks = F.broadcast(borders.select("_bucket", "_start", "_t", "_k", whole.alias("_whole")))
-    marked = hashed.join(marks, "_bucket")
-    settled = marked.filter(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
-    in_bucket = Window.partitionBy("_bucket").orderBy("_h", *key_cols)
-    cut = marked.filter(F.col("_whole").isNull()).withColumn(
-        "_pos", F.col("_start") + F.row_number().over(in_bucket) - 1
-    )
-    cut = cut.withColumn("split", F.when(F.col("_pos") < F.col("_t"), "test").when(F.col("_pos") < F.col("_k"), "cal").otherwise("train"))
-    columns = [*df.columns, "split"]
-    return settled.select(*columns).unionByName(cut.select(*columns))
+    n_cal = F.ceil((F.col("_n") - n_test) * F.lit(cal))
+    # At most 65,536 rows; those that hold a border are one or two.
+    counts = rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumns({"_end": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy())})
+    counts = counts.select("_bucket", "_end", (F.col("_end") - F.col("_c")).alias("_start"), n_test.alias("_t"), (n_test + n_cal).alias("_k"))
+    holds = [(F.col("_start") <= F.col(c)) & (F.col(c) < F.col("_end")) for c in ("_t", "_k")]
+    ranked = rows.withColumn("_bucket", bucket).join(F.broadcast(counts.filter(holds[0] | holds[1])), "_bucket")
+    ranked = ranked.withColumn("_pos", F.col("_start") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_at")) - 1)
+    first = {c: ranked.filter(F.col("_pos") == F.col(c)).agg(F.max("_at").alias("_first")) for c in ("_t", "_k")}
+
+    def compared(c):
+        return F.coalesce(F.col("_at") < first[c].scalar(), F.lit(True)), F.coalesce(F.col("_at") == first[c].scalar(), F.lit(False))
+
+    (is_test, at_cal), (before_train, at_train) = compared("_t"), compared("_k")
+    tied = at_cal | at_train
+    settled = rows.filter(~tied).withColumn("split", F.when(is_test, "test").when(before_train, "cal").otherwise("train"))
+    by_rank = F.when(F.col("_pos") < F.col("_t"), "test").when(F.col("_pos") < F.col("_k"), "cal").otherwise("train")
+    ends = ranked.filter(tied).withColumn("split", by_rank)
+    return settled.select("_row.*", "split").unionByName(ends.select("_row.*", "split"))
 
 
 def running_total(df, order, value, out):
@@ -66,24 +62,26 @@ def time_split(df, order, frac=0.2, keys=(), mode="by_key"):
     """Add `split`: the last ceil(n * frac) rows are test.
 
     `by_key` takes the last rows of every key by time. `global` orders all rows by (keys, time), so the test part is made
-    of the last keys; only the key that holds the border is split by rank.
+    of the last keys. NULL is a key like any other. Rows are counted per key and time first, and of those groups only the ones that
+    hold a border are ranked row by row, so a key with very many rows is not sorted in one task.
     """
     keys = list(keys)
     if mode not in ("by_key", "global"):
         raise ValueError("mode must be by_key or global")
-    ranked = Window.partitionBy(*keys).orderBy(order)
-    label = F.when(F.col("_pos") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(frac)), "train").otherwise("test")
+    spot = [*keys, order]
+    counts = df.groupBy(*spot).agg(F.count(F.lit(1)).alias("_c"))
     if mode == "by_key":
-        placed = df.withColumns({"_pos": F.row_number().over(ranked), "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-        return placed.withColumn("split", label).drop("_pos", "_n")
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ends = running_total(counts, keys, "_c", "_end").withColumn("_n", n.scalar())
+        upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        ends = counts.withColumns({"_end": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    else:
+        n = df.agg(F.count(F.lit(1)).alias("_n"))
+        ends = running_total(counts, spot, "_c", "_end").withColumn("_n", n.scalar())
     ends = ends.withColumn("_cut", F.col("_n") - F.ceil(F.col("_n") * F.lit(frac))).withColumn("_start", F.col("_end") - F.col("_c"))
     whole = F.when(F.col("_end") <= F.col("_cut"), "train").when(F.col("_start") >= F.col("_cut"), "test")
-    marked = df.join(ends.select(*keys, "_start", "_cut", whole.alias("split")), keys)
+    marked = join_by_keys(df, ends.select(*spot, "_start", "_cut", whole.alias("split")), spot)
     settled = marked.filter(F.col("split").isNotNull())
-    position = F.col("_start") + F.row_number().over(ranked)
+    rest = [c for c in df.columns if c not in spot]
+    position = F.col("_start") + F.row_number().over(Window.partitionBy(*spot).orderBy(*(rest or spot)))
     border = marked.filter(F.col("split").isNull()).withColumn("_pos", position)
     border = border.withColumn("split", F.when(F.col("_pos") <= F.col("_cut"), "train").otherwise("test"))
     columns = [*df.columns, "split"]

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.records import null_nan
-from stockloom.operators.sized import join_measured
+from stockloom.operators.keys import join_by_keys
 
 # Fixed value: smallest denominator of the relative error, the double machine epsilon.
 MAPE_FLOOR = 2.220446049250313e-16
@@ -25,79 +25,65 @@ def mape(df, actual, predicted, keys=()):
 
 
 def exact_quantile(df, value, q, keys=(), accuracy=10_000, out="quantile"):
-    """Exact quantile with linear interpolation per key, without collecting or sorting a whole key.
+    """Exact quantile with linear interpolation per key, without collecting or sorting a whole key. NULL is a key like any other.
 
-    A mergeable sketch brackets the wanted ranks. Rows below the bracket are only counted; those inside, about n * 4 /
-    accuracy, are counted per distinct value, and of those only a strip around each rank is ordered. Whether the bracket holds the ranks is checked by the counts: if it
-    does not, the range beyond it is taken in, so the result is exact whatever the sketch returns.
+    The rows are read twice. A mergeable sketch brackets the wanted ranks; then one aggregate counts the rows below the bracket and, per
+    distinct value, those inside, about n * 16 / accuracy. Of these only a strip around each rank is ordered. The sketch's error is at
+    most n / accuracy, an eighth of the bracket's margin; should a bracket miss its ranks all the same, the query fails. Keys of up to
+    `accuracy` rows need no bracket.
     """
     keys = list(keys)
-    x, rank_lo, rank_hi = F.col("_x"), F.col("_lo"), F.col("_hi")
+    x = F.col("_x")
     rows = df.select(*keys, null_nan(F.col(value)).alias("_x")).filter(x.isNotNull())
+    # Without keys all rows have one, which the optimizer cannot take for a constant: the value is never NaN.
+    by = keys or ["_all"]
+    rows = rows if keys else rows.withColumn("_all", F.isnan("_x"))
 
-    margin = 2.0 / accuracy
+    margin = 8.0 / accuracy
     ends = [max(0.0, q - margin), min(1.0, q + margin)]
     place = (F.col("_n") - 1) * F.lit(float(q))
-    sketch = rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", ends, accuracy).alias("_e"))
-    state = sketch.filter(F.col("_n") > 0).select(
-        *keys,
-        place.alias("_place"),
-        F.floor(place).alias("_lo"),
-        F.ceil(place).alias("_hi"),
-        F.col("_e")[0].alias("_b0"),
-        F.col("_e")[1].alias("_b1"),
+    sketch = rows.groupBy(*by).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", ends, accuracy).alias("_e"))
+    few = F.col("_n") <= accuracy
+    state = sketch.select(
+        *by,
+        F.struct(
+            place.alias("place"),
+            F.floor(place).alias("lo"),
+            F.ceil(place).alias("hi"),
+            F.when(few, float("-inf")).otherwise(F.col("_e")[0]).alias("b0"),
+            F.when(few, float("inf")).otherwise(F.col("_e")[1]).alias("b1"),
+            F.col("_e")[0].alias("s0"),
+            F.col("_e")[1].alias("s1"),
+        ).alias("_s"),
     )
-    below, above = x < F.col("_b0"), x > F.col("_b1")
-    counted = _attach(rows, state, keys).groupBy(*keys).agg(
-        F.count_if(below).alias("_below"),
-        F.count_if(~below & ~above).alias("_in"),
-        *[F.first(c).alias(c) for c in ("_place", "_lo", "_hi", "_b0", "_b1")],
-    )
-    fits_low = rank_lo >= F.col("_below")
-    fits_high = rank_hi < F.col("_below") + F.col("_in")
-    bracket = counted.select(
-        *keys,
-        "_place",
-        "_lo",
-        "_hi",
-        "_b0",
-        "_b1",
-        F.when(fits_low, F.col("_below")).otherwise(0).alias("_skip"),
-        F.when(fits_low, F.col("_b0")).otherwise(float("-inf")).alias("_from"),
-        F.when(fits_high, F.col("_b1")).otherwise(float("inf")).alias("_to"),
-    )
-    inside = _attach(rows, bracket, keys).filter((x >= F.col("_from")) & (x <= F.col("_to")))
-    carried = ("_place", "_lo", "_hi", "_skip", "_b0", "_b1")
-    values = inside.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in carried])
-
-    # Cut the bracket into strips of equal width. Their counts say which strips hold the ranks; only those are ordered.
-    share_of_width = F.try_divide(x - F.col("_b0"), F.col("_b1") - F.col("_b0"))
-    strip = F.when(below, -1).when(above, STRIPS).otherwise(F.coalesce(F.floor(share_of_width * (STRIPS - 1)), F.lit(0)))
-    values = values.withColumn("_strip", strip.cast("int"))
-    before = Window.partitionBy(*keys).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
-    strips = values.groupBy(*keys, "_strip").agg(F.sum("_c").alias("_rows"), *[F.first(c).alias(c) for c in carried[:4]])
-    strips = strips.withColumn("_start", F.col("_skip") + F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    wanted = strips.filter((F.col("_start") <= rank_hi) & (rank_lo < F.col("_start") + F.col("_rows")))
-    kept = values.select(*keys, "_x", "_c", "_strip").join(wanted.drop("_skip", "_rows"), [*keys, "_strip"])
-
-    upto = Window.partitionBy(*keys, "_strip").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    lo, hi = F.col("_s.lo"), F.col("_s.hi")
+    below, above = x < F.col("_s.b0"), x > F.col("_s.b1")
+    # Strips of equal width between the sketch's ends; the first and last also take what lies beyond them inside the bracket.
+    share_of_width = F.try_divide(x - F.col("_s.s0"), F.col("_s.s1") - F.col("_s.s0"))
+    inner = F.least(F.greatest(F.floor(F.coalesce(share_of_width, F.lit(0.0)) * STRIPS), F.lit(0)), F.lit(STRIPS - 1))
+    strip = F.when(below, -1).when(above, STRIPS).otherwise(inner).cast("int")
+    tagged = join_by_keys(rows, state, by).withColumn("_strip", strip)
+    tagged = tagged.withColumn("_x", F.when(F.col("_strip").between(0, STRIPS - 1), x))
+    values = tagged.groupBy(*by, "_strip", "_x").agg(F.count(F.lit(1)).alias("_c"), F.first("_s").alias("_s"))
+
+    before = Window.partitionBy(*by).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    strips = values.groupBy(*by, "_strip").agg(F.sum("_c").alias("_rows"), F.first("_s").alias("_s"))
+    strips = strips.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    wanted = strips.filter((F.col("_start") <= hi) & (lo < F.col("_start") + F.col("_rows")))
+    missed = F.raise_error(F.lit("a quantile's bracket does not hold its ranks"))
+    wanted = wanted.withColumn("_start", F.when(F.col("_strip").between(0, STRIPS - 1), F.col("_start")).otherwise(missed.cast("long")))
+    kept = join_by_keys(values.select(*by, "_strip", "_x", "_c"), wanted.drop("_rows"), [*by, "_strip"])
+
+    upto = Window.partitionBy(*by, "_strip").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = kept.withColumn("_end", F.sum("_c").over(upto) + F.col("_start"))
     first = F.col("_end") - F.col("_c")
 
     def at(rank):
         return F.max(F.when((first <= rank) & (rank < F.col("_end")), x))
 
-    share = F.max(F.col("_place") - rank_lo)
-    low, high = at(rank_lo), at(rank_hi)
-    return ranked.groupBy(*keys).agg((low + (high - low) * share).alias(out))
-
-
-def _attach(frame, state, keys):
-    """Join per-key state. Without keys the state is a single row, which comes in as one scalar subquery."""
-    if keys:
-        return join_measured(frame, state, keys)
-    packed = state.select(F.struct(*state.columns).alias("_state"))
-    return frame.withColumn("_state", packed.scalar()).select(*frame.columns, "_state.*")
+    low, high = at(lo), at(hi)
+    found = ranked.groupBy(*by).agg((low + (high - low) * F.max(F.col("_s.place") - lo)).alias(out))
+    return found if keys else found.drop("_all")
 
 
 def abs_error_quantile(df, actual, predicted, alpha=0.1, keys=()):
@@ -107,9 +93,11 @@ def abs_error_quantile(df, actual, predicted, alpha=0.1, keys=()):
 
 
 def conformal_intervals(cal, test, actual="actual", predicted="predicted", alpha=0.1, keys=()):
-    """Test rows with lower and upper: prediction minus and plus the error quantile of the calibration rows."""
+    """Test rows with lower and upper: prediction minus and plus the error quantile of the calibration rows.
+
+    Keys may be NULL; a key without calibration rows has NULL bounds."""
     q = abs_error_quantile(cal, actual, predicted, alpha, keys)
-    with_q = join_measured(test, q, keys, "left") if keys else test.withColumn("q", q.scalar())
+    with_q = join_by_keys(test, q, list(keys), "left") if keys else test.withColumn("q", q.scalar())
     return with_q.withColumns({"lower": F.col(predicted) - F.col("q"), "upper": F.col(predicted) + F.col("q")}).drop("q")
 
 
