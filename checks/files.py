@@ -23,7 +23,7 @@ def us_date():
 def csv_scan(spark, d):
     path = fresh_folder(spark, "csv")
     files.write_csv(sales(spark, d).select(us_date(), "bottles", "l_partkey"), path)
-    read = files.read_sales_csv(spark, path, date_format="MM/dd/yyyy")
+    read = files.read_sales_csv(spark, path, schema="date date, bottles int, l_partkey long", date_format="MM/dd/yyyy")
     return iso_weekly_sales(read, "date", "bottles")
 
 
@@ -31,12 +31,13 @@ def csv_scan(spark, d):
 def csv_files_loaded(spark, d):
     root = fresh_folder(spark, "load")
     rows = sales(spark, d).select(us_date(), "bottles", "l_linestatus")
-    for status in ("F", "O"):
+    statuses = [r[0] for r in rows.select("l_linestatus").distinct().orderBy("l_linestatus").collect()]
+    for status in statuses:
         files.write_csv(rows.filter(F.col("l_linestatus") == status), f"{root}/{status}.csv")
-    name = root.rsplit("-", 1)[1]
-    target = f"loaded_{name}"
-    mapping = {"F.csv": target, "missing.csv": target, "O.csv": target}
-    tables.load_mapped(spark, mapping, root, truncate=True, date_format="MM/dd/yyyy", table_path=lambda t: f"{root}/table/{t}")
+    target = f"loaded_{root.rsplit('-', 1)[1]}"
+    mapping = {f"{name}.csv": target for name in [*statuses, "missing"]}
+    schema = "date date, bottles int, l_linestatus string"
+    tables.load_mapped(spark, mapping, root, truncate=True, schema=schema, date_format="MM/dd/yyyy", table_path=lambda t: f"{root}/table/{t}")
     return spark.table(target).groupBy("l_linestatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bottles").cast("long").alias("bottles"), F.max("date").alias("latest")
     )
@@ -105,6 +106,23 @@ def routed_append(spark, d):
     )
 
 
+# Names that look alike as numbers, and an empty one.
+ROUTES = """CASE event_id % 5 WHEN 0 THEN '007' WHEN 1 THEN '7' WHEN 2 THEN '' WHEN 3 THEN 'a=b/c' END"""
+
+
+@query(
+    f"""SELECT coalesce(nullif({ROUTES}, ''), 'default') AS "table", count(*) AS n, sum(event_id)::bigint AS arrivals FROM events GROUP BY ALL"""
+)
+def routed_append_odd_names(spark, d):
+    target = fresh_folder(spark, "routed")
+    events = table(spark, d, "events").withColumn("table", F.expr(ROUTES)).select("table", "event_id")
+    tables.append_routed(events, target, batch_id=0)
+    tables.append_routed(events, target, batch_id=0)
+    tables.compact_routed(spark, target, f"{target}-compact", 1)
+    stored = tables.read_routed(spark, f"{target}-compact")
+    return stored.groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("arrivals"))
+
+
 @query(
     f"""SELECT timestamp, class, confidence, coalesce(source, 'unknown') AS source, coalesce("table", 'default') AS "table", arrival
 FROM ({DETECTIONS})"""

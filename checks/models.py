@@ -1,5 +1,6 @@
 """Errors, quantiles, autocorrelation, splits, forecasts and regression."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import PART_WEEKS, TYPE_WEEKS, part_weeks, query, sales, table, type_weeks
@@ -69,6 +70,32 @@ def error_quantile(spark, d):
     return out.withColumn("q", F.round("q", 4))
 
 
+# Every eleventh part has no key; NULL counts as a key of its own.
+KEYED = f"SELECT * REPLACE (CASE WHEN l_partkey % 11 <> 0 THEN l_linestatus END AS l_linestatus) FROM ({PRICED})"
+
+
+def keyed(spark, d):
+    return priced(spark, d).withColumn("l_linestatus", F.when(F.col("l_partkey") % 11 != 0, F.col("l_linestatus")))
+
+
+@query(f"SELECT l_linestatus, round(quantile_cont(abs(actual - predicted), 0.9), 4) AS q FROM ({KEYED}) GROUP BY 1")
+def error_quantile_null_key(spark, d):
+    out = stats.abs_error_quantile(keyed(spark, d), "actual", "predicted", 0.1, ["l_linestatus"])
+    return out.withColumn("q", F.round("q", 4))
+
+
+@query(
+    f"""WITH p AS ({KEYED}), q AS (SELECT l_linestatus, quantile_cont(abs(actual - predicted), 0.9) AS q FROM p WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_linestatus, round(predicted - q, 4) AS lower, round(predicted + q, 4) AS upper
+FROM p JOIN q ON p.l_linestatus IS NOT DISTINCT FROM q.l_linestatus WHERE l_returnflag <> 'R'""".replace("l_partkey, l_linestatus", "l_partkey, p.l_linestatus")
+)
+def prediction_intervals_null_key(spark, d):
+    rows = keyed(spark, d)
+    cal, test = rows.filter(F.col("l_returnflag") == "R"), rows.filter(F.col("l_returnflag") != "R")
+    out = stats.conformal_intervals(cal, test, keys=["l_linestatus"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+
+
 def intervals_sql(key):
     on = f"JOIN q USING ({key})" if key else "CROSS JOIN q"
     by = f"{key}, " if key else ""
@@ -171,18 +198,33 @@ def time_split_global(spark, d):
     return split.time_split(part_weeks(spark, d), "week_start", 0.2, ["l_partkey"], mode="global")
 
 
-def regular_types(spark, d):
-    return series.regular_weekly(type_weeks(spark, d), "week_start", "qty", ["p_type"])
+SOME_WEEKS = f"""SELECT CASE WHEN l_partkey % 11 <> 0 THEN l_partkey END AS l_partkey, week_start, sum(qty)::bigint AS qty FROM ({PART_WEEKS}) GROUP BY 1, 2"""
 
 
-@query()
-def seasonal_forecasts(spark, d):
-    return forecast.seasonal_forecast(regular_types(spark, d), ["p_type"])
+def some_weeks(spark, d):
+    """Weekly quantity per part, those of every eleventh part under the NULL key."""
+    key = F.when(F.col("l_partkey") % 11 != 0, F.col("l_partkey")).alias("l_partkey")
+    return part_weeks(spark, d).groupBy(key, "week_start").agg(F.sum("qty").alias("qty"))
 
 
-@query()
-def seasonal_forecasts_with_drift(spark, d):
-    return forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[52], trend="ct")
+@query(
+    f"""WITH w AS ({SOME_WEEKS}), p AS (SELECT *, row_number() OVER ({LAST}) AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM w)
+SELECT l_partkey, week_start, qty, CASE WHEN i <= n - ceil(n * 0.2) THEN 'train' ELSE 'test' END AS split FROM p"""
+)
+def time_split_by_null_key(spark, d):
+    return split.time_split(some_weeks(spark, d), "week_start", 0.2, ["l_partkey"])
+
+
+@query(
+    f"""SELECT l_partkey, week_start, qty, CASE WHEN row_number() OVER (ORDER BY l_partkey NULLS FIRST, week_start) <= n - ceil(n * 0.2) THEN 'train' ELSE 'test' END AS split
+FROM ({SOME_WEEKS}), (SELECT count(*) AS n FROM ({SOME_WEEKS}))"""
+)
+def time_split_global_null_key(spark, d):
+    return split.time_split(some_weeks(spark, d), "week_start", 0.2, ["l_partkey"], mode="global")
+
+
+def regular_types(spark, d):
+    return series.regular_weekly(type_weeks(spark, d), "week_start", "qty", ["p_type"])
 
 
 # Every week of a type, missing ones on the line between their neighbours.
@@ -242,10 +284,43 @@ def stored_drift_models(spark, d):
     return stored.withColumn("coefficient", F.round("coefficient", 6))
 
 
-@query()
-def forecast_points(spark, d):
-    ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[1, 13, 52])
-    return series.annotated_points(ahead, ["p_type", "lag"], "date", "forecast", keep=2)
+# The start of each fit in SQL: the differenced series, less a line where the model has a trend. No SQL gives the coefficients, so of the
+# fits it states the start, and that no fit is worse.
+def started(series, key, lags, trend=False):
+    left = "regr_syy(w, i) - coalesce(regr_slope(w, i) * regr_sxy(w, i), 0)" if trend else "sum(w * w)"
+    return f"""WITH y AS ({series}),
+d AS (SELECT {key}, lag, i, y - lag(y) OVER s AS a, lag(y, lag) OVER s - lag(y, lag + 1) OVER s AS b,
+    lag(y, lag + 1) OVER s IS NOT NULL AS whole FROM y, unnest({lags!r}) t(lag) WINDOW s AS (PARTITION BY {key}, lag ORDER BY i)),
+w AS (SELECT {key}, lag, i, CASE WHEN lag = 1 THEN a WHEN whole THEN a - b END AS w FROM d),
+e AS (SELECT {key}, lag, w, row_number() OVER (PARTITION BY {key}, lag ORDER BY i) AS i FROM w WHERE w IS NOT NULL),
+c AS (SELECT {key}, lag, w, i, count(*) OVER (PARTITION BY {key}, lag) AS n, CASE WHEN lag = 1 THEN 1 ELSE 1 + lag END AS skip,
+    CASE WHEN lag = 1 THEN 2 ELSE 4 END + {2 if trend else 0} AS free FROM e),
+f AS (SELECT {key}, lag, {left} AS start_rss FROM c WHERE i > skip AND n - skip > free + 1 GROUP BY ALL),
+t AS (SELECT {key}, max(week_start) AS last, count_if(gap)::int AS gaps FROM y GROUP BY 1)
+SELECT {key}, lag::int AS lag, (last + (7 * h)::int)::date AS date, gaps AS interpolated, start_rss IS NOT NULL AS fitted,
+  round(start_rss / 1000) + 0 AS start_rss, CASE WHEN start_rss IS NOT NULL THEN true END AS no_worse
+FROM (SELECT t.*, lag, h FROM t, unnest({lags!r}) u(lag), range(1, 13) s(h)) LEFT JOIN f USING ({key}, lag)"""
+
+
+def checked_fits(ahead, key):
+    """What SQL can state of fitted forecasts."""
+    fitted = F.col("status").isin("ok", "not_converged") & ~F.isnan("forecast")
+    start = F.round(F.col("start_rss") / 1000)
+    no_worse = F.col("rss") <= F.col("start_rss") * (1 + 1e-9)
+    return ahead.select(key, "lag", "date", "interpolated", F.coalesce(fitted, F.lit(False)).alias("fitted"), start.alias("start_rss"), no_worse.alias("no_worse"))
+
+
+LAGS = [1, 2, 3, 4, 13, 26, 52]
+
+
+@query(started(FILLED, "p_type", LAGS))
+def seasonal_forecasts(spark, d):
+    return checked_fits(forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], with_fit=True), "p_type")
+
+
+@query(started(FILLED, "p_type", [52], trend=True))
+def seasonal_forecasts_with_drift(spark, d):
+    return checked_fits(forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[52], trend="ct", with_fit=True), "p_type")
 
 
 def vendor_weeks(spark, d):
@@ -253,31 +328,91 @@ def vendor_weeks(spark, d):
     return series.regular_weekly(sales(spark, d), "sales_date", "bottles", ["l_suppkey"])
 
 
-@query()
+VENDOR_WEEKS = """SELECT l_suppkey, date_trunc('week', l_shipdate)::date AS week_start, sum(l_quantity)::bigint AS qty FROM lineitem GROUP BY 1, 2"""
+VENDOR_FILLED = FILLED.replace(TYPE_WEEKS, VENDOR_WEEKS).replace("p_type", "l_suppkey")
+
+
+@query(started(VENDOR_FILLED, "l_suppkey", LAGS))
 def vendor_forecasts(spark, d):
-    return forecast.seasonal_forecast(vendor_weeks(spark, d), ["l_suppkey"], lags=[52])
+    return checked_fits(forecast.seasonal_forecast(vendor_weeks(spark, d), ["l_suppkey"], with_fit=True), "l_suppkey")
+
+
+@query(f"SELECT p_type, lag::int AS lag, true AS on_forecast, true AS flags_extremes FROM (SELECT DISTINCT p_type FROM ({TYPE_WEEKS})), unnest([1, 13, 52]) t(lag)")
+def forecast_points(spark, d):
+    """Each point is a value of the forecast of its day, and those that equal the forecast's extreme of their kind are marked global."""
+    ahead = forecast.seasonal_forecast(regular_types(spark, d), ["p_type"], lags=[1, 13, 52]).checkpoint()
+    points = series.annotated_points(ahead, ["p_type", "lag"], "date", "forecast", keep=2)
+    ends = ahead.groupBy("p_type", "lag").agg(F.min("forecast").alias("low"), F.max("forecast").alias("high"))
+    days = ahead.select("p_type", "lag", F.col("date").alias("day"), F.col("forecast").alias("there"))
+    point = points.select("p_type", "lag", F.to_date("timestamp").alias("day"), "value", "type", "is_global")
+    matched = point.join(days, ["p_type", "lag", "day"], "left").join(ends, ["p_type", "lag"])
+    same = F.coalesce(F.col("value") == F.col("there"), F.lit(False))
+    extreme = F.col("value") == F.when(F.col("type") == "min", F.col("low")).otherwise(F.col("high"))
+    return matched.groupBy("p_type", "lag").agg(F.bool_and(same).alias("on_forecast"), F.bool_and(F.col("is_global") == extreme).alias("flags_extremes"))
 
 
-@query()
+@query(
+    f"""SELECT p_type, year(min(week_start))::int AS start_year, year(max(week_start))::int AS end_year,
+  'ar1,ma1,seasonal_ar1,seasonal_ma1' AS names, true AS within_bounds FROM ({FILLED}) GROUP BY 1 HAVING count(*) - 106 > 5"""
+)
 def stored_forecast_models(spark, d):
     path = fresh_folder(spark, "fitted")
     weeks = series.regular_weekly(type_weeks(spark, d), "week_start", "qty", ["p_type"], fill=0)
-    fitted = forecast.fit_models(weeks, ["p_type"], lag=52)
-    tables.save_models(fitted, path)
-    stored = tables.load_models(spark, path)
-    return stored.select("p_type", "start_year", "end_year", F.explode("params").alias("name", "coefficient"))
+    tables.save_models(forecast.fit_models(weeks, ["p_type"], lag=52), path)
+    stored = tables.load_models(spark, path).filter("params IS NOT NULL AND length(model_blob) > 0")
+    within = F.forall(F.map_values("params"), lambda c: F.abs(c) <= 1)
+    return stored.select("p_type", "start_year", "end_year", F.array_join(F.array_sort(F.map_keys("params")), ",").alias("names"), within.alias("within_bounds"))
 
 
-@query()
+@query(
+    f"""WITH v AS (SELECT l_suppkey, week_start, qty FROM ({VENDOR_WEEKS})),
+p AS (SELECT l_suppkey, lag, round(r, 6) + 0 AS r FROM ({acf_sql(VENDOR_WEEKS, 'l_suppkey')}) WHERE lag > 0
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY round(abs(r), 9) DESC, lag) = 1),
+n AS (SELECT l_suppkey, count(*) AS n, floor(count(*) * 0.8)::bigint AS cut FROM v GROUP BY 1),
+u AS (SELECT n.*, CASE WHEN lag > 1 AND lag < cut THEN lag ELSE 0 END AS period FROM n LEFT JOIN p USING (l_suppkey))
+SELECT l_suppkey, n - cut AS test_rows, cut >= greatest(2, 2 * period) AS predicted FROM u"""
+)
 def holdout_error(spark, d):
-    points = stats.with_periodicity(vendor_weeks(spark, d), ["l_suppkey"], "week_start", "sales")
-    return forecast.assess_predictability(points, ["l_suppkey"], "week_start", "sales")
+    """Test rows per vendor, and whether all of them have a forecast."""
+    points = stats.with_periodicity(vendor_weeks(spark, d), ["l_suppkey"], "week_start", "sales").checkpoint()
+    held = forecast.holdout_predictions(points, ["l_suppkey"], "week_start", "sales")
+    by = held.withColumn("predicted", F.nanvl("predicted", F.lit(None))).groupBy("l_suppkey")
+    return by.agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        (F.count("predicted") == F.count(F.lit(1))).alias("predicted"),
+    )
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE y AS (SELECT l_suppkey, list(qty::double ORDER BY week_start) AS ys, count(*) AS n, floor(count(*) * 0.8)::bigint AS cut
+  FROM ({VENDOR_WEEKS}) GROUP BY 1),
+s AS (SELECT l_suppkey, 0::bigint AS t, ys[1] - (ys[2] - ys[1]) AS level, ys[2] - ys[1] AS trend FROM y WHERE cut >= 2
+  UNION ALL SELECT l_suppkey, t + 1, 0.5 * ys[t + 1] + 0.5 * (level + trend),
+    0.1 * (0.5 * ys[t + 1] + 0.5 * (level + trend) - level) + 0.9 * trend FROM s JOIN y USING (l_suppkey) WHERE t < cut)
+SELECT l_suppkey, h::int AS step, ys[cut + h] AS actual, round(level + h * trend, 4) + 0 AS predicted
+FROM s JOIN y USING (l_suppkey), unnest(range(1, n - cut + 1)) u(h) WHERE t = cut"""
+)
+def holdout_with_fixed_weights(spark, d):
+    weeks = aggregate.weekly_series(sales(spark, d), "sales_date", "bottles", ["l_suppkey"], "qty")
+    held = forecast.holdout_predictions(weeks, ["l_suppkey"], "week_start", "qty", weights=(0.5, 0.1, 0.0)).filter(~F.isnan("predicted"))
+    step = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("week_start")).alias("step")
+    return held.select("l_suppkey", step, "actual", F.round("predicted", 4).alias("predicted"))
+
+
+@query(
+    f"""SELECT p_type, 7::bigint AS metrics, true AS periods_valid, true AS ranks_from_one, true AS errors_valid
+FROM ({TYPE_WEEKS}) GROUP BY 1"""
+)
 def metric_analysis(spark, d):
+    """All metrics of every type, with periods of 1 to 52 weeks, ranks from 1 on and errors that are not negative."""
     mart = weekly_sales(type_weeks(spark, d), "week_start", "qty", ["p_type"])
-    return forecast.analyze_metrics(series.dated_mart(mart), keys=["p_type"])
+    found = forecast.analyze_metrics(series.dated_mart(mart), keys=["p_type"])
+    return found.groupBy("p_type").agg(
+        F.count_distinct("metric").alias("metrics"),
+        F.bool_and(F.col("period_weeks").between(1, 52) & (F.abs("periodicity_strength") <= 1)).alias("periods_valid"),
+        ((F.min("periodicity_rank") == 1) & (F.min("predictability_rank") == 1) & (F.max("overall_rank") <= 14)).alias("ranks_from_one"),
+        F.bool_and(F.coalesce(F.col("mape") >= 0, F.lit(True))).alias("errors_valid"),
+    )
 
 
 def vendor_features(spark, d):
@@ -285,15 +420,34 @@ def vendor_features(spark, d):
     return regression.weekly_features(weeks, ["l_suppkey"], "week_start", "qty")
 
 
-@query()
+FEATURE_ROWS = f"""SELECT l_suppkey, week_start FROM ({VENDOR_WEEKS}) QUALIFY lag(qty, 8) OVER (PARTITION BY l_suppkey ORDER BY week_start) IS NOT NULL"""
+
+
+@query(
+    f"""SELECT ceil(count(*) * 0.2)::bigint AS test_rows, 1::bigint AS widths, true AS centred, true AS covers, true AS bounded_error FROM ({FEATURE_ROWS})"""
+)
 def boosted_tree_intervals(spark, d):
+    """Size of the test part, one width of all intervals around the prediction, coverage of about nine in ten, and a squared error of less
+    than one and a half times the variance (the quantities are random, so that there is little to learn)."""
     wide, features = vendor_features(spark, d)
-    _, tested, _ = regression.regress_with_intervals(wide, features, "qty", ["l_suppkey", "week_start"], trees=10)
-    return tested
+    _, tested, _ = regression.regress_with_intervals(wide, features, "qty", ["l_suppkey", "week_start"])
+    actual, predicted = F.col("actual"), F.col("predicted")
+    inside = actual.between(F.col("lower"), F.col("upper")).cast("double")
+    return tested.agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.count_distinct(F.round(F.col("upper") - F.col("lower"), 3)).alias("widths"),
+        F.bool_and(F.abs(F.col("upper") + F.col("lower") - 2 * predicted) < 1e-6 * (1 + F.abs(predicted))).alias("centred"),
+        F.avg(inside).between(0.8, 1.0).alias("covers"),
+        (F.avg((actual - predicted) ** 2) < 1.5 * F.var_pop(actual)).alias("bounded_error"),
+    )
 
 
-@query()
+@query(
+    """SELECT feature, true AS share, true AS sums_to_one
+FROM unnest(['weekofyear', 'month', 'dayofweek', 'year', 'qty_lag_1', 'qty_lag_2', 'qty_lag_4', 'qty_lag_8']) t(feature)"""
+)
 def boosted_tree_importances(spark, d):
     wide, features = vendor_features(spark, d)
-    model = regression.fit_gbt(wide, features, "qty", max_depth=5, trees=10)
-    return regression.feature_importances(spark, model, features)
+    found = regression.feature_importances(spark, regression.fit_gbt(wide, features, "qty", max_depth=5), features)
+    whole = F.abs(F.sum("importance").over(Window.partitionBy()) - 1) < 1e-9
+    return found.select("feature", F.col("importance").between(0, 1).alias("share"), whole.alias("sums_to_one"))

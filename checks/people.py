@@ -93,6 +93,23 @@ REGISTERED = """SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'guest' ELSE 'user' END
   o_orderstatus AS unknown_column, o_orderkey AS seq FROM orders"""
 
 
+@query(
+    f"""WITH u AS (SELECT p_partkey, min(p_name) AS p_name, min(p_type) AS p_type, max(upper(p_name)) AS segment
+  FROM (SELECT CASE WHEN p_partkey % 11 <> 0 THEN p_partkey END AS p_partkey, p_name, p_type FROM part WHERE p_partkey % 3 = 0) GROUP BY 1),
+dim AS (SELECT CASE WHEN p_partkey % 13 <> 0 THEN p_partkey END AS p_partkey, p_name, p_type, segment FROM ({DIM}))
+SELECT coalesce(d.p_partkey, u.p_partkey) AS p_partkey, CASE WHEN u.p_partkey IS NOT NULL THEN u.p_name ELSE d.p_name END AS p_name,
+  CASE WHEN u.p_partkey IS NOT NULL THEN u.p_type ELSE d.p_type END AS p_type,
+  CASE WHEN u.p_partkey IS NOT NULL THEN u.segment ELSE d.segment END AS segment
+FROM dim d FULL JOIN (SELECT * FROM u WHERE p_partkey IS NOT NULL) u ON d.p_partkey = u.p_partkey"""
+)
+def dimension_upsert_null_keys(spark, d):
+    """Updates without a key are left out; dimension rows without one stay."""
+    without = lambda frame, k: frame.withColumn("p_partkey", F.when(F.col("p_partkey") % k != 0, F.col("p_partkey")))
+    updates = without(table(spark, d, "part").filter(F.col("p_partkey") % 3 == 0), 11)
+    updates = updates.select("p_partkey", "p_name", "p_type", F.upper("p_name").alias("segment"))
+    return dimension.upsert_dimension(without(item_dim(spark, d), 13), updates, "p_partkey", ["p_name", "p_type"], "segment")
+
+
 @query(
     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY seq DESC) AS rn FROM ({REGISTERED})),
 last AS (SELECT * FROM r WHERE rn = 1)
@@ -159,7 +176,7 @@ def rule_model(prompt):
 @query("SELECT p_partkey, p_name, p_size, CASE WHEN p_size <> 13 THEN split_part(p_name, ' ', 1) END AS segment FROM part")
 def labelled_items(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
-    return label_items(part, rule_model, ["p_name", "p_size"], "p_partkey", parallelism=8)
+    return label_items(part, rule_model, ["p_name", "p_size"], "p_partkey")
 
 
 @query(

@@ -19,6 +19,22 @@ def daily_usage(spark, d):
     return rounded(inventory.daily_usage(stock_history(spark, d), ["item_id"]), "daily_usage")
 
 
+# Levels of every eleventh item stand under the NULL item, with every fifth week missing.
+GAPPED = f"""SELECT CASE WHEN item_id % 11 <> 0 THEN item_id END AS item_id, date,
+  CASE WHEN week(date) % 5 <> 0 THEN avg(quantity_on_hand) END AS quantity_on_hand FROM ({STOCK}) GROUP BY 1, 2"""
+
+
+@query(
+    f"""SELECT item_id, round(avg(-step) / 7, 6) AS daily_usage, max(date) AS last_date, round(arg_max_null(quantity_on_hand, date), 6) AS last_level
+FROM (SELECT *, quantity_on_hand - lag(quantity_on_hand) OVER (PARTITION BY item_id ORDER BY date) AS step FROM ({GAPPED})) GROUP BY 1"""
+)
+def daily_usage_null_item(spark, d):
+    key = F.when(F.col("item_id") % 11 != 0, F.col("item_id")).alias("item_id")
+    level = F.when(F.weekofyear("date") % 5 != 0, F.avg("quantity_on_hand")).alias("quantity_on_hand")
+    history = stock_history(spark, d).groupBy(key, "date").agg(level)
+    return rounded(inventory.daily_usage(history, ["item_id"]), "daily_usage", "last_level")
+
+
 # Day by day, as the rule is stated: yesterday's level less the usage, never below zero.
 LEVELS = f"""WITH RECURSIVE u AS ({USAGE}),
 l AS (SELECT item_id, daily_usage, last_date AS date, last_level::double AS inventory_level, 0 AS day FROM u

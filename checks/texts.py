@@ -135,10 +135,13 @@ def near_points(spark, d):
     return joins.near_locations(_points(spark, d), _known(spark, d))
 
 
+# The plain rule: points in order of id, each added if nothing known or added before is near.
 @query(
-    f"""WITH n AS (SELECT * FROM ({NEAR}) WHERE match_id IS NULL)
-SELECT * FROM ({KNOWN}) UNION ALL SELECT id, name, latitude, longitude FROM n
-  QUALIFY row_number() OVER (PARTITION BY floor(latitude / 0.0001), floor(longitude / 0.0001) ORDER BY id) = 1"""
+    f"""WITH RECURSIVE n AS (SELECT id, name, latitude, longitude, row_number() OVER (ORDER BY id) AS rn FROM ({NEAR}) WHERE match_id IS NULL),
+s AS (SELECT 0::bigint AS step, []::STRUCT(id BIGINT, name VARCHAR, latitude DOUBLE, longitude DOUBLE)[] AS added
+  UNION ALL SELECT step + 1, CASE WHEN len(list_filter(added, lambda a: abs(a.latitude - n.latitude) < 0.0001 AND abs(a.longitude - n.longitude) < 0.0001)) = 0
+    THEN list_append(added, {{'id': n.id, 'name': n.name, 'latitude': n.latitude, 'longitude': n.longitude}}) ELSE added END FROM s JOIN n ON n.rn = step + 1)
+SELECT * FROM ({KNOWN}) UNION ALL SELECT unnest(added, recursive := true) FROM (SELECT added FROM s ORDER BY step DESC LIMIT 1)"""
 )
 def points_added(spark, d):
     return joins.add_new_locations(_known(spark, d), _points(spark, d))
@@ -149,22 +152,33 @@ DICTIONARY = ["total_sales", "revenue", "product", "region", "customer_id", "ord
 
 
 def words(spark, d):
-    found = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
+    found = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     return table(spark, d, "documents").select(F.explode(found).alias("token")).filter(F.col("token") != "")
 
 
+# DuckDB's edit distance counts bytes, so in the SQL a letter beyond a-z, which no word has, becomes one other sign.
 @query(
-    f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents),
-s AS (SELECT token, word, 1 - levenshtein(token, word) / greatest(length(token), length(word)) AS score
+    f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS token FROM documents),
+s AS (SELECT token, word, 1 - levenshtein(regexp_replace(token, '[^a-z]', '#', 'g'), word) / greatest(length(token), length(word)) AS score
   FROM w, unnest({DICTIONARY!r}) AS t(word))
 SELECT token, word AS match FROM s WHERE score >= 0.4
   QUALIFY row_number() OVER (PARTITION BY token ORDER BY score DESC, word DESC) = 1
 UNION ALL SELECT token, NULL FROM s GROUP BY token HAVING max(score) < 0.4"""
 )
 def words_by_edit_distance(spark, d):
-    return joins.fuzzy_match(words(spark, d), DICTIONARY, 0.4, method="levenshtein")
+    return joins.fuzzy_match(words(spark, d), spark.createDataFrame([(w,) for w in DICTIONARY], "word string"), 0.4)
 
 
-@query()
-def words_by_matching_blocks(spark, d):
-    return joins.fuzzy_match(words(spark, d), DICTIONARY, 0.6)
+@query(
+    r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS token FROM documents),
+p AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS word FROM part),
+s AS (SELECT token, word, 1 - levenshtein(token, word) / greatest(length(token), length(word)) AS score FROM w JOIN p
+  ON abs(length(token) - length(word)) <= 0.25 * greatest(length(token), length(word)) + 1),
+b AS (SELECT token, word FROM s WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY token ORDER BY score DESC, word DESC) = 1)
+SELECT token, word AS match FROM w LEFT JOIN b USING (token)"""
+)
+def words_like_item_names(spark, d):
+    """A dictionary that is a table: the words of the items' names."""
+    tokens = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("token"))
+    names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    return joins.fuzzy_match(tokens, names, 0.75)

@@ -1,17 +1,10 @@
 """Joins by missing label, map, near point, similar word and holiday week."""
 
-import difflib
-from functools import reduce
-from operator import or_
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.dates import monday
-
-MAX_DICTIONARY = 10_000
-UNROLLED = 64
+from stockloom.session import shared_folder
 
 
 def items_to_label(sales, dim, key, label, columns, limit=None):
@@ -35,98 +28,104 @@ def near_locations(points, known, eps=1e-4, lat="latitude", lon="longitude", id_
     """Each point with `match_id` and `match_name` of the known location of least id that is closer than eps in both
     latitude and longitude; NULL when there is none.
 
-    Both sides are put on a grid a hair wider than eps, so a match lies in the 3 x 3 cells around the point. The known
-    side is collapsed to one row per cell with the `keep` lowest ids of each of those nine cells, and the join adds one
-    row per point, never all pairs of a crowded cell. Only points whose match could be a location cut off from a list are
-    joined again, to every location around them; without crowded cells no point is read into that second join.
+    Both sides are put on a grid a hair wider than eps, so a match lies in the 3 x 3 cells around the point. A known cell is one
+    row: its least id, the box around its locations and, up to `keep` locations, their list. A cell whose box is too far is dropped,
+    one whose box is near in whole gives its least id, and a list is looked through. What is left are crowded cells that are near in
+    part: those that could still give a lesser id are halved in both directions and looked at again, until none is left. So a
+    crowd is never compared with a crowd; the rounds run while the result is built, each written to the shared folder.
     """
-    side = eps * 1.000001
-    plat, plon = F.col(lat), F.col(lon)
+    shared_folder(points.sparkSession)
     cell = ["_cy", "_cx"]
-    spot = F.struct(F.col(id_col).alias("id"), F.col("name"), plat.alias("lat"), plon.alias("lon"))
+    py, px = F.col("_py"), F.col("_px")
     # Of known locations on the very same spot only the least id can win.
-    places = known.groupBy(lat, lon).agg(F.min(F.struct(F.col(id_col), F.col("name"))).alias("_p"))
-    places = places.select(lat, lon, F.col(f"_p.{id_col}").alias(id_col), "_p.name", *_cells(plat, plon, side))
-
-    def around(frame):
-        shift = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-        wide = frame.withColumn("_dy", F.explode(shift)).withColumn("_dx", F.explode(shift))
-        return wide.withColumns({"_cy": F.col("_cy") + F.col("_dy"), "_cx": F.col("_cx") + F.col("_dx")}).drop("_dy", "_dx")
-
-    def is_close(place):
-        return (F.abs(place["lat"] - plat) < eps) & (F.abs(place["lon"] - plon) < eps)
-
-    in_cell = Window.partitionBy(*cell).orderBy(id_col)
-    lowest = places.withColumn("_rn", F.row_number().over(in_cell)).filter(F.col("_rn") <= keep + 1)
-    short = lowest.groupBy(*cell).agg(
-        F.array_agg(F.when(F.col("_rn") <= keep, spot)).alias("_near"),
-        F.min(F.when(F.col("_rn") > keep, F.col(id_col))).alias("_cut"),
-    )
-    hood = around(short).groupBy(*cell).agg(F.flatten(F.array_agg("_near")).alias("_near"), F.min("_cut").alias("_cut"))
-    open_end = F.col("_cut").isNotNull() & (F.col("_best").isNull() | (F.col("_cut") < F.col("_best.id")))
-
-    def looked_up(frame):
-        found = frame.join(hood, cell, "left").withColumn("_best", F.array_min(F.filter("_near", is_close)))
-        return found.withColumn("_open", open_end).drop("_near", "_cut")
+    spots = known.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(lat, lon).agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("name"))).alias("_p"))
+    spots = spots.select(F.struct("_p.id", "_p.name", F.col(lat).alias("lat"), F.col(lon).alias("lon")).alias("_s"))
+    side = eps * 1.000001
+    shift = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    open_pairs = points.select(F.col(lat).alias("_py"), F.col(lon).alias("_px")).where(py.isNotNull() & px.isNotNull()).distinct()
+    open_pairs = open_pairs.select("_py", "_px", *_cells(py, px, side)).withColumn("_dy", F.explode(shift)).withColumn("_dx", F.explode(shift))
+    open_pairs = open_pairs.select("_py", "_px", (F.col("_cy") + F.col("_dy")).alias("_cy"), (F.col("_cx") + F.col("_dx")).alias("_cx"))
+
+    def near(y, x):
+        return (F.abs(y - py) < eps) & (F.abs(x - px) < eps)
+
+    found = None
+    while True:
+        at = spots.select("_s", *_cells(F.col("_s.lat"), F.col("_s.lon"), side))
+        boxes = at.groupBy(*cell).agg(
+            F.min("_s").alias("_least"),
+            F.count(F.lit(1)).alias("_n"),
+            *[f(f"_s.{c}").alias(f"_{c}{n}") for c in ("lat", "lon") for f, n in ((F.min, 0), (F.max, 1))],
+        )
+        # Ranks up to `keep` are cut off before the shuffle, so a crowd is not sorted in one task.
+        ranked = at.withColumn("_rn", F.row_number().over(Window.partitionBy(*cell).orderBy("_s"))).filter(F.col("_rn") <= keep)
+        boxes = boxes.join(ranked.groupBy(*cell).agg(F.array_agg("_s").alias("_list")), cell)
+        looked = open_pairs.join(boxes, cell)
+        # Distances are differences from the point, so a box is near in whole exactly when its corners are.
+        whole = near(F.col("_lat0"), F.col("_lon0")) & near(F.col("_lat1"), F.col("_lon1"))
+        beyond = (F.col("_lat0") - py >= eps) | (py - F.col("_lat1") >= eps) | (F.col("_lon0") - px >= eps) | (px - F.col("_lon1") >= eps)
+        listed = F.array_min(F.filter("_list", lambda s: near(s["lat"], s["lon"])))
+        best = F.when(whole, F.col("_least")).when(F.col("_n") <= keep, listed)
+        looked = looked.filter(~beyond).select("_py", "_px", *cell, F.col("_least.id").alias("_low"), best.alias("_best"), (whole | (F.col("_n") <= keep)).alias("_done"))
+        looked = looked.checkpoint()
+        here = looked.filter(F.col("_best").isNotNull()).select("_py", "_px", "_best")
+        found = (here if found is None else found.unionByName(here)).groupBy("_py", "_px").agg(F.min("_best").alias("_best")).checkpoint()
+        rest = looked.filter(~F.col("_done")).drop("_best").join(found, ["_py", "_px"], "left")
+        rest = rest.filter(F.col("_best").isNull() | (F.col("_low") < F.col("_best.id"))).select("_py", "_px", *cell).checkpoint()
+        if rest.isEmpty():
+            break
+        spots = at.join(rest.select(*cell).distinct(), cell, "left_semi").select("_s").checkpoint()
+        half = F.array(F.lit(0), F.lit(1))
+        open_pairs = rest.withColumn("_dy", F.explode(half)).withColumn("_dx", F.explode(half))
+        open_pairs = open_pairs.select("_py", "_px", (F.col("_cy") * 2 + F.col("_dy")).alias("_cy"), (F.col("_cx") * 2 + F.col("_dx")).alias("_cx"))
+        side /= 2
+    named = found.select(F.col("_py").alias(lat), F.col("_px").alias(lon), F.col("_best.id").alias("match_id"), F.col("_best.name").alias("match_name"))
+    return points.join(named, [lat, lon], "left").select(*points.columns, "match_id", "match_name")
 
-    placed = points.select("*", *_cells(plat, plon, side))
-    done = looked_up(placed).filter(~F.col("_open"))
 
-    crowded = short.agg(F.coalesce(F.bool_or(F.col("_cut").isNotNull()), F.lit(False)).alias("crowded"))
-    again = looked_up(placed.filter(crowded.scalar())).filter("_open").drop("_best")
-    every = around(places).select(*cell, spot.alias("_s"))
-    pairs = again.select(*cell, lat, lon).distinct().join(every, cell).filter(is_close(F.col("_s")))
-    second = pairs.groupBy(lat, lon).agg(F.min("_s").alias("_best"))
-    rest = again.join(second, [lat, lon], "left")
+def add_new_locations(known, points, eps=1e-4, lat="latitude", lon="longitude", id_col="id"):
+    """Known locations plus new ones, taken from the points in order of id: one is added if neither a known location nor one
+    added before is near.
 
-    columns = [*[F.col(c) for c in points.columns], F.col("_best.id").alias("match_id"), F.col("_best.name").alias("match_name")]
-    return done.select(*columns).unionByName(rest.select(*columns))
+    In rounds: an undecided point that is the least of all undecided ones near it is added, and those near it are decided against.
+    Points without coordinates are not added.
+    """
+    shared_folder(points.sparkSession)
 
+    def without_near(frame, others):
+        return near_locations(frame, others, eps, lat, lon, id_col).filter(F.col("match_id").isNull()).select(*frame.columns)
 
-def add_new_locations(known, points, eps=1e-4, lat="latitude", lon="longitude", id_col="id"):
-    """Known locations plus the points that have no near one; of new points in one eps cell the least id is added."""
-    fresh = near_locations(points, known, eps, lat, lon, id_col).filter(F.col("match_id").isNull())
-    columns = known.columns
-    one = fresh.groupBy(*_cells(F.col(lat), F.col(lon), eps)).agg(F.min_by(F.struct(*columns), id_col).alias("_n"))
-    return known.unionByName(one.select("_n.*"))
+    placed = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    undecided = without_near(placed, known).select(*known.columns).checkpoint()
+    added = known
+    while not undecided.isEmpty():
+        least = near_locations(undecided, undecided, eps, lat, lon, id_col).filter(F.col("match_id") == F.col(id_col))
+        least = least.select(*known.columns).checkpoint()
+        added = added.unionByName(least)
+        undecided = without_near(undecided, least).checkpoint()
+    return added
 
 
-def fuzzy_match(tokens, dictionary, cutoff=0.6, token="token", method="ratio"):
+def fuzzy_match(tokens, dictionary, cutoff=0.5, token="token", word="word"):
     """Each distinct token with the dictionary word most like it, NULL when none reaches the cutoff.
 
-    `ratio` is the matching-blocks similarity of difflib; `levenshtein` is 1 - distance / longer length. Equal scores go to
-    the word that sorts last. The dictionary is a list of column or term names of checked size, known to every task.
+    `dictionary` is a frame of any size. Likeness is 1 - edit distance / longer length, so a word within the cutoff has between
+    cutoff and 1 / cutoff times the token's length, and only words of such lengths are joined and measured. Equal scores go to the
+    word that sorts last.
     """
-    words = sorted(set(dictionary))
-    if len(words) > MAX_DICTIONARY:
-        raise ValueError(f"dictionary has {len(words)} words, more than {MAX_DICTIONARY}")
+    if not 0 < cutoff <= 1:
+        raise ValueError("the cutoff is above 0 and at most 1")
     distinct = tokens.select(token).filter(F.col(token).isNotNull()).distinct()
-    if method == "levenshtein":
-        t = F.col(token)
-
-        def scored(word):
-            longer = F.greatest(F.length(t), F.length(word), F.lit(1))
-            return F.struct((1 - F.levenshtein(t, word) / longer).alias("score"), word.alias("word"))
-
-        if 1 < len(words) <= UNROLLED:
-            best = F.greatest(*[scored(F.lit(w)) for w in words])
-        else:
-            best = F.array_max(F.transform(F.array(*[F.lit(w) for w in words]), scored))
-        found = distinct.withColumn("_best", best)
-        return found.select(token, F.when(F.col("_best.score") >= cutoff, F.col("_best.word")).alias("match"))
-    if method != "ratio":
-        raise ValueError("method must be ratio or levenshtein")
-
-    # The ratio is at most 2 * shorter / (both lengths); tokens no word can reach need no look in Python.
     size = F.length(token)
-    reachable = [2 * F.least(size, F.lit(n)) / F.greatest(size + n, F.lit(1)) >= cutoff for n in sorted({len(w) for w in words})]
-
-    @F.pandas_udf("string")
-    def closest(batch: pd.Series) -> pd.Series:
-        found = [difflib.get_close_matches(t, words, 1, cutoff) if t else None for t in batch]
-        return pd.Series([f[0] if f else None for f in found], dtype="object")
-
-    return distinct.withColumn("match", closest(F.when(reduce(or_, reachable, F.lit(False)), F.col(token))))
+    # One more on either side, so that rounding of the quotients cannot leave out a length.
+    lengths = F.sequence(F.greatest(F.floor(size * cutoff) - 1, F.lit(0)), F.ceil(size / cutoff) + 1)
+    sized = distinct.withColumn("_size", F.explode(lengths))
+    words = dictionary.select(F.col(word).alias("_word")).filter(F.col("_word").isNotNull()).distinct().withColumn("_size", F.length("_word").cast("long"))
+    longer = F.greatest(size, F.length("_word"), F.lit(1))
+    scored = F.struct((1 - F.levenshtein(token, "_word") / longer).alias("score"), F.col("_word").alias("word"))
+    best = sized.join(words, "_size").select(token, scored.alias("_best")).filter(F.col("_best.score") >= cutoff)
+    best = best.groupBy(token).agg(F.max("_best").alias("_best"))
+    return distinct.join(best, token, "left").select(token, F.col("_best.word").alias("match"))
 
 
 def flag_holiday_weeks(weekly, holidays, date_col="week_start"):

@@ -29,6 +29,8 @@ MART_METRICS = (
     "last_year_diff",
 )
 AR_BOUND, MA_BOUND = 1.0, 0.98
+#: Steps of a fit at most.
+ITERATIONS = 200
 TRENDS = {"n": (), "c": (0,), "t": (1,), "ct": (0, 1)}
 
 
@@ -98,17 +100,18 @@ class _SeasonalFit:
         beta, *_ = np.linalg.lstsq(shaped.T, e, rcond=None)
         return e - beta @ shaped, beta
 
-    def fit(self, iterations=60):
+    def fit(self, iterations):
+        """At most so many steps; `converged` tells whether a further one would have helped no more."""
         k = self.p + self.sp + self.q + self.sq
         bound = np.repeat([AR_BOUND, MA_BOUND], [self.p + self.sp, self.q + self.sq])
         x = np.zeros(k)
         e, beta = self._residuals(x)
         loss, damping = e @ e, 1e-2
+        self.start_loss = float(loss)
         # Rounding noise of an exact differenced series is no information.
         floor = 1e-20 * max(1.0, float(self.y @ self.y))
-        for _ in range(iterations):
-            if loss <= floor or k == 0:
-                break
+        self.converged = loss <= floor or k == 0
+        for _ in range(0 if self.converged else iterations):
             jac = np.empty((len(e), k))
             for i in range(k):
                 h = -1e-5 if x[i] > 0 else 1e-5
@@ -126,10 +129,12 @@ class _SeasonalFit:
                     break
                 damping *= 4
             if not better:
+                self.converged = True
                 break
             gain = loss - e_new @ e_new
             x, e, beta, loss, damping = trial, e_new, beta_new, e_new @ e_new, max(damping / 4, 1e-8)
-            if gain <= 1e-9 * loss:
+            if gain <= 1e-9 * loss or loss <= floor:
+                self.converged = True
                 break
         self.x, self.e, self.beta = x, e, beta
         return self
@@ -162,9 +167,11 @@ def _fill_gaps(y):
 def _spread(df, columns, parallelism):
     """One hash partitioning by the group columns with a fixed number of partitions.
 
-    Model fits cost much time on few bytes, so the partitions must not be merged by size.
+    Model fits cost much time on few bytes, so the partitions must not be merged by size. Executors may still be joining when this is
+    read, so there are never fewer than the session's shuffle partitions.
     """
-    n = parallelism or 4 * df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    n = parallelism or max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *columns) if columns else df.repartition(1)
 
 
@@ -179,11 +186,15 @@ def seasonal_forecast(
     seasonal=(1, 1, 1),
     trend="n",
     parallelism=None,
+    iterations=ITERATIONS,
+    with_fit=False,
 ):
     """Forecast of the next `horizon` weeks per key and seasonal lag.
 
     Expects a regular weekly series. Lag 1 has no seasonal part. Columns: keys, lag, date, forecast, interpolated (missing
-    weeks filled for the fit) and status; a series too short for a lag gives NULL forecasts with status `too_short`.
+    weeks filled for the fit) and status: `ok`, `not_converged` if the fit was still improving after `iterations` steps, or
+    `too_short` with NULL forecasts. `with_fit` adds the sums of squared innovations of the fit, `rss`, and of the model without
+    coefficients that it starts from, `start_rss`.
     """
     lags = sorted({int(k) for k in lags})
     if not lags or lags[0] < 1:
@@ -202,6 +213,7 @@ def seasonal_forecast(
             T.StructField("forecast", T.DoubleType()),
             T.StructField("interpolated", T.IntegerType()),
             T.StructField("status", T.StringType()),
+            *([T.StructField(c, T.DoubleType()) for c in ("rss", "start_rss")] if with_fit else []),
         ]
     )
 
@@ -212,7 +224,9 @@ def seasonal_forecast(
         model = _SeasonalFit(y, order, seasonal if lag > 1 else (0, 0, 0), lag, trend)
         status, ahead = "too_short", [None] * horizon
         if not np.isnan(y).any() and model.usable():
-            status, ahead = "ok", model.fit().forecast(horizon)
+            ahead = model.fit(iterations).forecast(horizon)
+            status = "ok" if model.converged else "not_converged"
+        usable = status != "too_short"
         last = pd.Timestamp(pdf[date].iloc[-1])
         out = pd.DataFrame(
             {
@@ -223,6 +237,9 @@ def seasonal_forecast(
                 "status": status,
             }
         )
+        if with_fit:
+            out["rss"] = float(model.e @ model.e) if usable else None
+            out["start_rss"] = model.start_loss if usable else None
         for i, name in enumerate(keys):
             out.insert(i, name, group_keys[i])
         return out
@@ -232,7 +249,7 @@ def seasonal_forecast(
     return _spread(wide, [*keys, "_lag"], parallelism).groupBy(*keys, "_lag").applyInPandas(fit_one, schema)
 
 
-def fit_models(df, keys, date="week_start", value="sales", lag=12, order=(1, 1, 1), seasonal=(1, 1, 1), trend="n", parallelism=None):
+def fit_models(df, keys, date="week_start", value="sales", lag=12, order=(1, 1, 1), seasonal=(1, 1, 1), trend="n", parallelism=None, iterations=ITERATIONS):
     """One fitted model per key, ready for the model registry: start and end year of the data, the coefficients and the
     complete model state as a blob that `forecast_model` continues from. Missing weeks and text that is no number count as 0.
     """
@@ -253,7 +270,7 @@ def fit_models(df, keys, date="week_start", value="sales", lag=12, order=(1, 1,
         out = dict(zip(keys, group_keys))
         out.update(start_year=int(years.min()), end_year=int(years.max()), params=None, model_blob=None)
         if model.usable():
-            model.fit()
+            model.fit(iterations)
             ar, sar, ma, sma = model._split(model.x)
             named = {"ar": ar, "seasonal_ar": sar, "ma": ma, "seasonal_ma": sma, "trend": model.beta}
             out["params"] = {f"{k}{i}": float(c) for k, v in named.items() for i, c in enumerate(v, 1)}
@@ -319,12 +336,12 @@ def _holdout_forecast(train, period, horizon):
     return best[1]
 
 
-def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8, parallelism=None):
+def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8, parallelism=None, weights=None):
     """The last rows of each series (after int(n * train_frac)) with their smoothed forecast, NULL when the fit fails.
 
     The period is the column `period_weeks`, of the frame itself or of `periods` by key; without either there is no season. The
     seasonal part is used when 1 < period < length of the training part; with fewer than two full periods to train on there is
-    no forecast.
+    no forecast. The weights of level, trend and season are those of least squared error, unless `weights` gives the three.
     """
     keys = list(keys)
     if periods is not None:
@@ -353,7 +370,12 @@ def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8, pa
         out = pdf.iloc[cut:][[*keys, order]].copy()
         out["actual"] = test
         short = len(train) < max(2, 2 * period)
-        out["predicted"] = np.nan if short else _holdout_forecast(train, period, len(test))
+        if short:
+            out["predicted"] = np.nan
+        elif weights is None:
+            out["predicted"] = _holdout_forecast(train, period, len(test))
+        else:
+            out["predicted"] = _smooth(train, period, *np.array(weights, dtype=float).reshape(3, 1), len(test))[1][:, 0]
         return out
 
     return _spread(clean, keys, parallelism).groupBy(*keys).applyInPandas(predict, schema)

@@ -1,6 +1,8 @@
 """Session settings and the shared work folder."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,10 +28,14 @@ def local_session(cpus="*", app="stockloom", **extra):
 
 
 def shared_folder(spark):
-    """Folder every executor can reach: `spark.checkpoint.dir`; a local one only where that is unset."""
+    """Folder every executor can reach, `spark.checkpoint.dir`. Where that is unset, local mode gets a temporary folder, which is
+    removed when Python ends; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="stockloom-", dir="/tmp")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stockloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

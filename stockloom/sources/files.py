@@ -6,14 +6,16 @@ from pyspark.sql import types as T
 
 
 def read_sales_csv(spark, path, schema=None, date_col="date", date_format="yyyy-MM-dd"):
-    """CSV with header; the date column is parsed with a format, bad dates become NULL.
+    """CSV with header, from one path or a list; the date column is parsed with a format, bad dates become NULL.
 
-    Without a schema the types are inferred, which reads the files twice. With one, a header that names other columns is an
-    error.
+    Give the schema (a StructType or its DDL): a header that names other columns is then an error. Without one the types are inferred,
+    which reads the files twice.
     """
     reader = spark.read.option("header", True)
     if schema is None:
         schema = reader.option("inferSchema", True).csv(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     # The date is read as text first, to be parsed with its own format and no guess of the reader.
     as_text = [T.StructField(f.name, T.StringType()) if f.name == date_col else f for f in schema.fields]
     df = spark.read.option("header", True).option("enforceSchema", False).schema(T.StructType(as_text)).csv(path)

@@ -1,9 +1,7 @@
 """Catalog tables: load, list, preview, export, scripts, lake tables, models."""
 
 import posixpath
-import zlib
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,31 +21,30 @@ def with_audit_columns(df, id_col="id", start=0):
 def load_mapped(
     spark, mapping, load_dir, truncate=False, schema=None, date_format="yyyy-MM-dd", table_path=None, audit=True
 ):
-    """Load each file of `mapping` (file name to table) that exists; returns the tables touched.
+    """Load the files of `mapping` (file name to table) that exist; returns the tables touched.
 
-    With `truncate` the first file of a table replaces its rows; later files, and all without it, are appended. Rows get the id
-    and audit columns, ids going on from those in the table. `table_path(table)` may name the folder of a table.
+    All files of a table are read and written together; give their schema, or they are read twice to find the types. With
+    `truncate` they replace its rows, without they are added. Rows get the id and audit columns, ids going on from those in the
+    table. `table_path(table)` may name the folder of a table.
     """
-    touched = []
+    files = {}
     for name, table in mapping.items():
         path = posixpath.join(load_dir, name)
-        if not path_exists(spark, path):
-            continue
-        df = read_sales_csv(spark, path, schema=schema, date_format=date_format)
-        mode = "overwrite" if truncate and table not in touched else "append"
+        if path_exists(spark, path):
+            files.setdefault(table, []).append(path)
+    if not files:
+        raise ValueError("no files to load: check the folder and the mapping")
+    for table, paths in files.items():
+        df = read_sales_csv(spark, paths, schema=schema, date_format=date_format)
         if audit:
-            taken = mode == "append" and spark.catalog.tableExists(table)
+            taken = not truncate and spark.catalog.tableExists(table)
             last = spark.table(table).agg(F.max("id")).first()[0] if taken else None
             df = with_audit_columns(df, start=0 if last is None else last + 1)
-        writer = df.write.mode(mode)
+        writer = df.write.mode("overwrite" if truncate else "append")
         if table_path is not None:
             writer = writer.option("path", table_path(table))
         writer.saveAsTable(table)
-        if table not in touched:
-            touched.append(table)
-    if not touched:
-        raise ValueError("no files to load: check the folder and the mapping")
-    return touched
+    return list(files)
 
 
 def list_tables(spark, schema):
@@ -121,11 +118,12 @@ def write_lake(df, table, mode="replace", fmt="parquet", path=None, partition_by
 def append_routed(df, prefix, route_col="table", default="default", batch_id=None):
     """Append each row to the Parquet table of its route, `prefix/<route_col>=<route>`, in one pass over the data.
 
-    The route column is not stored in the rows. With a batch id the rows go to a folder of that batch, which a second write
-    of the same batch replaces, so a replay adds nothing.
+    Rows without a route, or with an empty one, go to the default. The route column is not stored in the rows. Rows of a route are
+    brought together before they are written, in parts of a useful size, so a batch adds few files. With a batch id the rows go to a
+    folder of that batch, which a second write of the same batch replaces, so a replay adds nothing.
     """
-    route = F.coalesce(F.col(route_col), F.lit(default)) if route_col in df.columns else F.lit(default)
-    routed = df.withColumn(route_col, route)
+    given = F.col(route_col).cast("string") if route_col in df.columns else F.lit(None).cast("string")
+    routed = df.withColumn(route_col, F.when(F.coalesce(given, F.lit("")) == "", F.lit(default)).otherwise(given)).hint("rebalance", route_col)
     if batch_id is None:
         routed.write.mode("append").partitionBy(route_col).parquet(prefix)
         return
@@ -135,34 +133,31 @@ def append_routed(df, prefix, route_col="table", default="default", batch_id=Non
 
 
 def read_routed(spark, prefix, route=None, route_col="table"):
-    """One routed table, or all of them with the route column; schemas of all batches are merged."""
-    path = prefix if route is None else posixpath.join(prefix, f"{route_col}={route}")
-    return spark.read.option("mergeSchema", True).parquet(path)
-
-
-@F.pandas_udf(T.BinaryType())
-def _deflate(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else zlib.compress(bytes(b)))
+    """One routed table, or all of them with the route column, which is text; schemas of all batches are merged."""
+    found = spark.read.option("mergeSchema", True).parquet(prefix).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == route_col else f for f in found.fields]
+    stored = spark.read.schema(T.StructType(fields)).parquet(prefix)
+    return stored if route is None else stored.filter(F.col(route_col) == route).drop(route_col)
 
 
-@F.pandas_udf(T.BinaryType())
-def _inflate(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else zlib.decompress(bytes(b)))
+def compact_routed(spark, prefix, target, before, route_col="table"):
+    """Write the rows of all batches before `before` to routed tables below `target`, without batch folders and in files of a useful
+    size. The batches are closed and stay where they are; drop them when readers use the new folder."""
+    closed = read_routed(spark, prefix, route_col=route_col).filter(F.col("batch_id") < before).drop("batch_id")
+    closed.hint("rebalance", route_col).write.mode("overwrite").partitionBy(route_col).parquet(target)
 
 
 def save_models(models, path):
     """Store models (start_year, end_year, params, model_blob), and keys if there are any. Saving a start year again replaces
     what was stored for it.
 
-    Fitted parameters stay readable beside the blob, which is compressed.
+    Fitted parameters stay readable beside the blob; the files are compressed.
     """
-    stored = models.withColumns({"model_blob": _deflate("model_blob"), "created_at": F.current_timestamp()})
-    writer = stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    stored = models.withColumn("created_at", F.current_timestamp())
+    writer = stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
     writer.partitionBy("start_year").parquet(path)
 
 
 def load_models(spark, path, start_year=None):
     models = spark.read.parquet(path)
-    if start_year is not None:
-        models = models.filter(F.col("start_year") == start_year)
-    return models.withColumn("model_blob", _inflate("model_blob"))
+    return models if start_year is None else models.filter(F.col("start_year") == start_year)

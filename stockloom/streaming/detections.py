@@ -68,10 +68,12 @@ def track_classes(stream, arrival="arrival"):
 
 
 def store_state(state, target, checkpoint, available_now=False, interval="10 seconds"):
-    """Start a query that stores the whole state after each micro-batch, one folder per batch; see read_state."""
+    """Start a query that stores the whole state after each micro-batch; see read_state.
+
+    Two folders take turns, so the state before stays readable while the next is written, and no more than two are kept."""
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{target}/turn={batch_id % 2}")
 
     writer = state.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
@@ -82,4 +84,4 @@ def read_state(spark, target):
     """The state after the last micro-batch."""
     stored = spark.read.parquet(target)
     last = stored.agg(F.max("batch_id").alias("last"))
-    return stored.filter(F.col("batch_id") == last.scalar()).drop("batch_id")
+    return stored.filter(F.col("batch_id") == last.scalar()).drop("batch_id", "turn")

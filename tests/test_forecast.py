@@ -42,9 +42,9 @@ def test_known_coefficients_are_found():
     w = np.zeros(3000)
     for t in range(1, 3000):
         w[t] = 0.6 * w[t - 1] + noise[t] + 0.3 * noise[t - 1]
-    fit = forecast._SeasonalFit(np.cumsum(w), (1, 1, 1), (0, 0, 0), 1, "n").fit()
+    fit = forecast._SeasonalFit(np.cumsum(w), (1, 1, 1), (0, 0, 0), 1, "n").fit(200)
     assert fit.x == pytest.approx([0.6, 0.3], abs=0.06)
-    drift = forecast._SeasonalFit(np.cumsum(w + 2), (1, 1, 1), (0, 0, 0), 1, "c").fit()
+    drift = forecast._SeasonalFit(np.cumsum(w + 2), (1, 1, 1), (0, 0, 0), 1, "c").fit(200)
     assert drift.beta[0] / (1 - drift.x[0]) == pytest.approx(2, abs=0.3)
 
 

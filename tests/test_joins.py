@@ -1,8 +1,6 @@
-import difflib
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from stockloom.operators import dimension, joins
 
@@ -12,23 +10,34 @@ PLACE = "id int, name string, latitude double, longitude double"
 
 def test_fuzzy_sample(frame):
     tokens = frame([(t,) for t in "total_sales by product avg_sales by brand".split()], "token string")
-    got = {r.token: r.match for r in joins.fuzzy_match(tokens, WORDS).collect()}
+    got = {r.token: r.match for r in joins.fuzzy_match(tokens, frame([(w,) for w in WORDS], "word string")).collect()}
     assert got == {"total_sales": "total_sales", "by": None, "product": "product", "avg_sales": "total_sales", "brand": None}
 
 
-def test_fuzzy_every_word_of_the_texts(spark):
-    text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    tokens = text.select(F.explode(F.split(F.lower("text"), r"\W+")).alias("token")).distinct()
-    got = {r.token: r.match for r in joins.fuzzy_match(tokens, WORDS, 0.4).collect()}
-    assert len(got) == tokens.count()
-    for token, match in got.items():
-        close = difflib.get_close_matches(token, WORDS, cutoff=0.4)
-        assert match == (close[0] if close else None)
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
 
 
-def test_fuzzy_dictionary_is_bounded(frame):
+@pytest.mark.parametrize("cutoff", [0.2, 0.5, 0.75, 1.0])
+def test_fuzzy_against_all_words(frame, cutoff):
+    rng = random.Random(2)
+    make = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    tokens = {make(rng.randrange(9)) for _ in range(60)}
+    words = {make(rng.randrange(9)) for _ in range(200)}
+    got = joins.fuzzy_match(frame([(t,) for t in [*tokens, None]], "token string"), frame([(w,) for w in [*words, None]], "word string"), cutoff)
+    for token, match in got.collect():
+        best = max((1 - distance(token, w) / max(len(token), len(w), 1), w) for w in words)
+        assert match == (best[1] if best[0] >= cutoff else None)
+
+
+def test_fuzzy_cutoff_is_checked(frame):
     with pytest.raises(ValueError):
-        joins.fuzzy_match(frame([("a",)], "token string"), map(str, range(joins.MAX_DICTIONARY + 1)))
+        joins.fuzzy_match(frame([("a",)], "token string"), frame([("a",)], "word string"), 0)
 
 
 def near_by_comparing(points, known, eps):
@@ -52,18 +61,44 @@ def test_near_points_in_crowded_cells(frame, keep):
     assert len(got) == len(points)
 
 
-def test_near_points_makes_no_cross_join(frame):
-    p = frame([(1, "a", 1.0, 2.0)], PLACE)
-    plan = joins.near_locations(p, p)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+def test_near_points_without_coordinates(frame):
+    points, known = frame([(1, "a", None, 2.0), (2, "b", 1.0, 2.0)], PLACE), frame([(9, "k", 1.0, 2.0), (8, "n", 1.0, None)], PLACE)
+    assert {r.id: r.match_id for r in joins.near_locations(points, known).collect()} == {1: None, 2: 9}
+
+
+def test_a_crowd_out_of_reach_is_not_compared(frame, monkeypatch):
+    """Known locations and points crowd two adjoining cells, farther than eps from each other."""
+    rng = random.Random(3)
+    eps = 1e-4
+    known = [(i, "k", rng.uniform(0, 1e-5), rng.uniform(0, 1e-5)) for i in range(3000)]
+    points = [(i, "p", rng.uniform(1.3e-4, 1.5e-4), rng.uniform(0, 1e-5)) for i in range(3000)]
+    got = joins.near_locations(frame(points, PLACE), frame(known, PLACE), eps)
+    assert got.filter("match_id IS NOT NULL").count() == 0
+    touching = [(i, "p", rng.uniform(0.9e-4, 1.1e-4), rng.uniform(0, 1e-5)) for i in range(300)]
+    got = joins.near_locations(frame(touching, PLACE), frame(known, PLACE), eps).collect()
+    assert {r.id: r.match_id for r in got} == near_by_comparing(touching, known, eps)
 
 
 def test_add_new_locations(frame):
     known = frame([(1, "home", 1.0, 1.0)], PLACE)
-    points = frame([(7, "near home", 1.00005, 1.0), (9, "new b", 5.00002, 5.0), (8, "new a", 5.00001, 5.0)], PLACE)
+    points = frame([(7, "near home", 1.00005, 1.0), (9, "new b", 5.00002, 5.0), (8, "new a", 5.00001, 5.0), (6, "nowhere", None, 5.0)], PLACE)
     assert sorted(r.id for r in joins.add_new_locations(known, points).collect()) == [1, 8]
 
 
+def test_add_new_locations_one_after_the_other(frame):
+    """Points on both sides of cell borders, and chains in which each is near the next."""
+    rng = random.Random(6)
+    known = [(i, "k", rng.uniform(0, 0.002), rng.uniform(0, 0.002)) for i in range(20)]
+    points = [(100 + i, "p", rng.uniform(0, 0.002), rng.uniform(0, 0.002)) for i in range(150)]
+    points += [(1000 + i, "chain", 7.0, 7.0 + i * 0.00009) for i in range(12)] + [(2001, "left", 0.0001 - 1e-8, 9.0), (2002, "right", 0.0001 + 1e-8, 9.0)]
+    want = list(known)
+    for p in sorted(points):
+        if all(abs(p[2] - k[2]) >= 1e-4 or abs(p[3] - k[3]) >= 1e-4 for k in want):
+            want.append(p)
+    got = joins.add_new_locations(frame(known, PLACE), frame(points, PLACE), 1e-4)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_items_to_label(frame):
     sold = frame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], "item int, name string")
     dim = frame([(1, None), (2, "x")], "item int, segment string")
