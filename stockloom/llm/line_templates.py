@@ -11,37 +11,92 @@ Null and empty texts have no lines and stay as they are. A null id comes before
 never dropped, and no document is.
 """
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
-from stockloom.llm.wording import packed, text_hash
+from stockloom.llm.wording import as_bytes, packed, text_hash
+from stockloom.session import shared_folder
 
 FIELD = "<*>"
+VARIABLE = re.compile(rb"[0-9@]|://")
 LEAST_TOKENS, DEPTH, SUPPORT, FIXED, MIN_DOCS = 6, 3, 3, 70, 5
-
-
-def _masked(line):
-    tokens = F.split(F.regexp_replace(line, r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$", ""), r"[ \t\x0B\f\r]+")
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9@]|://"), F.lit(FIELD)).otherwise(t))
-
-
-def _digest(column):
-    return F.unhex(F.md5(column))
-
-
-def _lines(docs, doc_id, text, least, depth):
-    """doc_id, text_hash, line_no, n, leaf, sig, masked: the lines that take part."""
-    lines = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "text_hash", "line_no", _masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= least)
-    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth))
-    return lines.select(
-        "doc_id", "text_hash", "line_no", F.size("tokens").alias("n"), _digest(leaf).alias("leaf"), F.concat_ws(" ", "tokens").alias("masked")
-    ).withColumn("sig", _digest(F.col("masked")))
-
-
-def templates(lines, support=SUPPORT, fixed=FIXED):
-    """sig, template, pattern of the lines that are generalised: those whose leaf has enough different lines to fix a token."""
-    leaves = lines.groupBy("leaf", "sig").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("sigs")).where(F.col("sigs") >= support)
-    open_lines = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.first("masked").alias("masked"))
+#: Bits of the map that tells the second reading which leaves to look at; 32,768 to a row of it, 8 MB in all.
+SPOTS = 1 << 26
+
+
+def parsed(text, least, depth):
+    """(line number, leaf, tokens) of the lines that take part, variable fields masked."""
+    for k, line in enumerate(text.split(b"\n")):
+        tokens = line.split()
+        if len(tokens) < least:
+            continue
+        if VARIABLE.search(line):
+            tokens = [b"<*>" if VARIABLE.search(t) else t for t in tokens]
+        yield k, xxhash.xxh3_128_digest(b"%d %s" % (len(tokens), b" ".join(tokens[:depth]))), tokens
+
+
+def _spot(leaf):
+    return int.from_bytes(leaf[:4], "little") % SPOTS
+
+
+def occurrences(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=DEPTH):
+    """doc_id, text_hash, line_no, leaf, spot, sig of all lines that take part; sig is the digest of the masked line."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("text_hash"), F.col(text).alias("text")).where("text <> ''")
+
+    def parse(batches):
+        for batch in batches:
+            at, numbers, leaves, sigs = [], [], [], []
+            for k, value in enumerate(as_bytes(batch.column("text"))):
+                for number, leaf, tokens in parsed(value, least, depth):
+                    at.append(k)
+                    numbers.append(number)
+                    leaves.append(leaf)
+                    sigs.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+            at = pa.array(at, pa.int64())
+            spots = pa.array([_spot(leaf) for leaf in leaves], pa.int64())
+            columns = [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(numbers, pa.int32()), pa.array(leaves, pa.binary()), spots, pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "line_no", "leaf", "spot", "sig"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(parse, f"doc_id {kind}, text_hash long, line_no int, leaf binary, spot long, sig binary")
+
+
+def _marked(leaves):
+    """Rows of 4,096 bytes of the map of spots; its size does not depend on how many leaves there are."""
+    spot = F.col("spot") + 1
+    rows = leaves.groupBy(F.bitmap_bucket_number(spot).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
+    out = np.zeros(SPOTS // 8, np.uint8)
+    for r in rows:
+        out[(r["row"] - 1) * 4096 : r["row"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def templates(docs, lines, text="text", least=LEAST_TOKENS, depth=DEPTH, support=SUPPORT, fixed=FIXED):
+    """sig, template, pattern of the lines that are generalised: those whose leaf has enough different lines to fix a token.
+
+    Texts are read again for the lines of such leaves only, so that no other text is shuffled."""
+    leaves = lines.groupBy("leaf", "spot", "sig").agg(F.lit(1)).groupBy("leaf", "spot").agg(F.count("*").alias("sigs")).where(F.col("sigs") >= support).checkpoint()
+    marked = docs.sparkSession.sparkContext.broadcast(_marked(leaves))
+
+    def read(batches):
+        spots = marked.value
+        for batch in batches:
+            leaf_of, masked = [], []
+            for value in as_bytes(batch.column("text")):
+                for _, leaf, tokens in parsed(value, least, depth):
+                    spot = _spot(leaf)
+                    if spots[spot >> 3] >> (spot & 7) & 1:
+                        leaf_of.append(leaf)
+                        masked.append(b" ".join(tokens))
+            sigs = [xxhash.xxh3_128_digest(m) for m in masked]
+            yield pa.RecordBatch.from_arrays([pa.array(leaf_of, pa.binary()), pa.array(sigs, pa.binary()), pa.array([m.decode() for m in masked], pa.string())], names=["leaf", "sig", "masked"])
+
+    found = docs.select(F.col(text).alias("text")).where("text <> ''").mapInArrow(read, "leaf binary, sig binary, masked string")
+    open_lines = found.groupBy("leaf", "sig").agg(F.first("masked").alias("masked")).join(leaves, "leaf", "left_semi")
     places = open_lines.select("leaf", "sig", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     known = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where(F.col("lines") >= support)
     kept = F.when(F.col("lines").isNotNull(), F.col("token")).otherwise(F.lit(FIELD))
@@ -50,13 +105,14 @@ def templates(lines, support=SUPPORT, fixed=FIXED):
     whole = whole.select("sig", F.transform("at", lambda a: a["token"]).alias("tokens"))
     stays = F.size(F.filter("tokens", lambda t: t != FIELD))
     whole = whole.where(100 * stays >= fixed * F.size("tokens")).select("sig", F.concat_ws(" ", "tokens").alias("pattern"))
-    return whole.withColumn("template", _digest(F.col("pattern")))
+    return whole.withColumn("template", F.unhex(F.md5("pattern")))
 
 
 def dropped_lines(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=DEPTH, support=SUPPORT, fixed=FIXED, min_docs=MIN_DOCS):
     """doc_id, text_hash, line_no of the lines to drop, and their template's digest."""
-    lines = _lines(docs, doc_id, text, least, depth)
-    found = templates(lines, support, fixed).select("sig", "template")
+    shared_folder(docs.sparkSession)
+    lines = occurrences(docs, doc_id, text, least, depth).checkpoint()
+    found = templates(docs, lines, text, least, depth, support, fixed).select("sig", "template")
     held = lines.select("doc_id", "text_hash", "line_no", "sig").join(found, "sig", "left")
     held = held.select("doc_id", "text_hash", "line_no", F.coalesce("template", "sig").alias("template"))
     by_doc = held.groupBy("template", "doc_id", "text_hash").agg(F.min("line_no").alias("line_no"))
