@@ -158,7 +158,7 @@ def words(spark, d):
 
 # DuckDB's edit distance counts bytes, so in the SQL a letter beyond a-z, which no word has, becomes one other sign.
 @query(
-    f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS token FROM documents),
+    f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM documents),
 s AS (SELECT token, word, 1 - levenshtein(regexp_replace(token, '[^a-z]', '#', 'g'), word) / greatest(length(token), length(word)) AS score
   FROM w, unnest({DICTIONARY!r}) AS t(word))
 SELECT token, word AS match FROM s WHERE score >= 0.4

@@ -60,6 +60,36 @@ def test_sales_schema():
     assert [f.name for f in SALES_SCHEMA if not f.nullable] == ["invoice_item_number"]
 
 
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from stockloom.session import shared_folder
+
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda f: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=context)
+
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_folder(session("local-cluster[3,2,1024]"))
+    assert shared_folder(session("spark://host:7077", "hdfs:/shared")) == "hdfs:/shared"
+    assert shared_folder(session("local[4]"))
+
+
+def test_routes_stay_text(spark, frame, tmp_path):
+    prefix = str(tmp_path / "routes")
+    rows = [("007", 1), ("7", 2), ("", 3), (None, 4), ("a b/c=d", 5), ("2024-01-01", 6)]
+    tables.append_routed(frame(rows, "table string, n int"), prefix, batch_id=3)
+    got = {r["table"]: r.n for r in tables.read_routed(spark, prefix).filter("n NOT IN (3)").collect()}
+    assert got == {"007": 1, "7": 2, "default": 4, "a b/c=d": 5, "2024-01-01": 6}
+    assert [r.n for r in tables.read_routed(spark, prefix, "7").collect()] == [2]
+    assert sorted(r.n for r in tables.read_routed(spark, prefix, "default").collect()) == [3, 4]
+    tables.append_routed(frame([("7", 9)], "table string, n int"), prefix, batch_id=4)
+    tables.compact_routed(spark, prefix, f"{prefix}-closed", 4)
+    assert sorted(r.n for r in tables.read_routed(spark, f"{prefix}-closed").collect()) == [1, 2, 3, 4, 5, 6]
+
+
 def test_load_mapped(spark, database, tmp_path):
     (tmp_path / "a.csv").write_text("date,n\n2024-01-01,1\n")
     (tmp_path / "b.csv").write_text("date,n\n2024-01-02,2\n")
