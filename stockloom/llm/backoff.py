@@ -22,7 +22,9 @@ from stockloom.llm.wording import LOWER, as_bytes, spaced_words
 from stockloom.session import shared_folder
 
 ORDER, ALPHA = 2, 0.4
-CHUNK_CHARS = 1 << 24
+CHUNK_CHARS = 1 << 23
+#: Words whose own counts are looked at at once.
+SLICE_WORDS = 1 << 18
 
 
 def _mixed(a, b):
@@ -48,10 +50,11 @@ class Grams:
             ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             sizes.append(len(words))
         self.sizes = np.array(sizes, np.int64)
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        del known
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         first = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.at = np.arange(len(self.doc)) - first
-        one = np.array(hashes, np.uint64)[np.concatenate(ids)] if known else np.zeros(0, np.uint64)
+        self.at = (np.arange(len(self.doc)) - first).astype(np.int32)
+        one = np.array(hashes, np.uint64)[np.concatenate(ids)] if hashes else np.zeros(0, np.uint64)
         self.keys = [one]
         for _ in range(order - 1):
             longer = _mixed(one, np.uint64(0))
@@ -91,6 +94,30 @@ def _added(table):
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "sums": pa.array([s.tobytes() for s in np.split(sums, cuts)], pa.binary())})
 
 
+def _word_scores(grams, words, totals, order, alpha):
+    """Per word of some whole documents its logarithm, but for the corpus size of single words, and whether it is scored alone."""
+    at, doc = grams.at[words], grams.doc[words].astype(np.int64)
+    others = []  # per length: count in the other documents of the n-gram that ends at each word; 0 where the text is too short for it
+    for n, keys in enumerate(grams.keys):
+        here = at >= n
+        place = np.searchsorted(grams.distinct, keys[words][here])
+        _, own, times = np.unique(doc[here] * len(grams.distinct) + place, return_inverse=True, return_counts=True)
+        count = np.zeros(len(at), np.int64)
+        count[here] = totals[place] - times[own]
+        others.append(count)
+    logs, left = np.zeros(len(at)), np.ones(len(at), bool)
+    longest = np.minimum(at, order - 1)  # a first word has no longer n-gram to back off from
+    for n in range(order - 1, 0, -1):
+        found = left & (others[n] > 0)
+        k = np.flatnonzero(found)
+        logs[k] = (longest[k] - n) * np.log10(alpha) + np.log10(others[n][k]) - np.log10(others[n - 1][k - 1])
+        left &= ~found
+    k = np.flatnonzero(left)
+    single = others[0][k]
+    logs[k] = longest[k] * np.log10(alpha) + np.where(single > 0, np.log10(np.maximum(single, 1)), np.log10(alpha))
+    return logs, left
+
+
 SCORES = "doc_id {kind}, n_words long, words_left long, backed_off long, logs double"
 
 
@@ -99,37 +126,25 @@ def _scored(order, alpha):
 
     def score(table, sums):
         grams = Grams(as_bytes(table["text"].combine_chunks()), order)
-        docs = len(grams.sizes)
         parts = sums.sort_by("bucket")["sums"].to_pylist()
         totals = np.concatenate([np.frombuffer(p, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
-        others = []  # per length: count in the other documents of the n-gram that ends at each word; 0 where the text is too short for it
-        for n, keys in enumerate(grams.keys):
-            here = grams.at >= n
-            place = np.searchsorted(grams.distinct, keys[here])
-            _, own, times = np.unique(grams.doc[here] * len(grams.distinct) + place, return_inverse=True, return_counts=True)
-            count = np.zeros(len(keys), np.int64)
-            count[here] = totals[place] - times[own]
-            others.append(count)
-        logs, left = np.zeros(len(grams.doc)), np.ones(len(grams.doc), bool)
-        longest = np.minimum(grams.at, order - 1)  # a first word has no longer n-gram to back off from
-        for n in range(order - 1, 0, -1):
-            found = left & (others[n] > 0)
-            at = np.flatnonzero(found)
-            logs[at] = (longest[at] - n) * np.log10(alpha) + np.log10(others[n][at]) - np.log10(others[n - 1][at - 1])
-            left &= ~found
-        at = np.flatnonzero(left)
-        single = others[0][at]
-        logs[at] = longest[at] * np.log10(alpha) + np.where(single > 0, np.log10(np.maximum(single, 1)), np.log10(alpha))
-        total = lambda w: np.bincount(grams.doc, weights=w, minlength=docs)
-        return pa.table(
-            {
-                "doc_id": table["doc_id"],
-                "n_words": pa.array(grams.sizes),
-                "words_left": pa.array(total(left).astype(np.int64)),
-                "backed_off": pa.array(total(left & (grams.at > 0)).astype(np.int64)),
-                "logs": pa.array(total(logs)),
-            }
-        )
+        docs = len(grams.sizes)
+        logs, left, back = np.zeros(docs), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+        ends = np.cumsum(grams.sizes)
+        first = 0
+        while first < docs:  # whole documents, about SLICE_WORDS words at a time
+            start = ends[first] - grams.sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, start + SLICE_WORDS, "right")))
+            words = slice(start, ends[last - 1])
+            doc = grams.doc[words] - first
+            values, alone = _word_scores(grams, words, totals, order, alpha)
+            total = lambda w: np.bincount(doc, weights=w, minlength=last - first)  # noqa: E731, B023
+            logs[first:last] = total(values)
+            left[first:last] = total(alone)
+            back[first:last] = total(alone & (grams.at[words] > 0))
+            first = last
+        columns = {"doc_id": table["doc_id"], "n_words": pa.array(grams.sizes), "words_left": pa.array(left), "backed_off": pa.array(back), "logs": pa.array(logs)}
+        return pa.table(columns)
 
     return score
 
