@@ -36,15 +36,12 @@ def parsed(text, least, depth):
             continue
         if VARIABLE.search(line):
             tokens = [b"<*>" if VARIABLE.search(t) else t for t in tokens]
-        yield k, xxhash.xxh3_128_digest(b"%d %s" % (len(tokens), b" ".join(tokens[:depth]))), tokens
-
-
-def _spot(leaf):
-    return int.from_bytes(leaf[:4], "little") % SPOTS
+        leaf = xxhash.xxh3_64_intdigest(b"%d %s" % (len(tokens), b" ".join(tokens[:depth])))
+        yield k, leaf - (leaf >> 63 << 64), tokens
 
 
 def occurrences(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=DEPTH):
-    """doc_id, text_hash, line_no, leaf, spot, sig of all lines that take part; sig is the digest of the masked line."""
+    """doc_id, text_hash, line_no, leaf, sig of all lines that take part: digests of the leaf's path and of the masked line."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("text_hash"), F.col(text).alias("text")).where("text <> ''")
 
     def parse(batches):
@@ -57,17 +54,16 @@ def occurrences(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=DE
                     leaves.append(leaf)
                     sigs.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
             at = pa.array(at, pa.int64())
-            spots = pa.array([_spot(leaf) for leaf in leaves], pa.int64())
-            columns = [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(numbers, pa.int32()), pa.array(leaves, pa.binary()), spots, pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "line_no", "leaf", "spot", "sig"])
+            columns = [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(numbers, pa.int32()), pa.array(leaves, pa.int64()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "line_no", "leaf", "sig"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(parse, f"doc_id {kind}, text_hash long, line_no int, leaf binary, spot long, sig binary")
+    return rows.mapInArrow(parse, f"doc_id {kind}, text_hash long, line_no int, leaf long, sig binary")
 
 
 def _marked(leaves):
     """Rows of 4,096 bytes of the map of spots; its size does not depend on how many leaves there are."""
-    spot = F.col("spot") + 1
+    spot = F.pmod("leaf", F.lit(SPOTS)) + 1
     rows = leaves.groupBy(F.bitmap_bucket_number(spot).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
     out = np.zeros(SPOTS // 8, np.uint8)
     for r in rows:
@@ -75,11 +71,16 @@ def _marked(leaves):
     return out
 
 
+def counted(lines):
+    """leaf, sig, n: how many lines are alike."""
+    return lines.groupBy("leaf", "sig").agg(F.count("*").alias("n"))
+
+
 def templates(docs, lines, text="text", least=LEAST_TOKENS, depth=DEPTH, support=SUPPORT, fixed=FIXED):
     """sig, template, pattern of the lines that are generalised: those whose leaf has enough different lines to fix a token.
 
     Texts are read again for the lines of such leaves only, so that no other text is shuffled."""
-    leaves = lines.groupBy("leaf", "spot", "sig").agg(F.lit(1)).groupBy("leaf", "spot").agg(F.count("*").alias("sigs")).where(F.col("sigs") >= support).checkpoint()
+    leaves = counted(lines).groupBy("leaf").agg(F.count("*").alias("sigs")).where(F.col("sigs") >= support).select("leaf").checkpoint()
     marked = docs.sparkSession.sparkContext.broadcast(_marked(leaves))
 
     def read(batches):
@@ -88,14 +89,14 @@ def templates(docs, lines, text="text", least=LEAST_TOKENS, depth=DEPTH, support
             leaf_of, masked = [], []
             for value in as_bytes(batch.column("text")):
                 for _, leaf, tokens in parsed(value, least, depth):
-                    spot = _spot(leaf)
+                    spot = leaf % SPOTS
                     if spots[spot >> 3] >> (spot & 7) & 1:
                         leaf_of.append(leaf)
                         masked.append(b" ".join(tokens))
             sigs = [xxhash.xxh3_128_digest(m) for m in masked]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf_of, pa.binary()), pa.array(sigs, pa.binary()), pa.array([m.decode() for m in masked], pa.string())], names=["leaf", "sig", "masked"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf_of, pa.int64()), pa.array(sigs, pa.binary()), pa.array([m.decode() for m in masked], pa.string())], names=["leaf", "sig", "masked"])
 
-    found = docs.select(F.col(text).alias("text")).where("text <> ''").mapInArrow(read, "leaf binary, sig binary, masked string")
+    found = docs.select(F.col(text).alias("text")).where("text <> ''").mapInArrow(read, "leaf long, sig binary, masked string")
     open_lines = found.groupBy("leaf", "sig").agg(F.first("masked").alias("masked")).join(leaves, "leaf", "left_semi")
     places = open_lines.select("leaf", "sig", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     known = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where(F.col("lines") >= support)
@@ -113,7 +114,9 @@ def dropped_lines(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=
     shared_folder(docs.sparkSession)
     lines = occurrences(docs, doc_id, text, least, depth).checkpoint()
     found = templates(docs, lines, text, least, depth, support, fixed).select("sig", "template")
-    held = lines.select("doc_id", "text_hash", "line_no", "sig").join(found, "sig", "left")
+    # Of the other lines only those can recur of which there are enough.
+    live = counted(lines).where(F.col("n") >= min_docs).select("sig").join(found, "sig", "full")
+    held = lines.select("doc_id", "text_hash", "line_no", "sig").join(live, "sig")
     held = held.select("doc_id", "text_hash", "line_no", F.coalesce("template", "sig").alias("template"))
     by_doc = held.groupBy("template", "doc_id", "text_hash").agg(F.min("line_no").alias("line_no"))
     first = F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")
