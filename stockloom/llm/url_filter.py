@@ -124,7 +124,8 @@ def bayes_scores(words):
     addresses = {r["label"]: r["n"] for r in addresses}
     if len(addresses) < 2:
         return words.select("host", "path", F.lit(None).cast("double").alias("score")).distinct()
-    counted = words.where("label is not null").groupBy("word").agg(F.count_if("label").alias("bad"), F.count_if(~F.col("label")).alias("good"))
+    # Written, so that the join below has two plain sides and adaptive execution can split a word that very many addresses have.
+    counted = words.where("label is not null").groupBy("word").agg(F.count_if("label").alias("bad"), F.count_if(~F.col("label")).alias("good")).checkpoint()
     size = counted.agg(F.count("*"), F.sum("bad"), F.sum("good")).first()
     weight = F.ln((F.col("bad") + 1) / (size[1] + size[0])) - F.ln((F.col("good") + 1) / (size[2] + size[0]))
     unseen = math.log(1 / (size[1] + size[0])) - math.log(1 / (size[2] + size[0]))
@@ -142,6 +143,7 @@ def judged(pages, rules, label, counts, page_id="page_id", url="url", longest=LO
     known = rows.where("host <> '' or path <> ''").select("host", "path").distinct()
     runs = F.regexp_extract_all(F.translate(F.concat_ws(" ", "host", "path"), UPPER, LOWER), F.lit(LETTERS), 1)
     pieces = known.select("host", "path", label(F.col("host"), F.col("path")).alias("label"), F.explode(runs).alias("piece"))
+    counts = counts.checkpoint()  # read twice: for its sum, and by the join
     words = pieces.join(segmented(pieces, counts, longest), "piece").select("host", "path", "label", F.explode("words").alias("word")).checkpoint()
     found = rows.join(bayes_scores(words), ["host", "path"], "left").withColumn("match", matching_rule(rules, F.col("host"), F.col("path")))
     by_words = F.when(F.col("score") > 0, F.lit("block")).otherwise("allow")
