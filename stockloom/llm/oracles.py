@@ -90,3 +90,24 @@ def backoff(documents="documents", alpha=0.4):
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(back, 0)::bigint AS backed_off,
   CASE WHEN len(w) > 0 AND size.n > len(w) THEN round((l - alone * log10(size.n - len(w))) / len(w), 6) END AS score
 FROM doc CROSS JOIN size LEFT JOIN s USING (rid)"""
+
+
+def repeated_units(documents="documents", least=8):
+    """For tables whose ids are unique: of equal ids the operator goes by a hash of the text, which SQL does not have."""
+    ws = "[ \\t\\x0B\\f\\r]"
+    return f"""WITH doc AS (SELECT DISTINCT doc_id, text FROM {documents} WHERE text <> ''),
+  ls AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM doc),
+  lo AS (SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id, text ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+    string_split(regexp_replace(l, '([.!?])({ws})', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM ls),
+  p AS (SELECT doc_id, text, k, off, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM lo),
+  po AS (SELECT *, regexp_replace(p, '^{ws}+', '') AS body,
+    off + sum(length(p)) OVER (PARTITION BY doc_id, text, k ORDER BY j) AS stop FROM p),
+  one AS (SELECT doc_id, text, k, count_if(body <> '') = 1 AS single FROM po GROUP BY ALL),
+  u AS (SELECT doc_id, stop - length(body) AS "start", stop AS "end", body FROM po WHERE body <> ''
+    UNION ALL SELECT doc_id, off, off + length(l), l FROM lo JOIN one USING (doc_id, text, k) WHERE NOT single),
+  n AS (SELECT doc_id, "start"::bigint AS "start", "end"::bigint AS "end",
+    regexp_replace(regexp_replace({small('body')}, '^{ws}+|{ws}+$', '', 'g'), '{ws}+', ' ', 'g') AS norm FROM u),
+  w AS (SELECT * FROM n WHERE norm <> '' AND len(string_split(norm, ' ')) >= {least}),
+  f AS (SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value("start") OVER o AS first_start, row_number() OVER o AS rn
+    FROM w WINDOW o AS (PARTITION BY norm ORDER BY doc_id NULLS FIRST, "start", "end"))
+SELECT doc_id, "start", "end", first_doc_id, first_start FROM f WHERE rn > 1"""
