@@ -132,7 +132,8 @@ def scan(docs, label, sample=SAMPLE, doc_id="doc_id", text="text", path="source"
     shared_folder(docs.sparkSession)
     found = candidates(docs, doc_id, text, path).checkpoint()
     found = found.withColumn("label", label(*[F.col(c) for c in ("candidate", "before", "after", "path")]).cast("int"))
-    findings = with_features(found, dictionary(docs, text)).checkpoint()
+    words = dictionary(docs, text).checkpoint()  # read twice: for its letter pairs, and by the join
+    findings = with_features(found, words).checkpoint()
     model = fitted(findings, sample)
     if model is None:
         judged = findings.withColumn("chance", F.lit(1.0))
