@@ -229,14 +229,15 @@ def near_groups(docs, size=3, distance=3, doc_id="doc_id", text="text"):
     marked = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("text_hash"), fingerprints(size)(text).alias("fp")).checkpoint()
     prints = marked.select("fp").distinct().checkpoint()
     roots = stars(close_pairs(prints, distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    labels = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    # Written, so that the join has two plain sides and adaptive execution can split a fingerprint that very many texts have.
+    labels = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")).checkpoint()
     return marked.join(labels, "fp").select("doc_id", "text_hash", "fp", "root")
 
 
 def report(docs, **options):
     """doc_id, fingerprint as 16 hex digits, component_id: the smallest doc_id that can be reached over links."""
     marked = near_groups(docs, **options)
-    least = marked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = marked.groupBy("root").agg(F.min("doc_id").alias("component_id")).checkpoint()
     return marked.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
