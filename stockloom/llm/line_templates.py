@@ -117,10 +117,12 @@ def dropped_lines(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=
     # Of the other lines only those can recur of which there are enough.
     live = counted(lines).where(F.col("n") >= min_docs).select("sig").join(found, "sig", "full")
     held = lines.select("doc_id", "text_hash", "line_no", "sig").join(live, "sig")
-    held = held.select("doc_id", "text_hash", "line_no", F.coalesce("template", "sig").alias("template"))
+    held = held.select("doc_id", "text_hash", "line_no", F.coalesce("template", "sig").alias("template")).checkpoint()
     by_doc = held.groupBy("template", "doc_id", "text_hash").agg(F.min("line_no").alias("line_no"))
     first = F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")
     recurring = by_doc.groupBy("template").agg(F.count("*").alias("docs"), first).where(F.col("docs") >= min_docs).select("template", "first")
+    # Both written, so that the join has two plain sides and adaptive execution can split a template that very many lines have.
+    recurring = recurring.checkpoint()
     same = F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("first"))
     return held.join(recurring, "template").where(~same).select("doc_id", "text_hash", "line_no", "template")
 
