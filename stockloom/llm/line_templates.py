@@ -8,7 +8,7 @@ that stands in enough documents recurs: its lines are dropped, except the first
 Leaves are counted, not gathered: lines meet as counts per leaf, place and token, so no group has to fit in a task, and the result
 does not depend on the order of lines. Documents are told apart by id and text: repeated rows count once and lose the same lines.
 Null and empty texts have no lines and stay as they are. A null id comes before all others. Lines of fewer than `least` tokens are
-never dropped, and no document is.
+not generalised: such a line is its own template, its variable fields masked only if enough of it stays. No document is dropped.
 """
 
 import re
@@ -28,27 +28,30 @@ LEAST_TOKENS, DEPTH, SUPPORT, FIXED, MIN_DOCS = 6, 3, 3, 70, 5
 SPOTS = 1 << 26
 
 
-def parsed(text, least, depth):
-    """(line number, leaf, tokens) of the lines that take part, variable fields masked."""
+def parsed(text, least, depth, fixed):
+    """(line number, leaf, tokens) of the lines with a token, variable fields masked. A short line has a leaf of its own."""
     for k, line in enumerate(text.split(b"\n")):
         tokens = line.split()
-        if len(tokens) < least:
+        if not tokens:
             continue
+        long = len(tokens) >= least
         if VARIABLE.search(line):
-            tokens = [b"<*>" if VARIABLE.search(t) else t for t in tokens]
-        leaf = xxhash.xxh3_64_intdigest(b"%d %s" % (len(tokens), b" ".join(tokens[:depth])))
+            masked = [b"<*>" if VARIABLE.search(t) else t for t in tokens]
+            if long or 100 * (len(masked) - masked.count(b"<*>")) >= fixed * len(masked):
+                tokens = masked
+        leaf = xxhash.xxh3_64_intdigest(b"%d %s" % (len(tokens), b" ".join(tokens[:depth] if long else tokens)))
         yield k, leaf - (leaf >> 63 << 64), tokens
 
 
-def occurrences(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=DEPTH):
-    """doc_id, text_hash, line_no, leaf, sig of all lines that take part: digests of the leaf's path and of the masked line."""
+def occurrences(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=DEPTH, fixed=FIXED):
+    """doc_id, text_hash, line_no, leaf, sig of all lines with a token: digests of the leaf's path and of the masked line."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("text_hash"), F.col(text).alias("text")).where("text <> ''")
 
     def parse(batches):
         for batch in batches:
             at, numbers, leaves, sigs = [], [], [], []
             for k, value in enumerate(as_bytes(batch.column("text"))):
-                for number, leaf, tokens in parsed(value, least, depth):
+                for number, leaf, tokens in parsed(value, least, depth, fixed):
                     at.append(k)
                     numbers.append(number)
                     leaves.append(leaf)
@@ -88,7 +91,7 @@ def templates(docs, lines, text="text", least=LEAST_TOKENS, depth=DEPTH, support
         for batch in batches:
             leaf_of, masked = [], []
             for value in as_bytes(batch.column("text")):
-                for _, leaf, tokens in parsed(value, least, depth):
+                for _, leaf, tokens in parsed(value, least, depth, fixed):
                     spot = leaf % SPOTS
                     if spots[spot >> 3] >> (spot & 7) & 1:
                         leaf_of.append(leaf)
@@ -112,7 +115,7 @@ def templates(docs, lines, text="text", least=LEAST_TOKENS, depth=DEPTH, support
 def dropped_lines(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=DEPTH, support=SUPPORT, fixed=FIXED, min_docs=MIN_DOCS):
     """doc_id, text_hash, line_no of the lines to drop, and their template's digest."""
     shared_folder(docs.sparkSession)
-    lines = occurrences(docs, doc_id, text, least, depth).checkpoint()
+    lines = occurrences(docs, doc_id, text, least, depth, fixed).checkpoint()
     found = templates(docs, lines, text, least, depth, support, fixed).select("sig", "template")
     # Of the other lines only those can recur of which there are enough.
     live = counted(lines).where(F.col("n") >= min_docs).select("sig").join(found, "sig", "full")

@@ -68,3 +68,15 @@ def test_digest_and_empty_table(frame):
     assert line_templates.report(empty).count() == 0
     one = line_templates.report(frame([(1, "a\nb")], "doc_id long, text string")).collect()
     assert [tuple(r) for r in one] == [(1, 2, 0, hashlib.sha256(b"a\nb").hexdigest())]
+
+
+def test_short_lines_that_recur_go(frame):
+    """Menus and the like have few tokens. Numbers and addresses that stand alone are not one template."""
+    short = ["All rights reserved.", "Menu", "Last changed 2024 by editors"]
+    rows = [(k, "\n".join([*short, str(1000 + k), f"u{k}@example.org", f"Page {k}", f"Say no to {own(k)[:3]}"])) for k in range(5)]
+    rows = [(k, t.replace("2024", str(2020 + k))) for k, t in rows] + [(9, "Rare words"), (10, "Rare words")]
+    got = {r["doc_id"]: r["text"] for r in line_templates.cleaned(frame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for k in range(1, 5):
+        assert got[k] == f"{1000 + k}\nu{k}@example.org\nPage {k}\nSay no to {own(k)[:3]}"
+    assert got[9] == got[10] == "Rare words"
