@@ -5,12 +5,17 @@ variable fields from the start. Within a leaf a token stays at its place if enou
 variable field otherwise. If enough of the line is fixed, the generalised line is its template; else the line is its own. A template
 that stands in enough documents recurs: its lines are dropped, except the first one in the document with the least id.
 
+How many lines are enough depends on the leaf: where fields take the same values again and again, a value is in many lines of a large
+leaf. So a line is generalised at several levels, each of which asks STEP times as many lines for a token, up to all of the leaf's. Its
+template is that of the first level that recurs: rare templates of a crowded leaf recur at low levels, fields of few values vanish at high ones.
+
 Leaves are counted, not gathered: lines meet as counts per leaf, place and token, so no group has to fit in a task, and the result
 does not depend on the order of lines. Documents are told apart by id and text: repeated rows count once and lose the same lines.
 Null and empty texts have no lines and stay as they are. A null id comes before all others. Lines of fewer than `least` tokens are
 not generalised: such a line is its own template, its variable fields masked only if enough of it stays. No document is dropped.
 """
 
+import math
 import re
 
 import numpy as np
@@ -26,6 +31,8 @@ VARIABLE = re.compile(rb"[0-9@]|://")
 LEAST_TOKENS, DEPTH, SUPPORT, FIXED, MIN_DOCS = 6, 3, 3, 70, 5
 #: Bits of the map that tells the second reading which leaves to look at; 32,768 to a row of it, 8 MB in all.
 SPOTS = 1 << 26
+#: Times as many lines as at the level before.
+STEP = 2
 
 
 def parsed(text, least, depth, fixed):
@@ -80,7 +87,7 @@ def counted(lines):
 
 
 def templates(docs, lines, text="text", least=LEAST_TOKENS, depth=DEPTH, support=SUPPORT, fixed=FIXED):
-    """sig, template, pattern of the lines that are generalised: those whose leaf has enough different lines to fix a token.
+    """sig, level, template, pattern of the lines that are generalised: those whose leaf has enough different lines to fix a token.
 
     Texts are read again for the lines of such leaves only, so that no other text is shuffled."""
     leaves = counted(lines).groupBy("leaf").agg(F.count("*").alias("sigs")).where(F.col("sigs") >= support).select("leaf").checkpoint()
@@ -103,12 +110,15 @@ def templates(docs, lines, text="text", least=LEAST_TOKENS, depth=DEPTH, support
     open_lines = found.groupBy("leaf", "sig").agg(F.first("masked").alias("masked")).join(leaves, "leaf", "left_semi")
     places = open_lines.select("leaf", "sig", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     known = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where(F.col("lines") >= support)
-    kept = F.when(F.col("lines").isNotNull(), F.col("token")).otherwise(F.lit(FIELD))
-    cut = places.join(known, ["leaf", "place", "token"], "left").select("leaf", "sig", F.struct("place", kept.alias("token")).alias("at"))
+    cut = places.join(known, ["leaf", "place", "token"], "left").select("leaf", "sig", F.struct("place", "token", "lines").alias("at"))
     whole = cut.groupBy("leaf", "sig").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    whole = whole.select("sig", F.transform("at", lambda a: a["token"]).alias("tokens"))
-    stays = F.size(F.filter("tokens", lambda t: t != FIELD))
-    whole = whole.where(100 * stays >= fixed * F.size("tokens")).select("sig", F.concat_ws(" ", "tokens").alias("pattern"))
+    # A level asks for support * STEP ** level lines; the token that most lines have is variable from the level after `top` on.
+    top = F.floor(F.log(F.array_max(F.transform("at", lambda a: a["lines"])) / support) / math.log(STEP) + 1e-9).cast("int")
+    cut_at = lambda level: F.transform("at", lambda a: F.when(a["lines"] >= support * F.pow(F.lit(STEP), level), a["token"]).otherwise(F.lit(FIELD)))
+    enough = lambda tokens: 100 * F.size(F.filter(tokens, lambda t: t != FIELD)) >= fixed * F.size(tokens)
+    levels = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), top), cut_at), enough))
+    whole = whole.where(top.isNotNull()).select("sig", F.posexplode(levels).alias("level", "tokens"))
+    whole = whole.select("sig", "level", F.concat_ws(" ", "tokens").alias("pattern"))
     return whole.withColumn("template", F.unhex(F.md5("pattern")))
 
 
@@ -116,14 +126,15 @@ def dropped_lines(docs, doc_id="doc_id", text="text", least=LEAST_TOKENS, depth=
     """doc_id, text_hash, line_no of the lines to drop, and their template's digest."""
     shared_folder(docs.sparkSession)
     lines = occurrences(docs, doc_id, text, least, depth, fixed).checkpoint()
-    found = templates(docs, lines, text, least, depth, support, fixed).select("sig", "template")
+    found = templates(docs, lines, text, least, depth, support, fixed).select("sig", "level", "template")
     # Of the other lines only those can recur of which there are enough.
     live = counted(lines).where(F.col("n") >= min_docs).select("sig").join(found, "sig", "full")
-    held = lines.select("doc_id", "text_hash", "line_no", "sig").join(live, "sig")
-    held = held.select("doc_id", "text_hash", "line_no", F.coalesce("template", "sig").alias("template")).checkpoint()
-    by_doc = held.groupBy("template", "doc_id", "text_hash").agg(F.min("line_no").alias("line_no"))
-    first = F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")
-    recurring = by_doc.groupBy("template").agg(F.count("*").alias("docs"), first).where(F.col("docs") >= min_docs).select("template", "first")
+    live = live.select("sig", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("template", "sig").alias("template")).checkpoint()
+    by_doc = lines.select("doc_id", "text_hash", "sig").join(live, "sig").select("template", "doc_id", "text_hash").distinct()
+    often = by_doc.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
+    chosen = live.join(often, "template").groupBy("sig").agg(F.min_by("template", "level").alias("template")).checkpoint()
+    held = lines.select("doc_id", "text_hash", "line_no", "sig").join(chosen, "sig").select("doc_id", "text_hash", "line_no", "template").checkpoint()
+    recurring = held.groupBy("template").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"))
     # Both written, so that the join has two plain sides and adaptive execution can split a template that very many lines have.
     recurring = recurring.checkpoint()
     same = F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("first"))

@@ -80,3 +80,18 @@ def test_short_lines_that_recur_go(frame):
     for k in range(1, 5):
         assert got[k] == f"{1000 + k}\nu{k}@example.org\nPage {k}\nSay no to {own(k)[:3]}"
     assert got[9] == got[10] == "Rare words"
+
+
+@pytest.mark.parametrize("names, sections", [(3, 3), (50, 10)])
+def test_fields_whose_values_repeat(frame, names, sections):
+    """Each value stands in several lines, more of them the larger the corpus; each line is in one document."""
+    letters = "abcdefghij"
+    name = lambda k: letters[k // 10] + letters[k % 10] + "ann"
+    line = lambda a, b: f"This article was written by {name(a)} for the {letters[b]}part section"
+    rows = [(a * sections + b, f"{line(a, b)}\nown {a} of {letters[b]}") for a in range(names) for b in range(sections)]
+    rare = [f"This article was taken from {name(k)[::-1]} in our old archive" for k in range(6)]
+    rows += [(1000 + k, t) for k, t in enumerate(rare)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.cleaned(frame(rows, "doc_id long, text string")).collect()}
+    kept = [k for k in range(names * sections) if got[k].startswith("This")]
+    assert len(kept) <= sections  # one of each template; a section may stay fixed
+    assert [got[1000 + k] for k in range(6)] == [rare[0]] + [""] * 5
