@@ -8,6 +8,7 @@ base ten; copies of a text raise each other's.
 Documents are dealt to chunks of about CHUNK_CHARS characters, and n-grams to buckets by hash. Each chunk counts its n-grams and sends
 every different one once to its bucket, however often it occurs; buckets add up the chunks' counts and send the sums back; chunks join
 them to their documents' n-grams. So an n-gram that all documents hold is one entry per chunk. N-grams are told apart by 64 bits.
+What is sent is packed: sorted keys as differences, numbers by byte planes, compressed.
 
 Words are those between ASCII white space, A-Z lower-cased. Texts without words (null, empty) have n_words 0 and no score; in a corpus
 without other words the score is null as well. Repeated rows are documents of their own.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from stockloom.llm.wording import LOWER, as_bytes, spaced_words
 from stockloom.session import shared_folder
 
-ORDER, ALPHA = 2, 0.4
+ORDER, ALPHA = 3, 0.4
 CHUNK_CHARS = 1 << 23
 #: Words whose own counts are looked at at once.
 SLICE_WORDS = 1 << 18
@@ -69,6 +70,26 @@ def _bucket(keys, buckets):
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def _pack(numbers):
+    """Bytes of whole numbers, the first bytes of all before the second ones, compressed."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(packed, kind):
+    n, size = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed[8:], n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def _pack_sorted(keys):
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(packed):
+    return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
+
+
 def _counted(order, buckets):
     """chunk -> (bucket, chunk, its different keys, their counts)."""
 
@@ -76,8 +97,8 @@ def _counted(order, buckets):
         grams = Grams(as_bytes(table["text"].combine_chunks()), order)
         ends = np.searchsorted(_bucket(grams.distinct, buckets), np.arange(buckets + 1).astype(np.uint64))
         full = np.flatnonzero(np.diff(ends))
-        keys = [grams.distinct[ends[b] : ends[b + 1]].tobytes() for b in full]
-        counts = [grams.counts[ends[b] : ends[b + 1]].astype(np.uint32).tobytes() for b in full]
+        keys = [_pack_sorted(grams.distinct[ends[b] : ends[b + 1]]) for b in full]
+        counts = [_pack(grams.counts[ends[b] : ends[b + 1]].astype(np.uint32)) for b in full]
         chunk = pa.array(np.full(len(full), key[0].as_py(), np.int64))
         return pa.table({"bucket": pa.array(full.astype(np.int64)), "chunk": chunk, "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -86,12 +107,12 @@ def _counted(order, buckets):
 
 def _added(table):
     """A bucket's counts -> (chunk, bucket, sums in the order of the chunk's keys)."""
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-    counts = [np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()]
+    keys = [_unpack_sorted(k) for k in table["keys"].to_pylist()]
+    counts = [_unpack(c, np.uint32) for c in table["counts"].to_pylist()]
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)[place]  # whole numbers, exact to 2**53
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "sums": pa.array([s.tobytes() for s in np.split(sums, cuts)], pa.binary())})
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "sums": pa.array([_pack(s) for s in np.split(sums, cuts)], pa.binary())})
 
 
 def _word_scores(grams, words, totals, order, alpha):
@@ -127,7 +148,7 @@ def _scored(order, alpha):
     def score(table, sums):
         grams = Grams(as_bytes(table["text"].combine_chunks()), order)
         parts = sums.sort_by("bucket")["sums"].to_pylist()
-        totals = np.concatenate([np.frombuffer(p, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
+        totals = np.concatenate([_unpack(p, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
         docs = len(grams.sizes)
         logs, left, back = np.zeros(docs), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
         ends = np.cumsum(grams.sizes)

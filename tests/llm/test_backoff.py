@@ -61,3 +61,12 @@ def test_scores_against_plain_counts(frame, order, chunk_chars):
 def test_alone_and_empty(frame):
     assert [tuple(r) for r in backoff.scores(frame([(1, "a b")], "doc_id long, text string")).collect()] == [(1, 2, 1, None)]
     assert backoff.scores(frame([], "doc_id long, text string")).count() == 0
+
+
+def test_context_of_two_words_counts_by_default(frame):
+    """After "a b" the others always have c, after "b" alone mostly d."""
+    texts = [(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "y b d"), (5, "z b d")]
+    got = {r["doc_id"]: r["score"] for r in backoff.scores(frame(texts, "doc_id long, text string")).collect()}
+    want = {k: s for k, _, _, s in brute(texts, 3)}
+    assert got == {k: pytest.approx(s, abs=1e-6) for k, s in want.items()}
+    assert want[1] != pytest.approx({k: s for k, _, _, s in brute(texts, 2)}[1], abs=1e-6)
