@@ -5,6 +5,10 @@ more is normalised (A-Z lower-cased, white space runs made one space) and hashed
 kind, the one of the least document id is kept (then the least text hash, then the least start); the others are removed. Offsets are
 those of the original text, in characters, so removed pieces can be traced and the rest put together.
 
+Shorter pieces are units together with their neighbours: from each one on, and up to each one, the least run of pieces, over lines as
+well, that has `least` words. So a passage of short lines or sentences goes whole, and a short sentence that many texts hold by itself
+stays. Where a text repeats itself in shorter steps than that, runs overlap, and of the kept one only what no other covers stays.
+
 Null and empty texts have no units. A null id comes before all others. Repeated rows are one document: they lose the same units.
 """
 
@@ -21,17 +25,38 @@ SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=[ \t\x0b\f\r])|$)")
 
 
 def units(text, least):
-    """(start, end, digest) of a text's lines and of the sentences of lines that have several."""
-    at = 0
+    """(start, end, digest) of a text's lines, of the sentences of lines that have several, and of the runs around short pieces."""
+    at, row = 0, []
     for line in (text or "").split("\n"):
         pieces = [m.span() for m in SENTENCE.finditer(line)]
-        if len(pieces) != 1:
+        single = len(pieces)
+        if single != 1:
             pieces.append((0, len(line)))
-        for start, end in pieces:
+        for k, (start, end) in enumerate(pieces):
             words = line[start:end].encode().translate(LOWER).split()
             if len(words) >= least:
                 yield at + start, at + end, xxhash.xxh3_128_digest(b" ".join(words))
+            if words and k < single:
+                row.append((at + start, at + end, words))
         at += len(line) + 1
+    for a, b in _runs([len(words) for *_, words in row], least):
+        yield row[a][0], row[b][1], xxhash.xxh3_128_digest(b" ".join(w for *_, words in row[a : b + 1] for w in words))
+
+
+def _runs(sizes, least):
+    """(first, last) of the least runs of `least` words from each short piece on and up to each, every run once."""
+    found = set()
+    for k, size in enumerate(sizes):
+        if size >= least:
+            continue
+        for step, stop in ((1, len(sizes)), (-1, -1)):
+            words = 0
+            for m in range(k, stop, step):
+                words += sizes[m]
+                if words >= least:
+                    found.add((min(k, m), max(k, m)))
+                    break
+    return sorted(found)
 
 
 def _exploded(least):

@@ -76,3 +76,11 @@ def test_texts_without_the_repeats(frame):
 
 def test_empty(frame):
     assert unit_dedup.report(frame([], "doc_id long, text string")).count() == 0
+
+
+def test_passage_of_short_lines_goes_whole(frame):
+    verse = "So short\nthis is.\n\nA verse. Of lines,\nof few words\nA sentence between them that is long enough by itself\nthe end"
+    rows = [(1, f"One begins\n{verse}\nand goes on here"), (2, f"Other words stand\n{verse}\nbefore and after"), (3, "A verse. Alone it stays, so short.")]
+    got = {r["row"]["doc_id"]: r["text"] for r in unit_dedup.cleaned(frame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert got[2].split() == "Other words stand before and after".split()
