@@ -111,3 +111,53 @@ def repeated_units(documents="documents", least=8):
   f AS (SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value("start") OVER o AS first_start, row_number() OVER o AS rn
     FROM w WINDOW o AS (PARTITION BY norm ORDER BY doc_id NULLS FIRST, "start", "end"))
 SELECT doc_id, "start", "end", first_doc_id, first_start FROM f WHERE rn > 1"""
+
+
+def resampling(documents="documents", benchmark="benchmark", buckets=10000, seed=2024, least=20, percent=10):
+    words = f"coalesce(regexp_extract_all({small('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+    # CRC-32 by a table of the 256 bytes' remainders, over the bytes of each different word.
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::bigint) ELSE c >> 1 END"
+    return f"""WITH RECURSIVE doc AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM {documents}),
+  item AS (SELECT {words} AS w FROM {benchmark}),
+  one AS (SELECT i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: {step}) AS r FROM range(256) t(i)),
+  tab AS (SELECT list(r ORDER BY i) AS tab FROM one),
+  dw AS (SELECT rid, unnest(w) AS x FROM doc),
+  bw AS (SELECT unnest(w) AS x FROM item),
+  voc AS (SELECT DISTINCT x FROM (SELECT x FROM dw UNION ALL SELECT x FROM bw)),
+  coded AS (SELECT x, xor(list_reduce(list_prepend(4294967295::bigint,
+      list_transform(range(1, octet_length(encode(x)) + 1), lambda k: ('0x' || substr(hex(x), (2 * k - 1)::bigint, 2))::bigint)),
+      lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295::bigint) % {buckets} AS b FROM voc, tab),
+  db AS (SELECT rid, b FROM dw JOIN coded USING (x)),
+  s AS (SELECT b, count(*) AS n FROM db GROUP BY 1),
+  t AS (SELECT b, count(*) AS n FROM bw JOIN coded USING (x) GROUP BY 1),
+  size AS (SELECT (SELECT count(*) FROM dw)::double AS s, (SELECT count(*) FROM bw)::double AS t),
+  gain AS (SELECT s.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (size.s + {buckets}) / ((s.n + 1)::double * (size.t + {buckets}))))::bigint AS g
+    FROM s LEFT JOIN t USING (b), size),
+  per AS (SELECT rid, count(*) AS n, sum(g) AS g FROM db JOIN gain USING (b) GROUP BY 1),
+  sc AS (SELECT rid, doc_id, coalesce(n, 0)::bigint AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::bigint AS weight,
+    ('0x' || substr(sha256('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint AS h FROM doc LEFT JOIN per USING (rid)),
+  sco AS (SELECT rid, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::double / 4294967296::double)))::bigint AS score FROM sc),
+  rk AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS r, count(*) OVER () AS n FROM sco WHERE n_features >= {least})
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * {percent} // 100 THEN r END::bigint AS rank FROM sco LEFT JOIN rk USING (rid)"""
+
+
+def filter_audit(documents="documents", labels="labels"):
+    letters = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+    orders = " JOIN ".join(f"{letters} {c}(l, b)" + ("" if c == "p" else " ON " + " AND ".join(f"{c}.l <> {x}.l" for x in "pqrst"[: "pqrst".index(c)])) for c in "pqrst")
+    before = ["0", "p.b", "p.b + q.b", "p.b + q.b + r.b", "p.b + q.b + r.b + s.b"]
+    steps = ", ".join(f"{{'step': {k + 1}, 'bit': {c}.b, 'before': {before[k]}}}" for k, c in enumerate("pqrst"))
+    return f"""WITH d AS (SELECT doc_id, coalesce(source::varchar, '') AS part, coalesce(text, '') AS t FROM {documents}),
+  x AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+  f AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+      + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS bits FROM x),
+  l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM {labels} GROUP BY 1),
+  c AS (SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+  o AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, unnest([{steps}]) AS st FROM {orders}),
+  z AS (SELECT part, filter_order, st.step AS step, st.bit AS bit, bits & st.bit > 0 AS fails, bits & st.before > 0 AS gone, c.* EXCLUDE (part) FROM c, o),
+  r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::bigint AS kept,
+    sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::bigint AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::bigint AS redundant,
+    sum(CASE WHEN bits = bit THEN n ELSE 0 END)::bigint AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::bigint AS good_lost,
+    sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::bigint AS toxic_lost FROM z GROUP BY ALL)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::bigint AS shapley FROM r"""
