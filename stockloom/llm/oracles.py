@@ -161,3 +161,19 @@ def filter_audit(documents="documents", labels="labels"):
     sum(CASE WHEN bits = bit THEN n ELSE 0 END)::bigint AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::bigint AS good_lost,
     sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::bigint AS toxic_lost FROM z GROUP BY ALL)
 SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::bigint AS shapley FROM r"""
+
+
+def overlap_join(documents="documents", size=4, least=85):
+    """For tables whose ids are unique and known."""
+    words = f"coalesce(regexp_extract_all({small('text')}, '[^\\x20\\x09-\\x0D]+'), [])"
+    return f"""WITH RECURSIVE doc AS (SELECT doc_id, {words} AS w FROM {documents}),
+  sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), {size}) - 1], ' ') AS s
+    FROM doc, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) t(i) WHERE len(w) > 0),
+  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+  shared AS (SELECT s, doc_id FROM sh WHERE s IN (SELECT s FROM sh GROUP BY 1 HAVING count(*) > 1)),
+  pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM shared a JOIN shared b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+  link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= {least} * (x.n + y.n - o)),
+  reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+  low AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
+FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN low ON a = doc_id"""

@@ -1,6 +1,6 @@
 """The registered queries of this package, on the given tables."""
 
-from stockloom.llm import backoff, decontaminate, filter_audit, line_quality, line_templates, mixing, near_copies, oracles, resampling, secret_scan, separators, unit_dedup, url_filter
+from stockloom.llm import backoff, decontaminate, filter_audit, line_quality, line_templates, mixing, near_copies, oracles, overlap_join, resampling, secret_scan, separators, unit_dedup, url_filter
 
 #: Fixed values of the query's contract: verdict, and host with the start of the path.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -78,6 +78,11 @@ def op10_wu_manber_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(oracles.overlap_join())
+def op11_shingle_overlap_join(spark, sf_dir):
+    return overlap_join.report(table(spark, sf_dir, "documents"))
+
+
 @query(oracles.resampling())
 def op12_target_resampling(spark, sf_dir):
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
