@@ -5,12 +5,13 @@ A text's set are its different shingles of `size` words, told apart by 64 bits;
 lists at least. DivideSkip merges the short lists with a heap, keeps what is on T - L of them, and looks for these in the L longest lists
 by binary search, until the overlap that both sizes ask for is reached or out of reach.
 
-The lists are cut by documents, into shards. All sets order their shingles alike, those of the longest lists last; of two sets that link
-each has one of the other's first n - T + 1 shingles among its own. Sets without such a shared shingle have no partner. The others live in
-the shard of their most shared one, with at most about SHARD sets each, so likely partners live together. First each shard is searched for
-its own sets and for one anchor of its shingle, which joins the shards that a large group is cut into. Then a set visits the shards that
-hold one of its first shingles in a set of another component. Shards write a link only between sets not yet joined: what comes
-out are the components of all links, with fewer links than sets and visits, however many pairs a group has.
+The lists are cut by documents, into shards. All sets order their shingles alike, those of the longest lists last. If each takes its first
+n - T + 1 + EXTRA * n / 100 ones, sets that link have more than EXTRA * T / 100 of these in common. Sets that share fewer with all others
+together have no partner. The others live in the shard of their most shared one, with about SHARD sets each at most, so likely partners
+live together. First each shard is searched for its own sets and for one anchor of its shingle, which joins the shards that a large
+group is cut into. Then a set visits the shards that hold enough of its first shingles and a set of another component. Shards write a
+link only between sets not yet joined: what comes out are the components of all links, with fewer links than sets and visits, however
+many pairs a group has.
 
 Words stand between ASCII white space, A-Z lower-cased. A text with fewer words than `size` has all of them as its one shingle; without
 words (null, empty) its set is empty and links with nothing, its component is its own id. Repeated rows have equal sets. A component's
@@ -37,6 +38,8 @@ from stockloom.session import shared_folder
 SIZE, LEAST = 4, 85
 #: Most shingles that are known to have long lists, and how often a task must see one before it reports it. They only set the order.
 LONG_LISTS, OFTEN = 1 << 16, 4
+#: First shingles beyond the n - T + 1 that any partner shares one of, in percent of n.
+EXTRA = 5
 #: Sets of a shard, visitors of a shard that are searched for together, and sets of the shards that one group holds.
 SHARD, VISITORS, PACK = 256, 1024, 2048
 #: Weight of a list's length against the number of lists when they are divided.
@@ -111,12 +114,18 @@ def long_lists(texts, size):
 
 
 def first_shingles(shingles, long, least):
-    """The n - T + 1 first ones of a set in the common order: those of long lists last, by length, the others by their bits."""
+    """The first ones of a set in the common order: those of long lists last, by length, the others by their bits."""
     length = np.zeros(len(shingles), np.int64)
     if len(long[0]):
         at = np.minimum(np.searchsorted(long[0], shingles), len(long[0]) - 1)
         length = np.where(long[0][at] == shingles, long[1][at], 0)
-    return shingles[np.lexsort((shingles, length))][: len(shingles) - threshold(len(shingles), least) + 1]
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, length))][: n - threshold(n, least) + 1 + EXTRA * n // 100]
+
+
+def fewest_shared(n, least):
+    """First shingles that a set of n (a column) has in common with any partner, less one."""
+    return F.floor(EXTRA * F.ceil(least * n / 100) / 100)
 
 
 def marked_sets(docs, size, least, doc_id="doc_id", text="text"):
@@ -156,10 +165,11 @@ def live_postings(sets):
     return sets.mapInArrow(emit, "set long, n long, shingle long").join(lists, "shingle")
 
 
-def homes(live):
-    """set, n, home (its most shared first shingle), shard."""
+def homes(live, least):
+    """set, n, home (its most shared first shingle), shard, of the sets that share enough to have a partner."""
     most = F.max(F.struct("sets", "shingle")).alias("most")
-    out = live.groupBy("set", "n").agg(most).select("set", "n", F.col("most.shingle").alias("home"), F.col("most.sets").alias("sets"))
+    out = live.groupBy("set", "n").agg(F.count("*").alias("shared"), most).where(F.col("shared") > fewest_shared(F.col("n"), least))
+    out = out.select("set", "n", F.col("most.shingle").alias("home"), F.col("most.sets").alias("sets"))
     part = F.pmod(F.xxhash64("set"), F.ceil(F.col("sets") / SHARD))
     return out.select("set", "n", "home", F.xxhash64("home", part).alias("shard"))
 
@@ -292,7 +302,7 @@ def roots(docs, marks, size, least, text="text"):
     """(u, v) for every set u that is joined with a smaller one: v is the smallest set of its component."""
     sets = marks.where("set is not null").groupBy("set").agg(F.first("n_shingles").alias("n"), F.first("first").alias("first")).checkpoint()
     live = live_postings(sets).checkpoint()
-    places = homes(live).checkpoint()
+    places = homes(live, least).checkpoint()
     whole = bodies(docs, places, size, text).checkpoint()
     # The anchor of a home visits all of its shards but its own.
     anchors = places.groupBy("home").agg(F.min(F.struct("set", "shard")).alias("anchor"), F.min("shard").alias("low"), F.max("shard").alias("high"))
@@ -307,7 +317,8 @@ def roots(docs, marks, size, least, text="text"):
     there = held.groupBy("shingle", "shard").agg(*ends).withColumnRenamed("shard", "there").checkpoint()
     fits = (F.col("there") < F.col("shard")) & (100 * F.col("max_n") >= least * F.col("n")) & (least * F.col("min_n") <= 100 * F.col("n"))
     others = (F.col("min_label") != F.col("label")) | (F.col("max_label") != F.col("label"))
-    visits = held.join(there, "shingle").where(fits & others).select("set", F.col("there").alias("shard")).distinct().checkpoint()
+    visits = held.join(there, "shingle").where(fits & others).groupBy("set", "n", "there").agg(F.count("*").alias("shared"))
+    visits = visits.where(F.col("shared") > fewest_shared(F.col("n"), least)).select("set", F.col("there").alias("shard")).checkpoint()
     more = searched(whole.join(labels.select("set", "label"), "set"), visits, least, own=False)
     return stars(links.union(more))
 
