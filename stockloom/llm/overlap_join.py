@@ -8,10 +8,10 @@ by binary search, until the overlap that both sizes ask for is reached or out of
 The lists are cut by documents, into shards. All sets order their shingles alike, those of the longest lists last. If each takes its first
 n - T + 1 + EXTRA * n / 100 ones, sets that link have more than EXTRA * T / 100 of these in common. Sets that share fewer with all others
 together have no partner. The others live in the shard of their most shared one, with about SHARD sets each at most, so likely partners
-live together. First each shard is searched for its own sets and for one anchor of its shingle, which joins the shards that a large
-group is cut into. Then a set visits the shards that hold enough of its first shingles and a set of another component. Shards write a
-link only between sets not yet joined: what comes out are the components of all links, with fewer links than sets and visits, however
-many pairs a group has.
+live together; the shards of one shingle are a home. First each shard is searched for its own sets and for one anchor of its home, which
+joins the shards that a large group is cut into. Then a set visits the shards of homes that hold enough of its first shingles, where
+they have a set of another component. Shards write a link only between sets not yet joined: what comes out are the components of all
+links, with fewer links than sets and visits, however many pairs a group has.
 
 Words stand between ASCII white space, A-Z lower-cased. A text with fewer words than `size` has all of them as its one shingle; without
 words (null, empty) its set is empty and links with nothing, its component is its own id. Repeated rows have equal sets. A component's
@@ -41,7 +41,7 @@ LONG_LISTS, OFTEN = 1 << 16, 4
 #: First shingles beyond the n - T + 1 that any partner shares one of, in percent of n.
 EXTRA = 5
 #: Sets of a shard, visitors of a shard that are searched for together, and sets of the shards that one group holds.
-SHARD, VISITORS, PACK = 256, 1024, 2048
+SHARD, VISITORS, PACK = 256, 1024, 512
 #: Weight of a list's length against the number of lists when they are divided.
 MU = 0.0085
 
@@ -129,30 +129,31 @@ def fewest_shared(n, least):
 
 
 def marked_sets(docs, size, least, doc_id="doc_id", text="text"):
-    """doc_id, n_shingles, set (null: empty) and first (the first shingles) of all rows."""
+    """doc_id, n_shingles, set (null: empty) and first (the first shingles; none where the batch has had the set) of all rows."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(long_lists(rows.select("text"), size))
 
     def mark(batches):
         for batch in batches:
-            of, sizes, keys, first = Shingles(size), [], [], []
+            of, sizes, keys, first, seen = Shingles(size), [], [], [], {None}
             for text in as_bytes(batch.column("text")):
                 shingles = of(text)
                 sizes.append(len(shingles))
                 keys.append(set_key(shingles) if len(shingles) else None)
-                first.append(first_shingles(shingles, shared.value, least).view(np.int64))
+                first.append(np.zeros(0, np.int64) if keys[-1] in seen else first_shingles(shingles, shared.value, least).view(np.int64))
+                seen.add(keys[-1])
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set", "first"])
 
     return rows.mapInArrow(mark, f"doc_id {kind}, n_shingles long, set long, first array<long>")
 
 
-def live_postings(sets):
-    """set, n, shingle, sets: the first shingles that several sets have among theirs, and how many have. sets: set, n, first."""
-    spark = sets.sparkSession
-    lists = sets.select(F.explode("first").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").checkpoint()
-    shared = spark.sparkContext.broadcast(spots.marked(lists, "shingle"))
+def live_postings(marks):
+    """set, n, shingle, sets: the first shingles that several sets have among theirs, and how many have."""
+    # Copies count as several here, so that sets need not be brought together first; the second count is of sets.
+    rough = marks.select(F.explode("first").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = marks.sparkSession.sparkContext.broadcast(spots.marked(rough, "shingle"))
 
     def emit(batches):
         for batch in batches:
@@ -162,7 +163,10 @@ def live_postings(sets):
             at = pa.array(at[kept])
             yield pa.RecordBatch.from_arrays([batch.column("set").take(at), batch.column("n").take(at), pa.array(values[kept])], names=["set", "n", "shingle"])
 
-    return sets.mapInArrow(emit, "set long, n long, shingle long").join(lists, "shingle")
+    sets = marks.select("set", F.col("n_shingles").alias("n"), "first").where("set is not null")
+    found = sets.mapInArrow(emit, "set long, n long, shingle long").distinct().checkpoint()
+    lists = found.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").checkpoint()
+    return found.join(lists, "shingle")
 
 
 def homes(live, least):
@@ -298,10 +302,24 @@ def searched(whole, visits, least, own):
     return grouped.applyInArrow(_searched(least), "a long, b long")
 
 
+def visiting(held, labels, least):
+    """set, shard: the sets that go to the shards of other homes, or to others of their own, since a partner of another label may be there.
+    Of two sets that may link one goes. held: shingle, set, n, home, shard, label; labels: the same without shingles."""
+    two = lambda c: [F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}")]
+    other = (F.col("low_label") != F.col("label")) | (F.col("high_label") != F.col("label"))
+    fits = (100 * F.col("high_n") >= least * F.col("n")) & (least * F.col("low_n") <= 100 * F.col("n"))
+    there = held.groupBy("shingle", F.col("home").alias("there")).agg(*two("label"), *two("n")).checkpoint()
+    go = held.join(there, "shingle").where((F.col("there") <= F.col("home")) & fits & other)
+    go = go.groupBy("set", "n", "home", "shard", "label", "there").agg(F.count("*").alias("shared"))
+    go = go.where(F.col("shared") > fewest_shared(F.col("n"), least)).drop("shared").checkpoint()
+    shards = labels.groupBy(F.col("home").alias("there"), F.col("shard").alias("to")).agg(*two("label"), *two("n")).checkpoint()
+    before = (F.col("there") < F.col("home")) | (F.col("to") < F.col("shard"))
+    return go.join(shards, "there").where(before & fits & other).select("set", F.col("to").alias("shard"))
+
+
 def roots(docs, marks, size, least, text="text"):
     """(u, v) for every set u that is joined with a smaller one: v is the smallest set of its component."""
-    sets = marks.where("set is not null").groupBy("set").agg(F.first("n_shingles").alias("n"), F.first("first").alias("first")).checkpoint()
-    live = live_postings(sets).checkpoint()
+    live = live_postings(marks).checkpoint()
     places = homes(live, least).checkpoint()
     whole = bodies(docs, places, size, text).checkpoint()
     # The anchor of a home visits all of its shards but its own.
@@ -311,14 +329,8 @@ def roots(docs, marks, size, least, text="text"):
     links = searched(whole.withColumn("label", F.col("set")), visits.checkpoint(), least, own=True).checkpoint()
     near = stars(links)
     labels = places.join(near.select(F.col("u").alias("set"), F.col("v").alias("label")), "set", "left")
-    labels = labels.select("set", "n", "shard", F.coalesce("label", "set").alias("label")).checkpoint()
-    held = live.select("set", "shingle").join(labels, "set").checkpoint()
-    ends = [f("label").alias(f"{f.__name__}_label") for f in (F.min, F.max)] + [f("n").alias(f"{f.__name__}_n") for f in (F.min, F.max)]
-    there = held.groupBy("shingle", "shard").agg(*ends).withColumnRenamed("shard", "there").checkpoint()
-    fits = (F.col("there") < F.col("shard")) & (100 * F.col("max_n") >= least * F.col("n")) & (least * F.col("min_n") <= 100 * F.col("n"))
-    others = (F.col("min_label") != F.col("label")) | (F.col("max_label") != F.col("label"))
-    visits = held.join(there, "shingle").where(fits & others).groupBy("set", "n", "there").agg(F.count("*").alias("shared"))
-    visits = visits.where(F.col("shared") > fewest_shared(F.col("n"), least)).select("set", F.col("there").alias("shard")).checkpoint()
+    labels = labels.select("set", "n", "home", "shard", F.coalesce("label", "set").alias("label")).checkpoint()
+    visits = visiting(live.select("set", "shingle").join(labels, "set").checkpoint(), labels, least).checkpoint()
     more = searched(whole.join(labels.select("set", "label"), "set"), visits, least, own=False)
     return stars(links.union(more))
 
