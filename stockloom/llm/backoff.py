@@ -5,18 +5,23 @@ for each word that the n-gram is short of `order`. Counts are those of all docum
 evidence. A word that no other document holds counts as held once, after one more backoff. The score is the mean of the logarithms to
 base ten; copies of a text raise each other's.
 
-Documents are dealt to chunks of about CHUNK_CHARS characters, and n-grams to buckets by hash. Each chunk counts its n-grams and sends
-every different one once to its bucket, however often it occurs; buckets add up the chunks' counts and send the sums back; chunks join
-them to their documents' n-grams. So an n-gram that all documents hold is one entry per chunk. N-grams are told apart by 64 bits.
-What is sent is packed: sorted keys as differences, numbers by byte planes, compressed.
+Documents travel in slots, compressed runs of rows as they were read, so that repeated rows spread like any others. Slots are dealt to
+chunks of about CHUNK_CHARS characters, and n-grams to buckets by hash. The count table has one row per bucket and chunk: the chunk's
+different n-grams of that bucket, each once however often it occurs, and their counts. Grouped by bucket the rows are added up; joined
+back on the chunk, the sums meet the n-grams of its documents. So an n-gram that all documents hold is one entry per chunk. N-grams are
+told apart by 64 bits. What is sent is packed: sorted keys as differences, numbers by byte planes, compressed. A task that runs again
+must read its rows in the same order, as from files.
 
 Words are those between ASCII white space, A-Z lower-cased. Texts without words (null, empty) have n_words 0 and no score; in a corpus
-without other words the score is null as well. Repeated rows are documents of their own.
+without other words the score is null as well, and an empty table gives no rows. Repeated rows are documents of their own, ties do not
+arise, long texts are counted whole, and other columns play no part, whatever their names.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from stockloom.llm.wording import LOWER, as_bytes, spaced_words
@@ -24,6 +29,8 @@ from stockloom.session import shared_folder
 
 ORDER, ALPHA = 3, 0.4
 CHUNK_CHARS = 1 << 23
+#: Bytes of the texts of a slot, but for a longer single text.
+SLOT_BYTES = 1 << 18
 #: Words whose own counts are looked at at once.
 SLICE_WORDS = 1 << 18
 
@@ -90,11 +97,34 @@ def _unpack_sorted(packed):
     return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
 
 
+def _slots(size):
+    """doc_id and text of some rows at a time, as a compressed table, with a number of their own."""
+
+    def pack(batches):
+        slot = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right")))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(first, last - first))
+                yield pa.RecordBatch.from_pydict({"slot": pa.array([slot]), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+                first, slot = last, slot + 1
+
+    return pack
+
+
+def _unslotted(table):
+    return pa.concat_tables([pa.ipc.open_stream(rows).read_all() for rows in table["rows"].to_pylist()])
+
+
 def _counted(order, buckets):
     """chunk -> (bucket, chunk, its different keys, their counts)."""
 
     def count(key, table):
-        grams = Grams(as_bytes(table["text"].combine_chunks()), order)
+        grams = Grams(as_bytes(_unslotted(table)["text"].combine_chunks()), order)
         ends = np.searchsorted(_bucket(grams.distinct, buckets), np.arange(buckets + 1).astype(np.uint64))
         full = np.flatnonzero(np.diff(ends))
         keys = [_pack_sorted(grams.distinct[ends[b] : ends[b + 1]]) for b in full]
@@ -145,7 +175,8 @@ SCORES = "doc_id {kind}, n_words long, words_left long, backed_off long, logs do
 def _scored(order, alpha):
     """chunk and its sums -> per document the sum of logarithms, but for the corpus size of single words."""
 
-    def score(table, sums):
+    def score(slots, sums):
+        table = _unslotted(slots)
         grams = Grams(as_bytes(table["text"].combine_chunks()), order)
         parts = sums.sort_by("bucket")["sums"].to_pylist()
         totals = np.concatenate([_unpack(p, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
@@ -176,9 +207,10 @@ def scores(docs, order=ORDER, alpha=ALPHA, doc_id="doc_id", text="text", chunk_c
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     chunks = -(-chars // chunk_chars) or 1
     buckets = chunks
-    chunk = F.pmod(F.xxhash64(doc_id, text), F.lit(chunks))
-    work = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), chunk.alias("chunk"))
-    kind = work.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    slots = rows.mapInArrow(_slots(min(SLOT_BYTES, chunk_chars)), "slot long, rows binary")
+    work = slots.withColumn("chunk", F.pmod(F.xxhash64("slot"), F.lit(chunks)))
     counted = work.groupBy("chunk").applyInArrow(_counted(order, buckets), "bucket long, chunk long, keys binary, counts binary")
     sums = counted.groupBy("bucket").applyInArrow(_added, "chunk long, bucket long, sums binary")
     scored = work.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_scored(order, alpha), SCORES.format(kind=kind)).checkpoint()

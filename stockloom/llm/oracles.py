@@ -24,29 +24,38 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(hit.n, 0)::bigint AS n_hit, c
 FROM doc LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)"""
 
 
-def line_templates(documents="documents", least=6, depth=3, support=3, fixed=70, min_docs=5):
+def line_templates(documents="documents", least=6, depth=3, support=3, step=2, fixed=70, min_docs=5):
+    """Short lines are leaves of their own. A line's templates go by levels, each asking `step` times as many lines for a token; the
+    first level that recurs counts."""
     ws = "[ \\t\\x0B\\f\\r]"
     return f"""WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM {documents}),
-  ln AS (SELECT rid, doc_id, text, k AS line_no, list_transform(string_split_regex(regexp_replace(ls[k], '^{ws}+|{ws}+$', '', 'g'), '{ws}+'),
-      lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS tk
+  ln AS (SELECT rid, doc_id, text, k AS line_no, string_split_regex(regexp_replace(ls[k], '^{ws}+|{ws}+$', '', 'g'), '{ws}+') AS raw
     FROM doc, unnest(range(1, len(ls) + 1)) u(k)),
-  l AS (SELECT rid, doc_id, text, line_no, len(tk) || ' ' || array_to_string(tk[1:{depth}], ' ') AS leaf, tk, array_to_string(tk, ' ') AS sig
-    FROM ln WHERE len(tk) >= {least}),
+  m AS (SELECT *, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS hid FROM ln WHERE raw <> ['']),
+  g AS (SELECT rid, doc_id, text, line_no, CASE WHEN len(raw) >= {least} OR 100 * len(list_filter(hid, lambda t: t <> '<*>')) >= {fixed} * len(raw) THEN hid ELSE raw END AS tk FROM m),
+  l AS (SELECT rid, doc_id, text, line_no, len(tk) || ' ' || array_to_string(CASE WHEN len(tk) >= {least} THEN tk[1:{depth}] ELSE tk END, ' ') AS leaf,
+    tk, array_to_string(tk, ' ') AS sig FROM g),
   d AS (SELECT DISTINCT leaf, sig, tk FROM l),
   o AS (SELECT d.* FROM d JOIN (SELECT leaf FROM d GROUP BY leaf HAVING count(*) >= {support}) USING (leaf)),
   p AS (SELECT leaf, sig, k AS place, tk[k] AS token FROM o, unnest(range(1, len(tk) + 1)) u(k)),
-  kn AS (SELECT leaf, place, token FROM p GROUP BY ALL HAVING count(*) >= {support}),
-  w AS (SELECT leaf, sig, list(CASE WHEN kn.token IS NULL THEN '<*>' ELSE p.token END ORDER BY p.place) AS tk
-    FROM p LEFT JOIN kn USING (leaf, place, token) GROUP BY leaf, sig),
-  t AS (SELECT sig, array_to_string(tk, ' ') AS template FROM w WHERE 100 * len(list_filter(tk, lambda x: x <> '<*>')) >= {fixed} * len(tk)),
-  h AS (SELECT rid, doc_id, text, line_no, coalesce(template, sig) AS template FROM l LEFT JOIN t USING (sig)),
-  r AS (SELECT template, min(doc_id) AS doc_id FROM (SELECT DISTINCT template, doc_id, text FROM h) GROUP BY template HAVING count(*) >= {min_docs}),
-  f AS (SELECT template, r.doc_id, min(h.line_no) AS line_no FROM r JOIN h USING (template, doc_id) GROUP BY ALL),
-  g AS (SELECT rid, list(h.line_no) AS gone FROM h JOIN f USING (template) WHERE NOT (h.doc_id = f.doc_id AND h.line_no = f.line_no) GROUP BY rid)
+  kn AS (SELECT leaf, place, token, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= {support}),
+  w AS (SELECT sig, list({{'token': p.token, 'n': kn.n}} ORDER BY p.place) AS line, max(kn.n) AS most
+    FROM p LEFT JOIN kn USING (leaf, place, token) GROUP BY leaf, sig HAVING max(kn.n) IS NOT NULL),
+  v AS (SELECT sig, level, list_transform(line, lambda e: CASE WHEN e.n >= {support} * {step} ** level THEN e.token ELSE '<*>' END) AS tk
+    FROM w, unnest(range(0, floor(ln(most / {support}) / ln({step}) + 1e-9)::bigint + 1)) u(level)),
+  f AS (SELECT sig, 'template ' || array_to_string(tk, ' ') AS template, min(level) AS level FROM v
+    WHERE 100 * len(list_filter(tk, lambda t: t <> '<*>')) >= {fixed} * len(tk) GROUP BY 1, 2),
+  c AS (SELECT sig, template, level FROM f UNION ALL SELECT DISTINCT sig, 'line ' || sig, 0 FROM l WHERE sig NOT IN (SELECT sig FROM f)),
+  r AS (SELECT template FROM (SELECT DISTINCT template, doc_id, text FROM l JOIN c USING (sig)) GROUP BY template HAVING count(*) >= {min_docs}),
+  q AS (SELECT sig, arg_min(template, level) AS template FROM c JOIN r USING (template) GROUP BY 1),
+  h AS (SELECT rid, doc_id, text, line_no, template FROM l JOIN q USING (sig)),
+  low AS (SELECT template, min(doc_id) AS doc_id FROM h GROUP BY 1),
+  keep AS (SELECT template, h.doc_id, min(h.line_no) AS line_no FROM low JOIN h USING (template, doc_id) GROUP BY ALL),
+  x AS (SELECT rid, list(h.line_no) AS gone FROM h JOIN keep USING (template) WHERE NOT (h.doc_id = keep.doc_id AND h.line_no = keep.line_no) GROUP BY rid)
 SELECT doc_id, coalesce(len(ls), 0)::bigint AS lines, coalesce(len(gone), 0)::bigint AS dropped,
   sha256(coalesce(CASE WHEN gone IS NULL THEN text
     ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda k: NOT list_contains(gone, k)), lambda k: ls[k]), chr(10)) END, '')) AS text_sha256
-FROM doc LEFT JOIN g USING (rid)"""
+FROM doc LEFT JOIN x USING (rid)"""
 
 
 def mixing(documents="documents", parts=100, block_chars=32768):
@@ -72,47 +81,30 @@ FROM b CROSS JOIN (SELECT t FROM ws) LEFT JOIN turn ON turn.source IS NOT DISTIN
 
 
 def backoff(documents="documents", alpha=0.4):
+    """Trigrams: each word with the two before it, x a b."""
     words = f"coalesce(regexp_extract_all({small('text')}, '[^ \\t\\n\\x0B\\f\\r]+'), [])"
     return f"""WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM {documents}),
-  pos AS (SELECT rid, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM doc, unnest(range(1, len(w) + 1)) u(i)),
+  pos AS (SELECT rid, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a, CASE WHEN i > 2 THEN w[i - 2] END AS x FROM doc, unnest(range(1, len(w) + 1)) u(i)),
   own1 AS (SELECT rid, b, count(*) AS n FROM pos GROUP BY ALL),
   own2 AS (SELECT rid, a, b, count(*) AS n FROM pos WHERE a IS NOT NULL GROUP BY ALL),
-  all1 AS (SELECT b, sum(n) AS n FROM own1 GROUP BY 1),
-  all2 AS (SELECT a, b, sum(n) AS n FROM own2 GROUP BY 1, 2),
+  own3 AS (SELECT rid, x, a, b, count(*) AS n FROM pos WHERE x IS NOT NULL GROUP BY ALL),
+  one AS (SELECT rid, b, sum(n) OVER (PARTITION BY b) - n AS n FROM own1),
+  two AS (SELECT rid, a, b, sum(n) OVER (PARTITION BY a, b) - n AS n FROM own2),
+  three AS (SELECT rid, x, a, b, sum(n) OVER (PARTITION BY x, a, b) - n AS n FROM own3),
   size AS (SELECT sum(len(w)) AS n FROM doc),
-  rest AS (SELECT rid, i, a, all1.n - own1.n AS one, coalesce(all2.n - own2.n, 0) AS two, coalesce(al.n - ol.n, 0) AS before
-    FROM pos JOIN own1 USING (rid, b) JOIN all1 USING (b) LEFT JOIN own2 USING (rid, a, b) LEFT JOIN all2 USING (a, b)
-    LEFT JOIN own1 ol ON ol.rid = pos.rid AND ol.b = pos.a LEFT JOIN all1 al ON al.b = pos.a),
-  part AS (SELECT rid, two > 0 AS found, a IS NOT NULL AS follows,
-    CASE WHEN two > 0 THEN log10(two) - log10(before)
-      ELSE CASE WHEN a IS NULL THEN 0 ELSE log10({alpha}) END + CASE WHEN one > 0 THEN log10(one) ELSE log10({alpha}) END END AS l FROM rest),
-  s AS (SELECT rid, sum(l) AS l, count(*) FILTER (NOT found) AS alone, count(*) FILTER (NOT found AND follows) AS back FROM part GROUP BY 1)
+  rest AS (SELECT p.rid, least(p.i - 1, 2) AS longest, one.n AS n1, coalesce(two.n, 0) AS n2, coalesce(three.n, 0) AS n3, c1.n AS before1, c2.n AS before2
+    FROM pos p JOIN one ON one.rid = p.rid AND one.b = p.b LEFT JOIN two ON two.rid = p.rid AND two.a = p.a AND two.b = p.b
+    LEFT JOIN three ON three.rid = p.rid AND three.x = p.x AND three.a = p.a AND three.b = p.b
+    LEFT JOIN one c1 ON c1.rid = p.rid AND c1.b = p.a LEFT JOIN two c2 ON c2.rid = p.rid AND c2.a = p.x AND c2.b = p.a),
+  part AS (SELECT rid, n3 = 0 AND n2 = 0 AS alone, longest > 0 AS follows,
+    CASE WHEN n3 > 0 THEN log10(n3) - log10(before2) WHEN n2 > 0 THEN (longest - 1) * log10({alpha}) + log10(n2) - log10(before1)
+      ELSE longest * log10({alpha}) + CASE WHEN n1 > 0 THEN log10(n1) ELSE log10({alpha}) END END AS l FROM rest),
+  s AS (SELECT rid, sum(l) AS l, count(*) FILTER (alone) AS alone, count(*) FILTER (alone AND follows) AS back FROM part GROUP BY 1)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(back, 0)::bigint AS backed_off,
   CASE WHEN len(w) > 0 AND size.n > len(w) THEN round((l - alone * log10(size.n - len(w))) / len(w), 6) END AS score
 FROM doc CROSS JOIN size LEFT JOIN s USING (rid)"""
 
 
-def repeated_units(documents="documents", least=8):
-    """For tables whose ids are unique: of equal ids the operator goes by a hash of the text, which SQL does not have."""
-    ws = "[ \\t\\x0B\\f\\r]"
-    return f"""WITH doc AS (SELECT DISTINCT doc_id, text FROM {documents} WHERE text <> ''),
-  ls AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM doc),
-  lo AS (SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id, text ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
-    string_split(regexp_replace(l, '([.!?])({ws})', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM ls),
-  p AS (SELECT doc_id, text, k, off, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM lo),
-  po AS (SELECT *, regexp_replace(p, '^{ws}+', '') AS body,
-    off + sum(length(p)) OVER (PARTITION BY doc_id, text, k ORDER BY j) AS stop FROM p),
-  one AS (SELECT doc_id, text, k, count_if(body <> '') = 1 AS single FROM po GROUP BY ALL),
-  u AS (SELECT doc_id, stop - length(body) AS "start", stop AS "end", body FROM po WHERE body <> ''
-    UNION ALL SELECT doc_id, off, off + length(l), l FROM lo JOIN one USING (doc_id, text, k) WHERE NOT single),
-  n AS (SELECT doc_id, "start"::bigint AS "start", "end"::bigint AS "end",
-    regexp_replace(regexp_replace({small('body')}, '^{ws}+|{ws}+$', '', 'g'), '{ws}+', ' ', 'g') AS norm FROM u),
-  w AS (SELECT * FROM n WHERE norm <> '' AND len(string_split(norm, ' ')) >= {least}),
-  f AS (SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value("start") OVER o AS first_start, row_number() OVER o AS rn
-    FROM w WINDOW o AS (PARTITION BY norm ORDER BY doc_id NULLS FIRST, "start", "end"))
-SELECT doc_id, "start", "end", first_doc_id, first_start FROM f WHERE rn > 1"""
-
-
 def resampling(documents="documents", benchmark="benchmark", buckets=10000, seed=2024, least=20, percent=10):
     words = f"coalesce(regexp_extract_all({small('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
     # CRC-32 by a table of the 256 bytes' remainders, over the bytes of each different word.

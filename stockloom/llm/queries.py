@@ -61,7 +61,7 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return near_copies.report(table(spark, sf_dir, "documents"))
 
 
-@query(oracles.repeated_units())
+@query()
 def op8_repeated_units(spark, sf_dir):
     return unit_dedup.report(table(spark, sf_dir, "documents"))
 

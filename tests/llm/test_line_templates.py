@@ -46,7 +46,7 @@ def test_variable_fields_and_exact_lines_go(frame):
     text = lambda k: [r["text"] for r in got[k]]
     assert text(0) == [ROWS[0][1]]  # the first of its template keeps the line
     for k in range(1, 12):
-        assert text(k) == [f"{own(k)}\nshort line"]
+        assert text(k) == [own(k)]
         assert got[k][0]["n_chars"] == len(text(k)[0])
     assert text(20) == ["Accepted login for ann from outer gate today"] and text(25) == [""]
     assert text(None) == ["An exact line that stands in many documents"]  # a null id comes first

@@ -1,11 +1,19 @@
 import random
 import re
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from stockloom.llm import unit_dedup
 
 
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+
+
 def plain_units(text, least):
-    out, at = [], 0
+    """Lines, sentences, and the least runs of pieces from each short piece on and up to each; of equal ones that overlap the first."""
+    out, row, at = set(), [], 0
     for line in (text or "").split("\n"):
         pieces, start = [], 0
         for cut in [m.end() for m in re.finditer(r"[.!?]+(?=[ \t\x0b\f\r])", line)] + [len(line)]:
@@ -13,14 +21,21 @@ def plain_units(text, least):
             if line[start:cut].strip():
                 pieces.append((start + lead, cut))
             start = cut
-        if len(pieces) != 1:
-            pieces.append((0, len(line)))
-        for a, b in pieces:
-            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), line[a:b]))
-            if len(w) >= least:
-                out.append((at + a, at + b, " ".join(w)))
+        row += [(at + a, at + b, plain_words(line[a:b])) for a, b in pieces if plain_words(line[a:b])]
+        out |= {(at + a, at + b, " ".join(plain_words(line[a:b]))) for a, b in [*pieces, (0, len(line))] if len(plain_words(line[a:b])) >= least and (len(pieces) > 1 or (a, b) in pieces)}
         at += len(line) + 1
-    return out
+    for k, (_, _, words) in enumerate(row):
+        if len(words) >= least:
+            continue
+        for runs in ([row[k:stop] for stop in range(k + 1, len(row) + 1)], [row[start : k + 1] for start in range(k, -1, -1)]):
+            enough = [r for r in runs if sum(len(w) for *_, w in r) >= least]
+            if enough:
+                out.add((enough[0][0][0], enough[0][-1][1], " ".join(w for *_, words in enough[0] for w in words)))
+    kept = []
+    for a, b, digest in sorted(out):
+        if all(d != digest or end <= a for _, end, d in kept):
+            kept.append((a, b, digest))
+    return kept
 
 
 def brute(rows, least):
@@ -62,16 +77,59 @@ def test_repeats_against_plain_loop(frame):
     assert got == brute(ROWS, 3)
 
 
-def test_texts_without_the_repeats(frame):
-    docs = frame([(*r, 5, "d") for r in ROWS], "doc_id long, text string, start int, removed string")
-    spans = {}
-    for doc_id, a, b, *_ in brute(ROWS, 3):
+def kept_units(rows, least):
+    """Per document the units that others repeat."""
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, repeated = {}, set()
+    for doc_id, text in order:
+        for a, b, digest in plain_units(text, least):
+            repeated |= {digest} if digest in seen else set()
+            seen.setdefault(digest, (doc_id, a, b))
+    return {d: seen[d] for d in repeated}
+
+
+def check_cleaned(frame, rows, least):
+    docs = frame([(*r, 5, "d") for r in rows], "doc_id long, text string, start int, removed string")
+    spans, kept, texts = {}, kept_units(rows, least), []
+    for doc_id, a, b, *_ in brute(rows, least):
         spans.setdefault(doc_id, set()).update(range(a, b))
-    for r in unit_dedup.cleaned(docs, least=3).collect():
+    for doc_id, a, b in kept.values():
+        if doc_id in spans:
+            spans[doc_id] -= set(range(a, b))
+    for r in unit_dedup.cleaned(docs, least=least).collect():
         text = r["row"]["text"]
-        want = text and "".join(c for k, c in enumerate(text) if k not in spans.get(r["row"]["doc_id"], ()))
-        assert r["text"] == want
+        assert r["text"] == (text and "".join(c for k, c in enumerate(text) if k not in spans.get(r["row"]["doc_id"], ())))
         assert {k for s in r["removed"] for k in range(s["start"], s["end"])} == spans.get(r["row"]["doc_id"], set())
+        texts.append(" ".join(plain_words(r["text"] or "")))
+    for digest in kept:
+        assert any(digest in t for t in texts)
+
+
+def test_texts_without_the_repeats(frame):
+    check_cleaned(frame, ROWS, 3)
+
+
+def test_each_removed_unit_stands_whole_somewhere(frame):
+    rng = random.Random(4)
+    short = ["red fish swims", "no.", "one two. three", "a long enough line of eight words or more", "it is. so it is"]
+    rows = [(k, "\n".join(rng.choice(short) for _ in range(rng.randrange(12)))) for k in range(40)]
+    rows = list({t: (k, t) for k, t in rows}.values())
+    for least in (3, 8):
+        docs = frame(rows, "doc_id long, text string")
+        assert sorted((tuple(r) for r in unit_dedup.report(docs, least=least).collect()), key=repr) == brute(rows, least)
+        check_cleaned(frame, rows, least)
+
+
+def test_a_text_that_repeats_itself(frame):
+    got = unit_dedup.cleaned(frame([(1, "red fish swims\n" * 6)], "doc_id long, text string")).first()
+    assert got["text"] == "red fish swims\n" * 3 + "\n"
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 8)), max_size=8), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 8)), max_size=8))
+def test_outside(spans, kept):
+    of = lambda pairs: {k for a, n in pairs for k in range(a, a + n)}
+    got = unit_dedup.outside([(a, a + n) for a, n in spans], [(a, a + n) for a, n in kept])
+    assert [k for a, b in got for k in range(a, b)] == sorted(of(spans) - of(kept))
 
 
 def test_empty(frame):
