@@ -169,16 +169,24 @@ def words_by_edit_distance(spark, d):
     return joins.fuzzy_match(words(spark, d), spark.createDataFrame([(w,) for w in DICTIONARY], "word string"), 0.4)
 
 
+# The SQL's candidates have their lengths near each other; as above a letter beyond a-z, which no name has, becomes one other sign.
 @query(
-    r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS token FROM documents),
-p AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS word FROM part),
-s AS (SELECT token, word, 1 - levenshtein(token, word) / greatest(length(token), length(word)) AS score FROM w JOIN p
+    r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS token FROM documents),
+v AS (SELECT token, regexp_replace(token, '[^a-z]', '#', 'g') AS plain FROM w),
+p AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part),
+s AS (SELECT token, word, 1 - levenshtein(plain, word) / greatest(length(token), length(word)) AS score FROM v JOIN p
   ON abs(length(token) - length(word)) <= 0.25 * greatest(length(token), length(word)) + 1),
 b AS (SELECT token, word FROM s WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY token ORDER BY score DESC, word DESC) = 1)
 SELECT token, word AS match FROM w LEFT JOIN b USING (token)"""
 )
 def words_like_item_names(spark, d):
     """A dictionary that is a table: the words of the items' names."""
-    tokens = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("token"))
     names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
-    return joins.fuzzy_match(tokens, names, 0.75)
+    return joins.fuzzy_match(words(spark, d), names, 0.75)
+
+
+@query()
+def words_by_matching_blocks(spark, d):
+    """Words of the items' names by the letters in matching blocks, which SQL does not count."""
+    names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    return joins.fuzzy_match(words(spark, d), names, 0.8, measure="blocks")

@@ -1,5 +1,6 @@
 """Joins by missing label, map, near point, similar word and holiday week."""
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -106,26 +107,112 @@ def add_new_locations(known, points, eps=1e-4, lat="latitude", lon="longitude",
     return added
 
 
-def fuzzy_match(tokens, dictionary, cutoff=0.5, token="token", word="word"):
+def matched_letters(a, b):
+    """Letters in the matching blocks of two words: the longest block both have (of equal ones the first in a, then in b), then the same
+    on either side of it."""
+    places = {}
+    for j, letter in enumerate(b):
+        places.setdefault(letter, []).append(j)
+    found, ranges = 0, [(0, len(a), 0, len(b))]
+    while ranges:
+        a0, a1, b0, b1 = ranges.pop()
+        best, ends = (0, 0, 0), {}
+        for i in range(a0, a1):
+            row = {}
+            for j in places.get(a[i], ()):
+                if b0 <= j < b1:
+                    row[j] = size = ends.get(j - 1, 0) + 1
+                    if size > best[0]:
+                        best = (size, i + 1 - size, j + 1 - size)
+            ends = row
+        size, i, j = best
+        if size:
+            found += size
+            ranges += [(a0, i, b0, j), (i + size, a1, j + size, b1)]
+    return found
+
+
+def _block_ratio(words: pa.Array, tokens: pa.Array) -> pa.Array:
+    pairs = zip(words.to_pylist(), tokens.to_pylist())
+    return pa.array([2 * matched_letters(w, t) / (len(w) + len(t)) if w or t else 1.0 for w, t in pairs], pa.float64())
+
+
+#: Likeness of two words by name: most edits that leave the cutoff in reach, and least length of the shorter word, of the lengths and the cutoff.
+_EDITS = {
+    "edits": (lambda long, short, cutoff: (1 - cutoff) * long, lambda long, cutoff: cutoff * long),
+    "blocks": (lambda long, short, cutoff: (1 - cutoff) * (long + short), lambda long, cutoff: cutoff * long / (2 - cutoff)),
+}
+
+
+def _segments(words, name, others, measure, cutoff, longer):
+    """Rows on which words meet: both lengths, number and letters of a segment of the longer one.
+
+    The longer word is cut into one segment more than there may be edits, so one of them is whole in the other. The shorter word gives
+    all of its substrings that can be that segment: edits before it shift it, and those after it must make up for the rest of the
+    difference in length. Where segments would be of one letter, which hardly tells words apart, the lengths are met on alone. Lengths
+    that none of the others has are left out."""
+    most, least = _EDITS[measure]
+    size = F.length(name)
+    if longer:
+        other = F.sequence(F.greatest(F.ceil(least(size, cutoff) - 1e-9), F.lit(1)).cast("int"), size)
+        sized = words.where(size > 0).select(name, size.alias("_long"), F.explode(other).alias("_short"))
+    else:
+        last = F.filter(F.sequence(size, F.ceil(size * 2 / cutoff).cast("int")), lambda n: least(n, cutoff) - 1e-9 <= size)
+        sized = words.where(size > 0).select(name, F.explode(last).alias("_long"), size.alias("_short"))
+    lengths = others.select(F.length(others.columns[0]).alias("_short" if longer else "_long")).distinct()
+    sized = sized.join(lengths, lengths.columns)
+    long, short = F.col("_long"), F.col("_short")
+    edits = F.floor(most(long, short, cutoff) + 1e-9).cast("int")
+    sized = sized.withColumn("_edits", edits).withColumn("_parts", F.when(2 * edits + 2 <= long, edits + 1).otherwise(0))
+    cut = sized.select("*", F.explode(F.sequence(F.least("_parts", F.lit(1)), F.col("_parts"))).alias("_part"))
+    alone = F.col("_part") == 0
+    start = F.when(alone, 0).otherwise(F.try_divide((F.col("_part") - 1) * long, F.col("_parts"))).cast("int")
+    stop = F.when(alone, 0).otherwise(F.try_divide(F.col("_part") * long, F.col("_parts"))).cast("int")
+    cut = cut.select("*", start.alias("_start"), (stop - start).alias("_width"))
+    if longer:
+        return cut.select(name, "_long", "_short", "_part", F.col(name).substr(F.col("_start") + 1, F.col("_width")).alias("_letters"))
+    low = F.greatest(F.col("_start") - F.col("_edits"), F.lit(0))
+    high = F.least(F.col("_start") + F.col("_edits"), short - F.col("_width"))
+    shift = lambda p: F.col("_start") - p
+    near = lambda p: F.abs(shift(p)) + F.abs(long - short - shift(p)) <= F.col("_edits")
+    places = F.filter(F.when(low <= high, F.sequence(low, high)), near)
+    letters = F.array_distinct(F.transform(places, lambda p: F.col(name).substr(p + 1, F.col("_width"))))
+    letters = F.when(alone, F.array(F.lit(""))).otherwise(letters)
+    return cut.select(name, "_long", "_short", "_part", F.explode(letters).alias("_letters"))
+
+
+def similar_words(tokens, dictionary, cutoff, measure="edits", token="token", word="word"):
+    """token, word, score of all pairs of distinct words whose likeness reaches the cutoff. Pairs meet on a shared segment, and are
+    then measured; NULL words take no part, and of empty ones two are alike."""
+    if not 0 < cutoff <= 1:
+        raise ValueError("the cutoff is above 0 and at most 1")
+    tokens = tokens.select(F.col(token).alias("_token")).where(F.col("_token").isNotNull()).distinct()
+    words = dictionary.select(F.col(word).alias("_word")).where(F.col("_word").isNotNull()).distinct()
+    on = ["_long", "_short", "_part", "_letters"]
+    either = [_segments(tokens, "_token", words, measure, cutoff, x).join(_segments(words, "_word", tokens, measure, cutoff, not x), on) for x in (True, False)]
+    # Words of one length meet either way; one is enough.
+    pairs = either[0].select("_token", "_word").union(either[1].where("_long > _short").select("_token", "_word"))
+    pairs = pairs.union(tokens.join(words, (F.col("_token") == F.col("_word")) & (F.col("_token") == "")))
+    longer = F.greatest(F.length("_token"), F.length("_word"), F.lit(1))
+    if measure == "edits":
+        most = F.floor((1 - cutoff) * longer + 1e-9).cast("int")
+        scored = pairs.withColumn("score", 1 - F.levenshtein("_token", "_word") / longer).where(F.levenshtein("_token", "_word") <= most)
+    else:
+        ratio = F.arrow_udf(_block_ratio, "double")
+        scored = pairs.distinct().withColumn("score", ratio("_word", "_token"))
+    return scored.where(F.col("score") >= cutoff).select(F.col("_token").alias(token), F.col("_word").alias(word), "score")
+
+
+def fuzzy_match(tokens, dictionary, cutoff=0.5, token="token", word="word", measure="edits"):
     """Each distinct token with the dictionary word most like it, NULL when none reaches the cutoff.
 
-    `dictionary` is a frame of any size. Likeness is 1 - edit distance / longer length, so a word within the cutoff has between
-    cutoff and 1 / cutoff times the token's length, and only words of such lengths are joined and measured. Equal scores go to the
-    word that sorts last.
+    `dictionary` is a frame of any size. Likeness is, by `measure`, 1 - edit distance / longer length (edits), or twice the letters in
+    matching blocks over the sum of lengths (blocks). Equal scores go to the word that sorts last.
     """
-    if not 0 < cutoff <= 1:
-        raise ValueError("the cutoff is above 0 and at most 1")
+    found = similar_words(tokens, dictionary, cutoff, measure, token, word)
+    best = found.groupBy(token).agg(F.max(F.struct("score", word)).alias("_best"))
     distinct = tokens.select(token).filter(F.col(token).isNotNull()).distinct()
-    size = F.length(token)
-    # One more on either side, so that rounding of the quotients cannot leave out a length.
-    lengths = F.sequence(F.greatest(F.floor(size * cutoff) - 1, F.lit(0)), F.ceil(size / cutoff) + 1)
-    sized = distinct.withColumn("_size", F.explode(lengths))
-    words = dictionary.select(F.col(word).alias("_word")).filter(F.col("_word").isNotNull()).distinct().withColumn("_size", F.length("_word").cast("long"))
-    longer = F.greatest(size, F.length("_word"), F.lit(1))
-    scored = F.struct((1 - F.levenshtein(token, "_word") / longer).alias("score"), F.col("_word").alias("word"))
-    best = sized.join(words, "_size").select(token, scored.alias("_best")).filter(F.col("_best.score") >= cutoff)
-    best = best.groupBy(token).agg(F.max("_best").alias("_best"))
-    return distinct.join(best, token, "left").select(token, F.col("_best.word").alias("match"))
+    return distinct.join(best, token, "left").select(token, F.col(f"_best.{word}").alias("match"))
 
 
 def flag_holiday_weeks(weekly, holidays, date_col="week_start"):

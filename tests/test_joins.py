@@ -1,6 +1,9 @@
+import difflib
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from stockloom.operators import dimension, joins
 
@@ -35,6 +38,45 @@ def test_fuzzy_against_all_words(frame, cutoff):
         assert match == (best[1] if best[0] >= cutoff else None)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc_", max_size=14), st.text("abc_", max_size=14))
+def test_letters_in_matching_blocks(a, b):
+    want = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    assert joins.matched_letters(a, b) == want
+
+
+def test_fuzzy_sample_by_matching_blocks(frame):
+    tokens = frame([(t,) for t in "total_sales by product avg_sales by brand".split()], "token string")
+    got = {r.token: r.match for r in joins.fuzzy_match(tokens, frame([(w,) for w in WORDS], "word string"), 0.6, measure="blocks").collect()}
+    assert got == {"total_sales": "total_sales", "by": None, "product": "product", "avg_sales": "total_sales", "brand": None}
+
+
+@pytest.mark.parametrize("cutoff", [0.6, 0.8])
+def test_matching_blocks_against_all_words(frame, cutoff):
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdeé") for _ in range(n))
+    words = {make(rng.randrange(14)) for _ in range(150)}
+    tokens = {make(rng.randrange(14)) for _ in range(40)} | {w[: rng.randrange(15)] + make(2) + w[rng.randrange(8) :] for w in sorted(words)[:60]}
+    got = joins.similar_words(frame([(t,) for t in tokens], "token string"), frame([(w,) for w in words], "word string"), cutoff, "blocks")
+    ratio = lambda t, w: difflib.SequenceMatcher(None, w, t, autojunk=False).ratio()
+    want = {(t, w): ratio(t, w) for t in tokens for w in words if ratio(t, w) >= cutoff}
+    assert {(r.token, r.word): r.score for r in got.collect()} == want
+    assert len(want) > 40
+
+
+def test_words_meet_on_segments(frame):
+    """A thousand words of one length, of which only like ones are measured."""
+    rng = random.Random(5)
+    words = [("".join(rng.choice("abcdefghijklmnop") for _ in range(12)),) for _ in range(1000)]
+    tokens, words = frame(words, "token string"), frame(words, "word string")
+    on = ["_long", "_short", "_part", "_letters"]
+    a, b = (joins._segments(f.toDF(n), n, f.toDF("o"), "edits", 0.75, x) for f, n, x in ((tokens, "t", True), (words, "w", False)))
+    assert a.join(b, on).select("t", "w").distinct().count() < 30_000
+    assert joins.fuzzy_match(tokens, words, 0.75).where("match = token").count() == 1000
+    plan = joins.fuzzy_match(tokens, words, 0.75)._jdf.queryExecution().toString()
+    assert "_letters" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_fuzzy_cutoff_is_checked(frame):
     with pytest.raises(ValueError):
         joins.fuzzy_match(frame([("a",)], "token string"), frame([("a",)], "word string"), 0)
