@@ -179,6 +179,40 @@ def model_registry(spark, d):
     return loaded.select("start_year", "end_year", F.col("params.mean").alias("mean"), F.col("model_blob").cast("string").alias("blob"))
 
 
+@query(
+    f"""WITH y AS (SELECT p_type, year(week_start)::int AS start_year, sum(qty)::bigint AS total
+  FROM ({PART_WEEKS}) JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT *, count(*) OVER (PARTITION BY start_year) AS models FROM y"""
+)
+def model_registry_by_key(spark, d):
+    """Models of each item type are saved by themselves, some of them twice: none replaces those of another type."""
+    path = fresh_folder(spark, "models")
+    typed = part_weeks(spark, d).join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    models = typed.groupBy("p_type", F.year("week_start").alias("start_year")).agg(F.sum("qty").alias("total"))
+    blob = F.col("total").cast("string").cast("binary").alias("model_blob")
+    models = models.select("p_type", "start_year", F.col("start_year").alias("end_year"), F.create_map(F.lit("half"), F.col("total") / 2).alias("params"), blob)
+    early = F.col("p_type") < "M"
+    tables.save_models(models.where(early).withColumn("model_blob", F.lit("old").cast("binary")), path)
+    tables.save_models(models.where(~early), path)
+    tables.save_models(models.where(early), path)
+    loaded = tables.load_models(spark, path)
+    per_year = loaded.groupBy("start_year").agg(F.count(F.lit(1)).alias("models"))
+    return loaded.join(per_year, "start_year").select("p_type", "start_year", F.col("model_blob").cast("string").cast("long").alias("total"), "models")
+
+
+@query("SELECT 'a;b' AS mark, o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY ALL")
+def script_with_quotes(spark, d):
+    """Semicolons within quotes, comments and blocks end no statement."""
+    results = tables.run_script(
+        spark,
+        f"""-- orders; all of them
+        CREATE OR REPLACE TEMPORARY VIEW `script;orders` AS SELECT * FROM parquet.`{d}/orders.parquet`; /* one; /* two; */ three; */
+        SELECT CASE WHEN count(*) > 0 THEN 'some;' ELSE "none;" END AS c FROM `script;orders`;
+        SELECT 'a;b' AS mark, o_orderstatus, count(*) AS n FROM `script;orders` WHERE o_totalprice > 1000 GROUP BY ALL -- done;""",
+    )
+    return results[-1][1]
+
+
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
 def script_last_result(spark, d):
     path = f"{d}/orders.parquet"

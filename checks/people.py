@@ -8,6 +8,7 @@ from stockloom.functions.text import parse_label_response, prompt_lines
 from stockloom.operators import dimension, joins
 from stockloom.operators.aggregate import collapse_items
 from stockloom.plans.labelling import label_items
+from stockloom.session import fresh_folder
 
 
 def items_sold(spark, d):
@@ -121,6 +122,24 @@ def user_upsert(spark, d):
     return dimension.upsert_by_key(users(spark, d), registrations(spark, d), "email", "seq")
 
 
+@query(
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY seq DESC) AS rn FROM ({REGISTERED})),
+last AS (SELECT * FROM r WHERE rn = 1), gone AS (SELECT DISTINCT 'user' || o_custkey || '@example.com' AS email FROM orders WHERE o_orderkey % 50 = 0)
+SELECT u.user_id, CASE WHEN r.email IS NOT NULL THEN r.first_name ELSE u.first_name END AS first_name,
+  CASE WHEN r.email IS NOT NULL THEN r.last_name ELSE u.last_name END AS last_name, coalesce(u.email, r.email) AS email, u.phone_number
+FROM ({USERS}) u FULL JOIN last r ON u.email = r.email WHERE coalesce(u.email, r.email) NOT IN (SELECT email FROM gone)"""
+)
+def users_in_buckets(spark, d):
+    """Users stored by a bucket of their address: registrations are merged in place, then some users deleted."""
+    path = fresh_folder(spark, "users")
+    dimension.create_bucketed(users(spark, d), path, "email", 16)
+    dimension.upsert_bucketed(spark, path, registrations(spark, d), "email", "seq")
+    gone = table(spark, d, "orders").filter(F.col("o_orderkey") % 50 == 0)
+    gone = gone.select(F.concat(F.lit("user"), F.col("o_custkey").cast("string"), F.lit("@example.com")).alias("email"))
+    dimension.delete_bucketed(spark, path, gone, "email")
+    return dimension.read_bucketed(spark, path)
+
+
 @query(f"SELECT * FROM ({USERS}) WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def users_remaining_after_delete(spark, d):
     gone = table(spark, d, "orders").filter(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("user_id"))

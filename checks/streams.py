@@ -35,3 +35,40 @@ def stream_class_state(spark, d):
     state = streaming.track_classes(detection_stream(spark, d))
     streaming.store_state(state, f"{target}/state", f"{target}/checkpoint", available_now=True).awaitTermination()
     return streaming.read_state(spark, f"{target}/state")
+
+
+def event_files(spark, d, files=4):
+    """The events as detections in several files, for a stream of several micro-batches."""
+    path = fresh_folder(spark, "events")
+    events = as_detections(table(spark, d, "events"))
+    events.repartition(files, F.col("arrival") % files).write.parquet(path)
+    return path, events.schema
+
+
+@query(
+    f"""SELECT class, arg_max(timestamp, arrival) AS last_seen, count(*) AS count, arg_max(coalesce(source, 'unknown'), arrival) AS source
+FROM ({DETECTIONS}) GROUP BY 1"""
+)
+def stream_class_versions(spark, d):
+    """The state as versions: each micro-batch stores the classes that it changed."""
+    path, schema = event_files(spark, d)
+    target = fresh_folder(spark, "versions")
+    stream = streaming.read_detections(spark, {"format": "parquet", "path": path, "maxFilesPerTrigger": 1}, schema)
+    streaming.store_changes(streaming.track_classes(stream), f"{target}/versions", f"{target}/checkpoint", available_now=True).awaitTermination()
+    return streaming.read_versions(spark, f"{target}/versions")
+
+
+@query(
+    f"""WITH r AS (SELECT coalesce("table", 'default') AS "table", count(*) AS n FROM ({DETECTIONS}) GROUP BY 1)
+SELECT "table", (n // 100)::bigint AS flushes, (n // 100 * 100)::bigint AS messages FROM r WHERE n >= 100"""
+)
+def stream_flushed_by_count(spark, d):
+    """Routes leave their buffers in hundreds; what is left over stays in the state, since no time runs out."""
+    path, schema = event_files(spark, d)
+    target = fresh_folder(spark, "flushed")
+    stream = streaming.read_detections(spark, {"format": "parquet", "path": path, "maxFilesPerTrigger": 1}, schema)
+    flushed = streaming.flushed_by_count_or_time(stream, seconds=86_400)
+    running = streaming.ingest_detections(flushed, f"{target}/tables", f"{target}/checkpoint", interval="0 seconds")
+    streaming.stop_when_idle(running)
+    stored = read_routed(spark, f"{target}/tables").select(F.col("table"), "flush")
+    return stored.groupBy("table").agg(F.countDistinct("flush").alias("flushes"), F.count(F.lit(1)).alias("messages"))

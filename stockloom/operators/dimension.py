@@ -1,8 +1,9 @@
-"""Dimension and user table changes. Each returns the new content of the table."""
+"""Dimension and user table changes: as frames with the new content, or in place on tables stored by a bucket of the key."""
 
 from pyspark.sql import functions as F
 
 from stockloom.operators.aggregate import collapse_items
+from stockloom.session import fresh_folder
 
 
 def _merged(target, new, key, given):
@@ -48,6 +49,79 @@ def delete_by_key(target, keys_df, key):
     return target.join(doomed, key, "left_anti"), affected
 
 
+#: Column that a bucketed table is stored by.
+BUCKET = "_bucket"
+
+
+def _bucketed(df, key, buckets):
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def _stored(spark, path):
+    """The rows of a bucketed table with its bucket column, and its number of buckets."""
+    table = spark.read.parquet(f"{path}/rows")
+    return table, spark.read.parquet(f"{path}/layout").first()["buckets"]
+
+
+def create_bucketed(df, path, key, buckets=64):
+    """Store a table by a hash bucket of its key; its updates then rewrite only the buckets they touch."""
+    df.sparkSession.createDataFrame([(key, buckets)], "key string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+    _bucketed(df, key, buckets).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/rows")
+
+
+def read_bucketed(spark, path):
+    return _stored(spark, path)[0].drop(BUCKET)
+
+
+def _swap(spark, path, rows, columns, touched):
+    """Put `rows` in place of the touched buckets. They are staged as a whole and swapped in by one dynamic partition overwrite, so
+    a failure before that leaves the table as it was. A bucket left without rows is removed, as no partition would replace it."""
+    staged = fresh_folder(spark, "buckets")
+    rows.select(*columns, BUCKET).repartition(BUCKET).write.partitionBy(BUCKET).parquet(staged)
+    new = spark.read.schema(rows.select(*columns, BUCKET).schema).parquet(staged)
+    new.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{path}/rows")
+    left = {r[0] for r in new.select(BUCKET).distinct().collect()}
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for bucket in set(touched) - left:
+        folder = hadoop(f"{path}/rows/{BUCKET}={bucket}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _touched(spark, path, key, given):
+    """The table's rows in the buckets that the keys of `given` fall into, `given` with its keys in the type they are stored in (or else
+    one key could have two buckets), the numbers of these buckets (at most all of them), and how many there are."""
+    table, buckets = _stored(spark, path)
+    given = given.withColumn(key, F.col(key).cast(table.schema[key].dataType))
+    touched = [r[0] for r in _bucketed(given.select(key).where(F.col(key).isNotNull()), key, buckets).select(BUCKET).distinct().collect()]
+    return table.where(F.col(BUCKET).isin(touched)), given, touched, buckets
+
+
+def upsert_bucketed(spark, path, updates, key, order=None):
+    """upsert_by_key on a bucketed table in place (without `order` the updates have one row per key); returns how many buckets were rewritten.
+    Buckets without an update keep their files."""
+    if order is not None:
+        updates = latest_by_key(updates, key, order)
+    rows, updates, touched, buckets = _touched(spark, path, key, updates)
+    if touched:
+        columns = [c for c in rows.columns if c != BUCKET]
+        merged = _merged(rows.select(columns), updates, key, [c for c in updates.columns if c in columns and c != key])
+        _swap(spark, path, _bucketed(merged, key, buckets), columns, touched)
+    return len(touched)
+
+
+def delete_bucketed(spark, path, keys_df, key):
+    """delete_by_key on a bucketed table in place; returns the number of rows deleted."""
+    rows, keys_df, touched, buckets = _touched(spark, path, key, keys_df)
+    if not touched:
+        return 0
+    columns = [c for c in rows.columns if c != BUCKET]
+    remaining, affected = delete_by_key(rows.select(columns), keys_df, key)
+    count = affected.first()["affected"]
+    if count:
+        _swap(spark, path, _bucketed(remaining, key, buckets), columns, touched)
+    return count
+
+
 def append_logins(existing, logins, key, order, payload=None, provider="google"):
     """Login rows with provider, is_new and the JSON payload.
 

@@ -1,6 +1,7 @@
 """Catalog tables: load, list, preview, export, scripts, lake tables, models."""
 
 import posixpath
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,12 +82,50 @@ def table_from_json(spark, path, key, table, table_path=None, multi_line=True):
     return spark.table(table)
 
 
+#: Quoted texts and names, comments, words and single signs of a script. A backslash takes the next sign along within quotes.
+_SCRIPT_PIECE = re.compile(
+    r"""'(?:\\.|''|[^'\\])*' | "(?:\\.|""|[^"\\])*" | `(?:``|[^`])*` | --[^\n]* | /\* | \w+ | .""", re.DOTALL | re.VERBOSE
+)
+#: Statements whose end is END and their own word, which are not counted.
+_OWN_END = {"IF", "WHILE", "LOOP", "REPEAT", "FOR"}
+
+
+def split_script(text):
+    """The statements of a script, without comments around them. A `;` within quotes, comments or BEGIN ... END ends none."""
+    out, at, start, depth, ended, seen = [], 0, 0, 0, False, False
+    while at < len(text):
+        piece = _SCRIPT_PIECE.match(text, at)
+        token, end = piece.group(), piece.end()
+        if token == "/*":  # these may hold others
+            level = 1
+            while level and end < len(text):
+                level += {"/*": 1, "*/": -1}.get(text[end : end + 2], 0)
+                end += 2 if text[end : end + 2] in ("/*", "*/") else 1
+        elif not token.startswith("--"):
+            word = token.upper()
+            if word == ";" and depth == 0:
+                if seen:
+                    out.append(text[start:at].strip())
+                start, seen = end, False
+            elif not token.isspace():
+                seen = True
+                if ended and word in _OWN_END:
+                    depth += 1  # the END before closed none of those counted
+                ended = word == "END" and depth > 0
+                if word == "END":
+                    depth = max(0, depth - 1)
+                elif word == "BEGIN" or (word == "CASE" and not text[:at].rstrip().upper().endswith("END")):
+                    depth += 1
+        at = end
+    if seen:
+        out.append(text[start:].strip())
+    return out
+
+
 def run_script(spark, text):
-    """Run `;`-separated statements; returns (statement, DataFrame) for those that yield rows."""
+    """Run the statements of a script; returns (statement, DataFrame) for those that yield rows. BEGIN ... END is run as one."""
     results = []
-    for statement in (part.strip() for part in text.split(";")):
-        if not statement:
-            continue
+    for statement in split_script(text):
         df = spark.sql(statement)
         if df.columns:
             results.append((statement, df))
@@ -147,17 +186,27 @@ def compact_routed(spark, prefix, target, before, route_col="table"):
     closed.hint("rebalance", route_col).write.mode("overwrite").partitionBy(route_col).parquet(target)
 
 
+#: What a stored model holds beside what it is known by: its keys and start year.
+MODEL_VALUES = ["end_year", "params", "model_blob", "status", "created_at"]
+
+
 def save_models(models, path):
-    """Store models (start_year, end_year, params, model_blob), and keys if there are any. Saving a start year again replaces
-    what was stored for it.
+    """Store models (start_year, end_year, params, model_blob, perhaps status); all other columns are their keys.
 
+    Each save adds a version, by its time; none is changed or removed, so models of other keys and years stay as they are.
     Fitted parameters stay readable beside the blob; the files are compressed.
     """
     stored = models.withColumn("created_at", F.current_timestamp())
-    writer = stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-    writer.partitionBy("start_year").parquet(path)
-
-
-def load_models(spark, path, start_year=None):
-    models = spark.read.parquet(path)
-    return models if start_year is None else models.filter(F.col("start_year") == start_year)
+    stored.write.mode("append").option("compression", "zstd").partitionBy("start_year").parquet(path)
+
+
+def load_models(spark, path, start_year=None, versions=False):
+    """The latest version of each model, or with `versions` all of them."""
+    models = spark.read.option("mergeSchema", True).parquet(path)
+    models = models if start_year is None else models.filter(F.col("start_year") == start_year)
+    if versions:
+        return models
+    values = [c for c in models.columns if c in MODEL_VALUES]
+    known_by = [c for c in models.columns if c not in values]
+    latest = models.groupBy(*known_by).agg(F.max_by(F.struct(*values), "created_at").alias("_latest"))
+    return latest.select(*[F.col(f"_latest.{c}").alias(c) if c in values else F.col(c) for c in models.columns])

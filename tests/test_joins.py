@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stockloom.operators import dimension, joins
+from stockloom.session import fresh_folder
 
 WORDS = ["total_sales", "revenue", "product", "region", "customer_id", "order_date", "quantity", "price"]
 PLACE = "id int, name string, latitude double, longitude double"
@@ -181,3 +182,38 @@ def test_holiday_weeks(frame):
     days = frame([("2024-07-04", "fourth"), ("2024-07-07", "sunday"), ("2025-01-01", "new year")], "d string, name string")
     flagged = joins.flag_holiday_weeks(weekly, days.selectExpr("to_date(d) AS date", "name")).orderBy("week_start").collect()
     assert [(r.holidays, r.is_holiday_week) for r in flagged] == [(["fourth", "sunday"], True), (None, False), (["new year"], True)]
+
+
+def files_of(spark, path):
+    import glob
+
+    return {b: sorted(glob.glob(f"{path}/rows/_bucket={b}/*.parquet")) for b in range(16)}
+
+
+def test_upsert_and_delete_touch_their_buckets_only(spark, frame):
+    path = fresh_folder(spark, "users")
+    rows = [(k, f"u{k}", k % 3) for k in range(200)] + [(None, "nobody", 0)]
+    dimension.create_bucketed(frame(rows, "id long, name string, n int"), path, "id", 16)
+    before = files_of(spark, path)
+    updates = frame([(7, "seven", 1), (7, "seven!", 2), (1000, "new", 1), (None, "lost", 1)], "id int, name string, seq int")
+    rewritten = dimension.upsert_bucketed(spark, path, updates, "id", "seq")
+    after = files_of(spark, path)
+    assert rewritten == sum(before[b] != after[b] for b in range(16)) <= 2
+    got = {(r.id, r.name, r.n) for r in dimension.read_bucketed(spark, path).collect()}
+    assert got == {r for r in rows if r[0] != 7} | {(7, "seven!", 1), (1000, "new", None)}
+    assert dimension.delete_bucketed(spark, path, frame([(5,), (5,), (None,), (4242,)], "id long"), "id") == 1
+    last = files_of(spark, path)
+    assert sum(after[b] != last[b] for b in range(16)) in (1, 2)
+    assert {(r.id, r.name, r.n) for r in dimension.read_bucketed(spark, path).collect()} == got - {(5, "u5", 2)}
+    assert dimension.upsert_bucketed(spark, path, frame([], "id long, name string"), "id") == 0
+
+
+def test_a_bucket_may_be_emptied(spark, frame):
+    path = fresh_folder(spark, "users")
+    dimension.create_bucketed(frame([(1, "a"), (2, "b"), (3, "c")], "id long, name string"), path, "id", 1)
+    assert dimension.delete_bucketed(spark, path, frame([(1,), (2,), (3,)], "id long"), "id") == 3
+    dimension.create_bucketed(frame([(k, "x") for k in range(40)], "id long, name string"), f"{path}2", "id", 16)
+    gone = [tuple(r) for r in spark.read.parquet(f"{path}2/rows").where("_bucket = 3").select("id").collect()]
+    assert gone and dimension.delete_bucketed(spark, f"{path}2", frame(gone, "id long"), "id") == len(gone)
+    assert files_of(spark, f"{path}2")[3] == []
+    assert dimension.read_bucketed(spark, f"{path}2").count() == 40 - len(gone)

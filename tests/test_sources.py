@@ -242,3 +242,38 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     folder = fresh_folder(spark, "x")
     assert folder.startswith((named or shared_folder(spark)) + "/x-")
     assert folder != fresh_folder(spark, "x")
+
+
+def test_models_of_other_keys_stay(spark, frame):
+    path = fresh_folder(spark, "models")
+    schema = "vendor string, start_year int, end_year int, params map<string,double>, model_blob binary"
+    tables.save_models(frame([("A", 2019, 2020, {"ar1": 0.5}, b"a")], schema), path)
+    tables.save_models(frame([("B", 2019, 2020, {"ar1": 0.7}, b"b"), (None, 2019, 2020, None, b"n")], schema), path)
+    tables.save_models(frame([("A", 2019, 2021, {"ar1": 0.6}, b"a2")], schema), path)
+    rows = {r.vendor: (r.end_year, bytes(r.model_blob)) for r in tables.load_models(spark, path, 2019).collect()}
+    assert rows == {"A": (2021, b"a2"), "B": (2020, b"b"), None: (2020, b"n")}
+    assert tables.load_models(spark, path, versions=True).count() == 4
+
+
+@pytest.mark.parametrize(
+    "script, parts",
+    [
+        ("SELECT 'a;b' AS x; SELECT 2", ["SELECT 'a;b' AS x", "SELECT 2"]),
+        ("SELECT 'it''s; \\'; ok';;", ["SELECT 'it''s; \\'; ok'"]),
+        ("-- only; a comment\n", []),
+        ("SELECT `a;b`, \"c;d\" -- e;f\n FROM t; /* g; /* h; */ */ SELECT 1", ['SELECT `a;b`, "c;d" -- e;f\n FROM t', "/* g; /* h; */ */ SELECT 1"]),
+        (
+            "BEGIN IF 1 = 1 THEN SELECT 1; END IF; SELECT CASE WHEN 1 = 1 THEN 2 END; END; SELECT 3",
+            ["BEGIN IF 1 = 1 THEN SELECT 1; END IF; SELECT CASE WHEN 1 = 1 THEN 2 END; END", "SELECT 3"],
+        ),
+        ("SELECT CASE a WHEN 1 THEN 2 END FROM t; SELECT 2;", ["SELECT CASE a WHEN 1 THEN 2 END FROM t", "SELECT 2"]),
+        ("BEGIN BEGIN SELECT 1; END; WHILE x DO SET x = 1; END WHILE; END", ["BEGIN BEGIN SELECT 1; END; WHILE x DO SET x = 1; END WHILE; END"]),
+    ],
+)
+def test_statements_of_a_script(script, parts):
+    assert tables.split_script(script) == parts
+
+
+def test_a_block_runs_as_one(spark):
+    results = tables.run_script(spark, "SELECT 'a;b' AS x; BEGIN DECLARE n INT DEFAULT 1; SET n = n + 1; SELECT n AS y, ';' AS z; END; SELECT 3 AS w")
+    assert [df.collect()[0].asDict() for _, df in results] == [{"x": "a;b"}, {"y": 2, "z": ";"}, {"w": 3}]

@@ -1,6 +1,8 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stockloom.schemas import DETECTION_SCHEMA
@@ -115,3 +117,91 @@ def test_topic_messages_are_parsed(frame):
     assert topic.seen == {
         "format": "kafka", "subscribe": "shelf", "startingOffsets": "earliest", "minOffsetsPerTrigger": "100", "maxTriggerDelay": "10s",
     }
+
+
+def feed(spark, folder, rows):
+    schema = "arrival long, timestamp string, class string, source string, table string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{folder}/in")
+    return detections.read_detections(spark, {"format": "json", "path": f"{folder}/in", "maxFilesPerTrigger": 1}, schema)
+
+
+def test_versions_hold_the_changed_classes_only(spark, folder):
+    def track(rows):
+        state = detections.track_classes(feed(spark, folder, rows))
+        run(detections.store_changes(state, f"{folder}/versions", f"{folder}/ckpt", available_now=True))
+        return {r["class"]: (r["count"], r.source) for r in detections.read_versions(spark, f"{folder}/versions").collect()}
+
+    assert track([(1, "t1", "can", "a", None), (2, "t2", "jar", "b", None)]) == {"can": (1, "a"), "jar": (1, "b")}
+    assert track([(3, "t3", "can", "c", None)]) == {"can": (2, "c"), "jar": (1, "b")}
+    assert track([(4, "t4", "box", "d", None), (0, "t0", "jar", "z", None)]) == {"can": (2, "c"), "jar": (2, "b"), "box": (1, "d")}
+    stored = spark.read.parquet(f"{folder}/versions")
+    by_batch = {}
+    for r in stored.collect():
+        by_batch.setdefault(r.batch_id, set()).add(r["class"])
+    assert sorted(map(sorted, by_batch.values())) == [["box", "jar"], ["can"], ["can", "jar"]]
+    # A batch that is handed over again replaces itself.
+    last = max(by_batch)
+    batch = stored.where(f"batch_id = {last}").drop("batch_id").collect()
+    spark.createDataFrame(batch, stored.drop("batch_id").schema).withColumn("batch_id", F.lit(last).cast("long")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("batch_id").parquet(f"{folder}/versions")
+    stored = spark.read.parquet(f"{folder}/versions")
+    assert stored.count() == 5
+    assert {r["class"]: r["count"] for r in detections.read_versions(spark, f"{folder}/versions", upto=min(by_batch)).collect()} == {"can": 1, "jar": 1}
+    detections.compact_versions(spark, f"{folder}/versions", f"{folder}/compact", max(by_batch))
+    assert spark.read.parquet(f"{folder}/compact").count() == 2
+    held = {r["class"]: r["value"] for r in detections.running_state(spark, f"{folder}/ckpt").collect()}
+    assert set(held) == {"can", "jar", "box"} and "2" in str(held["can"])
+
+
+def run_timed(stream, folder):
+    query = detections.ingest_detections(stream, f"{folder}/out", f"{folder}/ckpt", interval="0 seconds")
+    detections.stop_when_idle(query)
+
+
+def test_buffers_leave_by_count(spark, folder):
+    def flush(rows):
+        flushed = detections.flushed_by_count_or_time(feed(spark, folder, rows), most=3, seconds=3600)
+        run_timed(flushed, folder)
+        out = {}
+        for r in read_routed(spark, f"{folder}/out").collect():
+            out.setdefault((r.table, r.flush), set()).add(r.arrival)
+        return out
+
+    first = flush([(k, "t", "can", "a", "shelf") for k in range(1, 8)] + [(20, "t", "jar", None, None), (21, "t", "jar", None, "")])
+    assert {k: len(v) for k, v in first.items()} == {("shelf", 0): 3, ("shelf", 1): 3}
+    # What was held before a restart leaves with what comes after.
+    second = flush([(22, "t", "jar", None, None), (8, "t", "can", "a", "shelf")])
+    assert second[("default", 0)] == {20, 21, 22} and len(second) == 3
+    third = flush([(9, "t", "can", "a", "shelf")])
+    assert third.keys() - second.keys() == {("shelf", 2)}
+    assert set().union(*(v for k, v in third.items() if k[0] == "shelf")) == set(range(1, 10))
+
+
+def test_buffers_leave_by_time(spark, folder):
+    stream = feed(spark, folder, [(k, "t", "can", "a", "full" if k < 5 else "slow") for k in range(1, 7)])
+    flushed = detections.flushed_by_count_or_time(stream, most=4, seconds=4)
+    query = detections.ingest_detections(flushed, f"{folder}/out", f"{folder}/ckpt", interval="1 second")
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            query.exception() and query.awaitTermination()
+            try:
+                rows = read_routed(spark, f"{folder}/out").collect()
+            except AnalysisException:
+                continue
+            if len(rows) == 6:
+                break
+    finally:
+        query.stop()
+    assert sorted((r.table, r.flush, r.arrival) for r in rows) == [("full", 0, k) for k in range(1, 5)] + [("slow", 0, 5), ("slow", 0, 6)]
+    batches = {r.table: r.batch_id for r in rows}
+    assert batches["full"] < batches["slow"]
+
+
+def test_lanes_of_a_route(spark, folder):
+    stream = feed(spark, folder, [(k, "t", "can", "a", "shelf") for k in range(400)])
+    flushed = detections.flushed_by_count_or_time(stream, most=10, seconds=3600, lanes=4)
+    run_timed(flushed, folder)
+    rows = read_routed(spark, f"{folder}/out")
+    assert rows.count() % 10 == 0 and rows.count() > 360 and rows.select("arrival").distinct().count() == rows.count()
