@@ -5,6 +5,7 @@ jump; where it says zero, the bucket of the block at the window's end lists the
 
 Nulls and empty texts have no words. A benchmark row without id marks words but is no item. Repeated rows are judged one by one;
 repeated items count once. An empty benchmark leaves every text clean.
+Long texts are read whole, an empty documents table gives no rows, and other columns stay as they are, whatever their names.
 """
 
 import pyarrow as pa

@@ -6,6 +6,7 @@ base rules and enough of its words stand on content lines.
 
 Null and empty texts have no words and fail the base rules. Without labels of both kinds no field is fitted and the base rules decide
 alone. Repeated rows are judged one by one; the text's length is not limited.
+An empty table gives no rows. Other columns stay as they are, whatever their names.
 """
 
 import math

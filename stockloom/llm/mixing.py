@@ -8,6 +8,7 @@ and a block's slot is found from its number alone.
 
 A null source is a source of its own. Null and empty texts have length zero and share the block of the next text. Repeated rows follow
 each other. Sources without a weight get none and are listed last, after all slots, in block order; a weight below one is refused.
+Long texts count in whole, an empty table gives no rows, and other columns stay as they are, whatever their names.
 """
 
 import heapq

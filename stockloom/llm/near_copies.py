@@ -7,6 +7,8 @@ many bits as were dealt to it, they would differ in more than `distance`; so eve
 
 Texts without words (null, empty) have fingerprint zero, linked like any other. Equal fingerprints are searched once. Rows without id
 take part; a component's id is its smallest known id.
+Repeated rows have one fingerprint and so one component. Long texts are read whole, an empty table gives no rows, and other columns stay as they are,
+whatever their names.
 """
 
 from itertools import accumulate, combinations

@@ -6,6 +6,7 @@ path of its document and the words around it. It is fitted on a bounded sample o
 
 Null and empty texts have no candidates. Without labelled findings of both kinds nothing is taken out: every candidate is a secret.
 A null path is a path without signs. Repeated rows give repeated findings. Built from DataFrame operations only.
+Long texts are read whole, an empty table gives no findings, and other columns play no part, whatever their names.
 """
 
 from pyspark.ml.classification import RandomForestClassifier

@@ -6,6 +6,7 @@ block the number of documents before it and the start of the one that runs into
 
 Two separators in a row enclose an empty document; what follows a file's last separator is a document that is not closed. An empty
 file has none, and bytes at the end that make no whole token are not counted. Null texts are written as empty documents.
+Repeated rows are documents of their own, long texts are encoded whole, and other columns play no part, whatever their names.
 """
 
 import base64

@@ -6,6 +6,7 @@ then to the longer one. Multinomial naive Bayes with add-one smoothing, fitted o
 
 Null addresses and those without :// have empty host and path. Addresses without words, and all if labels of one kind are missing, are
 allowed. Equal addresses are scored once. Letters are a-z and all that is not ASCII.
+Repeated rows are judged alike, an empty table gives no rows, and other columns play no part, whatever their names.
 """
 
 import math
