@@ -92,6 +92,7 @@ def paren_clauses(text):
 
 def parse_label_response(text):
     """Map item to label from a JSON text that may carry `//` comments; empty when it is no JSON object."""
+    # Fixed value: the pattern of a comment in an answer.
     cleaned = F.regexp_replace(text, r"(?m)\s*//.*?$", "")
     options = {"allowSingleQuotes": "false"}
     parsed = F.from_json(F.when(cleaned.rlike(r"(?s)^\s*\{.*\}\s*$"), cleaned), "map<string,string>", options)
@@ -104,6 +105,7 @@ def prompt_line(key, columns, key_label="item_number"):
     def shown(name):
         return F.coalesce(F.col(name).cast("string"), F.lit("None"))
 
+    # The line's start, and how a column is named in it.
     parts = [F.concat(F.lit(f"- {key_label}: "), shown(key))]
     parts += [F.concat(F.lit(f"{c.title().replace('_', ' ')}: "), shown(c)) for c in columns]
     return F.concat_ws(", ", *parts)
@@ -119,6 +121,7 @@ def agent_url(df, base, timestamp="timestamp", kind="type", label="label", value
     """Add link text, url `base/2024-01-31_min.json`, the value to two digits and a JSON stub per marked point."""
     day = F.date_format(timestamp, "yyyy-MM-dd")
     fallback = F.concat(day, F.lit(" ("), F.col(kind), F.lit(")"))
+    # Fixed value: the text of a definition that is still to come.
     stub = F.struct(
         day.alias("date"),
         F.col(kind).alias("type"),
