@@ -3,9 +3,10 @@
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockloom.functions.dates import monday
-from stockloom.session import shared_folder
+from stockloom.session import fresh_folder, shared_folder
 
 
 def items_to_label(sales, dim, key, label, columns, limit=None):
@@ -84,27 +85,78 @@ def near_locations(points, known, eps=1e-4, lat="latitude", lon="longitude", id_
     return points.join(named, [lat, lon], "left").select(*points.columns, "match_id", "match_name")
 
 
-def add_new_locations(known, points, eps=1e-4, lat="latitude", lon="longitude", id_col="id"):
-    """Known locations plus new ones, taken from the points in order of id: one is added if neither a known location nor one
-    added before is near.
+#: Side of a tile in cells, and undecided points of a cell that a tile looks at in one round. Both bound what one task holds.
+TILE, LISTED = 512, 2
+
+
+def _decided_tile(rows, eps, keys):
+    """One ordered pass over a tile: the positions of its own points that are added for certain.
+
+    A point near an added one is refused. One near a point whose fate hangs on something outside the tile, or on a cell's points that
+    are not listed, hangs on it too. rows: keys (in order of time), _lat, _lon, _cy, _cx, _own, _rest."""
+    rows = rows.sort_values(keys, na_position="first", kind="stable")
+    added, open_points, rest, out = {}, {}, set(), []
+    around = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    columns = [rows[c].tolist() for c in ("_lat", "_lon", "_cy", "_cx", "_own", "_rest")]
+    for place, lat, lon, cy, cx, own, unlisted in zip(rows.index, *columns):
+        if unlisted:
+            rest.add((cy, cx))
+            continue
+        cells = [(cy + dy, cx + dx) for dy, dx in around]
+        near = lambda points: any(abs(lat - y) < eps and abs(lon - x) < eps for c in cells for y, x in points.get(c, ()))
+        if near(added):
+            continue
+        # A cell is less wide than eps: where it has an added point, its other ones are refused.
+        hangs = not own or near(open_points) or any(c in rest and c not in added for c in cells)
+        (open_points if hangs else added).setdefault((cy, cx), []).append((lat, lon))
+        if not hangs:
+            out.append(place)
+    return out
+
 
-    In rounds: an undecided point that is the least of all undecided ones near it is added, and those near it are decided against.
-    Points without coordinates are not added.
+def add_new_locations(known, points, eps=1e-4, lat="latitude", lon="longitude", id_col="id"):
+    """Known locations plus new ones, taken from the points in order of id (equal ids by their other columns): one is added if neither
+    a known location nor one added before is near.
+
+    The plane is cut into tiles of TILE x TILE cells a hair narrower than eps, of which each can take one new location at most. A tile
+    and the cells around it are one group, with the LISTED least points of each cell, so its size is bounded however many points
+    there are. One ordered pass decides all that hangs on nothing outside; then the points near the added ones go. Tiles move by half
+    of their side from round to round, so that what hangs together across a border lies inside the next time. Rounds are about as many as
+    the half tiles that the longest chain of points runs through, and a crowd takes a few. Each round's locations are written to the shared folder. Points without coordinates are not added.
     """
-    shared_folder(points.sparkSession)
+    spark = points.sparkSession
+    folder = fresh_folder(spark, "added-locations")
+    columns = known.columns
+    keys = [id_col, *[c for c in columns if c != id_col]]
 
     def without_near(frame, others):
-        return near_locations(frame, others, eps, lat, lon, id_col).filter(F.col("match_id").isNull()).select(*frame.columns)
+        return near_locations(frame, others, eps, lat, lon, id_col).filter(F.col("match_id").isNull()).select(*columns)
+
+    placed = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)).select(*columns).distinct()
+    undecided = without_near(placed, known).checkpoint()
+    given = T.StructType([T.StructField(f.name, f.dataType) for f in undecided.schema.fields])
+
+    def decided(rows):
+        return rows.loc[_decided_tile(rows, eps, keys), columns]
 
-    placed = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    undecided = without_near(placed, known).select(*known.columns).checkpoint()
-    added = known
+    cy, cx = _cells(F.col(lat), F.col(lon), eps * 0.999999)
+    by_cell = Window.partitionBy("_cy", "_cx").orderBy(*[F.col(c).asc_nulls_first() for c in keys])
+    rounds = 0
     while not undecided.isEmpty():
-        least = near_locations(undecided, undecided, eps, lat, lon, id_col).filter(F.col("match_id") == F.col(id_col))
-        least = least.select(*known.columns).checkpoint()
-        added = added.unionByName(least)
-        undecided = without_near(undecided, least).checkpoint()
-    return added
+        shift = rounds % 2 * (TILE // 2)
+        listed = undecided.select(*columns, cy, cx).withColumn("_rn", F.row_number().over(by_cell)).filter(F.col("_rn") <= LISTED + 1)
+        # A cell belongs to its tile; on a tile's border it is shown to the tiles beside it as well.
+        reach = lambda c: F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.floor((F.col(c) + shift + d) / TILE)))
+        shown = listed.select("*", F.explode(reach("_cy")).alias("_ty")).select("*", F.explode(reach("_cx")).alias("_tx"))
+        own = (F.col("_ty") == F.floor((F.col("_cy") + shift) / TILE)) & (F.col("_tx") == F.floor((F.col("_cx") + shift) / TILE))
+        shown = shown.select("*", F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), own.alias("_own"), (F.col("_rn") > LISTED).alias("_rest"))
+        path = f"{folder}/{rounds}"
+        shown.groupBy("_ty", "_tx").applyInPandas(decided, given).write.parquet(path)
+        undecided = without_near(undecided, spark.read.schema(given).parquet(path)).checkpoint()
+        rounds += 1
+    if not rounds:
+        return known
+    return known.unionByName(spark.read.schema(given).parquet(*[f"{folder}/{k}" for k in range(rounds)]))
 
 
 def matched_letters(a, b):

@@ -142,6 +142,48 @@ def test_add_new_locations_one_after_the_other(frame):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def one_after_the_other(known, points, eps):
+    """Plain rule, with the added ones in cells of eps."""
+    cells, want = {}, []
+
+    def put(p):
+        want.append(p)
+        cells.setdefault((int(p[2] // eps), int(p[3] // eps)), []).append(p)
+
+    for p in known:
+        put(p)
+    for p in sorted(points):
+        cy, cx = int(p[2] // eps), int(p[3] // eps)
+        close = [k for dy in (-2, -1, 0, 1, 2) for dx in (-2, -1, 0, 1, 2) for k in cells.get((cy + dy, cx + dx), ())]
+        if all(abs(p[2] - k[2]) >= eps or abs(p[3] - k[3]) >= eps for k in close):
+            put(p)
+    return sorted(want)
+
+
+def test_add_new_locations_along_a_chain(frame, monkeypatch):
+    """Two thousand points, each near the next and in order of id: a few rounds, not one per second point."""
+    points = [(k, "chain", 3.0, 3.0 + k * 0.00009) for k in range(2000)]
+    looks, plain = [], joins.near_locations
+    monkeypatch.setattr(joins, "near_locations", lambda *args: (looks.append(1), plain(*args))[1])
+    got = joins.add_new_locations(frame([], PLACE), frame(points, PLACE), 1e-4)
+    assert sorted(tuple(r) for r in got.collect()) == one_after_the_other([], points, 1e-4)
+    # One look at the known ones, and one for each half tile of 256 cells along 1,800 cells.
+    assert len(looks) <= 1 + 8
+
+
+@pytest.mark.parametrize("tile", [4, 512])
+def test_add_new_locations_in_crowds_and_small_tiles(frame, monkeypatch, tile):
+    """Crowds of more points in a cell than a tile looks at, chains across and along tile borders, equal ids and repeated rows."""
+    monkeypatch.setattr(joins, "TILE", tile)
+    rng = random.Random(tile)
+    points = [(rng.randrange(10**6), rng.choice("ab"), rng.uniform(0, 3e-4), rng.uniform(0, 3e-4)) for _ in range(600)]
+    points += [(2 * 10**6 + k, "zig", 0.0004 + (k % 2 * 2 - 1) * 1e-6, 0.002 + k * 0.00003) for k in range(40)]
+    points += [(5, "same", 0.001, 0.001), (5, "same", 0.001, 0.001), (5, "more", 0.00105, 0.001), (5, "far", 0.003, 0.001)]
+    known = [(9, "home", 0.0001, 0.0001)]
+    got = joins.add_new_locations(frame(known, PLACE), frame(points, PLACE), 1e-4)
+    assert sorted(tuple(r) for r in got.collect()) == one_after_the_other(known, points, 1e-4)
+
+
 def test_items_to_label(frame):
     sold = frame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], "item int, name string")
     dim = frame([(1, None), (2, "x")], "item int, segment string")
