@@ -137,6 +137,18 @@ def autocorrelation(spark, d):
     return stats.acf(type_weeks(spark, d), ["p_type"], "week_start", "qty").withColumn("acf", F.round("acf", 6))
 
 
+@query(
+    """WITH m AS (SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+x AS (SELECT event_type, n - avg(n) OVER (PARTITION BY event_type) AS v, row_number() OVER (PARTITION BY event_type ORDER BY minute) AS p FROM m),
+k AS (SELECT a.event_type, (b.p - a.p)::int AS lag, sum(a.v * b.v) AS s FROM x a JOIN x b ON a.event_type = b.event_type AND b.p BETWEEN a.p AND a.p + 200 GROUP BY ALL)
+SELECT k.event_type, k.lag, CASE WHEN z.s > 1e-9 THEN round(k.s / z.s, 6) + 0 END AS acf FROM k JOIN k z ON k.event_type = z.event_type AND z.lag = 0"""
+)
+def autocorrelation_by_minute(spark, d):
+    """Long series: the minutes with events of a type, over 200 lags, in blocks."""
+    minutes = table(spark, d, "events").where("ts IS NOT NULL").groupBy("event_type", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"))
+    return stats.acf(minutes, ["event_type"], "minute", "n", 200, block=4096).withColumn("acf", F.round("acf", 6))
+
+
 @query(
     f"""WITH RECURSIVE r AS (SELECT p_type, list(r ORDER BY lag) AS r, count(*) AS n FROM ({acf_sql(TYPE_WEEKS, 'p_type')}) GROUP BY 1),
 p AS (SELECT p_type, 1 AS k, [r[2]] AS phi, r[2] AS value, 1 - r[2] * r[2] AS err FROM r

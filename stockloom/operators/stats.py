@@ -1,5 +1,7 @@
 """Errors, exact quantiles and autocorrelation per key."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from stockloom.operators.keys import join_by_keys
 # Fixed value: smallest denominator of the relative error, the double machine epsilon.
 MAPE_FLOOR = 2.220446049250313e-16
 STRIPS = 1024
+#: Ranges that the order of long series is cut into at most.
+MOST_RANGES = 256
 
 
 def rmse(df, actual, predicted, keys=()):
@@ -110,13 +114,74 @@ def _let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def acf_arrays(df, keys, order, value, max_lag=52, points=False):
+def _numbered(clean, keys, ranges):
+    """Rows _o, _v with _n (rows of the key), _x (the value less the key's mean) and _pos (place in the key's order, from 0).
+
+    The order is cut into ranges at approximate quantiles; rows are ranked within key and range, and ranges start where the counts of those
+    before them end. So a key is never sorted as a whole, and where the cuts lie changes nothing but the size of the ranges.
+    The quantiles, at most MOST_RANGES, are found at once, by a reading of their own."""
+    shares = [F.lit(k / ranges) for k in range(1, ranges)]
+    cuts = clean.agg(F.percentile_approx("_o", F.array(*shares), 10 * ranges)).first()[0] if shares else None
+    dealt = clean.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("_o"))) if cuts else F.lit(0))
+    counted = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_c").over(whole)
+    sized = counted.select(*keys, "_range", total.alias("_n"), (F.sum("_s").over(whole) / total).alias("_mean"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_from"))
+    ranked = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_o", "_v")))
+    rows = join_by_keys(ranked, sized, [*keys, "_range"])
+    return rows.select(*keys, "_n", (F.col("_v") - F.col("_mean")).alias("_x"), (F.col("_from") + F.col("_rn") - 1).alias("_pos"))
+
+
+def _products(max_lag):
+    """Column function: sums of x[i] * x[i + lag] over the block's own values i, per lag; NULL for lags that reach beyond the series."""
+
+    def of(blocks: pa.Array, owns: pa.Array) -> pa.Array:
+        out = []
+        for block, own in zip(blocks, owns.to_pylist()):
+            x = block.values.to_numpy(zero_copy_only=False)
+            pairs = [min(own, len(x) - k) for k in range(max_lag + 1)]
+            out.append([float(x[:n] @ x[k : k + n]) if n > 0 else None for k, n in enumerate(pairs)])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return F.arrow_udf(of, "array<double>")
+
+
+def _acf_by_blocks(df, keys, order, value, max_lag, block):
+    """acf_arrays without the points, for series of any length: a group holds one block and max_lag values behind it."""
+    clean = df.select(*keys, F.col(order).alias("_o"), null_nan(F.col(value)).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ranges = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = _numbered(clean, keys, ranges)
+    block = max(block, max_lag)
+    own = F.floor(F.col("_pos") / block)
+    # The first max_lag values of a block are shown to the one before it.
+    shown = F.when((F.col("_pos") % block < max_lag) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    held = rows.select(*keys, "_n", "_pos", "_x", own.alias("_own"), F.explode(shown).alias("_block"))
+    held = held.groupBy(*keys, "_block").agg(
+        F.max("_n").alias("_n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda p: p["_x"]).alias("_x"),
+        F.count_if(F.col("_own") == F.col("_block")).alias("_own"),
+    )
+    sums = held.select(*keys, "_n", F.posexplode(_products(max_lag)("_x", "_own")).alias("_lag", "_sum"))
+    sums = sums.groupBy(*keys, "_lag").agg(F.max("_n").alias("_n"), F.sum("_sum").alias("_sum")).where(F.col("_lag") < F.col("_n"))
+    by_lag = F.transform(F.array_sort(F.collect_list(F.struct("_lag", "_sum"))), lambda p: p["_sum"])
+    series = sums.groupBy(*keys).agg(F.max("_n").cast("int").alias("n"), by_lag.alias("_sums"))
+    square = F.col("_sums")[0]
+    return series.select(*keys, "n", F.transform("_sums", lambda s: F.when(square > 0, s / square)).alias("r"))
+
+
+def acf_arrays(df, keys, order, value, max_lag=52, points=False, block=None):
     """Per key the number of values and the array of autocorrelations for lag 0..max_lag, at most n - 1; with `points` the
     series itself too.
 
     The series of a key becomes one sorted array: the input has one row per period, so that is at most the number of periods
-    in the calendar. The divisor is the sum of squares of the whole series.
+    in the calendar. The divisor is the sum of squares of the whole series. With `block`, for long series whose order is a number, date
+    or time, a series is cut into blocks of that many values instead, whose lagged products are added up.
     """
+    if block is not None:
+        if points:
+            raise ValueError("points are given for series in one piece only")
+        return _acf_by_blocks(df, keys, order, value, max_lag, block)
     pair = F.struct(F.col(order).alias(order), null_nan(F.col(value)).alias("v"))
     clean = df.select(*keys, pair.alias("_p")).filter(F.col("_p.v").isNotNull())
 
@@ -138,9 +203,9 @@ def acf_arrays(df, keys, order, value, max_lag=52, points=False):
     return series.select(*keys, F.size("_p").alias("n"), r.alias("r"), *(["_p"] if points else []))
 
 
-def acf(df, keys, order, value, max_lag=52):
+def acf(df, keys, order, value, max_lag=52, block=None):
     """Autocorrelation per lag 0..max_lag; NULL when the series does not vary."""
-    arrays = acf_arrays(df, keys, order, value, max_lag)
+    arrays = acf_arrays(df, keys, order, value, max_lag, block=block)
     return arrays.select(*keys, F.posexplode("r").alias("lag", "acf"))
 
 
@@ -166,9 +231,9 @@ def _partials(r, max_lag):
     return F.aggregate(lags, start, step, lambda acc: acc["out"])
 
 
-def pacf(df, keys, order, value, max_lag=52):
+def pacf(df, keys, order, value, max_lag=52, block=None):
     """Partial autocorrelation (Yule-Walker on the unadjusted autocorrelations) per lag."""
-    arrays = acf_arrays(df, keys, order, value, max_lag)
+    arrays = acf_arrays(df, keys, order, value, max_lag, block=block)
     partial = _let(F.col("r"), lambda r: _partials(r, max_lag))
     return arrays.select(*keys, F.posexplode(partial).alias("lag", "pacf"))
 
@@ -184,9 +249,9 @@ def _strongest(r):
     return _let(F.array_max(lags), named)
 
 
-def detect_periodicity(df, keys, order, value, max_lag=52):
+def detect_periodicity(df, keys, order, value, max_lag=52, block=None):
     """Dominant period per key and its signed strength; NULL when the series does not vary."""
-    arrays = acf_arrays(df, keys, order, value, max_lag)
+    arrays = acf_arrays(df, keys, order, value, max_lag, block=block)
     return arrays.select(*keys, "n", F.inline(F.array(_strongest(F.col("r")))))
 
 

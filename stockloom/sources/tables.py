@@ -1,8 +1,10 @@
 """Catalog tables: load, list, preview, export, scripts, lake tables, models."""
 
+import json
 import posixpath
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,22 +161,89 @@ def append_routed(df, prefix, route_col="table", default="default", batch_id=Non
 
     Rows without a route, or with an empty one, go to the default. The route column is not stored in the rows. Rows of a route are
     brought together before they are written, in parts of a useful size, so a batch adds few files. With a batch id the rows go to a
-    folder of that batch, which a second write of the same batch replaces, so a replay adds nothing.
+    folder of that batch, which a second write of the same batch replaces, so a replay adds nothing. New columns go to a log of schemas,
+    `<prefix>.schemas`, before the rows; a column that changes its type is an error, and nothing is written.
     """
     given = F.col(route_col).cast("string") if route_col in df.columns else F.lit(None).cast("string")
     routed = df.withColumn(route_col, F.when(F.coalesce(given, F.lit("")) == "", F.lit(default)).otherwise(given)).hint("rebalance", route_col)
+    if batch_id is not None:
+        routed = routed.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    _log_schema(df.sparkSession, prefix, routed.schema)
     if batch_id is None:
         routed.write.mode("append").partitionBy(route_col).parquet(prefix)
         return
-    routed = routed.withColumn("batch_id", F.lit(batch_id).cast("long"))
     writer = routed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(route_col, "batch_id").parquet(prefix)
 
 
-def read_routed(spark, prefix, route=None, route_col="table"):
-    """One routed table, or all of them with the route column, which is text; schemas of all batches are merged."""
+def _schema_log(prefix):
+    return f"{prefix.rstrip('/')}.schemas"
+
+
+def _logged_schemas(spark, prefix):
+    """The schemas in the log, one per line, in an order that stays the same; none without a log."""
+    path = _schema_log(prefix)
+    if not path_exists(spark, path):
+        return []
+    lines = spark.read.schema("value string").text(path).distinct().collect()
+    return [T.StructType.fromJson(json.loads(line)) for line in sorted(r["value"] for r in lines)]
+
+
+def _merged(schemas):
+    """All columns of the schemas. A column is stored in one type only."""
+    fields = {}
+    for schema in schemas:
+        for f in schema.fields:
+            known = fields.setdefault(f.name, f.dataType)
+            if known != f.dataType:
+                raise ValueError(f"column {f.name} is stored as {known.simpleString()} and as {f.dataType.simpleString()}")
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+def _log_schema(spark, prefix, schema):
+    """Add a schema to the log beside the tables unless it has its columns. The log has a line per change of schema, not per batch, and
+    is written before the rows, so it never lacks a column that is stored."""
+    plain = T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in schema.fields])
+    logged = _logged_schemas(spark, prefix)
+    if not logged and path_exists(spark, prefix):  # tables older than their log
+        try:
+            logged = [_footer_schema(spark, prefix)]
+        except AnalysisException as error:
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # raised where nothing but empty batches were written
+                raise
+        else:
+            spark.createDataFrame([(logged[0].json(),)], "value string").coalesce(1).write.mode("append").text(_schema_log(prefix))
+    known = _merged(logged)
+    if _merged([known, plain]) != known:
+        spark.createDataFrame([(plain.json(),)], "value string").coalesce(1).write.mode("append").text(_schema_log(prefix))
+
+
+def _nullable(kind):
+    """A type as files give it back: all within it may be NULL."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(_nullable(kind.keyType), _nullable(kind.valueType))
+    return kind
+
+
+def _footer_schema(spark, prefix):
     found = spark.read.option("mergeSchema", True).parquet(prefix).schema
-    fields = [T.StructField(f.name, T.StringType()) if f.name == route_col else f for f in found.fields]
+    return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in found.fields])
+
+
+def read_routed(spark, prefix, route=None, route_col="table"):
+    """One routed table, or all of them with the route column, which is text; schemas of all batches are merged.
+
+    Columns come from the schema log that is written beside the tables; only where there is none are the files' footers read.
+    """
+    logged = _logged_schemas(spark, prefix)
+    found = _merged(logged) if logged else _footer_schema(spark, prefix)
+    parts = [route_col, "batch_id"]
+    fields = [f for f in found.fields if f.name not in parts]
+    fields += [T.StructField(f.name, T.StringType() if f.name == route_col else f.dataType) for n in parts for f in found.fields if f.name == n]
     stored = spark.read.schema(T.StructType(fields)).parquet(prefix)
     return stored if route is None else stored.filter(F.col(route_col) == route).drop(route_col)
 
@@ -183,6 +252,7 @@ def compact_routed(spark, prefix, target, before, route_col="table"):
     """Write the rows of all batches before `before` to routed tables below `target`, without batch folders and in files of a useful
     size. The batches are closed and stay where they are; drop them when readers use the new folder."""
     closed = read_routed(spark, prefix, route_col=route_col).filter(F.col("batch_id") < before).drop("batch_id")
+    _log_schema(spark, target, closed.schema)
     closed.hint("rebalance", route_col).write.mode("overwrite").partitionBy(route_col).parquet(target)
 
 

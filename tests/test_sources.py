@@ -157,6 +157,25 @@ def test_routes_and_merged_schemas(spark, frame):
     assert os.listdir(f"{whole}/table=default")
 
 
+def test_schema_log(spark, frame, monkeypatch):
+    """Columns come from the log, which grows by changes of schema; old tables get one, and a change of type is refused."""
+    prefix = fresh_folder(spark, "routes")
+    for batch, (row, kinds) in enumerate([(("x", 1), "n int"), (("x", 2), "n int"), (("y", 3, [1]), "n int, more array<int>"), (("x", 4), "n int")]):
+        tables.append_routed(frame([row], f"table string, {kinds}"), prefix, batch_id=batch)
+    assert spark.read.text(f"{prefix}.schemas").count() == 2
+    with pytest.raises(ValueError):
+        tables.append_routed(frame([("x", "5")], "table string, n string"), prefix, batch_id=9)
+    monkeypatch.setattr(tables, "_footer_schema", None)
+    stored = tables.read_routed(spark, prefix)
+    assert sorted((r["table"], r.n, r.more, r.batch_id) for r in stored.collect()) == [("x", 1, None, 0), ("x", 2, None, 1), ("x", 4, None, 3), ("y", 3, [1], 2)]
+    monkeypatch.undo()
+    old = fresh_folder(spark, "routes")
+    frame([("x", 1, True)], "table string, n int, flag boolean").write.partitionBy("table").parquet(old)
+    assert tables.read_routed(spark, old, "x").first().flag
+    tables.append_routed(frame([("z", 2)], "table string, n int"), old)
+    assert sorted((r.n, r.flag, r["table"]) for r in tables.read_routed(spark, old).collect()) == [(1, True, "x"), (2, None, "z")]
+
+
 def test_models(spark, frame):
     path = fresh_folder(spark, "models")
     schema = "start_year int, end_year int, params map<string,double>, model_blob binary"

@@ -63,6 +63,26 @@ def test_acf_and_period(frame):
     assert periods["wave"] == 1 + int(np.argmax(np.abs(strengths[1:])))
 
 
+def test_acf_of_long_series_in_blocks(frame):
+    """Blocks of any size give what one piece gives: a hot key, short and flat ones, a NULL key, missing values, lags over several blocks."""
+    rng = random.Random(8)
+    rows = [("hot", i * 3, math.sin(i / 9) + rng.gauss(0, 1)) for i in range(3000)]
+    rows += [(None, i, rng.random()) for i in range(40)] + [("short", i, v) for i, v in enumerate([1.0, 3.0, 2.0])] + [("flat", i, 2.0) for i in range(5)]
+    rows += [("single", 7, 4.0), ("hot", -1, None), ("hot", 99_999, float("nan")), ("none", 1, None)]
+    rng.shuffle(rows)
+    df = frame(rows, "k string, i int, v double")
+    for function, lags in ((stats.acf, 70), (stats.pacf, 12)):
+        want = {(r[0], r[1]): r[2] for r in function(df, ["k"], "i", "v", lags).collect()}
+        for block in (1, 64, 5000):
+            got = {(r[0], r[1]): r[2] for r in function(df, ["k"], "i", "v", lags, block).collect()}
+            assert got.keys() == want.keys()
+            assert all(v is None if want[k] is None else v == pytest.approx(want[k], abs=1e-9) for k, v in got.items())
+    keyless = df.where("k = 'hot'")
+    cut, whole = (stats.detect_periodicity(keyless, [], "i", "v", 70, block).first() for block in (256, None))
+    assert cut[:2] == whole[:2] and cut[2] == pytest.approx(whole[2], abs=1e-9)
+    assert stats.acf(df.where("false"), ["k"], "i", "v", 5, 8).count() == 0
+
+
 def test_pacf_against_normal_equations(frame):
     rng = random.Random(2)
     x = [rng.gauss(0, 1) for _ in range(60)]
