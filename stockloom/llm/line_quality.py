@@ -1,11 +1,14 @@
 """Quality rules and line labelling by a linear-chain conditional random field.
 
 A text's lines with a word form a chain; each is labelled content (0) or boilerplate (1) by Viterbi decoding. The field's weights are
-fitted on a bounded sample of documents labelled good or bad, whose lines take the document's label. A text is kept if it passes the
-base rules and enough of its words stand on content lines.
+fitted on a bounded sample of documents labelled good or bad. Lines of bad ones are boilerplate. So are those lines of good ones that
+recur in other texts of the corpus between different neighbours, as menus and footers do; the other ones, passages that are
+copied along with their surroundings included, are content. A text is kept if it passes the base rules and enough of its words stand on
+content lines.
 
 Null and empty texts have no words and fail the base rules. Without labels of both kinds no field is fitted and the base rules decide
-alone. Repeated rows are judged one by one; the text's length is not limited.
+alone. Repeated rows are judged one by one, and of one id one text is fitted on, the least; an id with both labels is not. The text's
+length is not limited.
 An empty table gives no rows. Other columns stay as they are, whatever their names.
 """
 
@@ -19,6 +22,8 @@ from stockloom.llm.wording import as_bytes, packed, spaced_words
 
 #: Labelled documents of each kind, and lines of one document, that the field is fitted on at most.
 SAMPLE_DOCS, SAMPLE_LINES = 500, 200
+#: Different pairs of neighbours from which on a line that several texts have is boilerplate.
+LEAST_AROUND = 3
 #: Base rules: fewest words, and the largest share of words in repeated windows of five, in hundredths.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 CONTENT_SHARE = 0.5
@@ -144,8 +149,8 @@ def _chains(sample):
     longest = max(len(rows) for rows, _ in sample)
     x = np.zeros((len(sample), longest, len(FEATURES)))
     y, mask = np.zeros((len(sample), longest), int), np.zeros((len(sample), longest), bool)
-    for k, (rows, label) in enumerate(sample):
-        x[k, : len(rows)], y[k, : len(rows)], mask[k, : len(rows)] = rows, label, True
+    for k, (rows, labels) in enumerate(sample):
+        x[k, : len(rows)], y[k, : len(rows)], mask[k, : len(rows)] = rows, labels, True
     return x, y, mask
 
 
@@ -172,9 +177,9 @@ def _marginals(scores, trans, mask):
 
 def fit(sample, rounds=150, rate=0.1, penalty=1e-3):
     """Weights and transitions with the greatest penalised likelihood of the labelled chains, by Adam steps over all of them.
-    sample: (feature rows, label) per document; None unless both labels occur."""
-    sample = [(rows, label) for rows, label in sample if len(rows)]
-    if len({label for _, label in sample}) < 2:
+    sample: (feature rows, labels of the lines) per document; None unless both labels occur."""
+    sample = [(rows, labels) for rows, labels in sample if len(rows)]
+    if len({int(label) for _, labels in sample for label in labels}) < 2:
         return None
     x, y, mask = _chains(sample)
     lines = mask.sum()
@@ -230,15 +235,42 @@ def _features():
     return F.arrow_udf(of, "array<double>")
 
 
-def fitted(docs, labels, doc_id="doc_id", text="text", label="quality", sample=SAMPLE_DOCS):
-    """The field, from at most `sample` labelled documents of each kind (least hashes of the id), texts of up to SAMPLE_LINES lines."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
+def _lines(text):
+    """Hashes of the lines with a word, in order."""
+    return F.transform(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")), lambda line: F.xxhash64(line))
+
+
+def recurring(docs, lines, text="text", least=LEAST_AROUND):
+    """Those of the line hashes whose lines stand in two or more different texts, and between `least` or more different pairs of
+    neighbours (lines with a word). All texts are read; `lines` is a list that fits a broadcast."""
+    wanted = docs.sparkSession.createDataFrame([(line,) for line in lines], "line long")
+    held = docs.select(F.xxhash64(text).alias("text_hash"), _lines(text).alias("lines"))
+    around = lambda line, k: F.struct(line.alias("line"), F.xxhash64(F.get("lines", k - 1), F.get("lines", k + 1)).alias("around"))
+    stands = held.select("text_hash", F.inline(F.transform("lines", around))).join(F.broadcast(wanted), "line")
+    counted = stands.groupBy("line").agg(F.count_distinct("around").alias("around"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+    return {r["line"] for r in counted.where((F.col("around") >= least) & (F.col("low") < F.col("high"))).select("line").collect()}
+
+
+def line_labels(docs, labels, doc_id="doc_id", text="text", label="quality", sample=SAMPLE_DOCS):
+    """(feature rows, labels of the lines) of at most `sample` labelled documents of each kind (least hashes of the id), texts of up to
+    SAMPLE_LINES lines."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id"))
+    known = known.agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other")).where("label = other").drop("other")
     by_hash = [F.xxhash64("id"), "id"]
     chosen = known.where("label = 0").orderBy(*by_hash).limit(sample).union(known.where("label = 1").orderBy(*by_hash).limit(sample))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    rows = rows.select("id", "label", _features()("text").alias("rows")).collect()
-    rows.sort(key=lambda r: (str(r["id"]), r["label"], r["rows"]))
-    return fit([(np.array(r["rows"]).reshape(-1, len(FEATURES)), 1 - r["label"]) for r in rows])
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
+    short = F.when(F.size(_lines("text")) <= SAMPLE_LINES, _lines("text"))
+    rows = rows.select("id", "label", _features()("text").alias("rows"), F.coalesce(short, F.array().cast("array<long>")).alias("lines")).collect()
+    rows.sort(key=lambda r: (str(r["id"]), r["label"]))
+    common = recurring(docs, sorted({line for r in rows if r["label"] for line in r["lines"]}), text)
+    features = [np.array(r["rows"]).reshape(-1, len(FEATURES)) for r in rows]
+    return [(x, np.array([1 - r["label"] or int(line in common) for line in r["lines"]], int)) for x, r in zip(features, rows)]
+
+
+def fitted(docs, labels, doc_id="doc_id", text="text", label="quality", sample=SAMPLE_DOCS):
+    """The field, from the lines that line_labels() gives."""
+    return fit(line_labels(docs, labels, doc_id, text, label, sample))
 
 
 def verdicts(found, share=CONTENT_SHARE):

@@ -4,7 +4,7 @@ from stockloom.llm import backoff, decontaminate, filter_audit, line_quality, li
 
 #: Fixed values of the query's contract: verdict, and host with the start of the path.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Host words that label addresses as unwanted; the others are labelled wanted.
+#: Host words that label addresses as unwanted; the others are labelled wanted. The model does not see these words.
 UNWANTED = ["ads", "adult", "bets", "casino", "pills", "spam"]
 
 QUERIES = {}
@@ -70,7 +70,7 @@ def op8_repeated_units(spark, sf_dir):
 def op9_host_words_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     counts = url_filter.word_counts(pages, "html", markup=True)
-    return url_filter.judged(pages, URL_RULES, lambda host, path: url_filter.names_any(host, UNWANTED), counts)
+    return url_filter.judged(pages, URL_RULES, lambda host, path: url_filter.names_any(host, UNWANTED), counts, hidden=UNWANTED)
 
 
 @query(oracles.decontamination())

@@ -2,7 +2,8 @@
 
 Runs of letters in host and path are split into words by unigram Viterbi: the split of least cost, where a known word costs the
 logarithm of the corpus size over its count, and an unknown stretch ten to the power of its length as much. Ties go to the known word,
-then to the longer one. Multinomial naive Bayes with add-one smoothing, fitted on all labelled addresses, scores the words.
+then to the longer one. Words of the corpus are known up to `longest` letters. Multinomial naive Bayes with add-one smoothing, fitted on all
+labelled addresses, scores the words. It never sees the words that the labels were made from, so it learns from the words beside them.
 
 Null addresses and those without :// have empty host and path. Addresses without words, and all if labels of one kind are missing, are
 allowed. Equal addresses are scored once. Letters are a-z and all that is not ASCII.
@@ -135,9 +136,9 @@ def bayes_scores(words):
     return weighed.groupBy("host", "path").agg((F.lit(prior) + F.sum(F.col("n") * F.coalesce("weight", F.lit(unseen)))).alias("score"))
 
 
-def judged(pages, rules, label, counts, page_id="page_id", url="url", longest=LONGEST_WORD):
+def judged(pages, rules, label, counts, hidden=(), page_id="page_id", url="url", longest=LONGEST_WORD):
     """page_id, host, path, rule, verdict, score. label: function of the columns host and path, true for block, false for allow, or null;
-    it marks the addresses that naive Bayes is fitted on. counts: word, n."""
+    it marks the addresses that naive Bayes is fitted on. counts: word, n. hidden: words that the label is made from, which are left out."""
     shared_folder(pages.sparkSession)
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -145,7 +146,8 @@ def judged(pages, rules, label, counts, page_id="page_id", url="url", longest=LO
     runs = F.regexp_extract_all(F.translate(F.concat_ws(" ", "host", "path"), UPPER, LOWER), F.lit(LETTERS), 1)
     pieces = known.select("host", "path", label(F.col("host"), F.col("path")).alias("label"), F.explode(runs).alias("piece"))
     counts = counts.checkpoint()  # read twice: for its sum, and by the join
-    words = pieces.join(segmented(pieces, counts, longest), "piece").select("host", "path", "label", F.explode("words").alias("word")).checkpoint()
+    words = pieces.join(segmented(pieces, counts, longest), "piece").select("host", "path", "label", F.explode("words").alias("word"))
+    words = words.where(~F.col("word").isin(*hidden)).checkpoint()
     found = rows.join(bayes_scores(words), ["host", "path"], "left").withColumn("match", matching_rule(rules, F.col("host"), F.col("path")))
     by_words = F.when(F.col("score") > 0, F.lit("block")).otherwise("allow")
     verdict = F.coalesce("match.verdict", by_words)
