@@ -119,45 +119,11 @@ def test_without_labels_the_base_rules_decide(frame):
     assert line_quality.report(frame([], SCHEMA), none).count() == 0
 
 
-FOOTERS = ["home | about | contact | terms", "share: mail | print | feed", "(c) all rights | privacy | cookies"]
-
-
-def with_footers(n, seed):
-    """Good and bad documents; good ones end in two of the footers, in any order, and every tenth is copied."""
-    rows, labels = corpus(n, seed)
-    rng, good = random.Random(seed), dict(labels)
-    rows = [(k, "\n".join([text, *rng.sample(FOOTERS, 2)]) if good[k] else text) for k, text in rows]
-    return rows + [(k + 10 * n, text) for k, text in rows if k % 10 == 0], labels
-
-
-def test_footers_of_good_documents_are_boilerplate(frame):
-    """Labels are per line: footers that recur between different neighbours are boilerplate, copied passages are not, and the texts stay."""
-    rows, labels = with_footers(300, 5)
-    docs, known = frame(WIDE(rows), SCHEMA), frame(labels, "doc_id long, quality int")
-    sample = line_quality.line_labels(docs, known)
-    good = sorted(tuple(y) for _, y in sample if 0 in y)
-    assert len(good) == sum(q for _, q in labels) and all(y[-2:] == (1, 1) and not any(y[:-2]) for y in good)
-    model = line_quality.fit(sample)
-    footer = line_quality.measures(f"{GOOD}\n{GOOD[:40]}\n{FOOTERS[0]}\n{FOOTERS[2]}".encode())
-    labelled = line_quality.viterbi((footer[1] @ model[0]).tolist(), model[1])
-    assert labelled == [0, 0, 1, 1]
-    found = [r for r in line_quality.report(docs, known).collect() if not r["base_failed"] and dict(labels).get(r["doc_id"])]
-    assert sum(0 < r["content_words"] < r["n_words"] for r in found) >= 0.95 * len(found)
-    long = [r for r in found if r["n_words"] >= 40]
-    assert len(long) > 50 and all(r["kept"] for r in long)
-
-
-def test_recurring_lines_against_plain_loops(spark, frame):
-    texts = ["a b\nfoot\nx y", "c\n \nfoot\nd", "foot", "a b\nsame\nx", "a b\nsame\nx", "one\ntwo\none\nthree\none", None, "", "e\nsame\nx"]
-    want = set()
-    split = [[line for line in (t or "").split("\n") if WORD.search(line)] for t in texts]
-    for line in {line for t in split for line in t}:
-        around = {(t[k - 1] if k else None, t[k + 1] if k + 1 < len(t) else None) for t in split for k, x in enumerate(t) if x == line}
-        if len(around) >= 3 and len({tuple(t) for t in split if line in t}) > 1:
-            want.add(line)
-    assert want == {"foot"}
-    docs = frame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    hashed = spark.createDataFrame([(x,) for t in split for x in t], "x string").selectExpr("xxhash64(x)", "x").distinct().collect()
-    found = line_quality.recurring(docs, [r[0] for r in hashed])
-    assert {r[1] for r in hashed if r[0] in found} == want
-    assert line_quality.recurring(docs, []) == set()
+def test_repeated_ids_bound_the_sample(frame, monkeypatch):
+    """One text per id is fitted on, however often the id stands in either table, and none of an id with both labels."""
+    seen = []
+    monkeypatch.setattr(line_quality, "fit", lambda sample: seen.append(sample))
+    docs = frame([(1, GOOD)] * 50 + [(1, "a least text here")] + [(2, "home | about")] * 50 + [(3, GOOD)], "doc_id long, text string")
+    line_quality.fitted(docs, frame([(1, 1)] * 600 + [(2, 0), (3, 0), (3, 1), (4, 1)], "doc_id long, quality int"))
+    assert [(len(rows), label) for rows, label in seen[0]] == [(1, 0), (1, 1)]
+    assert np.expm1(5 * seen[0][0][0][0][1]) == pytest.approx(len(min(GOOD, "a least text here").split()))
