@@ -84,6 +84,36 @@ def table_from_json(spark, d):
     return made.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
+@query(
+    """SELECT o_orderkey, o_custkey, o_totalprice, 'a "quoted\\", [text] {of ' || o_orderpriority AS note,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderkey::varchar END AS mixed, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate::date::varchar END AS rare FROM orders"""
+)
+def table_from_large_json(spark, d):
+    """Documents of many orders each, cut by several tasks: signs within texts, fields that differ in type or are there for few rows."""
+    root = fresh_folder(spark, "json")
+    key = F.col("o_orderkey")
+    fields = [
+        "o_orderkey", "o_custkey", "o_totalprice",
+        F.concat(F.lit('a "quoted\\", [text] {of '), "o_orderpriority").alias("note"),
+        F.when(key % 3 != 0, key).alias("mixed"),
+        F.when(key % 7 == 0, F.col("o_orderdate").cast("date").cast("string")).alias("rare"),
+    ]
+    orders = table(spark, d, "orders").withColumn("document", F.floor(key / 20_000))
+    whole = F.to_json(F.struct(*fields))
+    # A third of the rows have text where the others have a number.
+    text = F.when(key % 3 == 0, F.concat(F.expr("rtrim('}', value)"), F.lit(',"mixed":"'), F.col("o_orderstatus"), F.lit('"}'))).otherwise(F.col("value"))
+    rows = orders.withColumn("value", whole).select("document", key.alias("place"), text.alias("value"))
+    first = rows.groupBy("document").agg(F.min("place").alias("least"))
+    rows = rows.join(first, "document").select("document", "place", F.concat(F.when(F.col("place") > F.col("least"), ",\n").otherwise(""), "value").alias("value"))
+    top = first.select("document", F.lit(-1).alias("place"), F.lit('{"made": "orders: [", "parts": {"orders": [1]}, "orders": [').alias("value"))
+    end = first.select("document", F.lit(None).cast("long").alias("place"), F.lit('], "n": [2, 3]}').alias("value"))
+    pieces = rows.unionByName(top).unionByName(end).repartition("document").sortWithinPartitions("document", F.asc_nulls_last("place"))
+    pieces.select("document", "value").write.partitionBy("document").text(f"{root}/in")
+    name = "from_large_json_" + root.rsplit("-", 1)[1]
+    made = tables.table_from_json(spark, f"{root}/in", "orders", name, f"{root}/table", block=256 << 10)
+    return made.select("o_orderkey", "o_custkey", "o_totalprice", "note", "mixed", "rare")
+
+
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer")
 def lake_table(spark, d):
     root = fresh_folder(spark, "lake")

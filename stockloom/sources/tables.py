@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockloom.sources.files import path_exists, read_json_rows, read_sales_csv, write_json
+from stockloom.sources.json_lists import read_json_list
 
 
 def with_audit_columns(df, id_col="id", start=0):
@@ -75,9 +76,11 @@ def export_schema_json(spark, schema, prefix, limit=None):
     return folders
 
 
-def table_from_json(spark, path, key, table, table_path=None, multi_line=True):
-    """Replace a table by the rows under a key of a JSON file, with audit columns."""
-    writer = with_audit_columns(read_json_rows(spark, path, key, multi_line)).write.mode("overwrite")
+def table_from_json(spark, path, key, table, table_path=None, multi_line=True, block=None):
+    """Replace a table by the rows under a key of a JSON file, with audit columns. With `block`, documents are read by many tasks in
+    blocks of so many bytes; without, a document is the work of one task."""
+    rows = read_json_rows(spark, path, key, multi_line) if block is None else read_json_list(spark, path, key, block)
+    writer = with_audit_columns(rows).write.mode("overwrite")
     if table_path is not None:
         writer = writer.option("path", table_path)
     writer.saveAsTable(table)
