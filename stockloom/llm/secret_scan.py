@@ -1,12 +1,16 @@
 """Secret scan: candidates by pattern, false positives taken out by a random forest.
 
-A candidate is a run of 16 or more letters, digits and + / = _ - with a digit in it. The forest sees its length, how its characters
-follow each other (changes of kind, likelihood of letter pairs in the corpus's words), how much of it are words of the corpus, the
-path of its document and the words around it. It is fitted on a bounded sample of labelled findings and judges all of them.
+Candidates are (1) values of six signs or more, of any signs but spaces and quotes, that are given to a secret's name by = or :, (2) passwords in
+addresses (//user:password@host), and (3) runs of 16 or more letters, digits and + / = _ - with a digit in it or a change from small to large
+letters. What one pattern takes, the later ones do not see; signs that end a sentence or a bracket are not part of a value.
+The forest sees a candidate's length, how its characters follow each other (changes of kind, likelihood of letter pairs in the corpus's words),
+how much of it are words of the corpus, the path of its document and the words around it. It is fitted on a bounded sample of labelled findings
+and judges all of them.
 
 Null and empty texts have no candidates. Without labelled findings of both kinds nothing is taken out: every candidate is a secret.
 A null path is a path without signs. Repeated rows give repeated findings. Built from DataFrame operations only.
-Long texts are read whole, an empty table gives no findings, and other columns play no part, whatever their names.
+Long texts are read whole, an empty table gives no findings, and other columns play no part, whatever their names. Findings of equal hash
+are ties in the choice of the sample only, where the features decide.
 """
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -18,15 +22,22 @@ from pyspark.sql import functions as F
 from stockloom.llm.wording import text_hash
 from stockloom.session import shared_folder
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])[A-Za-z0-9+/=_-]{16,}"
+NAMES = "key|token|secret|passw|pwd|credential|auth|bearer"
+#: The name and sign before a value, the value; what stands before a password in an address, the password; runs by themselves.
+GIVEN = rf"(?<![A-Za-z0-9+/=_-])[\w-]{{0,40}}?(?i:{NAMES})[\w-]{{0,20}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
+VALUE = r"[^\s\"']{5,}[^\s\"',;:.!?)\]}>]"
+LOGIN, PASSWORD = r"://[^\s:/@]{1,64}:", r"[^\s/@]{6,}(?=@)"
+RUN = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9]|[A-Za-z0-9+/=_-]*?[a-z][A-Z])[A-Za-z0-9+/=_-]{16,}"
+CANDIDATE = f"{GIVEN}{VALUE}|{LOGIN}{PASSWORD}|{RUN}"
+#: Group 1 or 2 is what a match has before the candidate.
+HEAD = rf"^(?:({GIVEN}){VALUE}|({LOGIN})[^\s/@]{{6,}})$"
 BEFORE, AFTER = 60, 30
 #: Labelled findings of each kind that the forest is fitted on at most; times a word must occur to count as one of the dictionary.
 SAMPLE, LEAST_COUNT = 20_000, 5
 TREES, TREE_DEPTH, SEED = 40, 6, 7
-NAMES = "key|token|secret|passw|credential|auth|bearer"
 RUNS = "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"
 OF_TEXT = ["length", "changes", "digits", "upper", "hex", "distinct", "likelihood", "coverage"]
-OF_PLACE = ["named", "assigned", "quoted", "in_address", "sample_path", "config_path"]
+OF_PLACE = ["names_near", "words_near", "assigned", "quoted", "in_address", "login", "sample_path", "config_path"]
 
 
 def candidates(docs, doc_id="doc_id", text="text", path="source"):
@@ -43,15 +54,17 @@ def candidates(docs, doc_id="doc_id", text="text", path="source"):
     gaps = F.transform(F.split("text", CANDIDATE, -1), gap)
     rows = rows.withColumn("gaps", gaps).withColumn("around", F.arrays_zip("found", F.slice("gaps", 1, F.size("found")), F.slice("gaps", 2, F.size("found"))))
     rows = rows.select("doc_id", "text_hash", "path", "row", F.posexplode("around").alias("k", "one"))
-    rows = rows.select(
+    found, gap = F.col("one")["found"], F.col("one")["1"]
+    head = F.concat(F.regexp_extract(found, HEAD, 1), F.regexp_extract(found, HEAD, 2))
+    rows = rows.withColumn("head", head).select(
         "doc_id",
         "text_hash",
         "path",
         "row",
         "k",
-        F.col("one")["found"].alias("candidate"),
-        F.col("one")["1"]["length"].alias("gap"),
-        F.col("one")["1"]["end"].alias("before"),
+        F.substr(found, F.length("head") + 1).alias("candidate"),
+        (gap["length"] + F.length("head")).alias("gap"),
+        F.right(F.concat(gap["end"], "head"), F.lit(BEFORE)).alias("before"),
         F.col("one")["2"]["begin"].alias("after"),
     )
     so_far = Window.partitionBy("row").orderBy("k")
@@ -102,17 +115,23 @@ def text_features(found, words):
 
 
 def with_features(found, words):
-    """found with the forest's features. The join back is by candidate: one row per different one on the other side."""
+    """found with the forest's features. They are written, one row per different candidate, so that both sides of the join are plain
+    and the rows of a candidate that stands in very many documents can be split."""
     before, after, path = F.col("before"), F.col("after"), F.lower(F.coalesce("path", F.lit("")))
+    around = F.lower(F.concat_ws(" ", before, after))
+    login = before.rlike(f"{LOGIN}$") & after.rlike("^@")
     signs = {
-        "named": F.lower(before).rlike(f"({NAMES})[^a-z]{{0,12}}$"),
-        "assigned": before.rlike("[=:]\\s*[\"']?$"),
+        "names_near": F.regexp_count(around, F.lit(NAMES)),
+        "words_near": F.regexp_count(around, F.lit(r"\p{L}{3,}")),
+        "assigned": before.rlike(r"[=:]\s*[\"']?$"),
         "quoted": before.rlike("[\"']$") & after.rlike("^[\"']"),
-        "in_address": before.rlike("(://\\S*|[@.])$") | after.rlike("^[@.]\\w"),
+        "in_address": (before.rlike(r"(://\S*|[@.])$") | after.rlike(r"^[@.]\w")) & ~login,
+        "login": login,
         "sample_path": path.rlike("test|example|sample|mock|fixture"),
-        "config_path": path.rlike("\\.(env|ya?ml|json|ini|conf|cfg|pem|properties|tfvars)$"),
+        "config_path": path.rlike(r"\.(env|ya?ml|json|ini|conf|cfg|pem|properties|tfvars)$"),
     }
-    return found.join(text_features(found, words), "candidate").withColumns({n: s.cast("double") for n, s in signs.items()})
+    features = text_features(found, words).checkpoint()
+    return found.join(features, "candidate").withColumns({n: s.cast("double") for n, s in signs.items()})
 
 
 def fitted(findings, sample=SAMPLE):
@@ -153,9 +172,13 @@ def scan(docs, label, sample=SAMPLE, doc_id="doc_id", text="text", path="source"
 
 
 def known_findings(candidate, before, after, path):
-    """Labels by what can be decided without a guess: issuers' formats and long hex values given to a secret's name are secrets;
-    plain numbers and parts of addresses are none."""
+    """Labels by what can be decided without a guess. Secrets: issuers' formats, and long hex values or letters and digits in turns (no five
+    letters on end, not letters with a number behind) that are given to a secret's name. None: plain numbers, parts of addresses, and plain
+    words, or two with a number behind, given to such a name. Whatever else there is (more words, words with numbers elsewhere, values with
+    other signs, passwords in addresses, runs without a name) has no label."""
     issued = candidate.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$") | candidate.rlike("^gh[pousr]_[A-Za-z0-9]{36,}$") | candidate.rlike("^sk_(live|test)_[A-Za-z0-9]{16,}$")
-    given = candidate.rlike("^[0-9a-f]{32,}$") & F.lower(before).rlike(f"({NAMES})\\s*[=:]\\s*[\"']?$")
-    none = candidate.rlike("^[0-9/=_+-]+$") | before.rlike("(://\\S*|[@.])$") | after.rlike("^@")
-    return F.when(issued | given, 1).when(none, 0)
+    named = F.lower(before).rlike(rf"({NAMES})[\w-]{{0,20}}[\"']?\s*[=:]\s*[\"']?$")
+    mixed = candidate.rlike("^(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9]{8,}$") & ~candidate.rlike("[A-Za-z]{5}|^[A-Za-z]+[0-9]+$")
+    login = before.rlike(f"{LOGIN}$") & after.rlike("^@")
+    none = candidate.rlike("^[0-9/=_+-]+$") | ((before.rlike(r"(://\S*|[@.])$") | after.rlike("^@")) & ~login) | (named & candidate.rlike("^[A-Z]?[a-z]+$|^[a-z]{4,}[-_/.][a-z]{4,}[0-9]{0,4}$"))
+    return F.when(issued | (named & (candidate.rlike("^[0-9a-f]{32,}$") | mixed)), 1).when(none, 0)
