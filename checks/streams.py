@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import DETECTIONS, as_detections, query, table
 from stockloom.session import fresh_folder
 from stockloom.sources.tables import read_routed
+from stockloom.streaming import archives
 from stockloom.streaming import detections as streaming
 
 
@@ -72,3 +73,28 @@ def stream_flushed_by_count(spark, d):
     streaming.stop_when_idle(running)
     stored = read_routed(spark, f"{target}/tables").select(F.col("table"), "flush")
     return stored.groupBy("table").agg(F.countDistinct("flush").alias("flushes"), F.count(F.lit(1)).alias("messages"))
+
+
+@query(
+    f"""WITH m AS (SELECT class, timestamp, coalesce(source, 'unknown') AS source, e.user_id % 3 AS part, e.ts AS ts, arrival
+  FROM ({DETECTIONS}) JOIN events e ON e.event_id = arrival WHERE confidence >= 0.25)
+SELECT class, timestamp AS last_seen, count(*) OVER (PARTITION BY class) AS count, source FROM m
+QUALIFY row_number() OVER (PARTITION BY class ORDER BY ts DESC, part DESC, arrival DESC) = 1"""
+)
+def stream_topic_state(spark, d):
+    """Detections as JSON messages of a topic with three partitions: parsed, and put in order of arrival over the partitions. The first half
+    is read by a run of the query, the rest by a second one that goes on from its checkpoint."""
+    root = fresh_folder(spark, "topic")
+    events = table(spark, d, "events")
+    broker = events.select(F.col("event_id").alias("arrival"), "ts", (F.col("user_id") % 3).alias("partition"))
+    sent = as_detections(events).where(F.col("confidence") >= 0.25).join(broker, "arrival")
+    value = F.to_json(F.struct("timestamp", "class", "confidence", "source")).alias("value")
+    sent = sent.select(value, F.col("ts").alias("timestamp"), "partition", "arrival")
+    middle = sent.agg(F.floor(F.avg("arrival")).alias("middle")).scalar()
+    halves = sent.withColumn("early", F.col("arrival") <= middle)
+    for early, first in ((True, None), (False, archives.next_offsets)):
+        first = first and first(spark, f"{root}/topic")
+        archives.write_archive(halves.where(F.col("early") == early), f"{root}/topic", ["arrival"], first, segment=1000)
+        stream = streaming.read_detections(spark, {"format": "topic_archive", "path": f"{root}/topic", "startingOffsets": "earliest"})
+        streaming.store_changes(streaming.track_classes(stream), f"{root}/versions", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return streaming.read_versions(spark, f"{root}/versions")

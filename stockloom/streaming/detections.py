@@ -10,6 +10,7 @@ from stockloom.functions.records import with_detection_defaults
 from stockloom.operators.aggregate import detection_summary
 from stockloom.schemas import DETECTION_SCHEMA
 from stockloom.sources.tables import append_routed
+from stockloom.streaming.archives import TopicArchive
 
 KAFKA_DEFAULTS = {"startingOffsets": "latest", "minOffsetsPerTrigger": "100", "maxTriggerDelay": "10s"}
 
@@ -19,13 +20,15 @@ def read_detections(spark, source, schema=DETECTION_SCHEMA):
 
     Kafka delivers JSON values, which are parsed. `arrival` is then (broker time, partition, offset): offsets alone order only
     the messages of one partition. Unless told otherwise reading starts at the latest offset, and a micro-batch waits for 100
-    messages or 10 seconds, whichever comes first. File formats deliver the columns of the schema; `path` names the folder.
+    messages or 10 seconds, whichever comes first. `topic_archive` (see archives) delivers the same columns. File formats deliver the columns of the schema; `path` names the folder.
     """
     options = dict(source)
     fmt = options.pop("format")
     reader = spark.readStream.format(fmt)
-    if fmt == "kafka":
-        raw = reader.options(**{**KAFKA_DEFAULTS, **options}).load()
+    if fmt == TopicArchive.name():
+        spark.dataSource.register(TopicArchive)
+    if fmt in ("kafka", TopicArchive.name()):
+        raw = reader.options(**({**KAFKA_DEFAULTS, **options} if fmt == "kafka" else options)).load()
         parsed = F.from_json(F.col("value").cast("string"), schema).alias("_d")
         arrival = F.struct("timestamp", "partition", "offset").alias("arrival")
         return raw.select(parsed, arrival).select("_d.*", "arrival")
