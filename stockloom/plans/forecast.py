@@ -31,6 +31,10 @@ MART_METRICS = (
 AR_BOUND, MA_BOUND = 1.0, 0.98
 #: Steps of a fit at most.
 ITERATIONS = 200
+#: Series that are fitted together.
+AT_ONCE = 512
+#: Columns up to which a filter takes all weeks at once.
+FEW = 160
 TRENDS = {"n": (), "c": (0,), "t": (1,), "ct": (0, 1)}
 
 
@@ -155,6 +159,155 @@ class _SeasonalFit:
         return np.array(y[-horizon:])
 
 
+class _SeasonalFits:
+    """_SeasonalFit without trend for many series at once: the same steps, with one array operation per week for all of them.
+
+    Arrays are (week, series); shorter series have zeros in front, where innovations are zero too. `model` names order and lag."""
+
+    def __init__(self, model, ys):
+        self.model, self.n = model, len(ys)
+        self.terms = np.flatnonzero(model.diff)
+        ws = [np.convolve(y, model.diff, "valid") for y in ys]
+        self.w = np.zeros((max(map(len, ws)), self.n))
+        self.y = np.zeros((len(model.diff), self.n))
+        for i, (y, w) in enumerate(zip(ys, ws)):
+            self.w[len(self.w) - len(w) :, i] = w
+            self.y[:, i] = y[-len(model.diff) :]
+        self.empty = np.array([len(self.w) - len(w) for w in ws])
+        self.floor = np.array([1e-20 * max(1.0, float(y @ y)) for y in ys])
+
+    def _product(self, first, second):
+        """(lag, coefficients) of (1 + a1 B + ...)(1 + c1 B^s + ...), rows of `first` and `second` being a and c."""
+        found = {}
+        for j, c in enumerate([1.0, *second]):
+            for i, a in enumerate([1.0, *first]):
+                at = i + j * self.model.lag
+                found[at] = found.get(at, 0.0) + a * c
+        return found
+
+    def _residuals(self, x, w, empty):
+        """Innovations (week, ..., series) of the series in the columns of w, for coefficients x (coefficient, ..., series)."""
+        m = self.model
+        ar, sar, ma, sma = m._split(x)
+        rows, lag = len(w) - m.start, m.lag
+        w = w.reshape(len(w), *[1] * (x.ndim - 2), -1)
+        e = np.zeros((rows, *x.shape[1:]))
+        term = np.empty_like(e)
+        for at, c in self._product(-ar, -sar).items():
+            e += np.multiply(c, w[m.start - at : m.start - at + rows], out=term)
+        for row in range(min(rows, int(empty.max()))):
+            e[row, ..., empty > row] = 0.0
+        self._unfolded(e, ma, 1, term)
+        self._unfolded(e, sma, lag, term)
+        return e
+
+    @staticmethod
+    def _unfolded(e, coefs, step, spare):
+        """Solve (1 + c1 B^step + ...) x = e in place with zero start values: week by week, or, where few series leave little to do in a
+        week, one coefficient by its powers 1, 2, 4, ... over all weeks at once."""
+        rows = len(e)
+        if len(coefs) == 1 and e[0].size <= FEW:
+            power = -coefs[0]
+            while step < rows:
+                e[step:] += np.multiply(power, e[:-step], out=spare[step:])
+                power, step = power * power, 2 * step
+            return
+        for t in range(step, rows, step) if len(coefs) else ():
+            here = e[t : t + step]
+            for i in range(min(t // step, len(coefs))):
+                before = t - (i + 1) * step
+                here -= np.multiply(coefs[i], e[before : before + len(here)], out=spare[: len(here)])
+
+    def fit(self, iterations):
+        m, n = self.model, self.n
+        k = m.p + m.sp + m.q + m.sq
+        bound = np.repeat([AR_BOUND, MA_BOUND], [m.p + m.sp, m.q + m.sq])[:, None]
+        x = np.zeros((k, n))
+        e = self._residuals(x, self.w, self.empty)
+        loss, damping = (e * e).sum(0), np.full(n, 1e-2)
+        self.start_loss = loss.copy()
+        self.converged = (loss <= self.floor) | (k == 0)
+        for _ in range(iterations):
+            on = np.flatnonzero(~self.converged)
+            if not len(on):
+                break
+            h = np.where(x[:, on] > 0, -1e-5, 1e-5)
+            moved = np.repeat(x[:, None, on], k, 1)
+            moved[np.arange(k), np.arange(k)] += h
+            w, empty, e_on = self.w[:, on], self.empty[on], e[:, on]
+            jac = self._residuals(moved, w, empty)
+            jac -= e_on[:, None]
+            jac /= h
+            gram, slope = np.empty((len(on), k, k)), np.empty((len(on), k))
+            for i in range(k):
+                slope[:, i] = np.einsum("tb,tb->b", jac[:, i], e_on)
+                for j in range(i + 1):
+                    gram[:, i, j] = gram[:, j, i] = np.einsum("tb,tb->b", jac[:, i], jac[:, j])
+            diagonal = np.einsum("bii->bi", gram)
+            left = np.arange(len(on))  # places in `on` that no step has helped so far
+            while True:
+                left = left[damping[on[left]] < 1e8]
+                if not len(left):
+                    break
+                at = on[left]
+                ridge = damping[at][:, None] * (diagonal[left] + 1e-12)
+                move = np.linalg.solve(gram[left] + ridge[:, :, None] * np.eye(k), -slope[left][:, :, None])[:, :, 0].T
+                trial = np.clip(x[:, at] + move, -bound, bound)
+                e_new = self._residuals(trial, w if len(left) == len(on) else w[:, left], empty[left])
+                loss_new = (e_new * e_new).sum(0)
+                better = loss_new < loss[at]
+                took, now = at[better], loss_new[better]
+                gain = loss[took] - now
+                x[:, took], e[:, took], loss[took] = trial[:, better], e_new[:, better], now
+                self.converged[took] = (gain <= 1e-9 * now) | (now <= self.floor[took])
+                damping[took] = np.maximum(damping[took] / 4, 1e-8)
+                left = left[~better]
+                damping[on[left]] *= 4
+            self.converged[on[damping[on] >= 1e8]] = True
+        self.x, self.e, self.loss = x, e, loss
+        return self
+
+    def forecast(self, horizon):
+        """(horizon, series)."""
+        m = self.model
+        ar, sar, ma, sma = m._split(self.x)
+        past, moving = self._product(-ar, -sar), self._product(ma, sma)
+        w, e, y = ([*rows] for rows in (self.w, self.e, self.y))
+        for _ in range(horizon):
+            value = np.zeros(self.n)
+            for at, c in past.items():
+                value -= c * w[-at] if at else 0.0
+            for at, c in moving.items():
+                value += c * e[-at] if 0 < at <= len(e) else 0.0
+            w.append(value)
+            e.append(np.zeros(self.n))
+            y.append(value - sum(m.diff[at] * y[-at] for at in self.terms if at))
+        return np.array(y[-horizon:])
+
+
+def _fit_all(ys, lag, order, seasonal, trend, horizon, iterations):
+    """Per series: status, forecasts, rss and start_rss, the last three None when it is too short."""
+    seasonal = seasonal if lag > 1 else (0, 0, 0)
+    models = [_SeasonalFit(y, order, seasonal, lag, trend) if len(y) and not np.isnan(y).any() else None for y in ys]
+    usable = [i for i, m in enumerate(models) if m is not None and len(m.y) >= len(m.diff) and m.usable()]
+    out = [("too_short", None, None, None)] * len(ys)
+    if TRENDS[trend] or horizon < 1:
+        for i in usable:
+            m = models[i]
+            ahead = m.fit(iterations).forecast(horizon)
+            out[i] = "ok" if m.converged else "not_converged", ahead.tolist(), float(m.e @ m.e), m.start_loss
+        return out
+    # Series of like length stand together, so that little is filled up.
+    usable.sort(key=lambda i: len(ys[i]))
+    for start in range(0, len(usable), AT_ONCE):
+        some = usable[start : start + AT_ONCE]
+        fits = _SeasonalFits(models[some[0]], [ys[i] for i in some]).fit(iterations)
+        ahead = fits.forecast(horizon)
+        for j, i in enumerate(some):
+            out[i] = "ok" if fits.converged[j] else "not_converged", ahead[:, j].tolist(), float(fits.loss[j]), float(fits.start_loss[j])
+    return out
+
+
 def _fill_gaps(y):
     """Linear interpolation over missing weeks, and how many there were."""
     missing = np.isnan(y)
@@ -205,48 +358,37 @@ def seasonal_forecast(
         raise ValueError("order and seasonal are three numbers, none negative")
     keys = list(keys)
     kinds = [df.schema[k] for k in keys]
-    schema = T.StructType(
-        [
-            *kinds,
-            T.StructField("lag", T.IntegerType()),
-            T.StructField("date", T.DateType()),
-            T.StructField("forecast", T.DoubleType()),
-            T.StructField("interpolated", T.IntegerType()),
-            T.StructField("status", T.StringType()),
-            *([T.StructField(c, T.DoubleType()) for c in ("rss", "start_rss")] if with_fit else []),
-        ]
-    )
-
-    def fit_one(group_keys, pdf):
-        pdf = pdf.sort_values(date)
-        lag = int(group_keys[-1])
-        y, gaps = _fill_gaps(pdf[value].to_numpy(dtype=float))
-        model = _SeasonalFit(y, order, seasonal if lag > 1 else (0, 0, 0), lag, trend)
-        status, ahead = "too_short", [None] * horizon
-        if not np.isnan(y).any() and model.usable():
-            ahead = model.fit(iterations).forecast(horizon)
-            status = "ok" if model.converged else "not_converged"
-        usable = status != "too_short"
-        last = pd.Timestamp(pdf[date].iloc[-1])
-        out = pd.DataFrame(
-            {
-                "lag": lag,
-                "date": [(last + pd.Timedelta(weeks=i + 1)).date() for i in range(horizon)],
-                "forecast": ahead,
-                "interpolated": gaps,
-                "status": status,
-            }
-        )
-        if with_fit:
-            out["rss"] = float(model.e @ model.e) if usable else None
-            out["start_rss"] = model.start_loss if usable else None
-        for i, name in enumerate(keys):
-            out.insert(i, name, group_keys[i])
-        return out
-
+    fitted = "status string, ahead array<double>, interpolated int, rss double, start_rss double"
+    schema = T.StructType([*kinds, T.StructField("_lag", T.IntegerType()), T.StructField("_last", T.DateType()), *T.StructType.fromDDL(fitted).fields])
+
+    def fit_all(frames):
+        for frame in frames:
+            filled = [_fill_gaps(np.asarray(y, dtype=float)) for y in frame["_y"]]
+            out = frame.drop(columns="_y").assign(status="too_short", ahead=None, interpolated=[gaps for _, gaps in filled], rss=None, start_rss=None)
+            rows = np.empty((len(frame), 4), object)
+            for lag, at in frame.groupby("_lag").indices.items():
+                for i, found in zip(at, _fit_all([filled[i][0] for i in at], int(lag), order, seasonal, trend, horizon, iterations)):
+                    rows[i] = found
+            for i, name in enumerate(("status", "ahead", "rss", "start_rss")):
+                out[name] = rows[:, i]
+            yield out[schema.names]
+
+    # A series is one array of at most one value per calendar week, made before the fits of its lags are spread.
     each = F.explode(F.array(*[F.lit(k) for k in lags])).alias("_lag")
-    wide = df.select(*keys, date, F.col(value).cast("double").alias(value), each)
-    return _spread(wide, [*keys, "_lag"], parallelism).groupBy(*keys, "_lag").applyInPandas(fit_one, schema)
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), F.col(value).cast("double").alias("v"))))
+    series = df.groupBy(*keys).agg(pairs.alias("_p")).filter(F.size("_p") > 0)
+    arrays = series.select(*keys, F.to_date(F.element_at("_p", -1)["d"]).alias("_last"), F.transform("_p", lambda p: p["v"]).alias("_y"))
+    wide = _spread(arrays.select(*keys, each, "_last", "_y"), [*keys, "_lag"], parallelism)
+    found = wide.mapInPandas(fit_all, schema).withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return found.select(
+        *keys,
+        F.col("_lag").alias("lag"),
+        F.expr("date_add(_last, 7 * _step)").alias("date"),
+        F.try_element_at("ahead", F.col("_step")).alias("forecast"),
+        "interpolated",
+        "status",
+        *(["rss", "start_rss"] if with_fit else []),
+    )
 
 
 def fit_models(df, keys, date="week_start", value="sales", lag=12, order=(1, 1, 1), seasonal=(1, 1, 1), trend="n", parallelism=None, iterations=ITERATIONS):
