@@ -211,8 +211,11 @@ def json_list(spark, path, key, block=BLOCK):
         raise ValueError("compressed files cannot be read in blocks: see read_json_rows")
     start = F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(block))).alias("start")
     blocks = listed.select("path", "length", start).select("path", "start", F.least(F.col("start") + block, F.col("length")).alias("stop"))
-    # One block or so per task: the rows are tiny, so their number and not their size has to say how many tasks there are.
-    tasks = max(1, listed.select(F.sum(F.ceil(F.col("length") / block))).first()[0] or 0)
+    # The rows are tiny, so their number and not their size has to say how many tasks there are: one per block, or as many as the session
+    # has for a shuffle. A task goes through its blocks one after the other; small blocks of many files would else be more tasks than work.
+    number = listed.select(F.sum(F.ceil(F.col("length") / block))).first()[0] or 0
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, min(number, most))
     shared_folder(spark)
     states = with_states(blocks.repartition(tasks, "path", "start")).repartition(tasks, "path", "start").checkpoint()
     spans = lists_found(states, key).checkpoint()

@@ -103,3 +103,15 @@ def test_table_by_blocks(spark):
 def test_types_of_columns():
     kind = "OBJECT<a: BIGINT, `b OBJECT`: DECIMAL(3,1), OBJECT: VOID, c: ARRAY<OBJECT<d: VARIANT>>, e: DECIMAL(20,0)>"
     assert json_lists.column_type(kind) == "STRUCT<a: BIGINT, `b OBJECT`: DOUBLE, OBJECT: STRING, c: ARRAY<STRUCT<d: STRING>>, e: DECIMAL(20,0)>"
+
+
+def test_tasks_do_not_grow_with_the_blocks(spark, frame):
+    folder = fresh_folder(spark, "blocks")
+    os.makedirs(folder)
+    for n in range(6):
+        with open(f"{folder}/{n}.json", "w") as f:
+            json.dump({"rows": [{"a": 1000 * n + i} for i in range(400)]}, f)
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = json_lists.json_list(spark, folder, "rows", block=64)
+    assert rows.rdd.getNumPartitions() <= most
+    assert sorted(json.loads(r.value)["a"] for r in rows.collect()) == [1000 * n + i for n in range(6) for i in range(400)]
