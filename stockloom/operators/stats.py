@@ -11,6 +11,8 @@ from stockloom.operators.keys import join_by_keys
 # Fixed value: smallest denominator of the relative error, the double machine epsilon.
 MAPE_FLOOR = 2.220446049250313e-16
 STRIPS = 1024
+#: Relative accuracy of the sketch that brackets a quantile is one in so many; keys of up to so many rows need none.
+ACCURACY = 10_000
 #: Ranges that the order of long series is cut into at most.
 MOST_RANGES = 256
 
@@ -28,15 +30,16 @@ def mape(df, actual, predicted, keys=()):
     return df.groupBy(*keys).agg(F.when(whole, F.avg(term)).alias("mape"))
 
 
-def exact_quantile(df, value, q, keys=(), accuracy=10_000, out="quantile"):
+def exact_quantile(df, value, q, keys=(), accuracy=None, out="quantile", size=None):
     """Exact quantile with linear interpolation per key, without collecting or sorting a whole key. NULL is a key like any other.
 
     The rows are read twice. A mergeable sketch brackets the wanted ranks; then one aggregate counts the rows below the bracket and, per
     distinct value, those inside, about n * 16 / accuracy. Of these only a strip around each rank is ordered. The sketch's error is at
     most n / accuracy, an eighth of the bracket's margin; should a bracket miss its ranks all the same, the query fails. Keys of up to
-    `accuracy` rows need no bracket.
+    `accuracy` rows need no bracket, so there is at most one bracket to `accuracy` rows: brackets go to the rows by broadcast, and no
+    task gets all the rows of a key. `size` names a column for the number of values.
     """
-    keys = list(keys)
+    keys, accuracy = list(keys), accuracy or ACCURACY
     x = F.col("_x")
     rows = df.select(*keys, null_nan(F.col(value)).alias("_x")).filter(x.isNotNull())
     # Without keys all rows have one, which the optimizer cannot take for a constant: the value is never NaN.
@@ -45,38 +48,27 @@ def exact_quantile(df, value, q, keys=(), accuracy=10_000, out="quantile"):
 
     margin = 8.0 / accuracy
     ends = [max(0.0, q - margin), min(1.0, q + margin)]
-    place = (F.col("_n") - 1) * F.lit(float(q))
     sketch = rows.groupBy(*by).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", ends, accuracy).alias("_e"))
-    few = F.col("_n") <= accuracy
-    state = sketch.select(
-        *by,
-        F.struct(
-            place.alias("place"),
-            F.floor(place).alias("lo"),
-            F.ceil(place).alias("hi"),
-            F.when(few, float("-inf")).otherwise(F.col("_e")[0]).alias("b0"),
-            F.when(few, float("inf")).otherwise(F.col("_e")[1]).alias("b1"),
-            F.col("_e")[0].alias("s0"),
-            F.col("_e")[1].alias("s1"),
-        ).alias("_s"),
-    )
-    lo, hi = F.col("_s.lo"), F.col("_s.hi")
-    below, above = x < F.col("_s.b0"), x > F.col("_s.b1")
-    # Strips of equal width between the sketch's ends; the first and last also take what lies beyond them inside the bracket.
-    share_of_width = F.try_divide(x - F.col("_s.s0"), F.col("_s.s1") - F.col("_s.s0"))
+    brackets = sketch.filter(F.col("_n") > accuracy).select(*by, F.col("_e")[0].alias("_b0"), F.col("_e")[1].alias("_b1"))
+    below, above = x < F.col("_b0"), x > F.col("_b1")
+    # Strips of equal width between the bracket's ends; a key without a bracket is one strip.
+    share_of_width = F.try_divide(x - F.col("_b0"), F.col("_b1") - F.col("_b0"))
     inner = F.least(F.greatest(F.floor(F.coalesce(share_of_width, F.lit(0.0)) * STRIPS), F.lit(0)), F.lit(STRIPS - 1))
     strip = F.when(below, -1).when(above, STRIPS).otherwise(inner).cast("int")
-    tagged = join_by_keys(rows, state, by).withColumn("_strip", strip)
+    tagged = join_by_keys(rows, F.broadcast(brackets), by, "left").withColumn("_strip", strip)
     tagged = tagged.withColumn("_x", F.when(F.col("_strip").between(0, STRIPS - 1), x))
-    values = tagged.groupBy(*by, "_strip", "_x").agg(F.count(F.lit(1)).alias("_c"), F.first("_s").alias("_s"))
-
-    before = Window.partitionBy(*by).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
-    strips = values.groupBy(*by, "_strip").agg(F.sum("_c").alias("_rows"), F.first("_s").alias("_s"))
-    strips = strips.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    values = tagged.groupBy(*by, "_strip", "_x").agg(F.count(F.lit(1)).alias("_c"))
+
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    strips = values.groupBy(*by, "_strip").agg(F.sum("_c").alias("_rows"))
+    strips = strips.withColumns({"_start": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_n": F.sum("_rows").over(whole)})
+    strips = strips.withColumn("_place", (F.col("_n") - 1) * F.lit(float(q)))
+    lo, hi = F.floor("_place"), F.ceil("_place")
     wanted = strips.filter((F.col("_start") <= hi) & (lo < F.col("_start") + F.col("_rows")))
     missed = F.raise_error(F.lit("a quantile's bracket does not hold its ranks"))
     wanted = wanted.withColumn("_start", F.when(F.col("_strip").between(0, STRIPS - 1), F.col("_start")).otherwise(missed.cast("long")))
-    kept = join_by_keys(values.select(*by, "_strip", "_x", "_c"), wanted.drop("_rows"), [*by, "_strip"])
+    kept = join_by_keys(values, wanted.drop("_rows"), [*by, "_strip"])
 
     upto = Window.partitionBy(*by, "_strip").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = kept.withColumn("_end", F.sum("_c").over(upto) + F.col("_start"))
@@ -86,22 +78,37 @@ def exact_quantile(df, value, q, keys=(), accuracy=10_000, out="quantile"):
         return F.max(F.when((first <= rank) & (rank < F.col("_end")), x))
 
     low, high = at(lo), at(hi)
-    found = ranked.groupBy(*by).agg((low + (high - low) * F.max(F.col("_s.place") - lo)).alias(out))
+    counted = [F.max("_n").alias(size)] if size else []
+    found = ranked.groupBy(*by).agg((low + (high - low) * F.max(F.col("_place") - lo)).alias(out), *counted)
     return found if keys else found.drop("_all")
 
 
+def _errors(df, actual, predicted):
+    return df.withColumn("_err", F.abs(F.col(actual) - F.col(predicted)))
+
+
 def abs_error_quantile(df, actual, predicted, alpha=0.1, keys=()):
     """The 1 - alpha quantile of |actual - predicted|."""
-    errors = df.withColumn("_err", F.abs(F.col(actual) - F.col(predicted)))
-    return exact_quantile(errors, "_err", 1 - alpha, keys, out="q")
+    return exact_quantile(_errors(df, actual, predicted), "_err", 1 - alpha, keys, out="q")
 
 
 def conformal_intervals(cal, test, actual="actual", predicted="predicted", alpha=0.1, keys=()):
     """Test rows with lower and upper: prediction minus and plus the error quantile of the calibration rows.
 
-    Keys may be NULL; a key without calibration rows has NULL bounds."""
-    q = abs_error_quantile(cal, actual, predicted, alpha, keys)
-    with_q = join_by_keys(test, q, list(keys), "left") if keys else test.withColumn("q", q.scalar())
+    Keys may be NULL; a key without calibration rows has NULL bounds. Keys of more than ACCURACY calibration rows, of which there are
+    few, reach the test rows by broadcast; the others by a join, for which rows that have their quantile by then are dealt out evenly."""
+    keys = list(keys)
+    if keys:
+        q = exact_quantile(_errors(cal, actual, predicted), "_err", 1 - alpha, keys, out="_q", size="_size")
+        large = F.col("_size") > ACCURACY
+        with_q = join_by_keys(test, F.broadcast(q.filter(large).drop("_size")), keys, "left")
+        plain = [c for c, kind in test.dtypes if "map<" not in kind and "variant" not in kind]
+        dealt = F.when(F.col("_q").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*plain), F.lit(1 << 20)))
+        rest = q.filter(~large).select(*keys, F.col("_q").alias("_rest"), F.when(large, 1).otherwise(0).cast("long").alias("_dealt"))
+        with_q = join_by_keys(with_q.withColumn("_dealt", dealt.cast("long")), rest, [*keys, "_dealt"], "left")
+        with_q = with_q.withColumn("q", F.coalesce("_q", "_rest")).drop("_q", "_rest", "_dealt")
+    else:
+        with_q = test.withColumn("q", abs_error_quantile(cal, actual, predicted, alpha).scalar())
     return with_q.withColumns({"lower": F.col(predicted) - F.col("q"), "upper": F.col(predicted) + F.col("q")}).drop("q")
 
 

@@ -139,3 +139,27 @@ def test_running_total_and_global_split(spark):
     assert [s for _, s in ordered] == ["train"] * 80 + ["test"] * 20
     per_key = split.time_split(df, "t", 0.2, ["k"]).filter("split = 'test'").groupBy("k").count().collect()
     assert {r["count"] for r in per_key} == {3}
+
+
+def test_rows_of_a_large_key_stay_apart(frame, spark, monkeypatch):
+    """Without joins of small tables by size, brackets and quantiles of large keys still reach the rows where they are."""
+    monkeypatch.setattr(stats, "ACCURACY", 50)
+    rows = [(k, float(i * 37 % 400), float(i)) for k, n in (("a", 400), (None, 300), ("few", 7)) for i in range(n)]
+    df = frame(rows, "k string, actual double, predicted double")
+    test = frame([*rows, ("unseen", 1.0, 2.0)], "k string, actual double, predicted double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = stats.exact_quantile(df, "actual", 0.9, ["k"], 50)
+        assert q._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 1
+        out = stats.conformal_intervals(df, test, keys=["k"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "_dealt" in plan and plan.count("BroadcastHashJoin") >= 2
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    errors = {k: np.quantile([abs(a - p) for key, a, p in rows if key == k], 0.9) for k in ("a", None, "few")}
+    assert {r.k: r.quantile for r in q.collect()} == {k: pytest.approx(np.quantile([a for key, a, _ in rows if key == k], 0.9)) for k in errors}
+    assert len(got) == len(rows) + 1
+    for r in got:
+        assert (r.lower, r.upper) == ((None, None) if r.k == "unseen" else pytest.approx((r.predicted - errors[r.k], r.predicted + errors[r.k])))
