@@ -2,7 +2,7 @@
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stockloom.functions.text import parse_label_response, prompt_line
@@ -37,28 +37,34 @@ def label_items(df, classify: Classifier, columns, key, label="segment", batch_s
     """Items with their columns and the label the model gave; NULL when the answer lacks the item or cannot be read.
 
     Every item carries its columns through the prompt step, so no join back is needed. Batches are cut from the rows of a
-    partition; `parallelism` sets how many partitions, and so model calls, run side by side.
+    partition; `parallelism` sets how many partitions, and so model calls, run side by side. An answer is parsed once for its batch.
     """
     kept = [key, *columns]
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def answer(rows):
-            response = classify(template.format(lines="\n".join(rows["_line"])))
-            return rows.drop(columns="_line").assign(_response=response)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answers(rows):
+            """Batches of a table as lists, each with its answer."""
+            lines = rows["_line"].to_pylist()
+            cuts = list(range(0, len(lines), batch_size))
+            texts = [classify(template.format(lines="\n".join(lines[at : at + batch_size]))) for at in cuts]
+            items = pa.ListArray.from_arrays(pa.array([*cuts, len(lines)], pa.int32()), rows["_item"].combine_chunks())
+            return pa.RecordBatch.from_arrays([items, pa.array(texts, pa.string())], names=["_items", "_response"])
 
         held = None
-        for frame in frames:
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             full = len(held) // batch_size * batch_size
-            for at in range(0, full, batch_size):
-                yield answer(held.iloc[at : at + batch_size])
-            held = held.iloc[full:]
+            if full:
+                yield answers(held.slice(0, full))
+                held = held.slice(full)
         if held is not None and len(held):
-            yield answer(held)
+            yield answers(held)
 
     if parallelism is not None:
         df = df.repartition(parallelism, key)
-    lines = df.select(*kept, prompt_line(key, columns).alias("_line"))
-    answered = lines.mapInPandas(ask, df.select(*kept).withColumn("_response", F.lit("")).schema)
-    labels = parse_label_response(F.col("_response"))
-    return answered.withColumn(label, F.try_element_at(labels, F.col(key).cast("string"))).drop("_response")
+    item = F.struct(*kept)
+    lines = df.select(item.alias("_item"), prompt_line(key, columns).alias("_line"))
+    schema = df.select(F.array(item).alias("_items"), F.lit("").alias("_response")).schema
+    labels = parse_label_response(F.col("_response")).alias("_labels")
+    answered = lines.mapInArrow(ask, schema).select("_items", labels).select(F.explode("_items").alias("_item"), "_labels")
+    return answered.select("_item.*", F.try_element_at("_labels", F.col(f"_item.`{key}`").cast("string")).alias(label))

@@ -132,3 +132,41 @@ def test_labelling(frame):
     assert echoed.filter("segment is not null").count() == 0 and echoed.count() == 10
     with pytest.raises(ValueError):
         labelling.classifier("unknown")
+
+
+def test_fits_of_many_series_are_those_of_each():
+    rng = np.random.default_rng(3)
+    ys = [np.round(100 + 30 * rng.normal(size=n)) for n in (70, 58, 70, 64, 9, 70)] + [np.arange(66.0)]
+    for order, seasonal, lag in [((1, 1, 1), (1, 1, 1), 4), ((1, 1, 1), (0, 0, 0), 1), ((2, 1, 0), (0, 1, 2), 4), ((0, 1, 0), (0, 0, 0), 2)]:
+        for few in (0, 160):
+            forecast.FEW, kept = few, forecast.FEW
+            try:
+                got = forecast._fit_all(ys, lag, order, seasonal, "n", 5, 200)
+            finally:
+                forecast.FEW = kept
+            for y, (status, ahead, rss, start) in zip(ys, got):
+                one = forecast._SeasonalFit(y, order, seasonal, lag, "n")
+                if not one.usable():
+                    assert (status, ahead, rss) == ("too_short", None, None)
+                    continue
+                one.fit(200)
+                assert status == ("ok" if one.converged else "not_converged")
+                assert ahead == pytest.approx(one.forecast(5), rel=1e-6, abs=1e-6)
+                assert (rss, start) == pytest.approx((float(one.e @ one.e), one.start_loss), rel=1e-8, abs=1e-9)
+
+
+def test_many_series_take_few_fits(frame, monkeypatch):
+    """The number of fits that Python makes one by one does not grow with the series."""
+    calls = []
+    monkeypatch.setattr(forecast._SeasonalFit, "fit", lambda self, steps: calls.append(1))
+    rng = np.random.default_rng(4)
+    assert {s for s, *_ in forecast._fit_all([rng.normal(size=60) for _ in range(30)], 4, (1, 1, 1), (1, 1, 1), "n", 3, 20)} <= {"ok", "not_converged"}
+    assert not calls
+
+
+def test_an_answer_is_parsed_once_for_its_batch(frame):
+    df = frame([(i, f"n{i}") for i in range(10)], "item int, name string").coalesce(1)
+    out = labelling.label_items(df, lambda prompt: '{"1": "a"}', ["name"], "item", batch_size=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.find("Generate explode") < plan.find("from_json") or "from_json" not in plan.split("Generate explode")[0]
+    assert {r.item: r.segment for r in out.collect()} == {i: "a" if i == 1 else None for i in range(10)}
