@@ -115,3 +115,20 @@ def test_tasks_do_not_grow_with_the_blocks(spark, frame):
     rows = json_lists.json_list(spark, folder, "rows", block=64)
     assert rows.rdd.getNumPartitions() <= most
     assert sorted(json.loads(r.value)["a"] for r in rows.collect()) == [1000 * n + i for n in range(6) for i in range(400)]
+
+
+def test_documents_are_whole_after_a_join_by_shuffle(spark, frame):
+    """The rows of a document, its top and its end go to one file, also where a join is found to be one for a broadcast only after its shuffle."""
+    from checks.files import table_from_large_json
+
+    folder = fresh_folder(spark, "orders")
+    rows = [(7000 * i, i, i / 4, "O", f"2020-01-{i % 28 + 1:02d}", "1-URGENT") for i in range(20)]
+    frame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderdate string, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        got = table_from_large_json(spark, folder).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.o_orderkey for r in got) == [r[0] for r in rows]
+    assert {r.o_orderkey: r.o_totalprice for r in got} == {r[0]: r[2] for r in rows}
