@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.functions.records import to_number_or_zero
+from stockloom.functions.records import null_nan, to_number_or_zero
 from stockloom.operators.series import rank_metrics
 from stockloom.operators.stats import mape, with_periodicity
 from stockloom.schemas import MODEL_SCHEMA
@@ -31,8 +31,9 @@ MART_METRICS = (
 AR_BOUND, MA_BOUND = 1.0, 0.98
 #: Steps of a fit at most.
 ITERATIONS = 200
-#: Series that are fitted together.
+#: Series that are fitted together, and that are smoothed together: few enough for their grid of parameters to stay in a core's cache.
 AT_ONCE = 512
+SMOOTHED_AT_ONCE = 32
 #: Columns up to which a filter takes all weeks at once.
 FEW = 160
 TRENDS = {"n": (), "c": (0,), "t": (1,), "ct": (0, 1)}
@@ -433,49 +434,101 @@ def forecast_model(blob, horizon=12):
     return model.forecast(horizon)
 
 
-def _smooth(y, period, alpha, beta, gamma, horizon):
-    """Additive Holt-Winters for a vector of parameter sets: squared error and forecasts of each."""
-    m = period or 1
-    if period:
-        first, second = y[:m].mean(), y[m : 2 * m].mean()
-        trend = np.full_like(alpha, (second - first) / m)
-        level = np.full_like(alpha, first - trend[0] * (m + 1) / 2)
-        season = np.tile((y[:m] - first - trend[0] * (np.arange(m) - (m - 1) / 2))[:, None], (1, len(alpha)))
+def _smooth(ys, periods, alpha, beta, gamma):
+    """Additive Holt-Winters for many series, the longest first, with a row of parameter sets each; either all have a period or none.
+
+    Gives squared error, and level, trend and season at the end, per series and set. Each week is one array operation for all series
+    that reach it."""
+    sizes, each = np.array([len(y) for y in ys]), np.arange(len(ys))
+    seen_at = np.zeros((sizes[0], len(ys), 1))
+    for i, y in enumerate(ys):
+        seen_at[: len(y), i, 0] = y
+    seasonal = bool(periods[0])
+    if seasonal:
+        season = np.zeros((len(ys), max(periods), alpha.shape[1]))
+        slope, level = np.empty((2, len(ys), 1))
+        for i, (y, m) in enumerate(zip(ys, periods)):
+            first, second = y[:m].mean(), y[m : 2 * m].mean()
+            slope[i] = (second - first) / m
+            level[i] = first - slope[i] * (m + 1) / 2
+            season[i, :m] = (y[:m] - first - slope[i] * (np.arange(m) - (m - 1) / 2))[:, None]
     else:
-        trend = np.full_like(alpha, y[1] - y[0])
-        level = y[0] - trend
-        season = np.zeros((1, len(alpha)))
-    loss = np.zeros_like(alpha)
-    for t, seen in enumerate(y):
-        s = season[t % m]
-        base = level + trend
-        loss += (seen - base - s) ** 2
-        new = alpha * (seen - s) + (1 - alpha) * base
-        trend = beta * (new - level) + (1 - beta) * trend
-        if period:
-            season[t % m] = gamma * (seen - base) + (1 - gamma) * s
-        level = new
-    steps = np.arange(1, horizon + 1)
-    ahead = level + np.outer(steps, trend) + season[(len(y) + steps - 1) % m]
-    return loss, ahead
-
-
-def _holdout_forecast(train, period, horizon):
-    """Forecast with the smoothing parameters of least squared error, by a grid that is refined three times."""
-    centre, width = np.full(3, 0.5), 0.5
-    best = None
-    for _ in range(4):
-        axes = [np.clip(np.linspace(c - width, c + width, 5), 0.0, 1.0) for c in centre]
-        if not period:
-            axes[2] = np.zeros(1)
-        grid = np.array(np.meshgrid(*axes, indexing="ij")).reshape(3, -1)
-        loss, ahead = _smooth(train, period, *grid, horizon)
-        pick = int(np.nanargmin(loss))
-        if best is None or loss[pick] <= best[0]:
-            best = (loss[pick], ahead[:, pick])
-            centre = grid[:, pick]
+        season, slope = np.zeros((len(ys), 1, alpha.shape[1])), seen_at[1] - seen_at[0]
+        level = seen_at[0] - slope
+    level, trend = (np.broadcast_to(start, alpha.shape).copy() for start in (level, slope))
+    loss = np.zeros(alpha.shape)
+    keep_alpha, keep_beta, keep_gamma = 1 - alpha, 1 - beta, 1 - gamma
+    periods = np.maximum(periods, 1)
+    reach = (sizes[None, :] > np.arange(sizes[0])[:, None]).sum(1)
+    for t, k in enumerate(reach):
+        at = each[:k], t % periods[:k]
+        seen, s = seen_at[t, :k], season[at] if seasonal else 0.0
+        base = level[:k] + trend[:k]
+        loss[:k] += (seen - base - s) ** 2
+        new = alpha[:k] * (seen - s) + keep_alpha[:k] * base
+        trend[:k] = beta[:k] * (new - level[:k]) + keep_beta[:k] * trend[:k]
+        if seasonal:
+            season[at] = gamma[:k] * (seen - base) + keep_gamma[:k] * s
+        level[:k] = new
+    return loss, level, trend, season
+
+
+def _smooth_ahead(ys, periods, horizons, weights=None):
+    """Forecasts of series as _smooth takes them, with the given smoothing parameters or those of least squared error, by a grid that is
+    refined three times."""
+    each = np.arange(len(ys))
+    centre, width = np.full((3, len(ys)), 0.5), 0.5
+    best = np.full(len(ys), np.inf)
+    ends = None
+    for _ in range(4 if weights is None else 1):
+        if weights is None:
+            axes = [np.clip(np.linspace(c - width, c + width, 5, axis=1), 0.0, 1.0) for c in centre]
+            if not periods[0]:
+                axes[2] = np.zeros((len(ys), 1))
+            grid = np.array(np.broadcast_arrays(axes[0][:, :, None, None], axes[1][:, None, :, None], axes[2][:, None, None, :]))
+            grid = grid.reshape(3, len(ys), -1)
+        else:
+            grid = np.repeat(np.array(weights, dtype=float).reshape(3, 1, 1), len(ys), axis=1)
+        loss, level, trend, season = _smooth(ys, periods, *grid)
+        pick = np.nanargmin(loss, axis=1) if weights is None else np.zeros(len(ys), int)
+        found = [level[each, pick], trend[each, pick], season[each, :, pick]]
+        better = loss[each, pick] <= best
+        if ends is None:
+            better[:] = True
+            ends = [np.empty_like(f) for f in found]
+        for end, f in zip(ends, found):
+            end[better] = f[better]
+        best[better] = loss[each, pick][better]
+        centre[:, better] = grid[:, each, pick][:, better]
         width /= 3
-    return best[1]
+    out = []
+    for y, period, horizon, level, trend, season in zip(ys, periods, horizons, *ends):
+        steps = np.arange(1, horizon + 1)
+        out.append(level + steps * trend + season[(len(y) + steps - 1) % (period or 1)])
+    return out
+
+
+def _holdout_forecasts(train_frac, weights):
+    """Column function: forecasts of the last values of a series, NaN where too few come before them."""
+
+    def of(values: pd.Series, periods: pd.Series) -> pd.Series:
+        out, alike = [None] * len(values), {}
+        for i, (y, period) in enumerate(zip(values, periods)):
+            cut = int(len(y) * train_frac)
+            period = int(period) if pd.notna(period) and 1 < period < cut else 0
+            if cut < max(2, 2 * period):
+                out[i] = np.full(len(y) - cut, np.nan)
+            else:
+                alike.setdefault(period > 0, []).append((i, np.asarray(y[:cut], dtype=float), period, len(y) - cut))
+        for series in alike.values():
+            series.sort(key=lambda one: -len(one[1]))
+            for start in range(0, len(series), SMOOTHED_AT_ONCE):
+                at, ys, periods, horizons = zip(*series[start : start + SMOOTHED_AT_ONCE])
+                for i, ahead in zip(at, _smooth_ahead(ys, periods, horizons, weights)):
+                    out[i] = ahead
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(of, "array<double>")
 
 
 def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8, parallelism=None, weights=None):
@@ -493,34 +546,15 @@ def holdout_predictions(df, keys, order, value, periods=None, train_frac=0.8, pa
     clean = df.select(
         *keys, order, F.col(value).cast("double").alias(value), period.cast("int").alias("_period")
     ).filter(F.col(value).isNotNull())
-    schema = T.StructType(
-        [
-            *[df.schema[k] for k in keys],
-            clean.schema[order],
-            T.StructField("actual", T.DoubleType()),
-            T.StructField("predicted", T.DoubleType()),
-        ]
-    )
-
-    def predict(pdf):
-        pdf = pdf.sort_values(order)
-        y = pdf[value].to_numpy(dtype=float)
-        cut = int(len(y) * train_frac)
-        train, test = y[:cut], y[cut:]
-        period = pdf["_period"].iloc[0]
-        period = int(period) if pd.notna(period) and 1 < period < len(train) else 0
-        out = pdf.iloc[cut:][[*keys, order]].copy()
-        out["actual"] = test
-        short = len(train) < max(2, 2 * period)
-        if short:
-            out["predicted"] = np.nan
-        elif weights is None:
-            out["predicted"] = _holdout_forecast(train, period, len(test))
-        else:
-            out["predicted"] = _smooth(train, period, *np.array(weights, dtype=float).reshape(3, 1), len(test))[1][:, 0]
-        return out
-
-    return _spread(clean, keys, parallelism).groupBy(*keys).applyInPandas(predict, schema)
+    # A series is one array, in the order of its rows; rows without a place in the order come last.
+    row = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("at"), F.col(value).alias("v"), F.col("_period").alias("period"))
+    series = _spread(clean, keys, parallelism).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    period = F.try_element_at("_rows", F.lit(1))["period"]
+    ahead = _holdout_forecasts(train_frac, weights)(F.transform("_rows", lambda r: r["v"]), period)
+    found = series.select(*keys, "_rows", ahead.alias("_ahead"))
+    tested = F.slice("_rows", F.size("_rows") - F.size("_ahead") + 1, F.size("_ahead"))
+    pairs = F.zip_with(tested, "_ahead", lambda r, p: F.struct(r["at"].alias(order), null_nan(r["v"]).alias("actual"), null_nan(p).alias("predicted")))
+    return found.select(*keys, F.inline(pairs))
 
 
 def assess_predictability(df, keys, order, value, periods=None, train_frac=0.8):

@@ -86,6 +86,54 @@ def test_holdout(frame):
     assert long.filter("predicted is not null").count() == 0 and long.count() == 12
 
 
+def smoothed(y, period, weights, horizon):
+    """Additive Holt-Winters of one series by plain loops: squared error and forecast."""
+    alpha, beta, gamma = weights
+    m = period or 1
+    first, second = (float(np.mean(y[a : a + m])) for a in (0, m))
+    trend = (second - first) / m
+    level = first - trend * (m + 1) / 2 if period else y[0] - trend
+    season = [y[i] - first - trend * (i - (m - 1) / 2) if period else 0.0 for i in range(m)]
+    loss = 0.0
+    for t, seen in enumerate(y):
+        s, base = season[t % m], level + trend
+        loss += (seen - base - s) ** 2
+        new = alpha * (seen - s) + (1 - alpha) * base
+        trend = beta * (new - level) + (1 - beta) * trend
+        season[t % m] = gamma * (seen - base) + (1 - gamma) * s if period else 0.0
+        level = new
+    return loss, [level + h * trend + season[(len(y) + h - 1) % m] for h in range(1, horizon + 1)]
+
+
+def test_holdout_of_many_series_at_once(frame, monkeypatch):
+    monkeypatch.setattr(forecast, "SMOOTHED_AT_ONCE", 3)
+    rng = np.random.default_rng(3)
+    periods = {None: 4, "none": None, "one": 1, "long": 30, **{f"p{i}": (0, 4, 6)[i % 3] for i in range(12)}}
+    data = {k: rng.integers(1, 90, 20 + 3 * i).astype(float).tolist() for i, k in enumerate(periods)}
+    df = weekly(frame, data).join(frame([*periods.items()], "j string, period_weeks int"), F.col("k").eqNullSafe(F.col("j"))).drop("j")
+    held = forecast.holdout_predictions(df, ["k"], "week_start", "sales")
+    assert "FlatMapGroups" not in held._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in held.orderBy("week_start").collect():
+        got.setdefault(r.k, []).append((r.actual, r.predicted))
+    assert got.keys() == data.keys()
+    for k, y in data.items():
+        cut = int(len(y) * 0.8)
+        period = periods[k] if periods[k] and 1 < periods[k] < cut else 0
+        assert [a for a, _ in got[k]] == y[cut:]
+        if cut < 2 * period:
+            assert all(p is None for _, p in got[k])
+            continue
+        centre, best = [0.5] * 3, None
+        for width in (1 / 2, 1 / 6, 1 / 18, 1 / 54):
+            axes = [np.clip(np.linspace(c - width, c + width, 5), 0, 1) for c in centre]
+            sets = [(a, b, c) for a in axes[0] for b in axes[1] for c in (axes[2] if period else [0.0])]
+            found = min(((*smoothed(y[:cut], period, w, len(y) - cut), w) for w in sets), key=lambda f: f[0])
+            if best is None or found[0] <= best[0]:
+                best, centre = found, found[2]
+        assert [p for _, p in got[k]] == pytest.approx(best[1], rel=1e-9, abs=1e-9)
+
+
 def test_metric_analysis_skips_short_series(frame):
     rows = [(MONDAY + timedelta(weeks=i), float(10 + (i % 4) * 5), float(i) if i < 6 else None, 7.0) for i in range(40)]
     df = frame(rows, "d date, a double, b double, flat double")
