@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stockloom.operators.keys import join_by_keys
+from stockloom.operators.keys import spread
 from stockloom.session import shared_folder
 
 
@@ -63,25 +63,30 @@ def time_split(df, order, frac=0.2, keys=(), mode="by_key"):
 
     `by_key` takes the last rows of every key by time. `global` orders all rows by (keys, time), so the test part is made
     of the last keys. NULL is a key like any other. Rows are counted per key and time first, and of those groups only the ones that
-    hold a border are ranked row by row, so a key with very many rows is not sorted in one task.
+    hold a border are ranked row by row, so a key with very many rows is not sorted in one task. Rows and counts are dealt to a fixed
+    number of tasks; merged by the few bytes that they are shuffled in, they would be gigabytes in a task's tables and sorts.
     """
     keys = list(keys)
     if mode not in ("by_key", "global"):
         raise ValueError("mode must be by_key or global")
     spot = [*keys, order]
-    counts = df.groupBy(*spot).agg(F.count(F.lit(1)).alias("_c"))
+    # As one struct, which is never NULL and equal where its fields are, the rows stand for the count, the join and the ranks alike.
+    rows = spread(df.withColumn("_spot", F.struct(*spot)), ["_spot"])
+    counts = rows.groupBy("_spot").agg(F.count(F.lit(1)).alias("_c")).select("_spot.*", "_c")
     if mode == "by_key":
         upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        counts = spread(counts, keys) if keys else counts
         ends = counts.withColumns({"_end": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
     else:
         n = df.agg(F.count(F.lit(1)).alias("_n"))
         ends = running_total(counts, spot, "_c", "_end").withColumn("_n", n.scalar())
     ends = ends.withColumn("_cut", F.col("_n") - F.ceil(F.col("_n") * F.lit(frac))).withColumn("_start", F.col("_end") - F.col("_c"))
     whole = F.when(F.col("_end") <= F.col("_cut"), "train").when(F.col("_start") >= F.col("_cut"), "test")
-    marked = join_by_keys(df, ends.select(*spot, "_start", "_cut", whole.alias("split")), spot)
+    ends = spread(ends.select(F.struct(*spot).alias("_spot"), "_start", "_cut", whole.alias("split")), ["_spot"])
+    marked = rows.join(ends, "_spot")
     settled = marked.filter(F.col("split").isNotNull())
     rest = [c for c in df.columns if c not in spot]
-    position = F.col("_start") + F.row_number().over(Window.partitionBy(*spot).orderBy(*(rest or spot)))
+    position = F.col("_start") + F.row_number().over(Window.partitionBy("_spot").orderBy(*(rest or spot)))
     border = marked.filter(F.col("split").isNull()).withColumn("_pos", position)
     border = border.withColumn("split", F.when(F.col("_pos") <= F.col("_cut"), "train").otherwise("test"))
     columns = [*df.columns, "split"]

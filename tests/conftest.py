@@ -21,3 +21,15 @@ def spark():
 def frame(spark):
     """Build a DataFrame from rows and a DDL schema."""
     return lambda rows, schema: spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture()
+def unmerged(spark):
+    """Joins by shuffle only; gives the tasks that rows are dealt to where they must not be merged by size."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(n, None) for n in names]
+    for n in names:
+        spark.conf.set(n, "-1")
+    yield 4 * spark.sparkContext.defaultParallelism
+    for n, value in zip(names, before):
+        spark.conf.unset(n) if value is None else spark.conf.set(n, value)

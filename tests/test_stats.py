@@ -141,6 +141,19 @@ def test_running_total_and_global_split(spark):
     assert {r["count"] for r in per_key} == {3}
 
 
+@pytest.mark.parametrize("mode", ["by_key", "global"])
+def test_time_split_rows_are_not_merged_into_few_tasks(frame, unmerged, mode):
+    rows = [(k, t, i) for k, times in (("a", [1, 2, 3, 3, 3, 3, 4]), (None, [5, None, 6, 6, 6]), ("b", [7, 7, 7])) for i, t in enumerate(times)]
+    out = split.time_split(frame(rows, "k string, t int, i int"), "t", 0.4, ["k"], mode)
+    # Rows settled by their group, and those of groups that hold a border.
+    assert out.rdd.getNumPartitions() >= 2 * unmerged
+    first = lambda v: (v is not None, v)
+    ordered = sorted(rows, key=lambda r: (*first(r[0]), *first(r[1]), r[2]))
+    groups = [ordered] if mode == "global" else [[r for r in ordered if r[0] == k] for k in (None, "a", "b")]
+    expected = {r: "test" if i >= len(g) - math.ceil(0.4 * len(g)) else "train" for g in groups for i, r in enumerate(g)}
+    assert {(r.k, r.t, r.i): r.split for r in out.collect()} == expected
+
+
 def test_rows_of_a_large_key_stay_apart(frame, spark, monkeypatch):
     """Without joins of small tables by size, brackets and quantiles of large keys still reach the rows where they are."""
     monkeypatch.setattr(stats, "ACCURACY", 50)
