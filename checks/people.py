@@ -7,6 +7,7 @@ from stockloom.functions.records import missing_fields
 from stockloom.functions.text import parse_label_response, prompt_lines
 from stockloom.operators import dimension, joins
 from stockloom.operators.aggregate import collapse_items
+from stockloom.operators.keys import spread
 from stockloom.plans.labelling import label_items
 from stockloom.session import fresh_folder
 
@@ -14,7 +15,7 @@ from stockloom.session import fresh_folder
 def items_sold(spark, d):
     """Items with description and category, one row per vendor that sold them."""
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    sold = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").distinct()
+    sold = spread(table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").distinct(), ["l_partkey"])
     return sold.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "l_suppkey")
 
 

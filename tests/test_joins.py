@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from checks import people
 from stockloom.operators import dimension, joins
 from stockloom.session import fresh_folder
 
@@ -259,3 +260,14 @@ def test_a_bucket_may_be_emptied(spark, frame):
     assert gone and dimension.delete_bucketed(spark, f"{path}2", frame(gone, "id long"), "id") == len(gone)
     assert files_of(spark, f"{path}2")[3] == []
     assert dimension.read_bucketed(spark, f"{path}2").count() == 40 - len(gone)
+
+
+def test_items_sold_are_not_merged_into_few_tasks(spark, frame, unmerged):
+    folder = fresh_folder(spark, "sold")
+    frame([(k, f"name {k}", "SMALL") for k in range(40)], "p_partkey long, p_name string, p_type string").write.parquet(f"{folder}/part.parquet")
+    lines = [(k, (k or 0) % 3 + j, "RN"[j % 2]) for k in [*range(39), None] for j in range(4)]
+    frame([*lines, *lines], "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    assert people.items_sold(spark, folder).count() == 39 * 4
+    out = people.collapsed_items(spark, folder)
+    assert out.rdd.getNumPartitions() >= unmerged
+    assert {tuple(r) for r in out.collect()} == {(k, f"name {k}", "SMALL", f"NAME {k}" if k % 4 else None) for k in range(39)}
