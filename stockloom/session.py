@@ -1,6 +1,7 @@
 """Session settings and the shared work folder."""
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -44,3 +45,14 @@ def shared_folder(spark):
 def fresh_folder(spark, label):
     """A new, unused path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+@contextlib.contextmanager
+def setting(spark, name, value):
+    """A session setting for as long as the block runs. A stream keeps the settings with which it was started."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -9,10 +9,13 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from stockloom.functions.records import with_detection_defaults
 from stockloom.operators.aggregate import detection_summary
 from stockloom.schemas import DETECTION_SCHEMA
+from stockloom.session import setting
 from stockloom.sources.tables import append_routed
 from stockloom.streaming.archives import TopicArchive
 
 KAFKA_DEFAULTS = {"startingOffsets": "latest", "minOffsetsPerTrigger": "100", "maxTriggerDelay": "10s"}
+# Messages that a stream's Python function takes at once. Spark's worker keeps up to 57 such frames of a group before it lets go of the first.
+MESSAGES_AT_ONCE = 1000
 
 
 def read_detections(spark, source, schema=DETECTION_SCHEMA):
@@ -58,7 +61,8 @@ def ingest_detections(stream, target, checkpoint, interval="10 seconds", availab
     """Start a query that appends every micro-batch to the tables named by its `table` column.
 
     How many messages a batch takes is an option of the source (maxOffsetsPerTrigger, maxFilesPerTrigger). The batch id is
-    part of the folder, so a batch that is replayed after a failure replaces itself.
+    part of the folder, so a batch that is replayed after a failure replaces itself. Python functions of the stream get at most
+    MESSAGES_AT_ONCE messages at a time, so what a worker holds does not grow with the messages of a route.
     """
 
     def write(batch, batch_id):
@@ -66,7 +70,11 @@ def ingest_detections(stream, target, checkpoint, interval="10 seconds", availab
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
-    return writer.start()
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(stream.sparkSession.conf.get(most))
+    # Zero and less stand for no limit.
+    with setting(stream.sparkSession, most, str(min(given, MESSAGES_AT_ONCE) if given > 0 else MESSAGES_AT_ONCE)):
+        return writer.start()
 
 
 def flushed_by_count_or_time(stream, route_col="table", default="default", most=100, seconds=10, lanes=1):

@@ -1,9 +1,11 @@
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from stockloom.schemas import DETECTION_SCHEMA
 from stockloom.session import fresh_folder
@@ -178,6 +180,21 @@ def test_buffers_leave_by_count(spark, folder):
     assert set().union(*(v for k, v in third.items() if k[0] == "shelf")) == set(range(1, 10))
 
 
+def test_a_stream_meets_its_messages_in_small_frames(spark, folder):
+    def sizes(key, frames, state):
+        state.update((1,))
+        for frame in frames:
+            yield pd.DataFrame({"table": ["sizes"], "n": [len(frame)]})
+
+    stream = feed(spark, folder, [(k, "t", "can", "a", "shelf") for k in range(2500)])
+    seen = stream.select("table").groupBy("table").applyInPandasWithState(sizes, "table string, n long", "n long", "append", GroupStateTimeout.NoTimeout)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    run(detections.ingest_detections(seen, f"{folder}/out", f"{folder}/ckpt", available_now=True))
+    found = [r.n for r in read_routed(spark, f"{folder}/out").collect()]
+    assert sum(found) == 2500 and max(found) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_buffers_leave_by_time(spark, folder):
     stream = feed(spark, folder, [(k, "t", "can", "a", "full" if k < 5 else "slow") for k in range(1, 7)])
     flushed = detections.flushed_by_count_or_time(stream, most=4, seconds=4)
