@@ -1,13 +1,14 @@
 """Boosted-tree regression with split-conformal intervals."""
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockloom.functions.dates import time_features
 from stockloom.operators.series import lag_features
 from stockloom.operators.split import split_frames
 from stockloom.operators.stats import conformal_intervals
+from stockloom.plans.boosting import fit_trees
 from stockloom.session import shared_folder
 from stockloom.sources.files import write_csv
 
@@ -20,33 +21,32 @@ def weekly_features(df, keys, date, value, lags=(1, 2, 4, 8)):
     return wide, [*TIME_FEATURES, *[f"{value}_lag_{k}" for k in lags]]
 
 
-def _assembled(df, features):
-    return VectorAssembler(inputCols=list(features), outputCol="_features").transform(df.dropna(subset=list(features)))
+def _complete(df, features):
+    """Rows with all features, which must be numbers."""
+    other = [c for c in features if not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
+    if other:
+        raise ValueError(f"features must be numbers: {other}")
+    return df.dropna(subset=list(features))
 
 
 def fit_gbt(df, features, target, max_depth=4, trees=100, rate=0.1, seed=42):
-    """Gradient-boosted trees with squared error; rows with a NULL feature or target are dropped."""
+    """Gradient-boosted trees with squared error; rows with a NULL feature or target are dropped. All rows take part in every tree and in
+    the borders of the bins, so nothing depends on `seed`."""
     shared_folder(df.sparkSession)
-    gbt = GBTRegressor(
-        featuresCol="_features",
-        labelCol=target,
-        predictionCol="predicted",
-        maxDepth=max_depth,
-        maxIter=trees,
-        stepSize=rate,
-        seed=seed,
-        checkpointInterval=10,
-    )
-    return gbt.fit(_assembled(df.dropna(subset=[target]), features).select("_features", F.col(target).cast("double").alias(target)))
+    return fit_trees(_complete(df.dropna(subset=[target]), features), list(features), target, max_depth, trees, rate)
 
 
 def predict_gbt(model, df, features):
-    return model.transform(_assembled(df, features)).drop("_features")
+    @F.pandas_udf("double")
+    def predicted(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.predict(rows.to_numpy(float).T))
+
+    return _complete(df, features).withColumn("predicted", predicted(F.struct(*[F.col(c).cast("double") for c in features])))
 
 
 def feature_importances(spark, model, features):
     """Feature and importance, most important first. One row per feature."""
-    rows = [(name, float(model.featureImportances[i])) for i, name in enumerate(features)]
+    rows = [(name, float(model.importances[i])) for i, name in enumerate(features)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
