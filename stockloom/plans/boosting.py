@@ -5,6 +5,7 @@ the others, fitted to twice the error, by the rate. The values of a block are bi
 all its rows to the left, so that every tree is complete and a row's place in a level follows from comparisons alone.
 """
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +19,15 @@ MARKS = 256
 BLOCK_ROWS = 65_536
 # To start a Python task takes as long as some million rows in it, so that a few blocks are one task and there are no more tasks than cores.
 TASK_ROWS = 4 * BLOCK_ROWS
-# Trees between two checkpoints, which cut the chain of steps that a lost block is computed from.
-TREES_KEPT = 25
+# Trees after which the errors that are left are stored; those of the trees since then are taken off at each reading, which is less work.
+TREES_HELD = 4
+# Trees between two checkpoints, which cut the chain of steps that a lost block is computed from; a multiple of TREES_HELD.
+TREES_KEPT = 24
 NO_GAIN = 1e-10
+# Combinations of bins that are counted at once; with the nodes of a level, their sums stay in a core's cache.
+CELLS = 4096
+# Levels whose nodes are compared one after another, a byte per row, which is faster than to look up each row's own node.
+BYTE_LEVELS = 5
 
 
 @dataclass
@@ -57,20 +64,57 @@ def binned(columns, thresholds):
 def places(bins, feature, cut, level):
     """Place of each row among the nodes of a level, from the left."""
     n = bins.shape[1]
-    flat, rows, at = bins.ravel(), np.arange(n), np.zeros(n, np.intp)
+    at = np.zeros(n, np.uint8 if level <= BYTE_LEVELS else np.intp)
     for k in range(level):
-        nodes = slice(2**k - 1, 2 ** (k + 1) - 1)
-        at = 2 * at + (flat.take((feature[nodes] * n).take(at) + rows) > cut[nodes].take(at))
+        first = 2**k - 1
+        if k < BYTE_LEVELS:
+            right = np.zeros(n, bool)
+            for j, (f, c) in enumerate(zip(feature[first : first + 2**k].tolist(), cut[first : first + 2**k].tolist())):
+                if c < BINS - 1:
+                    right |= (bins[f] > c) & (at == j)
+        else:
+            nodes = slice(first, first + 2**k)
+            right = bins.ravel().take((feature[nodes] * n).take(at) + np.arange(n)) > cut[nodes].take(at)
+        at <<= 1
+        at |= right
     return at
 
 
-def histogram(block, feature, cut, level):
-    """Rows and sums of the errors per feature, node of the level and bin."""
-    bins, errors = block
-    first, size = places(bins, feature, cut, level) * BINS, 2**level * BINS
-    cells = (first + column for column in bins)
-    found = [(np.bincount(c, minlength=size), np.bincount(c, errors, size)) for c in cells]
-    return np.array(found, float).swapaxes(0, 1).reshape(2, len(bins), -1, BINS)
+def counted_together(sizes):
+    """Groups of features, by their number of bins, of which all combinations of bins are few: the largest first, each into the first group with room."""
+    groups = []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        room = [g for g in groups if math.prod(sizes[j] for j in g) * sizes[i] <= CELLS]
+        if room:
+            room[0].append(i)
+        else:
+            groups.append([i])
+    return groups
+
+
+def histogram(blocks, sizes, feature, cut, level):
+    """Rows and sums of the errors per feature, node of the level and bin, over all blocks of a task. `sizes` has the number of bins per feature.
+
+    A row is counted once per group of features, in the cell of its bins, and cells are summed by feature at the end."""
+    nodes, groups = 2**level, counted_together(sizes)
+    shapes = [(nodes, *(sizes[i] for i in group)) for group in groups]
+    totals = [np.zeros((2, math.prod(shape))) for shape in shapes]
+    for bins, errors in blocks:
+        at = places(bins, feature, cut, level)
+        for group, total in zip(groups, totals):
+            cell = at.astype(np.uint16 if total.shape[1] <= 65_536 else np.intp)
+            for i in group:
+                cell *= sizes[i]
+                cell += bins[i]
+            cell = cell.astype(np.intp, copy=False)
+            total[0] += np.bincount(cell, minlength=total.shape[1])
+            total[1] += np.bincount(cell, errors, total.shape[1])
+    sums = np.zeros((2, len(sizes), nodes, BINS))
+    for group, shape, total in zip(groups, shapes, totals):
+        cells = total.reshape(2, *shape)
+        for axis, i in enumerate(group, 2):
+            sums[:, i, :, : sizes[i]] = cells.sum(axis=tuple(a for a in range(2, cells.ndim) if a != axis))
+    yield sums
 
 
 def best_splits(sums):
@@ -90,11 +134,11 @@ def best_splits(sums):
     return feature, cut, top, np.stack(means, axis=1)
 
 
-def grown(blocks, n_features, depth):
+def grown(blocks, sizes, depth):
     """One tree for the errors of the blocks: feature, cut, mean error per place of the last level, gain per feature."""
-    feature, cut, gains = np.zeros(2**depth - 1, np.intp), np.full(2**depth - 1, BINS - 1), np.zeros(n_features)
+    feature, cut, gains = np.zeros(2**depth - 1, np.intp), np.full(2**depth - 1, BINS - 1), np.zeros(len(sizes))
     for level in range(depth):
-        sums = blocks.map(lambda b, f=feature, c=cut, k=level: histogram(b, f, c, k)).reduce(np.add)
+        sums = blocks.mapPartitions(lambda b, f=feature, c=cut, k=level: histogram(b, sizes, f, c, k)).reduce(np.add)
         nodes = slice(2**level - 1, 2 ** (level + 1) - 1)
         feature, cut = feature.copy(), cut.copy()
         feature[nodes], cut[nodes], top, means = best_splits(sums)
@@ -112,6 +156,7 @@ def fit_trees(df, features, target, max_depth, trees, rate):
     if not n:
         raise ValueError("no rows to fit to")
     thresholds = [thresholds_of(np.array(m)) for m in marks]
+    sizes = [len(t) + 1 for t in thresholds]
 
     def pack(batches):
         held, size = [], 0
@@ -130,22 +175,24 @@ def fit_trees(df, features, target, max_depth, trees, rate):
     packed = rows.mapInArrow(pack, "bins binary, errors binary")
     packed = packed.repartition(min(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
     blocks = packed.rdd.map(lambda r: (np.frombuffer(r.bins, np.uint8).reshape(k, -1), np.frombuffer(r.errors))).persist(StorageLevel.MEMORY_AND_DISK)
-    found, importances, before = [], np.zeros(k), None
+    found, importances, held = [], np.zeros(k), [blocks]
     for tree in range(trees):
-        feature, cut, means, gains = grown(blocks, k, max_depth)
+        feature, cut, means, gains = grown(blocks, sizes, max_depth)
         value = means if tree == 0 else 2 * rate * means
         found.append((feature, cut, value))
         importances += gains if tree == 0 else 4 * gains  # gains in twice the error
-        if before is not None:
-            before.unpersist()
 
         def left_over(b, feature=feature, cut=cut, value=value):
             return b[0], b[1] - value[places(b[0], feature, cut, max_depth)]
 
-        before, blocks = blocks, blocks.map(left_over).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = blocks.map(left_over)
+        if tree % TREES_HELD == TREES_HELD - 1:
+            held.append(blocks.persist(StorageLevel.MEMORY_AND_DISK))
+            if len(held) > 2:
+                held.pop(0).unpersist()
         if tree % TREES_KEPT == TREES_KEPT - 1:
             blocks.checkpoint()
-    before.unpersist()
-    blocks.unpersist()
+    for stored in held:
+        stored.unpersist()
     feature, cut, value = (np.stack(x) for x in zip(*found))
     return BoostedTrees(thresholds, base, feature, cut, value, importances / (importances.sum() or 1))

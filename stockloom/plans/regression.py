@@ -9,7 +9,7 @@ from stockloom.operators.series import lag_features
 from stockloom.operators.split import split_frames
 from stockloom.operators.stats import conformal_intervals
 from stockloom.plans.boosting import fit_trees
-from stockloom.session import shared_folder
+from stockloom.session import fresh_folder, shared_folder
 from stockloom.sources.files import write_csv
 
 TIME_FEATURES = ["weekofyear", "month", "dayofweek", "year"]
@@ -50,14 +50,23 @@ def feature_importances(spark, model, features):
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def _written(df):
+    """The rows, read from a copy in the checkpoint folder."""
+    folder = fresh_folder(df.sparkSession, "rows")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def regress_with_intervals(df, features, target, row_keys, alpha=0.1, test=0.2, cal=0.2, seed=42, **gbt):
     """Train on the training part, take the error quantile of the calibration part, predict the test part.
 
-    Returns the model, the test rows with actual, predicted, lower and upper, and the calibration residuals. The split rows are
-    read by every tree and by all three parts, so they are written once to the checkpoint folder.
+    Returns the model, the test rows with actual, predicted, lower and upper, and the calibration residuals. The rows are read several
+    times by the split, and the split rows by the fit and by all three parts, so both are written once to the checkpoint folder, with
+    the columns that are needed.
     """
-    shared_folder(df.sparkSession)
-    split = split_frames(df.dropna(subset=[*features, target]), row_keys, test, cal, seed).checkpoint()
+    needed = dict.fromkeys([*row_keys, *features, target])
+    rows = _written(df.dropna(subset=[*features, target]).select(*needed))
+    split = _written(split_frames(rows, row_keys, test, cal, seed))
     model = fit_gbt(split.filter(F.col("split") == "train"), features, target, seed=seed, **gbt)
 
     def scored(part):

@@ -39,6 +39,52 @@ def test_a_level_takes_few_tasks(spark):
     assert sum(info.numTasks for s in stages if (info := track.getStageInfo(s)) and info.numCompletedTasks) < 250
 
 
+def test_rows_of_the_features_are_computed_once(spark):
+    """The split reads its rows several times, but they come from a copy."""
+    counted = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    df = numbers(spark, n=500, parts=2)
+    _, tested, residuals = regression.regress_with_intervals(df.mapInArrow(seen, df.schema), ["a", "b", "c"], "y", ["id"], max_depth=2, trees=2)
+    assert (tested.count(), residuals.count()) == (100, 80)
+    assert counted.value == 500
+
+
+def test_errors_left_are_stored_after_some_trees(spark, monkeypatch):
+    """What is left is the same, whether it is stored after every tree, after some or never."""
+    found, before = [], set(spark.sparkContext._jsc.getPersistentRDDs())
+    for held in (1, 4, 100):
+        monkeypatch.setattr(boosting, "TREES_HELD", held)
+        found.append(regression.fit_gbt(numbers(spark, n=400, parts=2), ["a", "b", "c"], "y", max_depth=2, trees=9))
+    assert all((f.value == found[0].value).all() and (f.cut == found[0].cut).all() for f in found)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+
+
+def test_features_are_counted_together():
+    """Eight features take three counts of a row, not eight, and give the counts and sums of each."""
+    sizes, rng = [32, 12, 1, 7, 32, 32, 32, 32], np.random.default_rng(3)
+    groups = boosting.counted_together(sizes)
+    assert len(groups) == 3 and sorted(i for g in groups for i in g) == list(range(8))
+    blocks = [(np.stack([rng.integers(0, s, n) for s in sizes]).astype(np.uint8), rng.normal(size=n)) for n in (1, 700, 5000)]
+    feature = rng.integers(0, 8, 2**7 - 1)
+    cut = np.array([rng.choice([rng.integers(0, sizes[f]), boosting.BINS - 1]) for f in feature])
+    for level in (0, 1, 4, 5, 7):
+        (sums,) = boosting.histogram(iter(blocks), sizes, feature, cut, level)
+        plain = np.zeros((2, 8, 2**level, boosting.BINS))
+        for bins, errors in blocks:
+            for row, error in zip(bins.T, errors):
+                node = 0
+                for _ in range(level):
+                    node = 2 * node + 1 + int(row[feature[node]] > cut[node])
+                for i, b in enumerate(row):
+                    plain[:, i, node - (2**level - 1), b] += 1, error
+        assert (sums[0] == plain[0]).all() and sums[1] == pytest.approx(plain[1], abs=1e-9)
+
+
 def test_rows_without_a_gain(spark):
     flat = spark.range(50).select("id", F.lit(1.5).alias("a"), F.when(F.col("id") > 3, F.col("id") % 2).alias("b"), F.lit(0.1).alias("y"))
     model = regression.fit_gbt(flat, ["a", "b"], "y", trees=3)
